@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage that has ``query(spark, sf_dir)`` and perhaps ``SQL``
 MODULES = {
+    "op2_license_scan": "licenses",
+    "op9_decontaminate": "decontaminate",
     "op1_suffix_dedup": "suffix_dedup",
     "op6_mix_sources": "mixing",
     "op10_chat_format": "chat_format",
