@@ -51,3 +51,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
+    """``df`` with just the columns wanted: new name = (column, type). A column that has its name
+    and type already stays as it is, so that equal plans remain equal and share exchanges."""
+    kinds = dict(df.dtypes)
+    out = []
+    for name, (column, kind) in wanted.items():
+        c = F.col(f"`{column}`")
+        if kinds[column] != kind:
+            c = c.cast(kind).alias(name)
+        out.append(c if column == name and kinds[column] == kind else c.alias(name))
+    return df.select(*out)

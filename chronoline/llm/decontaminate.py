@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.llm.common import columns
 from chronoline.llm.textcols import GOLD, Words, mix, ragged, signed, slabs
 
 MASKS = ("11011011", "10110111", "11101101", "11111111")
@@ -78,7 +79,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float =
     """(doc_id, n_words, hits: array of (item, start, end, words)): for each document the items
     that contaminate it, with the span in words and how many of its words are equal."""
     items = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL")
-    docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
     wide = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # an item has fewer words than bytes
     if wide * len(masks) // 2 > most_seeds:
         return _by_shuffle(docs, items, masks, agreement, min_words, share)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoline.llm.common import columns
 from chronoline.llm.textcols import Words, grams, ragged, signed, slabs
 
 K, MOST_GRAMS = 3, 200_000
@@ -117,7 +118,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     *_, labels, sizes, n_phrases = _positions(phrases, templates)
     rows = template_rows(docs.sparkSession, phrases, templates)
     shuffle = rows.count() > MOST_GRAMS if shuffle is None else shuffle
-    docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
     votes = _votes(docs, rows, shuffle)
     if shuffle:
         votes = votes.withColumn("row", F.monotonically_increasing_id())
