@@ -96,11 +96,16 @@ class Words:
         up, down = powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64, out=total[1:])
+        self.total, self.down = total, down
         self.h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges within words."""
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64) * GOLD)
+
 
 def word_hash(word: str) -> int:
     """The hash that ``Words`` gives one word."""
