@@ -64,3 +64,16 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
             c = c.cast(kind).alias(name)
         out.append(c if column == name and kinds[column] == kind else c.alias(name))
     return df.select(*out)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as a URI."""
+    checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows whose key is in ``ids``; rows with a null key stay. At most ``most``
+    ids of 8 bytes are broadcast; beyond that both sides are shuffled."""
+    ids = cut(ids.select(key).where(F.col(key).isNotNull()).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_anti").select(*docs.columns)

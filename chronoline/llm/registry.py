@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage that has ``query(spark, sf_dir)`` and perhaps ``SQL``
 MODULES = {
+    "op7_pii": "pii",
     "op8_lm_score": "lm_score",
     "op5_toxicity": "toxicity",
     "op3_embedding_dedup": "embedding_dedup",
