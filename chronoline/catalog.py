@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "asof_nearest_beat"
+FLAGSHIP = "timeline_sync"
 
 
 def queries() -> dict:
