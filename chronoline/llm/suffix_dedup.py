@@ -9,16 +9,16 @@ window's anchor depends on its own bytes alone, so equal windows always have equ
 1. First digit: segments are dealt to buckets by anchor. A segment equal to one of a smaller
    document is repeated as a whole. An anchor without company drops out.
 2. Second digit: of segments with a common anchor but different ends, those stay whose next
-   15 bytes to the left or to the right agree (as one byte of hash) with another's; a shared
+   15 bytes to the left or to the right agree (by a byte of hash) with another's; a shared
    window of 50 bytes has 15 more bytes on one side of its anchor.
 3. Last digit: the windows of what is left are dealt to buckets by all 50 bytes (two 64-bit
-   hashes); every window that a smaller document has too is repeated.
+   hashes, 96 bits kept); every window that a smaller document has too is repeated.
 
-Rows that agree are combined within each Arrow batch before a shuffle, so an anchor or a
-window that a third of all documents hold sends one row per batch; anchors with over
-``MANY`` different segments in a batch go to pass 3 directly. Buckets hold about
+Rows that agree are combined within parts of ``PART`` bytes before a shuffle, so an anchor or
+a window that a third of all documents hold sends one row per part; anchors with over
+``MANY`` different segments in a part go to pass 3 directly. Buckets hold about
 ``PER_BUCKET`` bytes of text whatever the size of the input. Identity is by 64 + 48 bits of
-hash for segments and 128 bits for windows.
+hash for segments and 96 bits for windows.
 
 Defined results: null text counts as empty and, like any text under 50 bytes, loses nothing;
 a null doc_id never removes or loses anything; equal doc_ids count as one document; an empty
@@ -33,12 +33,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.textcols import GOLD, M1, M2, mix, slabs
+from chronoline.llm.common import columns
+from chronoline.llm.textcols import GOLD, M1, M2, buffers, mix, slabs
 
 WIDTH, ANCHOR, SIDE = 50, 20, 15
 SPAN = WIDTH - ANCHOR + 1
-MANY, PER_BUCKET, SEGMENT_BITS = 64, 16 << 20, np.uint64((1 << 48) - 1)
-REPEATED, CHECK = 0, 1
+MANY, PART, PER_BUCKET, SEGMENT_BITS = 64, 8 << 20, 16 << 20, np.uint64((1 << 48) - 1)
+REPEATED, LEFT, RIGHT, SINGLE = 0, 1, 2, 3
 OUT = "doc_id bigint, kind int, data binary"
 
 
@@ -58,7 +59,7 @@ def _fold(w: np.ndarray, p: np.ndarray, at: tuple[int, ...], seed: int) -> np.nd
 
 class Segments:
     """The segments of a slab: doc (row), anchor, tag (48 bits), lo and last window start,
-    side (one byte of hash for each side of the anchor)."""
+    side (a byte of hash for each side of the anchor)."""
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, sides: bool = True):
         n = len(raw)
@@ -94,7 +95,7 @@ class Segments:
         after = np.append(lo[1:], n)
         self.last = np.minimum(after, (at[:-1] + count)[self.doc]) - 1
         self.anchor = low[lo]
-        p = place[lo].astype(np.int64)
+        self.p = p = place[lo].astype(np.int64)
         ends = _fold(w, lo, (0, 8, 16, 24, 32, 40, 42), 1) * GOLD + _fold(w, self.last, (0, 8, 16, 24, 32, 40, 42), 2)
         self.tag = mix(ends + (self.last - lo).astype(np.uint64)) & SEGMENT_BITS
         if sides:
@@ -102,29 +103,44 @@ class Segments:
             alone = mix(self.tag + self.doc.astype(np.uint64) * GOLD)  # nothing to agree with at a document's edge
             left = np.where(p - SIDE >= begin, _fold(w, np.maximum(p - SIDE, 0), (0, 7), 3), alone)
             right = np.where(p + ANCHOR + SIDE <= end, _fold(w, p + ANCHOR, (0, 7), 4), alone)
-            self.side = np.stack([left & np.uint64(255), right & np.uint64(255)], 1).astype(np.uint8)
-
-    def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(segment, start, two hashes) of all windows of the picked segments."""
-        n = self.last[pick] - self.lo[pick] + 1
+            self.side = ((left & np.uint64(0xFF)) | (right & np.uint64(0xFF)) << np.uint64(8)).astype(np.uint16)
+
+    def windows(self, pick: np.ndarray, side: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, start, two hashes) of the windows of the picked segments; with a side, of
+        those that hold at least ``SIDE`` bytes on that side of the anchor."""
+        first, last = self.lo[pick], self.last[pick]
+        if side == LEFT:
+            last = np.minimum(last, self.p[pick] - SIDE)
+        if side == RIGHT:
+            first = np.maximum(first, self.p[pick] - SIDE)
+        n = np.maximum(last - first + 1, 0)
         seg = np.repeat(pick, n)
-        start = self.lo[seg] + (np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n))
+        start = np.repeat(first, n) + (np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n))
         at = (0, 8, 16, 24, 32, 40, 42)
-        return seg, start, _fold(self.w, start, at, 5), _fold(self.w, start, at, 6)
+        return seg, start, _fold(self.w, start, at, 5), (_fold(self.w, start, at, 6) >> np.uint64(32)).astype(np.uint32)
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _pack(doc: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns end to end, after the ascending documents as steps of two bytes, or 65,535 and a long."""
+    step = np.diff(doc, prepend=doc[:1])
+    far = step >= 0xFFFF
+    head = np.array([len(doc), far.sum(), doc[0]], "<i8")
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in (head, np.where(far, 0xFFFF, step).astype("<u2"), step[far].astype("<i8"), *columns))
 
 
-def _unpack(blobs: list[bytes], kinds: list[np.dtype]) -> list[np.ndarray]:
-    width, parts = sum(np.dtype(k).itemsize for k in kinds), [[] for _ in kinds]
+def _unpack(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
+    """The columns of all blobs, documents last."""
+    parts = [[np.zeros(0, k)] for k in [*kinds, "<i8"]]
     for b in blobs:
-        n, at = len(b) // width, 0
-        for part, k in zip(parts, kinds, strict=True):
+        n, n_far, doc = (int(x) for x in np.frombuffer(b, "<i8", 3))
+        step, at = np.frombuffer(b, "<u2", n, 24).astype(np.int64), 24 + 2 * n
+        step[step == 0xFFFF] = np.frombuffer(b, "<i8", n_far, at)
+        parts[-1].append(doc + np.cumsum(step))
+        at += 8 * n_far
+        for part, k in zip(parts, kinds, strict=False):
             part.append(np.frombuffer(b, k, n, at))
             at += n * np.dtype(k).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+    return [np.concatenate(p) for p in parts]
 
 
 def _by_doc(doc: np.ndarray, kind: int, value: np.ndarray) -> tuple[list, list, list]:
@@ -135,13 +151,13 @@ def _by_doc(doc: np.ndarray, kind: int, value: np.ndarray) -> tuple[list, list,
     return [int(doc[i]) for i in np.concatenate([[0], cuts])] if len(doc) else [], [kind] * (len(cuts) + 1 if len(doc) else 0), [p.tobytes() for p in np.split(value, cuts)] if len(doc) else []
 
 
-def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> tuple[list, list]:
-    order = np.argsort(bucket, kind="stable")
+def _dealt(bucket: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> tuple[list, list]:
+    order = np.lexsort((doc, bucket))
     bucket = bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     if not len(bucket):
         return [], []
-    parts = zip(*[np.split(c[order], cuts) for c in columns], strict=True)
+    parts = zip(*[np.split(c[order], cuts) for c in (doc, *columns)], strict=True)
     return [int(bucket[i]) for i in np.concatenate([[0], cuts])], [_pack(*p) for p in parts]
 
 
@@ -153,23 +169,33 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-#: anchor, tag (low 32, high 16 bits), sides, shared, doc
-ROW = ["<u8", "<u4", "<u2", "<u2", "<u1", "<i8"]
+#: anchor, tag (low 32, high 16 bits), sides, shared; the documents follow, packed
+ROW = ["<u8", "<u4", "<u2", "<u2", "<u1"]
+#: a window's two hashes, the second cut to 32 bits; the documents follow
+WINDOW = ["<u8", "<u4"]
 
 
 def _first_digit(buckets: int):
     """Documents -> rows (bucket, doc_id, kind, data): packed segments for a bucket, or results known already."""
 
-    def run(batches):
-        for n_batch, b in enumerate(batches):
+    def parts(batches):
+        """Segments of about ``PART`` bytes of text at a time."""
+        got, held = [[], [], [], []], 0
+        for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            got = [[], [], [], []]
             for i, raw, at in slabs(b.column(1)):
                 s = Segments(raw, at)
-                for part, v in zip(got, (s.anchor, s.tag, s.side.view("<u2")[:, 0] if len(s.lo) else np.zeros(0, "<u2"), ids[i + s.doc]), strict=True):
+                for part, v in zip(got, (s.anchor, s.tag, s.side, ids[i + s.doc]), strict=True):
                     part.append(v)
-            if not got[0]:
-                continue
+                held += len(raw)
+                if held >= PART:
+                    yield got
+                    got, held = [[], [], [], []], 0
+        if got[0]:
+            yield got
+
+    def run(batches):
+        for n_batch, got in enumerate(parts(batches)):
             anchor, tag, side, doc = (np.concatenate(g) for g in got)
             order = np.lexsort((doc, tag, anchor))
             anchor, tag, side, doc = anchor[order], tag[order], side[order], doc[order]
@@ -182,14 +208,15 @@ def _first_digit(buckets: int):
             group = np.cumsum(new_anchor[pick]) - 1
             many = np.bincount(group)[group] > MANY
             far = pick[many]
-            rows = [x + y for x, y in zip(rows, _by_doc(doc[far], CHECK, tag[far]), strict=True)]
+            for side_of in (LEFT, RIGHT):
+                rows = [x + y for x, y in zip(rows, _by_doc(doc[far], side_of, tag[far]), strict=True)]
             first = np.zeros(len(pick), bool)
             if len(pick):
                 first[np.unique(group, return_index=True)[1]] = True
             send = ~many | first
             at, shared = pick[send], many[send].astype(np.uint8)
             t = tag[at]
-            where, blobs = _dealt((anchor[at] % np.uint64(buckets)).astype(np.int32), anchor[at], (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"), side[at], shared, doc[at])
+            where, blobs = _dealt((anchor[at] % np.uint64(buckets)).astype(np.int32), doc[at], anchor[at], (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"), side[at], shared)
             known = [(n_batch + k) % buckets for k in range(len(rows[0]))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known + where, pa.int32()), pa.array(rows[0] + [None] * len(where), pa.int64()), pa.array(rows[1] + [None] * len(where), pa.int32()), pa.array(rows[2] + blobs, pa.binary())],
@@ -214,15 +241,12 @@ def _second_digit(table: pa.Table) -> pa.Table:
     pick = np.flatnonzero(new_seg)
     group = np.cumsum(new_anchor[pick]) - 1 if len(pick) else pick
     # a second segment with the same byte on the same side
-    agree = np.zeros(len(pick), bool)
-    for k in (0, 8):
-        key = (group.astype(np.int64) << 8) | ((side[pick] >> k) & 255)
+    shared = _shared(shared, new_anchor)[group] if len(pick) else np.zeros(0, bool)
+    for side_of, k in ((LEFT, 0), (RIGHT, 8)):
+        key = (group.astype(np.int64) << 8) | ((side[pick].astype(np.int64) >> k) & 0xFF)
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        agree |= count[inverse] > 1
-    if len(pick):
-        agree |= _shared(shared, new_anchor)[group]
-    far = pick[agree]
-    rows = [x + y for x, y in zip(rows, _by_doc(doc[far], CHECK, tag[far]), strict=True)]
+        far = pick[shared | (count[inverse] > 1)]
+        rows = [x + y for x, y in zip(rows, _by_doc(doc[far], side_of, tag[far]), strict=True)]
     mine = pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["doc_id", "kind", "data"])
     return pa.concat_tables([known.cast(mine.schema), mine])
 
@@ -232,6 +256,26 @@ def _shared(shared: np.ndarray, new_anchor: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(shared.astype(bool), np.flatnonzero(new_anchor))
 
 
+def _squeeze(batches):
+    """(doc_id, text) -> (doc_id, size, zstd frame): texts are dealt to their documents' results in this form."""
+    codec = pa.Codec("zstd")
+    for b in batches:
+        raw, at = buffers(b.column(1))
+        frames = [codec.compress(raw[i:j].tobytes(), asbytes=True) for i, j in zip(at, at[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "size", "frame"])
+
+
+def _texts(size: pa.Array, frame: pa.Array, limit: int = 1 << 20):
+    """As ``slabs``, from compressed texts."""
+    codec, sizes, i = pa.Codec("zstd"), size.to_numpy(zero_copy_only=False), 0
+    frames = frame.to_pylist()
+    while i < len(sizes):
+        j = max(i + 1, i + int(np.searchsorted(np.cumsum(sizes[i:]), limit, "right")))
+        parts = [codec.decompress(f, int(n), asbytes=True) if n else b"" for f, n in zip(frames[i:j], sizes[i:j], strict=True)]
+        yield i, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes[i:j])])
+        i = j
+
+
 def _listed(docs: np.ndarray, column: pa.Array) -> np.ndarray:
     """Keys (row, value) of the packed values of a list<binary> column, for membership tests."""
     rows, values = [], []
@@ -257,29 +301,37 @@ def _within(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _last_digit(buckets: int):
-    """(doc_id, text, lists to check) -> windows of those segments, dealt by all their bytes."""
+    """(doc_id, compressed text, lists to check) -> windows of those segments, dealt by all their bytes."""
 
-    def run(batches):
-        for n_batch, b in enumerate(batches):
+    def parts(batches):
+        got, held = [[], [], []], 0
+        for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = _listed(np.arange(len(ids)), b.column(2))
-            got = [[], [], []]
-            for i, raw, at in slabs(b.column(1)):
+            wanted = [(side, _listed(np.arange(len(ids)), b.column(c))) for side, c in ((LEFT, 3), (RIGHT, 4))]
+            for i, raw, at in _texts(b.column(1), b.column(2)):
                 s = Segments(raw, at, sides=False)
-                pick = np.flatnonzero(_within(_key(i + s.doc, s.tag), wanted))
-                seg, _, w1, w2 = s.windows(pick)
-                for part, v in zip(got, (w1, w2, ids[i + s.doc[seg]]), strict=True):
-                    part.append(v)
-            if not got[0]:
-                continue
+                keys = _key(i + s.doc, s.tag)
+                for side, table in wanted:
+                    seg, _, w1, w2 = s.windows(np.flatnonzero(_within(keys, table)), side)
+                    for part, v in zip(got, (w1, w2, ids[i + s.doc[seg]]), strict=True):
+                        part.append(v)
+                    held += len(w1)
+                if held >= PART // 8:
+                    yield got
+                    got, held = [[], [], []], 0
+        if got[0]:
+            yield got
+
+    def run(batches):
+        for n_batch, got in enumerate(parts(batches)):
             w1, w2, doc = (np.concatenate(g) for g in got)
             order = np.lexsort((doc, w2, w1))
             w1, w2, doc = w1[order], w2[order], doc[order]
             new = _new(w1, w2)
             leader = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))] if len(doc) else doc
             later = ~new & (doc != leader) & _new(w1, w2, doc)
-            rows = _by_doc(doc[later], REPEATED, w1[later])
-            where, blobs = _dealt((w1[new] % np.uint64(buckets)).astype(np.int32), w1[new], w2[new], doc[new])
+            rows = _by_doc(doc[later], SINGLE, w1[later])
+            where, blobs = _dealt((w1[new] % np.uint64(buckets)).astype(np.int32), doc[new], w1[new], w2[new])
             known = [(n_batch + k) % buckets for k in range(len(rows[0]))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known + where, pa.int32()), pa.array(rows[0] + [None] * len(where), pa.int64()), pa.array(rows[1] + [None] * len(where), pa.int32()), pa.array(rows[2] + blobs, pa.binary())],
@@ -292,24 +344,25 @@ def _last_digit(buckets: int):
 def _equal_windows(table: pa.Table) -> pa.Table:
     """One bucket of windows: each that a smaller document has too."""
     known = table.filter(pa.compute.is_valid(table["doc_id"])).select(["doc_id", "kind", "data"])
-    w1, w2, doc = _unpack(table.filter(pa.compute.is_null(table["doc_id"]))["data"].to_pylist(), ["<u8", "<u8", "<i8"])
+    w1, w2, doc = _unpack(table.filter(pa.compute.is_null(table["doc_id"]))["data"].to_pylist(), WINDOW)
     order = np.lexsort((doc, w2, w1))
     w1, w2, doc = w1[order], w2[order], doc[order]
     new = _new(w1, w2)
     leader = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))] if len(doc) else doc
     later = ~new & (doc != leader)
-    rows = _by_doc(doc[later], REPEATED, w1[later])
+    rows = _by_doc(doc[later], SINGLE, w1[later])
     mine = pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["doc_id", "kind", "data"])
     return pa.concat_tables([known.cast(mine.schema), mine])
 
 
 def _cover(batches):
-    """(doc_id, text, repeated segments, checked segments, repeated windows) -> spans and kept bytes."""
+    """(doc_id, compressed text, repeated segments, checked segments, repeated windows) -> spans and kept bytes."""
     for b in batches:
         every = np.arange(b.num_rows)
-        whole, checked, single = (_listed(every, b.column(c)) for c in (2, 3, 4))
-        sizes, spans, kept = [], [], []
-        for i, raw, at in slabs(b.column(1)):
+        whole, left, right, single = (_listed(every, b.column(c)) for c in (3, 4, 5, 6))
+        checked = np.union1d(left, right)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for i, raw, at in _texts(b.column(1), b.column(2)):
             s = Segments(raw, at, sides=False)
             edge = np.zeros(len(raw) + 1, np.int32)
             keys = _key(i + s.doc, s.tag)
@@ -321,31 +374,33 @@ def _cover(batches):
             np.add.at(edge, start[hit], 1)
             np.add.at(edge, start[hit] + WIDTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
+            sizes, spans, kept = np.diff(at), [], []
             for d in range(len(at) - 1):
                 g = gone[at[d] : at[d + 1]]
                 step = np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))
-                sizes.append(len(g))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
                 kept.append(raw[at[d] : at[d + 1]][~g].tobytes())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(kept)), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans: array of (start, end) in bytes, kept: binary), a row per document."""
-    docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, size // PER_BUCKET)
     named = docs.where("doc_id IS NOT NULL")
     dealt = "bucket int, " + OUT
     segments = named.mapInArrow(_first_digit(buckets), dealt).groupBy("bucket").applyInArrow(_second_digit, OUT)
-    check = segments.where(F.col("kind") == CHECK).groupBy("doc_id").agg(F.collect_list("data").alias("checked"))
-    whole = segments.where(F.col("kind") == REPEATED).groupBy("doc_id").agg(F.collect_list("data").alias("whole"))
-    windows = named.join(check, "doc_id").select("doc_id", "text", "checked").mapInArrow(_last_digit(buckets), dealt)
-    single = windows.groupBy("bucket").applyInArrow(_equal_windows, OUT).groupBy("doc_id").agg(F.collect_list("data").alias("single"))
-    lists = whole.join(check, "doc_id", "full").join(single, "doc_id", "full")
-    rows = named.join(lists, "doc_id", "left").select("doc_id", "text", "whole", "checked", "single")
-    nameless = docs.where("doc_id IS NULL").select("doc_id", "text", *[F.lit(None).cast("array<binary>").alias(c) for c in ("whole", "checked", "single")])
+    lists = {REPEATED: "whole", LEFT: "at_left", RIGHT: "at_right", SINGLE: "single"}
+    of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(lists[k])
+    check = segments.where(F.col("kind").isin(LEFT, RIGHT)).groupBy("doc_id").agg(of(LEFT), of(RIGHT))
+    frames = "doc_id bigint, size bigint, frame binary"
+    packed = named.mapInArrow(_squeeze, frames).where("doc_id IS NOT NULL")  # the join's own condition, so that both uses share an exchange
+    windows = packed.join(check, "doc_id").select("doc_id", "size", "frame", "at_left", "at_right").mapInArrow(_last_digit(buckets), dealt)
+    single = windows.groupBy("bucket").applyInArrow(_equal_windows, OUT)
+    known = segments.unionByName(single).groupBy("doc_id").agg(*map(of, lists))
+    rows = packed.join(known, "doc_id", "left").select("doc_id", "size", "frame", *lists.values())
+    nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, frames).select("doc_id", "size", "frame", *[F.lit(None).cast("array<binary>").alias(c) for c in lists.values()])
     return rows.unionByName(nameless).mapInArrow(_cover, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
