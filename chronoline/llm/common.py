@@ -77,3 +77,11 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_
     ids of 8 bytes are broadcast; beyond that both sides are shuffled."""
     ids = cut(ids.select(key).where(F.col(key).isNotNull()).distinct())
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_anti").select(*docs.columns)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts of a few kilobytes: 10,000 rows, Spark's default, are tens of MB
+    in each of a task's buffers. A setting other than the default stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

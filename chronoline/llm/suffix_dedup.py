@@ -33,12 +33,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns
+from chronoline.llm.common import columns, small_batches
 from chronoline.llm.textcols import GOLD, M1, M2, buffers, mix, slabs
 
 WIDTH, ANCHOR, SIDE = 50, 20, 15
 SPAN = WIDTH - ANCHOR + 1
-MANY, PART, PER_BUCKET, SEGMENT_BITS = 64, 8 << 20, 16 << 20, np.uint64((1 << 48) - 1)
+MANY, STEP, PART, PER_BUCKET, SEGMENT_BITS = 64, 1 << 18, 8 << 20, 16 << 20, np.uint64((1 << 48) - 1)
 REPEATED, LEFT, RIGHT, SINGLE = 0, 1, 2, 3
 OUT = "doc_id bigint, kind int, data binary"
 
@@ -183,7 +183,7 @@ def _first_digit(buckets: int):
         got, held = [[], [], [], []], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, raw, at in slabs(b.column(1)):
+            for i, raw, at in slabs(b.column(1), STEP):
                 s = Segments(raw, at)
                 for part, v in zip(got, (s.anchor, s.tag, s.side, ids[i + s.doc]), strict=True):
                     part.append(v)
@@ -260,12 +260,12 @@ def _squeeze(batches):
     """(doc_id, text) -> (doc_id, size, zstd frame): texts are dealt to their documents' results in this form."""
     codec = pa.Codec("zstd")
     for b in batches:
-        raw, at = buffers(b.column(1))
-        frames = [codec.compress(raw[i:j].tobytes(), asbytes=True) for i, j in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "size", "frame"])
+        for r, raw, at in slabs(b.column(1)):
+            frames = [codec.compress(raw[i:j].tobytes(), asbytes=True) for i, j in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(r, len(frames)), pa.array(np.diff(at), pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "size", "frame"])
 
 
-def _texts(size: pa.Array, frame: pa.Array, limit: int = 1 << 20):
+def _texts(size: pa.Array, frame: pa.Array, limit: int = STEP):
     """As ``slabs``, from compressed texts."""
     codec, sizes, i = pa.Codec("zstd"), size.to_numpy(zero_copy_only=False), 0
     frames = frame.to_pylist()
@@ -386,6 +386,7 @@ def _cover(batches):
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans: array of (start, end) in bytes, kept: binary), a row per document."""
     docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, size // PER_BUCKET)
     named = docs.where("doc_id IS NOT NULL")
