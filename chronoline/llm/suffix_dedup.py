@@ -3,14 +3,14 @@
 Suffixes are ordered only through the threshold depth (``WIDTH`` = 50 bytes) by passes from
 the most significant digit on; groups that stay equal through the last pass are exactly the
 repeated windows. So that a pass needn't move a row per byte, suffixes travel in *segments*:
-the run of consecutive windows that share their smallest 20-byte string (the anchor). A
+the run of consecutive windows that share their smallest 16-byte string (the anchor). A
 window's anchor depends on its own bytes alone, so equal windows always have equal anchors.
 
 1. First digit: segments are dealt to buckets by anchor. A segment equal to one of a smaller
    document is repeated as a whole. An anchor without company drops out.
 2. Second digit: of segments with a common anchor but different ends, those stay whose next
-   15 bytes to the left or to the right agree (by a byte of hash) with another's; a shared
-   window of 50 bytes has 15 more bytes on one side of its anchor.
+   17 bytes to the left or to the right agree (by a byte of hash) with another's; a shared
+   window of 50 bytes has 17 more bytes on one side of its anchor.
 3. Last digit: the windows of what is left are dealt to buckets by all 50 bytes (two 64-bit
    hashes, 96 bits kept); every window that a smaller document has too is repeated.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from chronoline.llm.common import columns, small_batches
 from chronoline.llm.textcols import GOLD, M1, M2, buffers, mix, slabs
 
-WIDTH, ANCHOR, SIDE = 50, 20, 15
+WIDTH, ANCHOR, SIDE = 50, 16, 17
 SPAN = WIDTH - ANCHOR + 1
 MANY, STEP, PART, PER_BUCKET, SEGMENT_BITS = 64, 1 << 18, 8 << 20, 16 << 20, np.uint64((1 << 48) - 1)
 REPEATED, LEFT, RIGHT, SINGLE = 0, 1, 2, 3
@@ -66,7 +66,7 @@ class Segments:
         self.w = w = _loads(raw)
         x = w[:n] * M1
         x = (x ^ (x >> np.uint64(32)) ^ w[8 : n + 8]) * M2
-        x = (x ^ (x >> np.uint64(29)) ^ w[12 : n + 12]) * M1
+        x = (x ^ (x >> np.uint64(29))) * M1
         low = x ^ (x >> np.uint64(31))
         place = np.arange(n, dtype=np.int32)
         size = 1
@@ -101,8 +101,8 @@ class Segments:
         if sides:
             begin, end = at[self.doc], at[self.doc + 1]
             alone = mix(self.tag + self.doc.astype(np.uint64) * GOLD)  # nothing to agree with at a document's edge
-            left = np.where(p - SIDE >= begin, _fold(w, np.maximum(p - SIDE, 0), (0, 7), 3), alone)
-            right = np.where(p + ANCHOR + SIDE <= end, _fold(w, p + ANCHOR, (0, 7), 4), alone)
+            left = np.where(p - SIDE >= begin, _fold(w, np.maximum(p - SIDE, 0), (0, 8, 9), 3), alone)
+            right = np.where(p + ANCHOR + SIDE <= end, _fold(w, p + ANCHOR, (0, 8, 9), 4), alone)
             self.side = ((left & np.uint64(0xFF)) | (right & np.uint64(0xFF)) << np.uint64(8)).astype(np.uint16)
 
     def windows(self, pick: np.ndarray, side: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -251,6 +251,32 @@ def _second_digit(table: pa.Table) -> pa.Table:
     return pa.concat_tables([known.cast(mine.schema), mine])
 
 
+def _merged(batches):
+    """Rows of a document and kind that come close together as one, before they are dealt by document."""
+    held, size = [], 0
+
+    def merged():
+        t = pa.Table.from_batches(held)
+        kind, blobs = t["kind"].to_numpy(), t["data"].to_pylist()
+        n = np.array([len(b) // 8 for b in blobs])
+        value, doc, kinds = np.frombuffer(b"".join(blobs), np.uint64), np.repeat(t["doc_id"].to_numpy(), n), np.repeat(kind, n)
+        rows = [[], [], []]
+        for k in np.unique(kinds):
+            rows = [x + y for x, y in zip(rows, _by_doc(doc[kinds == k], int(k), value[kinds == k]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["doc_id", "kind", "data"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= PART:
+            yield merged()
+            held.clear()
+            size = 0
+    if held:
+        yield merged()
+
+
 def _shared(shared: np.ndarray, new_anchor: np.ndarray) -> np.ndarray:
     """For each anchor, whether a batch has found it in many segments."""
     return np.logical_or.reduceat(shared.astype(bool), np.flatnonzero(new_anchor))
@@ -391,14 +417,14 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     buckets = max(256, size // PER_BUCKET)
     named = docs.where("doc_id IS NOT NULL")
     dealt = "bucket int, " + OUT
-    segments = named.mapInArrow(_first_digit(buckets), dealt).groupBy("bucket").applyInArrow(_second_digit, OUT)
+    segments = named.mapInArrow(_first_digit(buckets), dealt).groupBy("bucket").applyInArrow(_second_digit, OUT).mapInArrow(_merged, OUT)
     lists = {REPEATED: "whole", LEFT: "at_left", RIGHT: "at_right", SINGLE: "single"}
     of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(lists[k])
     check = segments.where(F.col("kind").isin(LEFT, RIGHT)).groupBy("doc_id").agg(of(LEFT), of(RIGHT))
     frames = "doc_id bigint, size bigint, frame binary"
     packed = named.mapInArrow(_squeeze, frames).where("doc_id IS NOT NULL")  # the join's own condition, so that both uses share an exchange
     windows = packed.join(check, "doc_id").select("doc_id", "size", "frame", "at_left", "at_right").mapInArrow(_last_digit(buckets), dealt)
-    single = windows.groupBy("bucket").applyInArrow(_equal_windows, OUT)
+    single = windows.groupBy("bucket").applyInArrow(_equal_windows, OUT).mapInArrow(_merged, OUT)
     known = segments.unionByName(single).groupBy("doc_id").agg(*map(of, lists))
     rows = packed.join(known, "doc_id", "left").select("doc_id", "size", "frame", *lists.values())
     nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, frames).select("doc_id", "size", "frame", *[F.lit(None).cast("array<binary>").alias(c) for c in lists.values()])
