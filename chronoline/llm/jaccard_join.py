@@ -14,10 +14,12 @@ least ``SHARE`` = 3 regions in common (fewer for tiny sets).
   inequality a class farther than 2r from a pivot can't link with what left with that pivot,
   so only those in the window (r, 2r] are replicated against it.
 * What a region still holds after that is compared in blocks, each block pair a group of
-  its own, within a size window and by parity sketch; only surviving pairs leave the task.
+  its own, within a size window and by parity sketch: first each class with its ``FEW`` nearest,
+  then, without any limit, all pairs that the links so far leave in different components.
 
-Candidates are checked first by a parity sketch of 1,024 bits, whose differing bits never
-exceed the symmetric difference, then by their whole sets. Links join into components.
+Candidates are checked first by a parity sketch of two bits or more a shingle, whose differing
+bits never exceed the symmetric difference, then by their whole sets; pairs that other links
+have joined already need no second check. Links join into components.
 Shingles are compared by 48 bits of hash, sets by 64. No partner, candidate or row is ever
 capped: the frequent-shingle table (at most ``MOST_HOT``) only decides the order.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from chronoline.llm.common import columns, components, cut
 from chronoline.llm.textcols import GOLD, Words, grams, mix, ragged, signed, slabs
 
-SHARE, SMALL, ROUNDS, BLOCK, BITS, MOST_HOT, HOT = 3, 24, 4, 1024, 1024, 65_536, 40
+SHARE, SMALL, ROUNDS, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 2, 1024, 1024, 65_536, 100, 400_000, 2
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +78,29 @@ def _need(size, percent: int):
     return (size * percent + 99) // 100
 
 
+def _parities(doc: np.ndarray, hashed: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bit per hash value, set where an odd number of the set's shingles has it; from ``BITS`` bits on
+    the next power of two above twice the size."""
+    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    out: list[bytes] = [b""] * len(size)
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        row = np.full(len(size), -1)
+        row[mine] = np.arange(len(mine))
+        keep = row[doc] >= 0
+        bits = np.zeros((len(mine), w), np.uint8)
+        np.bitwise_xor.at(bits, (row[doc[keep]], (hashed[keep] % np.uint64(w)).astype(np.int64)), 1)
+        for r, p in zip(mine, np.packbits(bits, axis=1, bitorder="little"), strict=True):
+            out[r] = p.tobytes()
+    return out
+
+
+def _folded(parities: list[bytes], width: int) -> np.ndarray:
+    """Sketches of equal length, folded to ``width`` bits; hash values agree modulo any power of two."""
+    x = np.frombuffer(b"".join(parities), np.uint64).reshape(len(parities), -1, width // 64)
+    return np.bitwise_xor.reduce(x, axis=1)
+
+
 def _profile(n: int):
     def run(batches):
         for b in batches:
@@ -84,9 +109,7 @@ def _profile(n: int):
                 rows = len(at) - 1
                 doc, value = shingle_sets(raw, at, n)
                 _, size, sig = _signatures(doc, value, rows)
-                bits = np.zeros((rows, BITS), np.uint8)
-                np.bitwise_xor.at(bits, (doc, (mix(value) % np.uint64(BITS)).astype(np.int64)), 1)
-                parities.extend(p.tobytes() for p in np.packbits(bits, axis=1))
+                parities.extend(_parities(doc, mix(value), size))
                 sizes.append(size)
                 sigs.append(sig)
             got = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (sizes, sigs)]
@@ -235,9 +258,15 @@ def _sketched(percent: int, reach: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            pa_, pb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in (b.column(4), b.column(5)))
+            pa_, pb = (np.array(c.to_pylist(), object) for c in (b.column(4), b.column(5)))
             sa, sb = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3))
-            keep = np.bitwise_count(pa_ ^ pb).sum(1).astype(np.int64) <= _slack(sa, sb, reach)
+            la, lb = (np.array(list(map(len, p))) for p in (pa_, pb))
+            apart = np.zeros(len(sa), np.int64)
+            for k in np.unique(la * (1 << 32) + lb):
+                mine = np.flatnonzero(la * (1 << 32) + lb == k)
+                width = 8 * int(min(la[mine[0]], lb[mine[0]]))
+                apart[mine] = np.bitwise_count(_folded(list(pa_[mine]), width) ^ _folded(list(pb[mine]), width)).sum(1)
+            keep = apart <= _slack(sa, sb, reach)
             keep &= np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * (100 - reach)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
 
@@ -258,14 +287,18 @@ class _Space:
         self.classes = profile.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("parity").alias("parity"))
         self.classes = cut(self.classes)
 
-    def measured(self, pairs: DataFrame, reach: int) -> DataFrame:
-        """(a, b, common, both) of the distinct pairs within about ``reach`` percent; common and both
-        are the sizes of intersection and union."""
+    def near(self, pairs: DataFrame, reach: int) -> DataFrame:
+        """The distinct pairs whose sizes and sketches allow a distance of ``reach`` percent."""
+        pairs = cut(pairs.select("a", "b").distinct())
+        c = self._of(pairs, self.classes, "sig").select("sig", "size", "parity")
+        x = pairs.join(c.toDF("a", "size_a", "parity_a"), "a").join(c.toDF("b", "size_b", "parity_b"), "b")
+        return cut(x.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(_sketched(self.percent, reach), "a bigint, b bigint"))
+
+    def measured(self, near: DataFrame) -> DataFrame:
+        """(a, b, common, both) of pairs, from their whole sets; common and both are the sizes of
+        intersection and union."""
         n = self.n
-        c = self.classes.select("sig", "size", "parity")
-        x = pairs.select("a", "b").distinct().join(c.toDF("a", "size_a", "parity_a"), "a").join(c.toDF("b", "size_b", "parity_b"), "b")
-        near = cut(x.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(_sketched(self.percent, reach), "a bigint, b bigint"))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.classes.select("sig", "rep"), "sig")
+        reps = self._of(near, self.classes, "sig").select("sig", F.col("rep").alias("doc_id"))
 
         def sets(batches):
             for b in batches:
@@ -277,7 +310,7 @@ class _Space:
                     out.extend(six[i:j].tobytes() for i, j in zip(first, first[1:], strict=False))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["sig", "members"])
 
-        texts = self.docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "text")
+        texts = self.docs.join(F.broadcast(reps) if self._few(near) else reps, "doc_id").select("sig", "text")
         members = cut(texts.mapInArrow(sets, "sig bigint, members binary").dropDuplicates(["sig"]))
 
         def overlap(batches):
@@ -293,6 +326,15 @@ class _Space:
         y = near.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return cut(y.mapInArrow(overlap, "a bigint, b bigint, common bigint, both bigint"))
 
+    def _few(self, pairs: DataFrame) -> bool:
+        """Whether the classes of ``pairs`` may be broadcast: at most ``MOST_SENT`` rows of 16 bytes."""
+        return 2 * pairs.count() <= MOST_SENT
+
+    def _of(self, pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose key occurs in ``pairs``; without a shuffle of ``rows`` where those are few."""
+        keys = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+        return rows.join(F.broadcast(keys) if self._few(pairs) else keys, key, "left_semi")
+
     def linked(self):
         return F.col("common") * 100 >= F.col("both") * self.percent
 
@@ -301,16 +343,15 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _large(space: _Space, large: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of the classes of large regions: pivots, windows, recursion, then blocks."""
-    links, left = [], large
+def _large(space: _Space, large: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Large regions by pivots, windows and recursion: links found with pivots, and the rows (token,
+    round, sig, size, side) that are left to compare in blocks."""
+    links, left, open_rows = [], large, []
     reach = min(99, 2 * (100 - percent))
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         pivots = left.groupBy("token").agg(F.min(F.struct("rare", "sig", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
-        if pivots.isEmpty():
-            return links
         at = left.join(pivots.select("token", F.col("p.sig").alias("pivot")), "token")
-        d = space.measured(at.where("sig != pivot").select(*_pair("sig", "pivot")), reach)
+        d = space.measured(space.near(at.where("sig != pivot").select(*_pair("sig", "pivot")), reach))
         links.append(d.where(space.linked()).select("a", "b"))
         far = d.select("a", "b", F.when(space.linked(), 1).otherwise(2).alias("zone"))
         placed = at.join(far, (F.least("sig", "pivot") == far["a"]) & (F.greatest("sig", "pivot") == far["b"]), "left")
@@ -318,45 +359,59 @@ def _large(space: _Space, large: DataFrame, percent: int) -> list[DataFrame]:
         # the window: classes between r and 2r of the pivot, against those that leave with it
         edge = placed.where("zone = 2")
         inner = placed.where("zone = 1").join(edge.select("token").distinct(), "token", "left_semi")
-        if not edge.isEmpty():
-            links.append(_blocks(space, edge.withColumn("side", F.lit(1)).unionByName(inner.withColumn("side", F.lit(0))), True))
+        for side, rows in ((1, edge), (0, inner)):
+            open_rows.append(rows.select("token", F.lit(k).alias("round"), "sig", "size", F.lit(side).alias("side")))
         left = placed.where("zone > 1").select("token", "sig", "size", "rare")
     rest = left.join(left.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token", "left_semi")
-    links.append(_blocks(space, rest.withColumn("side", F.lit(0)), False))
-    return links
+    rows = rest.select("token", F.lit(ROUNDS).alias("round"), "sig", "size", F.lit(2).alias("side"))
+    for more in open_rows:
+        rows = rows.unionByName(more)
+    return links, cut(rows)
 
 
-def _blocks(space: _Space, rows: DataFrame, across: bool) -> DataFrame:
-    """Links within regions (or across their two sides), compared block by block."""
+def _blocks(space: _Space, rows: DataFrame, few: int = 0) -> DataFrame:
+    """Pairs within regions that size and sketch allow, compared block by block; of sides 0 and 1
+    only pairs across, of side 2 all. With ``few``, only each class's nearest by sketch; without,
+    all pairs whose ``comp`` differs."""
     percent = space.percent
-    rows = rows.select("token", "sig", "size", "side")
-    sizes = rows.groupBy("token").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    where = ["token", "round"]
+    sizes = rows.groupBy(*where).agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, where).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.hash("sig"), F.col("blocks"))).join(space.classes.select("sig", "parity"), "sig")
     # each block meets every other: replicated along one row and one column of the block grid
     grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    rows = rows.withColumn("g", F.explode(grid)).select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "side", "sig", "size", "parity")
+    rows = rows.withColumn("g", F.explode(grid)).select(*where, F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "side", "sig", "size", "parity", "comp")
 
     def compare(t: pa.Table) -> pa.Table:
-        block, side, sig, size = (t.column(k).to_numpy() for k in ("block", "side", "sig", "size"))
+        block, side, sig, size, comp = (t.column(k).to_numpy() for k in ("block", "side", "sig", "size", "comp"))
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-        bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        parities = np.array(t.column("parity").to_pylist(), object)
+        width = np.array([8 * len(p) for p in parities])
         size = size.astype(np.int64)
+        # sketches of each width, and of all wider ones folded to it
+        bits = {int(w): (np.cumsum(width >= w) - 1, np.concatenate([_folded([p], int(w)) for p in parities[width >= w]])) for w in np.unique(width)}
         ys = np.flatnonzero(block == j)
         a, b = [], []
         for x in np.flatnonzero(block == i):
             near = ys[sig[ys] > sig[x]] if i == j else ys
-            if across:
-                near = near[side[near] != side[x]]
+            near = near[(side[near] != side[x]) | (side[x] == 2)]
+            near = near[comp[near] != comp[x]]
             near = near[(np.minimum(size[near], size[x]) * 100 >= np.maximum(size[near], size[x]) * percent)]
-            ok = near[np.bitwise_count(bits[near] ^ bits[x]).sum(1).astype(np.int64) <= _slack(size[near], size[x], 100 - percent)]
+            apart = np.zeros(len(near), np.int64)
+            for w in np.unique(width[near]):
+                at, table = bits[int(min(w, width[x]))]
+                mine = width[near] == w
+                apart[mine] = np.bitwise_count(table[at[near[mine]]] ^ table[at[x]]).sum(1)
+            fits = apart <= _slack(size[near], size[x], 100 - percent)
+            ok = near[fits]
+            if few and len(ok) > few:
+                ok = ok[np.argsort(apart[fits], kind="stable")[:few]]
             a.append(np.minimum(sig[ok], sig[x]))
             b.append(np.maximum(sig[ok], sig[x]))
         cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
         return pa.table([cat(a), cat(b)], ["a", "b"])
 
-    pairs = rows.groupBy("token", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    return space.measured(pairs, 100 - percent).where(space.linked()).select("a", "b")
+    return rows.groupBy(*where, "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,11 +429,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "
     index = index.repartition(parts, "token").sortWithinPartitions("token", "sig")
     found = cut(index.mapInArrow(_regions(percent), "a bigint, b bigint, need bigint, token bigint, sig bigint, size bigint, rare bigint"))
     pairs = found.where("a IS NOT NULL").select(*_pair("a", "b"), "need").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need")
-    links = space.measured(pairs, 100 - percent).where(space.linked()).select("a", "b")
     large = texts.mapInArrow(_prefixes(n, percent, hot, True), kind).selectExpr("token", "sig", "cast(size as bigint) size", "cast(rare as bigint) rare")
     large = cut(large.unionByName(found.where("token IS NOT NULL").select("token", "sig", "size", "rare")).distinct())
-    for more in _large(space, large, percent):
-        links = links.unionByName(more)
+    pairs = pairs.select("a", "b")
+    more, held = [], None
+    if not large.isEmpty():
+        more, held = _large(space, large, percent)
+        pairs = pairs.unionByName(_blocks(space, held.withColumn("comp", F.col("sig")), FEW))
+    # first one pair for each class, then of the others those that these links leave apart
+    near = space.near(pairs, 100 - percent)
+    first = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = space.measured(first).where(space.linked()).select("a", "b")
+    for m in more:
+        links = links.unionByName(m)
+    sofar = components(links)
+    rest = near
+    if held is not None:
+        apart = held.join(sofar.toDF("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        # a region whose classes are all joined by now has no pair left
+        many = apart.groupBy("token", "round").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token", "round")
+        rest = rest.unionByName(space.near(_blocks(space, apart.join(many, ["token", "round"], "left_semi")), 100 - percent)).distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    for side in "ab":
+        rest = rest.join(sofar.toDF(side, f"c{side}"), side, "left")
+    rest = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        links = links.unionByName(space.measured(rest).where(space.linked()).select("a", "b"))
     joined = components(links)
     classes = space.classes.select("sig", "rep").join(joined.toDF("sig", "comp"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "rep")
     smallest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
