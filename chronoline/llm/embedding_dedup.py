@@ -171,6 +171,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8,
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+#: The same by comparing all pairs.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+k AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+r(d, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.d, l.v FROM r JOIN l ON r.c = l.u),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.d = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""
+
+
 def query(spark, sf_dir):
     from chronoline.llm.common import table
 

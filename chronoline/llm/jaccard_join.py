@@ -463,6 +463,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+#: The same by brute force.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 75 * (x.c + y.c - k)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(d, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.d, e.v FROM r JOIN e ON r.c = e.u),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT w.doc_id, coalesce(n.c, 0) AS n_shingles, m.c AS component_id FROM w JOIN m ON m.d = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def query(spark, sf_dir):
     from chronoline.llm.common import table
 
