@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from chronoline.llm.common import columns, components, cut
 from chronoline.llm.textcols import GOLD, Words, grams, mix, ragged, signed, slabs
 
-SHARE, SMALL, ROUNDS, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 2, 1024, 1024, 65_536, 100, 400_000, 2
+SHARE, SMALL, ROUNDS, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 2, 1024, 1024, 1 << 18, 40, 400_000, 2
+SHORT, SALTS = 64, 64
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +137,22 @@ def _distinct_sets(batches, n: int):
 
 
 def _frequent(n: int):
-    """Shingles that many sets of a batch hold, of those that can come early in the order."""
+    """Shingles that several sets of a batch hold, of those that can come early in the order: small
+    hash values, or any of a set of under ``SHORT`` shingles."""
 
     def run(batches):
         for b in batches:
-            parts = [v[v < np.uint64(int(0.45 * (1 << 48)))] for _, _, v, _, _ in _distinct_sets([b], n)]
+            parts = [v[(v < np.uint64(int(0.45 * (1 << 48)))) | (size[d] < SHORT)] for _, d, v, size, _ in _distinct_sets([b], n)]
             value, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-            keep = count >= max(2, b.num_rows // 500)
+            keep = count >= max(2, min(3, b.num_rows // 500))
             yield pa.RecordBatch.from_arrays([pa.array(value[keep].astype(np.int64)), pa.array(count[keep], pa.int64())], ["token", "n"])
 
     return run
 
 
-def _prefixes(n: int, percent: int, hot, only_hot: bool):
-    """Distinct sets -> (token, sig, size, rare): their regions, and how many of their shingles are rare."""
+def _prefixes(n: int, percent: int, hot):
+    """Distinct sets -> (token, sig, about): their regions. ``about`` is the set's size plus 2**32 times
+    the number of its rare shingles, negative where the token is a frequent one."""
 
     def run(batches):
         table = hot.value
@@ -167,21 +170,23 @@ def _prefixes(n: int, percent: int, hot, only_hot: bool):
             need = _need(size, percent)
             length = np.minimum(size, size - need + np.minimum(SHARE, need))
             rare = np.bincount(doc, ~frequent, minlength=len(size)).astype(np.int64)
-            keep = (place < length[doc]) & (frequent == only_hot)
+            keep = place < length[doc]
             d = doc[keep]
+            about = (size[d].astype(np.int64) + (rare[d] << 32)) * np.where(frequent[keep], -1, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value[keep].astype(np.int64)), pa.array(signed(sig[d])), pa.array(size[d].astype(np.int32)), pa.array(rare[d].astype(np.int32))],
-                ["token", "sig", "size", "rare"],
+                [pa.array(value[keep].astype(np.int64)), pa.array(signed(sig[d])), pa.array(about)],
+                ["token", "sig", "about"],
             )
 
     return run
 
 
 def _regions(percent: int):
-    """Rows sorted by (token, sig) -> pairs of small regions (a, b, need); members of large ones (token, sig, size, rare)."""
+    """Rows sorted by (token, sig) -> pairs of small regions (a, b, need); members of large ones, and of
+    those of frequent tokens, (token, sig, size, rare)."""
     names = ["a", "b", "need", "token", "sig", "size", "rare"]
 
-    def flush(token, sig, size, rare):
+    def flush(token, sig, size, rare, hot):
         """Whole regions, sorted: all pairs by offset within small ones."""
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
@@ -189,7 +194,7 @@ def _regions(percent: int):
         n = np.diff(np.append(begin, len(token)))
         group = np.repeat(np.arange(len(n)), n)
         a, b, need = [], [], []
-        small = n[group] <= SMALL
+        small = (n[group] <= SMALL) & ~hot
         for k in range(1, SMALL):
             i = np.flatnonzero(small[: len(token) - k] & (group[: len(token) - k] == group[k:])) if len(token) > k else np.zeros(0, np.int64)
             if not len(i):
@@ -208,10 +213,11 @@ def _regions(percent: int):
         return pa.RecordBatch.from_arrays([*left, *right], names)
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held = [*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool)]
         streaming = None  # the token of a region that has proved large and is passed on as it comes
         for b in batches:
-            cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            token, sig, about = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            cols = [np.concatenate(c) for c in zip(held, (token, sig, np.abs(about) & 0xFFFFFFFF, np.abs(about) >> 32, about < 0), strict=True)]
             token = cols[0]
             if not len(token):
                 continue
@@ -227,7 +233,7 @@ def _regions(percent: int):
                 mine = out[0] == streaming
                 if mine.any():
                     none = pa.nulls(int(mine.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in out]], names)
+                    yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in out[:4]]], names)
                 out = [c[~mine] for c in out]
             else:
                 out, held = [c[:last] for c in cols], [c[last:] for c in cols]
@@ -235,7 +241,7 @@ def _regions(percent: int):
                 if len(out[0]) and held[0].size and streaming is not None and (out[0] == streaming).any():
                     mine = out[0] == streaming
                     none = pa.nulls(int(mine.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in out]], names)
+                    yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in out[:4]]], names)
                     out = [c[~mine] for c in out]
                 if len(out[0]):
                     yield flush(*out)
@@ -243,7 +249,7 @@ def _regions(percent: int):
             if streaming == held[0][-1]:
                 mine = held[0] == streaming
                 none = pa.nulls(int(mine.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in held]], names)
+                yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in held[:4]]], names)
                 held = [c[~mine] for c in held]
             if len(held[0]):
                 yield flush(*held)
@@ -421,16 +427,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "
     space = _Space(docs, profile, n, percent)
     texts = docs.select("text")
     often = texts.mapInArrow(_frequent(n), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    tokens = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect()], np.int64)).astype(np.uint64)
-    hot = docs.sparkSession.sparkContext.broadcast(tokens)
-    kind = "token bigint, sig bigint, size int, rare int"
-    index = texts.mapInArrow(_prefixes(n, percent, hot, False), kind)
+    tokens = np.sort(often.orderBy(F.desc("n"), "token").limit(MOST_HOT).select("token").toArrow()["token"].to_numpy()).astype(np.uint64)
+    hot = docs.sparkSession.sparkContext.broadcast(tokens)  # at most MOST_HOT values of 8 bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    index = index.repartition(parts, "token").sortWithinPartitions("token", "sig")
+    # a frequent token's classes are dealt by class too; its region is a large one in any case
+    salt = F.when(F.col("about") < 0, F.pmod("sig", F.lit(SALTS))).otherwise(F.lit(0))
+    index = texts.mapInArrow(_prefixes(n, percent, hot), "token bigint, sig bigint, about bigint").repartition(parts, "token", salt).sortWithinPartitions("token", "sig")
     found = cut(index.mapInArrow(_regions(percent), "a bigint, b bigint, need bigint, token bigint, sig bigint, size bigint, rare bigint"))
     pairs = found.where("a IS NOT NULL").select(*_pair("a", "b"), "need").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need")
-    large = texts.mapInArrow(_prefixes(n, percent, hot, True), kind).selectExpr("token", "sig", "cast(size as bigint) size", "cast(rare as bigint) rare")
-    large = cut(large.unionByName(found.where("token IS NOT NULL").select("token", "sig", "size", "rare")).distinct())
+    large = found.where("token IS NOT NULL").select("token", "sig", "size", "rare")
     pairs = pairs.select("a", "b")
     more, held = [], None
     if not large.isEmpty():
@@ -451,12 +456,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "
         rest = rest.unionByName(space.near(_blocks(space, apart.join(many, ["token", "round"], "left_semi")), 100 - percent)).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     for side in "ab":
-        rest = rest.join(sofar.toDF(side, f"c{side}"), side, "left")
-    rest = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+        rest = rest.join(sofar.toDF(side, f"c{side}"), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    rest = cut(rest.where("ca != cb"))
+    classes = space.classes.select("sig", "rep").join(sofar.toDF("sig", "comp"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "rep")
     if not rest.isEmpty():
-        links = links.unionByName(space.measured(rest).where(space.linked()).select("a", "b"))
-    joined = components(links)
-    classes = space.classes.select("sig", "rep").join(joined.toDF("sig", "comp"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "rep")
+        late = space.measured(rest.select("a", "b")).where(space.linked()).select("a", "b")
+        top = components(rest.join(late, ["a", "b"]), "ca", "cb")  # links between whole components
+        classes = classes.join(top.toDF("comp", "upper"), "comp", "left").select("sig", F.coalesce("upper", "comp").alias("comp"), "rep")
     smallest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = classes.join(smallest, "comp").select("sig", "component_id")
     out = profile.select("doc_id", "size", "sig").join(final, "sig", "left")
