@@ -21,7 +21,8 @@ Candidates are checked first by a parity sketch of two bits or more a shingle, w
 bits never exceed the symmetric difference, then by their whole sets; pairs that other links
 have joined already need no second check. Links join into components.
 Shingles are compared by 48 bits of hash, sets by 64. No partner, candidate or row is ever
-capped: the frequent-shingle table (at most ``MOST_HOT``) only decides the order.
+capped: the frequent-shingle table (at most ``MOST_HOT``) only decides the order, and that
+the regions of those shingles count as large.
 
 Defined results: null text counts as empty; texts without words have an empty set and link
 with nothing; a text of fewer than ``n`` words has its whole word sequence as one shingle;
