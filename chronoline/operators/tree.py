@@ -23,6 +23,26 @@ def paths(nodes: DataFrame, node: str, parent: str, name: str, rounds: int = 64)
     return step.where("up IS NULL").select(F.col("n").alias(node), F.concat(F.lit("/"), F.array_join("tail", "/")).alias("path"), F.size("tail").cast("long").alias("depth"))
 
 
+def chains(blocks: DataFrame, block: str, following: str) -> DataFrame:
+    """(head, block, step) of the chains of every head, a block that is no block's ``following``, until a
+    pointer leads nowhere or back into the chain. Pointer doubling: each round takes what is walked so far
+    a jump further and doubles the jumps, so chains of n steps take log2(n) joins. Null blocks are no
+    blocks; a cycle that no head leads into lies in no chain."""
+    known = blocks.select(F.col(block).alias("k")).where("k IS NOT NULL").distinct()
+    jump = blocks.select(F.col(block).alias("n"), F.col(following).alias("k")).where("n IS NOT NULL").join(known, "k").select("n", F.col("k").alias("to")).distinct()
+    jump = _settled(jump)
+    walked = known.join(jump.where("n != to"), known["k"] == jump["to"], "left_anti").select(F.col("k").alias("head"), F.col("k").alias("block"), F.lit(0).cast("long").alias("step"))
+    walked, n, far = _settled(walked), -1, 1
+    while (size := walked.count()) > n:
+        n = size
+        further = walked.join(jump, walked["block"] == jump["n"]).select("head", F.col("to").alias("block"), (F.col("step") + far).alias("step"))
+        walked = _settled(walked.union(further).groupBy("head", "block").agg(F.min("step").alias("step")))
+        onward = jump.select(F.col("n").alias("_n"), F.col("to").alias("_to"))
+        jump = _settled(jump.join(onward, jump["to"] == onward["_n"]).select("n", F.col("_to").alias("to")))
+        far *= 2
+    return walked
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration in the shared checkpoint folder, where there is one."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import fold, sequence
+from chronoline.operators import fold, sequence, tree
 from chronoline.operators.asof import asof
 from chronoline.plans.base import EVENTS, events, query, read
 from chronoline.plans.timeline import DAY, HOUR, U, VIEWS, beats, notes, words
@@ -217,7 +217,7 @@ def frame_times(spark, sf_dir):
 
 @query("block_chain", "WITH RECURSIVE c AS (SELECT p_partkey AS head, p_partkey AS block, 0 AS step FROM part WHERE p_partkey % 2 = 1 AND p_partkey < 100 UNION ALL SELECT c.head, p.p_partkey, c.step + 1 FROM c JOIN part p ON p.p_partkey = c.block * 2 WHERE c.step < 20) SELECT head, block, CAST(step AS BIGINT) AS step FROM c")
 def block_chain(spark, sf_dir):
-    """Chains of blocks by their next pointers until one leads nowhere, as a recursive query."""
+    """A sample of the chains of ``block_chains``, odd heads under 100 and 20 steps, as a recursive query."""
     read(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("chain_blocks")
     return spark.sql(
         """
@@ -226,3 +226,9 @@ def block_chain(spark, sf_dir):
           UNION ALL SELECT c.head, p.p_partkey, c.step + 1 FROM c JOIN chain_blocks p ON p.p_partkey = c.block * 2 WHERE c.step < 20)
         SELECT head, block, step FROM c"""
     )
+
+
+@query("block_chains")
+def block_chains(spark, sf_dir):
+    """Chains of blocks by their next pointers from every head, without any limit."""
+    return tree.chains(read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 2).alias("next")), "p_partkey", "next")

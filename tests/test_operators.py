@@ -1,14 +1,18 @@
 """Operators on hand-made and random inputs, against plain loops."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronoline import catalog
 from chronoline.functions import scalar
 from chronoline.operators import diff, fold, interval, sequence, stats, tree
 from chronoline.operators.asof import asof
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
@@ -161,3 +165,36 @@ def test_scalars(spark):
     assert [value(scalar.varlen_hex(F.lit(n))) for n in (0, 127, 128, 16383, 16384, 2097152, -5)] == ["00", "7F", "8100", "FF7F", "818000", "81808000", "00"]
     assert value(scalar.snake(F.lit("camelCaseName"))) == "camel_case_name"
     assert value(scalar.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_chains_of_every_head(spark):
+    r = random.Random(3)
+    data = [(i, i + 1 if i < 40 else -1) for i in range(41)] + [(100, 101), (101, 102), (102, 100), (103, 101), (104, 104), (105, 101), (None, 7)]
+    data += [(i, r.choice([i * 2, i + 7, None])) for i in range(200, 500)]
+    following = {n: t for n, t in data if n is not None}
+    heads = set(following) - {t for n, t in following.items() if t != n}
+    want = []
+    for head in heads:
+        at, seen = head, set()
+        while at in following and at not in seen:
+            want.append((head, at, len(seen)))
+            seen.add(at)
+            at = following[at]
+    got = tree.chains(spark.createDataFrame(data + data[:3], "id long, next long"), "id", "next")
+    assert rows(got, "head", "block", "step") == sorted(want)
+    assert max(w[2] for w in want) == 40
+    assert got.limit(0).count() == 0 and tree.chains(spark.createDataFrame([], "id long, next long"), "id", "next").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_block_chains_walk_from_every_head(spark):
+    keys = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    want = []
+    for head in keys:
+        if head % 2 or head // 2 not in keys - {head}:  # 0 is its own next and no other's
+            at, step = head, 0
+            while at in keys and (at or not step):
+                want.append((head, at, step))
+                at, step = at * 2, step + 1
+    assert max(w[0] for w in want) > 100
+    assert rows(catalog.queries()["block_chains"](spark, SF), "head", "block", "step") == sorted(want)
