@@ -71,28 +71,36 @@ def refine_timing(words: DataFrame, onsets: DataFrame, notes: DataFrame, keys: l
     least ``late`` behind it. The end then grows over notes (start, end) that overlap the word,
     in order of their start. The end sung so far is the largest end of the words before.
 
-    Candidates come from bucketed range joins, so the fold sees only a word's own onsets and notes."""
+    Onsets come from a bucketed range join, so the fold sees only a word's own. Notes are merged into
+    runs, in which each begins before the latest end so far: in order of start, an end inside a run
+    grows note by note to the end of the run, and an end outside of all runs stays."""
     from chronoline.operators.interval import overlap_join
 
     width = 4 * max(before, after, 1)
     near = words.select(*keys, "word_id", (F.col("start") - before).alias("start"), (F.col("start") + after + 1).alias("end"))
     o = onsets.select(*keys, F.col("t").alias("r_start"), (F.col("t") + 1).alias("r_end"))
     o = overlap_join(near, o, keys, width).groupBy(*keys, "word_id").agg(F.sort_array(F.collect_set("r_start")).alias("onsets"))
-    # a word reaches back to its earliest onset, and its end may grow from there over chained notes
-    span = words.select(*keys, "word_id", (F.col("start") - before).alias("start"), F.greatest("end", F.col("start") + 1).alias("end"))
-    n = notes.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    n = overlap_join(span, n, keys, width).groupBy(*keys, "word_id").agg(F.sort_array(F.collect_list(F.struct("r_start", "r_end"))).alias("notes"))
+    w = Window.partitionBy(*keys).orderBy("at", "b")
+    n = notes.where(F.col("start") <= F.col("end")).select(*keys, F.col("start").cast("long").alias("at"), F.col("end").cast("long").alias("b"))
+    n = n.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = n.withColumn("run", F.sum(F.coalesce((F.col("at") >= F.lag("reach").over(w)).cast("long"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = n.withColumn("run_end", F.max("b").over(Window.partitionBy(*keys, "run")))
+    # the last note that begins before a word's end, its run's reach until there and its run's end
+    n = n.select(*keys, "at", F.lit(1).alias("side"), F.lit(None).cast(words.schema["word_id"].dataType).alias("word_id"), F.struct("reach", "run_end").alias("note"))
+    both = n.unionByName(words.select(*keys, F.col("end").cast("long").alias("at"), F.lit(0).alias("side"), "word_id"), allowMissingColumns=True)
+    last = F.last("note", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "side", "note.reach").rowsBetween(Window.unboundedPreceding, 0))
+    n = both.withColumn("note", last).where("side = 0 AND note IS NOT NULL").select(*keys, "word_id", "note.reach", "note.run_end")
     rows = words.join(o, [*keys, "word_id"], "left").join(n, [*keys, "word_id"], "left")
+    rows = rows.withColumns({"reach": F.coalesce("reach", "end"), "run_end": F.coalesce("run_end", "end")})
 
-    def step(sung, start, end, onsets, notes):
+    def step(sung, start, end, onsets, reach, run_end):
         floor = None if sung is None else sung - slack
         ok = [x for x in (onsets if onsets is not None else []) if floor is None or x >= floor]
         if ok and start - ok[0] >= late:
             start = int(ok[0])
-        for a, b in [(x["r_start"], x["r_end"]) for x in (notes if notes is not None else [])]:
-            if a < end and b > start and b > end:
-                end = int(b)
+        if reach > end and reach > start:
+            end = int(run_end)
         return {"start": int(start), "end": int(end)}, int(end) if sung is None else max(sung, int(end))
 
-    out = fold_rows(rows, keys, ["start", "word_id"], ["start", "end", "onsets", "notes"], step, "moved", "struct<start:bigint,end:bigint>")
+    out = fold_rows(rows, keys, ["start", "word_id"], ["start", "end", "onsets", "reach", "run_end"], step, "moved", "struct<start:bigint,end:bigint>")
     return out.select(*keys, "word_id", F.col("start").alias("start_before"), "moved.start", "moved.end")

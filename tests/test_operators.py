@@ -85,6 +85,28 @@ def test_refine_timing_grows_over_notes(spark):
     assert (r["start"], r["end"]) == (200, 280)
 
 
+def test_refine_timing_matches_the_scan_over_chained_notes(spark):
+    r = random.Random(6)
+    words = [(0, 1, 0, 30), (0, 2, 70, 75)] + [(k, i, t, t + r.randrange(0, 30)) for k in (1, 2, 3) for i, t in enumerate(r.sample(range(900), 25))]
+    notes = [(0, 20, 50), (0, 45, 80)] + [(k, t, t + r.randrange(0, 9 * k)) for k in (1, 2, 3) for t in r.sample(range(900), 120)]
+    onsets = [(k, t) for k in (1, 2, 3) for t in r.sample(range(900), 60)]
+    want, grown = [], 0
+    for k in range(4):
+        sung = None
+        for start, i, end in sorted((s, i, e) for j, i, s, e in words if j == k):
+            moved, late = end, [t for j, t in onsets if j == k and start - 45 <= t <= start + 5 and (sung is None or t >= sung - 2)]
+            begin = min(late) if late and start - min(late) >= 3 else start
+            for a, b in sorted((a, b) for j, a, b in notes if j == k):
+                if a < moved and b > begin:
+                    grown += moved > end and b > moved
+                    moved = max(moved, b)
+            sung = moved if sung is None else max(sung, moved)
+            want.append((k, i, begin, moved))
+    frames = spark.createDataFrame(words, "k int, word_id int, start long, end long"), spark.createDataFrame(onsets, "k int, t long"), spark.createDataFrame(notes, "k int, start long, end long")
+    assert (0, 1, 0, 80) in want and grown > 10
+    assert rows(fold.refine_timing(*frames, ["k"], 45, 5, 2, 3), "k", "word_id", "start", "end") == sorted(want)
+
+
 def test_folds_match_loops(spark):
     r = random.Random(2)
     data = [(k, i, sum(r.randrange(9) for _ in range(i)), r.random() * 100) for k in range(5) for i in range(40)]
