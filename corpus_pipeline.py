@@ -21,10 +21,10 @@ from chronoline.llm.common import columns, shared_dir, small_batches, table, wit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
+    """Documents that op5_toxicity doesn't reject, by its own threshold."""
     small_batches(spark, 2000)
     model = toxicity.fit(columns(docs, doc_id=("doc_id", "bigint"), text=("text", "string")), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, 0.5).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoline.llm import registry
+from chronoline.llm import registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +33,25 @@ def test_stages(spark, docs_of, tmp_path):
     assert len({texts[d] for d in kept[2]}) == len(kept[2])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_toxicity_stage_removes_what_op5_predicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r["doc_id"]: (r["score"], r["predicted"]) for r in registry.queries()["op5_toxicity"](spark, SF).collect()}
+    gone = {d for d, (_, p) in found.items() if p}
+    assert gone == {d for d, (s, _) in found.items() if s >= 0.3}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()} == set(found) - gone
+
+
+def test_toxicity_stage_by_the_score(spark, docs_of, monkeypatch):
+    def score(docs, model, threshold=toxicity.score.__defaults__[0]):
+        return docs.withColumn("predicted", (F.col("doc_id") / 100 >= threshold).cast("int"))
+
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", score)
+    kept = corpus_pipeline.drop_toxic(spark, docs_of([(k, "x") for k in (5, 29, 30, 45, 50)]), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [5, 29]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_stages_on_odd_tables(spark, docs_of):
     odd = docs_of([(1, None), (2, ""), (None, "mail a@b.org"), (2, "x"), (3, "x"), (4, "one two three four five six"), (5, "one two three four five six")])
