@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,9 +230,11 @@ def _regions(percent: int):
             token = cols[0]
             last = np.searchsorted(token, token[-1], "left") if len(token) else 0
             if len(token) - last > 4 * SMALL or streaming == token[-1]:  # large for sure: pass on what is here, but for the last row
-                streaming = token[-1]
                 out, held = [c[:-1] for c in cols], [c[-1:] for c in cols]
-                mine = out[0] == streaming
+                mine = out[0] == token[-1]
+                if streaming is not None:  # what is left of the region that was passed on before
+                    mine |= out[0] == streaming
+                streaming = token[-1]
                 if mine.any():
                     none = pa.nulls(int(mine.sum()), pa.int64())
                     yield pa.RecordBatch.from_arrays([none, none, none, *[pa.array(c[mine]) for c in out[:4]]], names)
@@ -306,19 +309,29 @@ class _Space:
         intersection and union."""
         n = self.n
         reps = self._of(near, self.classes, "sig").select("sig", F.col("rep").alias("doc_id"))
+        known = "sig bigint, members binary"
 
         def sets(batches):
             for b in batches:
-                out = []
+                out, sigs = [], [np.zeros(0, np.int64)]
                 for _, raw, at in slabs(b.column(1)):
                     doc, value = shingle_sets(raw, at, n)
-                    first = np.searchsorted(doc, np.arange(len(at)))
+                    first, _, sig = _signatures(doc, value, len(at) - 1)
                     six = np.ascontiguousarray(value.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
                     out.extend(six[i:j].tobytes() for i, j in zip(first, first[1:], strict=False))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["sig", "members"])
+                    sigs.append(signed(sig))
+                sig = pa.array(np.concatenate(sigs), pa.int64())
+                # other texts may have the representative's doc_id
+                yield pa.RecordBatch.from_arrays([sig, pa.array(out, pa.binary())], ["sig", "members"]).filter(pc.equal(pc.coalesce(b.column(0), sig), sig))
 
         texts = self.docs.join(F.broadcast(reps) if self._few(near) else reps, "doc_id").select("sig", "text")
-        members = cut(texts.mapInArrow(sets, "sig bigint, members binary").dropDuplicates(["sig"]))
+        members = texts.mapInArrow(sets, known)
+        # classes of null doc_ids only are found by their sets
+        unnamed = reps.where("doc_id IS NULL").select("sig")
+        if not unnamed.isEmpty():
+            rows = self.docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("sig"), "text")
+            members = members.unionByName(rows.mapInArrow(sets, known).join(unnamed, "sig", "left_semi"))
+        members = cut(members.dropDuplicates(["sig"]))
 
         def overlap(batches):
             for b in batches:

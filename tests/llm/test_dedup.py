@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from chronoline.llm import embedding_dedup, jaccard_join, suffix_dedup
@@ -91,6 +92,28 @@ def test_jaccard_empty(docs_of):
     assert {tuple(x) for x in jaccard_join.near_duplicates(docs_of([(1, None), (1, None)])).collect()} == {(1, 0, 1)}
 
 
+@pytest.mark.parametrize("rows", [1, 7, 90, 205, 220, 260, 2000])
+def test_regions_across_batches(rows):
+    sizes = {1: 230, 2: 230, 3: 2, 4: 400, 5: 48, 6: 49, 7: 250, 8: 1, 9: 300}
+    index = [(t, t * 1000 + k) for t, n in sizes.items() for k in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*zip(*index[i : i + rows], strict=True), [10 + (10 << 32)] * len(index[i : i + rows]))], ["token", "sig", "about"]) for i in range(0, len(index), rows)]
+    large, pairs = [], []
+    for b in jaccard_join._regions(75)(batches):
+        for x in b.to_pylist():
+            (large if x["token"] is not None else pairs).append((x["token"], x["sig"]) if x["token"] is not None else (x["a"], x["b"]))
+    assert sorted(large) == [(t, s) for t, s in index if sizes[t] > jaccard_join.SMALL]
+    assert sorted(pairs) == sorted((t * 1000 + i, t * 1000 + j) for t, n in sizes.items() if n <= jaccard_join.SMALL for i in range(n) for j in range(i + 1, n))
+
+
+def test_jaccard_of_repeated_and_null_ids(docs_of, prose):
+    r = random.Random(12)
+    x, y, z = (prose(r, 60) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " last"
+    pairs = [(1, x), (1, y), (1, z), (5, near(x)), (6, near(y)), (None, near(z)), (None, "one two three"), (7, None)]
+    got = sorted((str(g["doc_id"]), str(g["component_id"])) for g in jaccard_join.near_duplicates(docs_of(pairs)).collect())
+    assert got == [("1", "1")] * 3 + [("5", "1"), ("6", "1"), ("7", "7"), ("None", "1"), ("None", "None")]
+
+
 def test_embeddings(spark):
     r = random.Random(3)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(60)]
