@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,28 +29,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: bytes, as ``sized`` reckons them, for each partition of an intermediate table
+PER_TASK = 4 << 20
+
+
+def sized(df: DataFrame, weight: Column | None = None, **also: Column) -> tuple[DataFrame, dict]:
+    """``cut(df)`` in as many partitions as its size asks for, and what was observed on the way: rows
+    ``n``, whether it is ``one`` partition, and whatever aggregates ``also`` names. A row weighs 64 bytes or ``weight``. Small tables so
+    take few tasks, and a table of one partition joins and groups without a shuffle; large ones keep
+    the partitions they have."""
+    seen = Observation()
+    size = F.sum(F.lit(64) if weight is None else weight + 64)
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), size.alias("size"), *[c.alias(k) for k, c in also.items()]))
+    got = dict(seen.get)
+    parts = max(1, -(-(got["size"] or 0) // PER_TASK))
+    return out.coalesce(parts), got | {"one": parts == 1}
+
+
+def joined(left: DataFrame, right: DataFrame, on, one: bool, how: str = "inner") -> DataFrame:
+    """The join; of two tables of ``one`` partition each it is known to be one again, so that what
+    follows needs no shuffle either."""
+    out = left.join(right, on, how)
+    return out.coalesce(1) if one else out
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that occurs in ``links``; component is the smallest
     node reachable. Alternates large-star and small-star steps; each is a min-aggregation
     and an equi-join, so a hub's rows are combined before the shuffle and can be split.
     Nulls and self-links are ignored; an empty input gives an empty result."""
-    checkpoint_dir(links.sparkSession)
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = cut(edges)
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges, before = sized(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    while before["n"]:
+        one = before["one"]
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = joined(both, low, "u", one).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if now == before or (now[0] or 0) == 0:
+        small = joined(large, low, "u", one).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges, now = sized(small.where("u != v").distinct(), x=F.sum(F.hash("u", "v").cast("long")), y=F.sum(F.hash("v", "u").cast("long")))
+        if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*").distinct()
 
 
 def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
@@ -66,6 +87,11 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns of ``docs`` in a struct, so that none clashes with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as a URI."""
     checkpoint_dir(spark)
@@ -75,8 +101,8 @@ def shared_dir(spark: SparkSession) -> str:
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
     """``docs`` less the rows whose key is in ``ids``; rows with a null key stay. At most ``most``
     ids of 8 bytes are broadcast; beyond that both sides are shuffled."""
-    ids = cut(ids.select(key).where(F.col(key).isNotNull()).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_anti").select(*docs.columns)
+    ids, seen = sized(ids.select(key).where(F.col(key).isNotNull()).distinct())
+    return docs.join(F.broadcast(ids) if seen["n"] <= most else ids, key, "left_anti").select(*docs.columns)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
