@@ -11,14 +11,16 @@
    toxic words and the length give the document's score by a logistic fit on a bounded sample
    (``calibration`` documents) of the training rows.
 
-At most ``most_labels`` labelled rows, chosen by hash, are used for learning; they are the
-only data that is broadcast. Labels, lang, source and doc_id are not inputs of a score.
+At most about ``most_labels`` labelled rows, chosen by hash, are used for learning; they are the
+only data that is broadcast. Of the features that label tokens at most ``most_cues``, those of the
+most toxic documents, are kept. Labels, lang, source and doc_id are not inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of that; null labels
 and labels without a document are ignored, of several labels of a document the largest
 counts; a null doc_id is scored and never learnt from; equal rows score equally; without any
-labelled row of both kinds every score is 0; an empty table gives an empty result; columns
-other than the named ones are ignored.
+labelled row of both kinds every score is 0; an empty table gives an empty result. Texts of any
+length are scored whole, a document at a time at most. ``score`` replaces columns named score,
+predicted or spans.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronoline.llm.common import columns
 from chronoline.llm.textcols import GOLD, Words, mix, slabs
@@ -60,8 +63,8 @@ def _cues(w: Words) -> list[np.ndarray]:
     return [w.h, mix(w.part(w.start, np.minimum(w.start + 5, w.end)) + GOLD)]
 
 
-def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(toxic) of every word of sequences laid end to end; e: score of toxic over clean.
+def messages(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log odds of every word of sequences laid end to end; e: score of toxic over clean.
     All sequences step together, the longest first, so a step is one vector operation."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
@@ -87,6 +90,12 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray
         x = np.exp(np.clip(e[at + 1] + s[:a], -30, 30))
         s[:a] = np.log((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x))
         bwd[at] = s[:a]
+    return fwd, bwd
+
+
+def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(toxic) of every word."""
+    fwd, bwd = messages(e, first, trans)
     return 1 / (1 + np.exp(-np.clip(fwd + bwd, -30, 30)))
 
 
@@ -117,22 +126,15 @@ def train(x: np.ndarray, y: np.ndarray, valid: np.ndarray, rounds: int = 40, rat
 
 
 def _pairs(e, first, trans, nxt):
-    """Marginals of words, and the expected number of each transition."""
-    p = marginals(e, first, trans)
+    """Marginals of words, and the expected number of each transition, from the messages."""
+    fwd, bwd = messages(e, first, trans)
+    p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -30, 30)))
     if not len(nxt):
         return p, np.zeros((2, 2))
-    # P(a, b) of neighbours from the marginals and the local odds: fix both margins by two passes of scaling
     t = np.exp(trans)
-    a, b = p[nxt - 1], p[nxt]
-    m = np.stack([t[0, 0] * (1 - a) * (1 - b), t[0, 1] * (1 - a) * b, t[1, 0] * a * (1 - b), t[1, 1] * a * b], 1) + 1e-12
-    for _ in range(3):
-        row0, row1 = m[:, 0] + m[:, 1], m[:, 2] + m[:, 3]
-        m[:, :2] *= ((1 - a) / row0)[:, None]
-        m[:, 2:] *= (a / row1)[:, None]
-        col0, col1 = m[:, 0] + m[:, 2], m[:, 1] + m[:, 3]
-        m[:, ::2] *= ((1 - b) / col0)[:, None]
-        m[:, 1::2] *= (b / col1)[:, None]
-    return p, m.sum(0).reshape(2, 2)
+    left, right = np.exp(np.clip(fwd[nxt - 1], -30, 30)), np.exp(np.clip(e[nxt] + bwd[nxt], -30, 30))
+    m = np.stack([np.full(len(nxt), t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right], 1)
+    return p, (m / m.sum(1, keepdims=True)).sum(0).reshape(2, 2)
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -165,14 +167,16 @@ def held_out_part(column, parts: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, windows: int = 3000, calibration: int = 20_000, purity: float = 0.9, label: str = "toxic", held_out: bool = True):
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, windows: int = 3000, calibration: int = 20_000, purity: float = 0.9, most_cues: int = 50_000, label: str = "toxic", held_out: bool = True):
     """The model (weights, transitions, calibration), or None without labels of both kinds."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     if held_out:
         known = known.where(held_out_part(F.col("doc_id"), 4) != 2)
     n = known.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    known = known.where(part < int(1_000_000 * min(1.0, most_labels / max(n, 1)))).select("doc_id", "y")
+    wide = 1 << 53  # so that the share of any number of labels is some hashes at least
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(wide))
+    bound = wide * min(1.0, most_labels / max(n, 1))
+    known = known.where(part < int(bound)).select("doc_id", "y")
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # at most about most_labels rows of 12 bytes
 
     def count(batches):
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, windows:
     sums = rows.mapInArrow(count, "cue bigint, toxic bigint, n bigint, docs bigint").groupBy("cue", F.col("docs").isNotNull().alias("of_docs")).agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # cues of less support than one toxic document in 200 don't label; so few remain
     sums = sums.where("of_docs OR toxic >= 4")
-    sums = sums.where(F.col("of_docs") | (F.col("toxic") >= purity * F.col("n"))).orderBy(F.desc("of_docs"), F.desc("toxic"), "cue").limit(50_000).collect()
+    sums = sums.where(F.col("of_docs") | (F.col("toxic") >= purity * F.col("n"))).orderBy(F.desc("of_docs"), F.desc("toxic"), "cue").limit(most_cues + 2).collect()
     per = {int(r["cue"]): int(r["docs"]) for r in sums if r["of_docs"]}
     n_toxic, n_clean = per.get(1, 0), per.get(0, 0)
     if not n_toxic or not n_clean:
@@ -261,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, windows:
                 s = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([*(pa.array(s[:, k]) for k in range(3)), b.column(1)], ["top", "sum", "len", "y"])
 
-    few = rows.where(part < int(1_000_000 * min(1.0, calibration / max(1, min(n, most_labels))))).select("text", "y")
+    few = rows.where(part < int(bound * min(1.0, calibration / max(1, min(n, most_labels))))).select("text", "y")
     c = few.mapInArrow(measure, "top double, sum double, len double, y int").toPandas().sort_values(["top", "sum", "len", "y"])
     return weights.astype(np.float32), trans, _logistic(c[["top", "sum", "len"]].to_numpy(), c["y"].to_numpy(float))
 
@@ -274,6 +278,7 @@ def _marked(raw, at, model):
 
 def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score, predicted and spans (start, end in bytes) from its column text."""
+    docs = docs.drop("score", "predicted", "spans")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>")})
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -301,8 +306,7 @@ def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(spans, spans_kind)], [*b.schema.names, "score", "predicted", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int, spans array<struct<start:bigint,end:bigint>>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL("score double, predicted int, spans array<struct<start:bigint,end:bigint>>").fields]))
 
 
 def query(spark, sf_dir):
