@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+RUN, SPANS = 512, "array<struct<start:bigint,length:bigint>>"
 
 
 def escape(c: Column) -> Column:
@@ -55,16 +56,25 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         return F.struct(mark.alias("mark"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss"))
 
     chats = chats.select("conv_id", F.zip_with("turns", "before", piece).alias("pieces"))
-    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["mark"]).alias("m"), F.length(p["body"]).alias("b"), p["loss"].alias("loss")))
-    spans = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda s, z: F.struct(
-            (s["at"] + z["m"] + z["b"]).cast("long").alias("at"),
-            F.when(z["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + z["m"]).cast("long").alias("start"), z["b"].cast("long").alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["mark"]).cast("long").alias("m"), F.length(p["body"]).cast("long").alias("b"), p["loss"].alias("loss")))
+    chats = chats.select("conv_id", "pieces", sizes.alias("sizes"))
+    # runs of RUN turns from the run's own start, then shifted by the runs before: no array grows turn by turn beyond RUN
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / RUN).cast("int")), lambda k: F.slice("sizes", k * RUN + 1, RUN))
+
+    def inner(run: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans")),
+            lambda s, z: F.struct(
+                (s["at"] + z["m"] + z["b"]).alias("at"),
+                F.when(z["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + z["m"]).alias("start"), z["b"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
+            ),
+        )
+
+    chats = chats.select("conv_id", "pieces", F.transform(runs, inner).alias("runs"))
+    starts = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + r["at"])))
+    shifted = F.zip_with("runs", F.slice(starts, 1, F.size("runs")), lambda r, at: F.transform(r["spans"], lambda x: F.struct((x["start"] + at).alias("start"), x["length"].alias("length"))))
+    spans = F.flatten(shifted)
     formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["body"])), ""), F.lit(END))
     return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
@@ -80,11 +90,19 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.select("conv_id", "formatted", "loss_spans", turns.alias("turns"))
 
 
-def digests(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """The contract's columns, all read back from ``format_chats``'s output."""
+def masked(chats: DataFrame) -> Column:
+    """All text under the loss mask, unescaped and end to end: ``formatted`` cut by ``loss_spans``. Four
+    bytes a code point, so that a cut needs no scan from the text's beginning; the byte order mark
+    put before each piece keeps one that the text itself begins with."""
+    wide = F.encode("formatted", "UTF-32")
+    cut = lambda s: F.substring(wide, (s["start"] * 4 + 1).cast("int"), (s["length"] * 4).cast("int"))
+    return F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(F.concat(F.lit(bytes([0, 0, 0xFE, 0xFF])), cut(s)), "UTF-32"))), "")
+
+
+def digests(chats: DataFrame) -> DataFrame:
+    """The contract's columns, all read back from ``format_chats``'s output: turns from the marks, loss from the mask."""
     read = read_back(chats)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
-    read = read.select("conv_id", "formatted", "turns", loss.alias("loss"), F.size("loss_spans").cast("long").alias("n_loss_spans"))
+    read = read.select("conv_id", "formatted", "turns", masked(read).alias("loss"), F.size("loss_spans").cast("long").alias("n_loss_spans"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
