@@ -1,33 +1,33 @@
 """License scan by diagonal voting.
 
-Word k-grams of every whole text meet the k-gram positions of the templates in a join; each
-match votes for the diagonal (start in the text minus start in the template). Votes add up
-per document, template and diagonal; diagonals of one template that lie within ``slack``
-words of each other merge into one region, so insertions and deletions don't split it; a
-region's score is the share of the template's k-grams that it covers, and regions below
-``floor`` fall away. Words are compared lower-cased (A-Z), by 64-bit hash.
+Rolling word k-grams of every whole text are rows that Spark joins to the k-gram positions of
+the templates; a joined row counts if its own words are the template's. It votes for the diagonal
+(start in the text minus start in the template). Votes add up per document, template and
+diagonal; diagonals of one template that lie within ``slack`` words of each other merge into
+one region, so insertions and deletions don't split it; a region's score is the share of the
+template's k-grams that it covers, and regions below ``floor`` fall away. All of this is Spark
+aggregation and windows over the joined rows. Words are compared lower-cased (A-Z).
 
 Phrases are templates that must stand whole: a diagonal with all their votes is a place.
 
-The k-gram rows are matched in the task that reads the text, since the templates are the
-operator's own short texts (their number of k-grams is checked against ``MOST_GRAMS``, and
-above it the k-gram rows are joined by shuffle instead); only votes leave it. They are
-combined per document there, so nothing is shuffled by label or template.
+Templates of up to ``MOST_GRAMS`` k-grams are broadcast, and a Bloom filter of them keeps
+k-grams that can't join from leaving the task that reads the text; more templates are joined by
+shuffle without a filter. The joined rows are dealt by document, so no label or template is hot.
 
-Defined results: null and empty texts have no words, labels '' and score 0; equal doc_ids
-give a row each; an empty table gives an empty result; columns other than the named ones are
-ignored.
+Defined results: null and empty texts have no words, labels '' and score 0; texts of any length are
+read whole, and their votes meet in one task; equal doc_ids give a row each; an empty table
+gives an empty result; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns
-from chronoline.llm.textcols import Words, grams, ragged, signed, slabs
+from chronoline.llm.common import columns, cut
+from chronoline.llm.textcols import Sieve, Words, grams, ragged, signed, slabs
 
 K, MOST_GRAMS = 3, 200_000
 
@@ -64,103 +64,71 @@ def _positions(phrases: dict[str, str], templates: dict[str, str]):
 
 
 def template_rows(spark: SparkSession, phrases=None, templates=None) -> DataFrame:
-    gram, tid, pos, *_ = _positions(phrases or PHRASES, templates or TEMPLATES)
-    return spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(signed(gram), tid, pos, strict=True)], "gram bigint, template int, position int")
+    """(gram, template, position, words) of every k-gram of the templates."""
+    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    gram, tid, pos, *_ = _positions(phrases, templates)
+    words = [t.split() for t in (*phrases.values(), *templates.values())]
+    rows = [(int(a), int(b), int(c), " ".join(words[b][c : c + K])) for a, b, c in zip(signed(gram), tid, pos, strict=True)]
+    return spark.createDataFrame(rows, "gram bigint, template int, position int, words string")
 
 
-def _votes(docs: DataFrame, templates: DataFrame, whole: bool) -> DataFrame:
-    """(doc row's keys, n_words, votes): votes are (template, start, position) structs of every matching k-gram."""
-    few = None if whole else templates.toPandas()  # bounded by MOST_GRAMS
-    if few is not None:
-        order = np.argsort(few["gram"].to_numpy().view(np.uint64), kind="stable")
-        known = few["gram"].to_numpy().view(np.uint64)[order]
-        tid, pos = few["template"].to_numpy()[order], few["position"].to_numpy()[order]
+def _grams(docs: DataFrame, sieve) -> DataFrame:
+    """(row, doc_id, n_words, grams): the k-grams of a document, with their start and their bytes."""
+    kind = pa.struct([("gram", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
         for b in batches:
-            n_words, docs_at, starts, hits = [], [], [], []
-            for i, raw, at in slabs(b.column(1)):
+            n_words, offsets, parts = [], [np.zeros(1, np.int64)], []
+            for _, raw, at in slabs(b.column(2)):
                 w = Words(raw, at, "alnum")
                 n_words.append(np.diff(w.first))
                 g = grams(w.h, K)
-                inside = w.doc[: len(g)] == w.doc[K - 1 :] if len(g) else np.zeros(0, bool)
-                if few is not None:
-                    lo, hi = np.searchsorted(known, g, "left"), np.searchsorted(known, g, "right")
-                    pick = np.flatnonzero((hi > lo) & inside)
-                    times = hi[pick] - lo[pick]
-                    row = np.repeat(pick, times)
-                    hits.append(np.repeat(lo[pick], times) + ragged(times))
-                else:
-                    row = np.flatnonzero(inside)
-                    hits.append(g[row])
-                docs_at.append(i + w.doc[row])
-                starts.append(row - w.first[w.doc[row]])
-            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            d = np.concatenate(docs_at) if docs_at else np.zeros(0, np.int64)
-            s = np.concatenate(starts) if starts else d
-            h = np.concatenate(hits) if hits else d
-            offsets = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)), pa.int32())
-            if few is not None:
-                fields = [pa.array(tid[h].astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(pos[h].astype(np.int32))]
-                votes = pa.StructArray.from_arrays(fields, ["template", "start", "position"])
-            else:
-                votes = pa.StructArray.from_arrays([pa.array(signed(h.astype(np.uint64))), pa.array(s.astype(np.int32))], ["gram", "start"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, votes)], ["doc_id", "n_words", "votes"])
-
-    item = "template:int,start:int,position:int" if few is not None else "gram:bigint,start:int"
-    return docs.mapInArrow(run, f"doc_id bigint, n_words bigint, votes array<struct<{item}>>")
+                pick = sieve.value.pick(g) if sieve else np.arange(len(g))
+                pick = pick[w.doc[pick] == w.doc[pick + K - 1]]
+                size = w.end[pick + K - 1] - w.start[pick]
+                data = w.low[np.repeat(w.start[pick], size) + ragged(size)]
+                words = pa.Array.from_buffers(pa.large_binary(), len(pick), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data)])
+                parts.append(pa.StructArray.from_arrays([pa.array(signed(g[pick])), pa.array(pick - w.first[w.doc[pick]]), words.cast(pa.binary())], fields=list(kind)))
+                offsets.append(offsets[-1][-1] + np.cumsum(np.bincount(w.doc[pick], minlength=len(at) - 1)))
+            if n_words:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.concat_arrays(parts))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n_words), pa.int64()), lists], ["row", "doc_id", "n_words", "grams"])
+
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, n_words bigint, grams array<struct<gram:bigint,start:bigint,words:binary>>")
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, slack: int = 5, floor: float = 0.5, shuffle: bool | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, places: array of (label, start), regions: array of (label, start, end, score)).
     Every phrase place and every template region of each document."""
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    *_, labels, sizes, n_phrases = _positions(phrases, templates)
-    rows = template_rows(docs.sparkSession, phrases, templates)
-    shuffle = rows.count() > MOST_GRAMS if shuffle is None else shuffle
-    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
-    votes = _votes(docs, rows, shuffle)
-    if shuffle:
-        votes = votes.withColumn("row", F.monotonically_increasing_id())
-        from chronoline.llm.common import cut
-
-        votes = cut(votes)
-        found = votes.select("row", F.explode("votes").alias("v")).select("row", "v.gram", "v.start").join(rows, "gram")
-        found = found.groupBy("row").agg(F.collect_list(F.struct("template", "start", "position")).alias("found"))
-        votes = votes.join(found, "row", "left").select("doc_id", "n_words", F.coalesce("found", F.array().cast("array<struct<template:int,start:int,position:int>>")).alias("votes"))
-    n_grams = sizes - K + 1
-
-    def verify(batches):
-        kinds = [pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())])), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))]
-        for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten()
-            t, s, p = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            places, regions = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-            order = np.lexsort((p, s - p, t, row))
-            t, s, p, row = t[order], s[order], p[order], row[order]
-            diagonal = s - p
-            new = np.ones(len(t), bool)
-            if len(t):
-                new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(t)))
-            whole = (t[at] < n_phrases) & (n == n_grams[t[at]])  # every k-gram of the phrase voted for the place
-            for i in at[whole]:
-                places[row[i]].append({"label": labels[t[i]], "start": int(diagonal[i])})
-            loose = np.flatnonzero(t >= n_phrases)
-            t, s, p, row, diagonal = (x[loose] for x in (t, s, p, row, diagonal))
-            if len(t):  # neighbouring diagonals of one template make a region
-                split = (t[1:] != t[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] - diagonal[:-1] > slack)
-                cuts = [0, *(np.flatnonzero(split) + 1), len(t)]
-                for i, j in zip(cuts, cuts[1:], strict=False):
-                    score = len(np.unique(p[i:j])) / n_grams[t[i]]
-                    if score >= floor:
-                        regions[row[i]].append({"label": labels[t[i]], "start": int(s[i:j].min()), "end": int(s[i:j].max()) + K, "score": float(score)})
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, kinds[0]), pa.array(regions, kinds[1])], ["doc_id", "n_words", "places", "regions"])
-
-    return votes.mapInArrow(verify, "doc_id bigint, n_words bigint, places array<struct<label:string,start:bigint>>, regions array<struct<label:string,start:bigint,end:bigint,score:double>>")
+    gram, *_, labels, sizes, n_phrases = _positions(phrases, templates)
+    spark = docs.sparkSession
+    known = template_rows(spark, phrases, templates).withColumnRenamed("words", "known")
+    shuffle = len(gram) > MOST_GRAMS if shuffle is None else shuffle
+    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = cut(_grams(docs, None if shuffle else spark.sparkContext.broadcast(Sieve(gram))))
+    votes = found.select("row", F.explode("grams").alias("g")).select("row", "g.*").join(known if shuffle else F.broadcast(known), "gram")
+    # the words themselves decide, not their hash
+    own = F.regexp_replace(F.col("words").cast("string"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    votes = votes.where(own == F.col("known")).select("row", "template", (F.col("start") - F.col("position")).alias("diagonal"), "start", "position")
+    lines = votes.repartition("row").groupBy("row", "template", "diagonal").agg(F.collect_set("position").alias("positions"), F.min("start").alias("start"), (F.max("start") + K).alias("end"))
+    info = spark.createDataFrame([(t, label, int(n) - K + 1, t < n_phrases) for t, (label, n) in enumerate(zip(labels, sizes, strict=True))], "template int, label string, n_grams int, phrase boolean")
+    lines = lines.join(F.broadcast(info), "template")  # a row for each template
+    places = lines.where("phrase AND size(positions) = n_grams").groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("diagonal").alias("start"), "label"))).alias("places"))
+    w = Window.partitionBy("row", "template").orderBy("diagonal")
+    loose = lines.where("NOT phrase").withColumn("apart", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > slack).cast("int"), F.lit(0)))
+    loose = loose.withColumn("region", F.sum("apart").over(w))
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("positions"))))
+    regions = loose.groupBy("row", "template", "label", "n_grams", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), covered.alias("covered"))
+    regions = regions.withColumn("score", F.col("covered") / F.col("n_grams")).where(F.col("score") >= floor)
+    regions = regions.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "label", "end", "score"))).alias("regions"))
+    out = found.select("row", "doc_id", "n_words").join(places, "row", "left").join(regions, "row", "left")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.coalesce(F.transform("places", lambda p: F.struct(p["label"].alias("label"), p["start"].alias("start"))), F.array().cast("array<struct<label:string,start:bigint>>")).alias("places"),
+        F.coalesce(F.transform("regions", lambda r: F.struct(r["label"].alias("label"), r["start"].alias("start"), r["end"].alias("end"), r["score"].alias("score"))), F.array().cast("array<struct<label:string,start:bigint,end:bigint,score:double>>")).alias("regions"),
+    )
 
 
 def query(spark, sf_dir):

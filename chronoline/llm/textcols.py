@@ -136,3 +136,26 @@ def ragged(counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     begin = np.repeat(np.cumsum(counts) - counts, counts)
     return np.arange(total) - begin
+
+
+class Sieve:
+    """A Bloom filter of 64-bit hashes: rows that can't meet any of these in a join needn't leave the
+    task that makes them. It lets through every one of its hashes and about one in 10**6 others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.size = np.uint64(1 << max(16, int(np.ceil(np.log2(max(1, len(hashes)) * 64)))))
+        self.bits = np.zeros(int(self.size) // 8, np.uint8)
+        for at in self._places(hashes):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _places(self, h):
+        return (h & (self.size - np.uint64(1)), (h >> np.uint64(24)) & (self.size - np.uint64(1)), mix(h) & (self.size - np.uint64(1)))
+
+    def pick(self, h: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that may be among the sieve's."""
+        keep = np.arange(len(h))
+        for k in range(3):
+            if len(keep):
+                at = self._places(h[keep])[k]
+                keep = keep[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return keep
