@@ -2,34 +2,37 @@
 
 A seed is a fixed mask over consecutive words; positions with 0 are ignored, so a seed still
 matches where those words were replaced. Seeds of the benchmark's items and of all whole
-documents meet in a join on their hash. Around each hit the document and the item are laid
-on one diagonal; the longest stretch there is found in which at least ``agreement`` of the
+documents meet in a Spark join on their hash. Around each joined pair the document and the item
+are laid on one diagonal; the longest stretch there is found in which at least ``agreement`` of the
 words are equal. A document is contaminated by an item if such a stretch covers at least
-``min_words`` words, or the whole of a shorter item, and ``share`` of the item.
+``min_words`` words, or the whole of a shorter item; ``share`` can ask for more of the item.
 
-Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. The seeds of
-the benchmark are matched where the documents are read if there are at most ``most_seeds``
-of them; beyond that both sides are joined by shuffle. Either way only hits leave the task.
+The masks together hit every stretch of 13 words with two of them replaced, wherever these stand.
+
+Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. If the benchmark
+has at most ``most_seeds`` seeds, they are broadcast for the join, and a Bloom filter of them
+keeps seeds that can't join from leaving the task that reads the text; beyond that both sides
+are joined by shuffle, without a filter. Only documents with a seed left carry their text on.
 Copies of items share their seeds; each is reported.
 
-Defined results: null or empty texts and items match nothing; items shorter than the masks
-are matched as a whole by their own words; equal doc_ids give a row each; an empty table
-gives an empty result; columns other than the named ones are ignored.
+Defined results: null or empty texts and items match nothing; items with a null id are no items;
+items shorter than the masks are matched as a whole by their own words; texts of any length are
+read whole; equal doc_ids give a row each; an empty table gives an empty result; columns other
+than the named ones are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns
-from chronoline.llm.textcols import GOLD, Words, mix, ragged, signed, slabs
+from chronoline.llm.common import columns, cut
+from chronoline.llm.textcols import GOLD, Sieve, Words, mix, signed, slabs
 
-MASKS = ("11011011", "10110111", "11101101", "11111111")
+MASKS = ("1111101", "10110111", "11010111", "11100111")
 
 
 def _seeds(h: np.ndarray, mask: str, which: int) -> np.ndarray:
@@ -54,77 +57,111 @@ def _item_seeds(w: np.ndarray, masks) -> list[tuple[np.ndarray, np.ndarray, int]
 
 def stretch(equal: np.ndarray, agreement: float) -> tuple[int, int]:
     """The longest [i, j) with at least ``agreement`` of its values true and true ends."""
+    equal = np.asarray(equal, bool)
     score = np.concatenate([[0.0], np.cumsum(equal - agreement)])
-    low = np.minimum.accumulate(score)
-    best, i, j = (0, 0), 0, 0
-    high = np.maximum.accumulate(score[::-1])[::-1]
-    n = len(score)
-    while j < n:  # the classic two-pointer scan for the widest rising pair
+    low = np.minimum.accumulate(np.where(np.append(equal, False), score, np.inf))  # a stretch begins at
+    high = np.maximum.accumulate(np.where(np.append(False, equal), score, -np.inf)[::-1])[::-1]  # and ends after an equal word
+    best, i, j = (0, 0), 0, 1
+    while j < len(score):  # the classic two-pointer scan for the widest rising pair
         if low[i] <= high[j] + 1e-9:
             if j - i > best[1] - best[0]:
                 best = (i, j)
             j += 1
         else:
             i += 1
-            j = max(j, i)
-    i, j = best
-    while i < j and not equal[i]:
-        i += 1
-    while j > i and not equal[j - 1]:
-        j -= 1
-    return i, j
+            j = max(j, i + 1)
+    return best
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float = 0.8, min_words: int = 13, share: float = 0.5, most_seeds: int = 2_000_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits: array of (item, start, end, words)): for each document the items
-    that contaminate it, with the span in words and how many of its words are equal."""
-    items = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL")
-    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string"))
-    wide = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # an item has fewer words than bytes
-    if wide * len(masks) // 2 > most_seeds:
-        return _by_shuffle(docs, items, masks, agreement, min_words, share)
-    table = items.orderBy("item_id").collect()  # at most most_seeds seeds
-    ids, words = [], []
-    for r in table:
-        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
-        ids.append(r["item_id"])
-        words.append(Words(raw, np.array([0, len(raw)]), "alnum").h)
-    seeds = [(s, np.full(len(s), k), p, np.full(len(s), n)) for k, w in enumerate(words) for s, p, n in _item_seeds(w, masks)]
-    known = np.concatenate([s[0] for s in seeds]) if seeds else np.zeros(0, np.uint64)
-    order = np.argsort(known, kind="stable")
-    known = known[order]
-    which, place = (np.concatenate([s[c] for s in seeds])[order] if seeds else np.zeros(0, np.int64) for c in (1, 2))
-    short = sorted({int(s[3][0]) for s in seeds if len(s[3]) and s[3][0]})
-    sent = docs.sparkSession.sparkContext.broadcast((ids, words, known, which, place))
+def _all_seeds(w: Words, masks, short) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first words) of every seed within a document: each mask's, and those of short items' lengths."""
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for m, k in [*((m, k) for k, m in enumerate(masks)), *(("1" * n, 1000 + n) for n in short)]:
+        g = _seeds(w.h, m, k)
+        at = np.flatnonzero(w.doc[: len(g)] == w.doc[len(m) - 1 :][: len(g)]) if len(g) else places[0]
+        hashes.append(g[at])
+        places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _item_rows(masks):
+    """Items -> (item, seed, item_at, short): short is the number of words of an item that is shorter than the masks, else 0."""
 
     def run(batches):
-        ids, words, known, which, place = sent.value
         for b in batches:
-            n_words, found = [], [[] for _ in range(b.num_rows)]
+            out = [[], [], [], []]
             for i, raw, at in slabs(b.column(1)):
                 w = Words(raw, at, "alnum")
-                n_words.extend(np.diff(w.first))
-                hits = []
-                for m, k in [*((m, k) for k, m in enumerate(masks)), *(("1" * n, 1000 + n) for n in short)]:
-                    g = _seeds(w.h, m, k)
-                    lo, hi = np.searchsorted(known, g, "left"), np.searchsorted(known, g, "right")
-                    pick = np.flatnonzero(hi > lo)
-                    pick = pick[w.doc[pick] == w.doc[pick + len(m) - 1]]
-                    times = hi[pick] - lo[pick]
-                    row, seed = np.repeat(pick, times), np.repeat(lo[pick], times) + ragged(times)
-                    hits.append(np.stack([which[seed], row - place[seed]], 1))
-                if not hits:
-                    continue
-                every = np.concatenate(hits)
-                if not len(every):
-                    continue
-                for k, diagonal in np.unique(every, axis=0):
-                    for d, start, end, n in _verify(w, words[k], int(diagonal), agreement, min_words, share):
-                        found[i + d].append({"item": ids[k], "start": start, "end": end, "words": n})
-            best = [list({h["item"]: h for h in sorted(f, key=lambda h: (h["words"], -h["start"]))}.values()) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array([sorted(f, key=lambda h: h["item"]) for f in best], HITS)], ["doc_id", "n_words", "hits"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, hits array<struct<item:bigint,start:bigint,end:bigint,words:bigint>>")
+                for d in range(len(at) - 1):
+                    h = w.h[w.first[d] : w.first[d + 1]]
+                    for s, p, short in _item_seeds(h, masks) if len(h) else ():
+                        for part, v in zip(out, (np.full(len(s), i + d), s, p, np.full(len(s), short)), strict=True):
+                            part.append(v)
+            if out[0]:
+                r, g, p, n = (np.concatenate(o) for o in out)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(signed(g)), pa.array(p, pa.int64()), pa.array(n, pa.int32())], ["item", "seed", "item_at", "short"])
+
+    return run
+
+
+def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float = 0.8, min_words: int = 13, share: float = 0.0, most_seeds: int = 2_000_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, hits: array of (item, start, end, words)): for each document the items
+    that contaminate it, with the span in words and how many of its words are equal."""
+    items = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("item_text")).where("item IS NOT NULL")
+    docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    seeds = cut(items.mapInArrow(_item_rows(masks), "item bigint, seed bigint, item_at bigint, short int"))
+    few = seeds.count() <= most_seeds
+    table = seeds.select("seed").distinct().toArrow()["seed"].to_numpy() if few else None  # at most most_seeds values of 8 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(Sieve(table.view(np.uint64))) if few else None
+    short = sorted(r["short"] for r in seeds.where("short > 0").select("short").distinct().collect())  # a row for each length below the masks'
+
+    def sift(batches):
+        for b in batches:
+            n_words, offsets, parts, some = [], [np.zeros(1, np.int64)], [], []
+            for _, raw, at in slabs(b.column(2)):
+                w = Words(raw, at, "alnum")
+                n_words.append(np.diff(w.first))
+                g, p = _all_seeds(w, masks, short)
+                pick = sent.value.pick(g) if few else np.arange(len(g))
+                pick = pick[np.argsort(w.doc[p[pick]], kind="stable")]
+                d = w.doc[p[pick]]
+                parts.append(pa.StructArray.from_arrays([pa.array(signed(g[pick])), pa.array(p[pick] - w.first[d])], ["seed", "doc_at"]))
+                n = np.bincount(d, minlength=len(at) - 1)
+                some.append(n > 0)
+                offsets.append(offsets[-1][-1] + np.cumsum(n))
+            if n_words:
+                texts = pc.if_else(pa.array(np.concatenate(some)), b.column(2), pa.scalar(None, b.column(2).type))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.concat_arrays(parts))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n_words), pa.int64()), texts, lists], ["row", "doc_id", "n_words", "text", "seeds"])
+
+    kept = cut(docs.mapInArrow(sift, "row bigint, doc_id bigint, n_words bigint, text string, seeds array<struct<seed:bigint,doc_at:bigint>>"))
+    hits = kept.select("row", F.explode("seeds").alias("s")).select("row", "s.*").join(F.broadcast(seeds) if few else seeds, "seed")
+    hits = hits.select("row", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    # a document's items with their texts and diagonals beside its own text, once
+    mine = hits.groupBy("row", "item").agg(F.collect_set("diagonal").alias("diagonals")).join(F.broadcast(items) if few else items, "item")
+    mine = mine.groupBy("row").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("items"))
+
+    def verify(batches):
+        for b in batches:
+            rows, found = [], []
+            for row, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                w, best = Words(raw, np.array([0, len(raw)]), "alnum"), {}
+                for x in own.as_py():
+                    raw = np.frombuffer((x["item_text"] or "").encode(), np.uint8)
+                    h = Words(raw, np.array([0, len(raw)]), "alnum").h
+                    hits = [v for k in sorted(x["diagonals"]) for v in _verify(w, h, k, agreement, min_words, share)]
+                    if hits:
+                        _, start, end, n = max(hits, key=lambda v: (v[3], -v[1]))
+                        best[x["item"]] = max(best.get(x["item"], (-1,)), (n, -start, end))
+                if best:
+                    rows.append(row)
+                    found.append([{"item": k, "start": -v[1], "end": v[2], "words": v[0]} for k, v in sorted(best.items())])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, HITS)], ["row", "hits"])
+
+    kind = "array<struct<item:bigint,start:bigint,end:bigint,words:bigint>>"
+    found = kept.select("row", "text").join(mine, "row").select("row", "text", "items").mapInArrow(verify, f"row bigint, hits {kind}")
+    return kept.select("row", "doc_id", "n_words").join(found, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(kind)).alias("hits"))
 
 
 HITS = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
@@ -142,70 +179,6 @@ def _verify(w: Words, item: np.ndarray, diagonal: int, agreement: float, min_wor
             yield int(d), int(a + i - w.first[d]), int(a + j - w.first[d]), int(equal[i:j].sum())
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, masks, agreement: float, min_words: int, share: float) -> DataFrame:
-    """The same for benchmarks of any size: seeds of both sides are rows joined on their hash;
-    each surviving (document, item, diagonal) is verified beside both texts."""
-    from chronoline.llm.common import cut
-
-    def rows(side: str):
-        def run(batches):
-            for b in batches:
-                out = [[], [], []]
-                for i, raw, at in slabs(b.column(1)):
-                    w = Words(raw, at, "alnum")
-                    for k, m in enumerate(masks):
-                        g = _seeds(w.h, m, k)
-                        keep = np.flatnonzero(w.doc[: len(g)] == w.doc[len(m) - 1 :][: len(g)]) if len(g) else np.zeros(0, np.int64)
-                        for part, v in zip(out, (g[keep], i + w.doc[keep], keep - w.first[w.doc[keep]]), strict=True):
-                            part.append(v)
-                    for d in np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < min(map(len, masks)))) if side == "item" else ():
-                        h = w.h[w.first[d] : w.first[d + 1]]
-                        for part, v in zip(out, (_seeds(h, "1" * len(h), 1000 + len(h)), np.array([i + d]), np.array([0])), strict=True):
-                            part.append(v)
-                    for n in range(1, min(map(len, masks))) if side == "doc" else ():
-                        g = _seeds(w.h, "1" * n, 1000 + n)
-                        keep = np.flatnonzero(w.doc[: len(g)] == w.doc[n - 1 :][: len(g)]) if len(g) else np.zeros(0, np.int64)
-                        for part, v in zip(out, (g[keep], i + w.doc[keep], keep - w.first[w.doc[keep]]), strict=True):
-                            part.append(v)
-                if out[0]:
-                    g, r, p = (np.concatenate(o) for o in out)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(signed(g.astype(np.uint64))), pa.array(p, pa.int64())], [side, "seed", side + "_at"])
-
-        return run
-
-    keyed = cut(docs.withColumn("row", F.monotonically_increasing_id()))
-    left = keyed.select("row", "text").mapInArrow(rows("doc"), "doc bigint, seed bigint, doc_at bigint")
-    right = items.mapInArrow(rows("item"), "item bigint, seed bigint, item_at bigint")
-    pairs = left.join(right, "seed").select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = pairs.join(items.select(F.col("item_id").alias("item"), F.col("text").alias("item_text")), "item")
-    pairs = pairs.join(keyed.select(F.col("row").alias("doc"), "text"), "doc")
-
-    def verify(batches):
-        for b in batches:
-            out = defaultdict(list)
-            for r in b.to_pylist():
-                raw, own = (np.frombuffer((r[c] or "").encode(), np.uint8) for c in ("text", "item_text"))
-                w, h = Words(raw, np.array([0, len(raw)]), "alnum"), Words(own, np.array([0, len(own)]), "alnum").h
-                for _, start, end, n in _verify(w, h, r["diagonal"], agreement, min_words, share):
-                    for c, v in (("row", r["doc"]), ("item", r["item"]), ("start", start), ("end", end), ("words", n)):
-                        out[c].append(v)
-            if out:
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    hits = pairs.select("doc", "item", "diagonal", "text", "item_text").mapInArrow(verify, "row bigint, item bigint, start bigint, end bigint, words bigint")
-    hits = hits.groupBy("row", "item").agg(F.max(F.struct("words", (-F.col("start")).alias("s"), "end")).alias("b")).select("row", F.struct("item", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), F.col("b.words").alias("words")).alias("h"))
-    hits = hits.groupBy("row").agg(F.sort_array(F.collect_list("h")).alias("hits"))
-
-    def count(batches):
-        for b in batches:
-            n = [int(x) for _, raw, at in slabs(b.column(2)) for x in np.diff(Words(raw, at, "alnum").first)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["row", "doc_id", "n_words"])
-
-    counted = keyed.select("row", "doc_id", "text").mapInArrow(count, "row bigint, doc_id bigint, n_words bigint")
-    none = F.array().cast("array<struct<item:bigint,start:bigint,end:bigint,words:bigint>>")
-    return counted.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("hits", none).alias("hits"))
-
-
 def query(spark, sf_dir):
     from chronoline.llm.common import table
 
