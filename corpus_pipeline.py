@@ -6,7 +6,8 @@ last return the columns of ``documents``.
 
 Defined results: null or empty texts are clean, equal to nothing, unredacted and of size 0;
 rows with a null doc_id can't be named and so pass the filtering stages; repeated rows share
-their decisions; empty tables give empty results; extra columns are carried to the last stage.
+their decisions; empty tables give empty results; extra columns, whatever their names, are carried
+to the last stage.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoline.llm import decontaminate, jaccard_join, mixing, pii, toxicity
-from chronoline.llm.common import columns, shared_dir, small_batches, table, without
+from chronoline.llm.common import columns, packed, shared_dir, small_batches, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op5_toxicity doesn't reject, by its own threshold."""
     small_batches(spark, 2000)
     model = toxicity.fit(columns(docs, doc_id=("doc_id", "bigint"), text=("text", "string")), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(packed(docs), model).where("predicted = 0").select("row.*")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,15 +63,19 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: the models of two stages can't be written in SQL; tests hold each stage against brute force
+#: the models of two stages can't be written in SQL; tests hold the stages' decisions against the
+#: operators' own, and those against brute force where there is one
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
+    """Applies the stages to ``documents``; a stage's rows are deleted once the next one's are written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return docs
