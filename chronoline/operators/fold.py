@@ -9,35 +9,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def fold_rows(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, result: str, kind: str) -> DataFrame:
     """``rows`` with ``result``: ``step(state, *inputs)`` returns (result, next state); the state starts
-    as None for each key. ``order`` should be unique within a key."""
+    as None for each key. ``order`` should be unique within a key. Null keys are one key; null inputs
+    come as None."""
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields])
+    names, kind = rows.columns, to_arrow_type(schema[result].dataType)
+    at_keys, at_inputs = [names.index(k) for k in keys], [names.index(c) for c in inputs]
 
     def run(batches):
         key, state = None, None
-        for pdf in batches:
+        for b in batches:
             out = []
-            for k, values in zip(zip(*[pdf[c] for c in keys], strict=True), zip(*[pdf[c] for c in inputs], strict=True), strict=True):
+            now = list(zip(*(b.column(i).to_pylist() for i in at_keys), strict=True))
+            for k, values in zip(now, zip(*(b.column(i).to_pylist() for i in at_inputs), strict=True), strict=True):
                 if k != key:
                     key, state = k, None
                 value, state = step(state, *values)
                 out.append(value)
-            yield pdf.assign(**{result: out})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*names, result])
 
-    return dealt.mapInPandas(run, f"{fields}, `{result}` {kind}")
+    return dealt.mapInArrow(run, schema)
 
 
 def dead_band(rows: DataFrame, keys: list[str], order: list[str], value: str, band: float) -> DataFrame:
-    """Rows whose value is more than ``band`` away from the last kept row's; the first is kept."""
+    """Rows whose value is more than ``band`` away from the last kept row's; the first is kept. Null and
+    NaN values are never kept and change nothing."""
 
     def step(kept, v):
-        keep = kept is None or abs(v - kept) > band
+        keep = v is not None and v == v and (kept is None or abs(v - kept) > band)
         return keep, v if keep else kept
 
     return fold_rows(rows, keys, order, [value], step, "_keep", "boolean").where("_keep").drop("_keep")
@@ -45,24 +53,25 @@ def dead_band(rows: DataFrame, keys: list[str], order: list[str], value: str, ba
 
 def anchor_groups(rows: DataFrame, keys: list[str], order: list[str], at: str, width: int, name: str = "group_start") -> DataFrame:
     """Rows with the start of their group; a group holds what is less than ``width`` after its first row.
-    A gap of ``width`` always begins a group, so keys are split at gaps and the parts fold apart."""
+    A gap of ``width`` always begins a group, so keys are split at gaps and the parts fold apart.
+    Rows without a time stand in no group: their group's start is null."""
     w = Window.partitionBy(*keys).orderBy(*order)
     fresh = F.coalesce((F.col(at) - F.lag(at).over(w) >= width).cast("long"), F.lit(1))
     parts = rows.withColumn("_f", fresh).withColumn("_part", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
     def step(start, t):
-        start = t if start is None or t - start >= width else start
-        return start, start
+        start = t if t is not None and (start is None or t - start >= width) else start
+        return None if t is None else start, start
 
     return fold_rows(parts, [*keys, "_part"], order, [at], step, name, "bigint").drop("_part")
 
 
 def throttle(rows: DataFrame, keys: list[str], order: list[str], at: str, spacing: int) -> DataFrame:
     """Rows at least ``spacing`` after the last accepted one. Rows of equal time as an accepted one
-    are not accepted again."""
+    are not accepted again, and rows without a time never."""
     w = Window.partitionBy(*keys, "_g").orderBy(*order)
     out = anchor_groups(rows, keys, order, at, spacing, "_g")
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_g", "_n")
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND _g IS NOT NULL").drop("_g", "_n")
 
 
 def refine_timing(words: DataFrame, onsets: DataFrame, notes: DataFrame, keys: list[str], before: int, after: int, slack: int, late: int) -> DataFrame:

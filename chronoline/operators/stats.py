@@ -40,13 +40,21 @@ def banded(value: Column, bands: list[tuple[float, int]], default: int) -> Colum
     return out.otherwise(default)
 
 
+def _beside(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``rows`` with aggregates of their key. A join, so that a frequent key's rows are combined before the
+    shuffle and AQE can split them; null keys are one key."""
+    s = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(*(c.alias(n) for n, c in aggregates.items()))
+    on = [rows[k].eqNullSafe(s[f"_k{i}"]) for i, k in enumerate(keys)]
+    return rows.join(s, on).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def peak_normalized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Values over the largest magnitude of their key, where that is over 1."""
-    top = rows.groupBy(*keys).agg(F.max(F.abs(value)).alias("_m"))
-    return rows.join(top, keys).withColumn(value, F.when(F.col("_m") > 1, F.col(value) / F.col("_m")).otherwise(F.col(value))).drop("_m")
+    top = _beside(rows, keys, _m=F.max(F.abs(value)))
+    return top.withColumn(value, F.when(F.col("_m") > 1, F.col(value) / F.col("_m")).otherwise(F.col(value))).drop("_m")
 
 
 def standardized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(value - mean) / sample standard deviation of the key; null where that is 0 or unknown."""
-    s = rows.groupBy(*keys).agg(F.avg(value).alias("_a"), F.stddev_samp(value).alias("_s"))
-    return rows.join(s, keys).withColumn(value, F.when(F.col("_s") > 0, (F.col(value) - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
+    s = _beside(rows, keys, _a=F.avg(value), _s=F.stddev_samp(value))
+    return s.withColumn(value, F.when(F.col("_s") > 0, (F.col(value) - F.col("_a")) / F.col("_s"))).drop("_a", "_s")

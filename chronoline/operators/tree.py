@@ -6,21 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def paths(nodes: DataFrame, node: str, parent: str, name: str, rounds: int = 64) -> DataFrame:
+def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     """(node, path, depth) of every node that leads to a root (a node whose parent is null or absent).
     Pointer doubling: each round joins every node's known ancestor to that ancestor's own, so a depth
-    of n takes log2(n) joins. Nodes on a cycle reach no root and are left out."""
-    up = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s"))
-    known = up.select(F.col("n").alias("k"))
-    step = up.join(known, up["p"] == known["k"], "left").select("n", F.when(F.col("k").isNotNull(), F.col("p")).alias("up"), F.array("s").alias("tail"))
+    of n takes log2(n) joins. A first doubling of ids alone tells which nodes lead into a cycle, however
+    long; these reach no root and are left out before any path is built. Repeated rows count once;
+    null nodes are no nodes."""
+    up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s")).distinct()
+    known = up.select(F.col("n").alias("k")).distinct()
+    first = _settled(up.join(known, up["p"] == known["k"], "left").select("n", F.col("k").alias("up"), "s"))
+    ids = first.select("n", "up").where("up IS NOT NULL")
+    rounds = first.count().bit_length() + 1  # no walk without a cycle is longer than there are nodes
+    left = 1
     for _ in range(rounds):
-        if step.where("up IS NOT NULL").isEmpty():
+        far = ids.select(F.col("n").alias("_n"), F.col("up").alias("_up"))
+        ids = _settled(ids.join(far, ids["up"] == far["_n"]).select("n", F.col("_up").alias("up")))
+        left = ids.count()
+        if not left:
             break
+    if left:  # who still has an ancestor after so many steps leads into a cycle
+        first = first.join(ids.select("n").distinct(), "n", "left_anti")
+    step = first.select("n", "up", F.array("s").alias("tail"))
+    while not step.where("up IS NOT NULL").isEmpty():
         far = step.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("tail").alias("_tail"))
         step = step.join(far, step["up"] == far["_n"], "left").select("n", F.when(F.col("_n").isNull(), None).otherwise(F.col("_up")).alias("up"), F.when(F.col("_n").isNull(), F.col("tail")).otherwise(F.concat("_tail", "tail")).alias("tail"))
-        step = step.where(F.size("tail") <= 1 << 20)
         step = _settled(step)
-    return step.where("up IS NULL").select(F.col("n").alias(node), F.concat(F.lit("/"), F.array_join("tail", "/")).alias("path"), F.size("tail").cast("long").alias("depth"))
+    return step.select(F.col("n").alias(node), F.concat(F.lit("/"), F.array_join("tail", "/")).alias("path"), F.size("tail").cast("long").alias("depth"))
 
 
 def chains(blocks: DataFrame, block: str, following: str) -> DataFrame:
@@ -51,16 +62,19 @@ def _settled(df: DataFrame) -> DataFrame:
     return df
 
 
-def extents(files: DataFrame, order: list[str], size: str, block: int, shards: int = 64) -> DataFrame:
-    """Files with blocks and start_block when laid out one after another in order. The global running
-    sum is taken in two levels: within ranges of the first order column, then over the ranges' totals."""
-    n = F.expr(f"({size} + {block - 1}) div {block}")
-    lo_hi = files.agg(F.min(order[0]), F.max(order[0])).first()
-    if lo_hi[0] is None:
-        return files.withColumn("blocks", n).withColumn("start_block", F.lit(0).cast("long"))
-    width = max(1, (int(lo_hi[1]) - int(lo_hi[0])) // shards + 1)
-    f = files.withColumn("blocks", n).withColumn("_r", F.floor((F.col(order[0]) - int(lo_hi[0])) / width))
-    totals = f.groupBy("_r").agg(F.sum("blocks").alias("_t"))  # at most ``shards`` + 1 rows
+def extents(files: DataFrame, order: list[str], size: str, block: int, per_range: int = 1_000_000) -> DataFrame:
+    """Files with blocks and start_block when laid out one after another in order: a running sum over the
+    whole table. It is taken in two levels, within ranges of the first order column (numbers or times),
+    as many as ``per_range`` rows each ask for, at most 256, cut at its quantiles; then over the
+    ranges' totals. Nulls in the order come first; a null size takes no blocks."""
+    n = F.coalesce(F.expr(f"({size} + {block - 1}) div {block}"), F.lit(0).cast("long"))
+    ranges = min(256, 1 + files.count() // per_range)
+    cuts = files.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)]).alias("q")).first()["q"] if ranges > 1 else []
+    _r = F.when(F.col(order[0]).isNull(), -1)
+    for k, q in enumerate(sorted(set(cuts or []))):
+        _r = _r.when(F.col(order[0]) < q, k)
+    f = files.withColumn("blocks", n).withColumn("_r", _r.otherwise(256))
+    totals = f.groupBy("_r").agg(F.sum("blocks").alias("_t"))  # at most 257 rows
     totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     inner = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return f.join(F.broadcast(totals), "_r").withColumn("start_block", (F.col("_before") + F.coalesce(F.sum("blocks").over(inner), F.lit(0))).cast("long")).drop("_r", "_before")

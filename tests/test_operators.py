@@ -220,3 +220,35 @@ def test_block_chains_walk_from_every_head(spark):
                 at, step = at * 2, step + 1
     assert max(w[0] for w in want) > 100
     assert rows(catalog.queries()["block_chains"](spark, SF), "head", "block", "step") == sorted(want)
+
+
+def test_null_keys_and_values_in_folds(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 1.5), (None, 3, 9.0), ("a", 1, None), ("a", 2, 1.0), ("a", 3, float("nan")), ("a", 4, 1.1), ("a", 5, 3.0)], "k string, i long, v double")
+    assert sorted((str(r["k"]), r["i"]) for r in fold.dead_band(df, ["k"], ["i"], "v", 1.0).collect()) == [("None", 1), ("None", 3), ("a", 2), ("a", 5)]
+    t = spark.createDataFrame([(None, 1, 0), (None, 2, 5), (None, 3, 30), ("a", 4, None), ("a", 5, 7)], "k string, i long, t long")
+    assert sorted((r["i"], r["g"]) for r in fold.anchor_groups(t, ["k"], ["t", "i"], "t", 10, "g").collect()) == [(1, 0), (2, 0), (3, 30), (4, None), (5, 7)]
+    assert sorted(r["i"] for r in fold.throttle(t, ["k"], ["t", "i"], "t", 10).collect()) == [1, 3, 5]
+
+
+def test_null_keys_in_normalisation(spark):
+    df = spark.createDataFrame([(None, None, 2.0), (None, None, 4.0), ("a", None, 8.0), ("a", "b", None)], "k string, l string, v double")
+    assert sorted(r["v"] for r in stats.peak_normalized(df, ["k", "l"], "v").collect() if r["v"] is not None) == [0.5, 1.0, 1.0]
+    got = [r["v"] for r in stats.standardized(df, ["k", "l"], "v").collect()]
+    assert len(got) == 4 and sorted(round(v, 6) for v in got if v is not None) == [-0.707107, 0.707107]
+
+
+def test_extents_in_many_ranges_with_nulls(spark):
+    r = random.Random(3)
+    data = [(r.choice([None, *range(12)]), k, r.choice([None, 0, 1, 4096, 9000])) for k in range(300)]
+    got = {x["k"]: (x["blocks"], x["start_block"]) for x in tree.extents(spark.createDataFrame(data, "o long, k long, size long"), ["o", "k"], "size", 4096, per_range=20).collect()}
+    at = 0
+    for o, k, size in sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, d[1])):
+        n = -(-(size or 0) // 4096)
+        assert got[k] == (n, at)
+        at += n
+
+
+def test_paths_beside_a_long_cycle(spark):
+    data = [(k, (k + 1) % 300, "c") for k in range(300)] + [(1000, 5, "into"), (2000, None, "a"), (2001, 2000, "b"), (2001, 2000, "b"), (2002, 9999, "lost")]
+    got = tree.paths(spark.createDataFrame(data, "id long, parent long, name string"), "id", "parent", "name").collect()
+    assert sorted((r["id"], r["path"], r["depth"]) for r in got) == [(2000, "/a", 1), (2001, "/a/b", 2), (2002, "/lost", 1)]
