@@ -8,14 +8,15 @@ least ``SHARE`` = 3 regions in common (fewer for tiny sets).
 
 * Equal sets are one class from the start; everything below works on classes.
 * Regions of up to ``SMALL`` classes list their pairs; pairs found in 3 regions are candidates.
-* Larger regions elect a pivot (the class with the fewest rare shingles) and measure everyone's
-  distance to it. Classes within the threshold r link to the pivot and leave the region; the
-  rest form the region again and elect the next pivot, ``ROUNDS`` times. By the triangle
-  inequality a class farther than 2r from a pivot can't link with what left with that pivot,
-  so only those in the window (r, 2r] are replicated against it.
-* What a region still holds after that is compared in blocks, each block pair a group of
-  its own, within a size window and by parity sketch: first each class with its ``FEW`` nearest,
-  then, without any limit, all pairs that the links so far leave in different components.
+* Larger regions elect a pivot (the class with the fewest rare shingles). All regions of one
+  pivot together are its cell, and every class's distance to its pivots is measured. Classes
+  within the threshold r link to the pivot and leave the region. By the triangle inequality a
+  class farther than 2r from a pivot can't link with what left with that pivot, so only those in
+  the window (r, 2r] are replicated against it. The rest of each region elects its next pivot,
+  and so on until no region is large or a round keeps nearly all (over ``SHRINK``) of its rows.
+* What the cells hold then is compared in blocks, each block pair a group of its own, within a
+  size window and by parity sketch: first each class with its ``FEW`` nearest, then, without any
+  limit, all pairs that the links so far leave in different components.
 
 Candidates are checked first by a parity sketch of two bits or more a shingle, whose differing
 bits never exceed the symmetric difference, then by their whole sets; pairs that other links
@@ -38,10 +39,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns, components, cut
+from chronoline.llm.common import columns, components, cut, joined, sized
 from chronoline.llm.textcols import GOLD, Words, grams, mix, ragged, signed, slabs
 
-SHARE, SMALL, ROUNDS, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 2, 1024, 1024, 1 << 18, 40, 400_000, 2
+SHARE, SMALL, SHRINK, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 0.8, 1024, 1024, 1 << 18, 40, 400_000, 2
 SHORT, SALTS = 64, 64
 
 
@@ -297,18 +298,27 @@ class _Space:
         self.classes = profile.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("parity").alias("parity"))
         self.classes = cut(self.classes)
 
-    def near(self, pairs: DataFrame, reach: int) -> DataFrame:
-        """The distinct pairs whose sizes and sketches allow a distance of ``reach`` percent."""
-        pairs = cut(pairs.select("a", "b").distinct())
-        c = self._of(pairs, self.classes, "sig").select("sig", "size", "parity")
-        x = pairs.join(c.toDF("a", "size_a", "parity_a"), "a").join(c.toDF("b", "size_b", "parity_b"), "b")
-        return cut(x.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(_sketched(self.percent, reach), "a bigint, b bigint"))
-
-    def measured(self, near: DataFrame) -> DataFrame:
+    def near(self, pairs: DataFrame, reach: int) -> tuple[DataFrame, dict]:
+        """The distinct pairs whose sizes and sketches allow a distance of ``reach`` percent, as ``sized``."""
+        pairs, seen = sized(pairs.select("a", "b").distinct())
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+        c, some = self.of(keys, seen["n"], self.classes.select("sig", "size", "parity"), F.length("parity"))
+        one = seen["one"] and some["one"]
+        x = joined(joined(pairs, c.toDF("a", "size_a", "parity_a"), "a", one), c.toDF("b", "size_b", "parity_b"), "b", one)
+        return sized(x.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(_sketched(self.percent, reach), "a bigint, b bigint"))
+
+    def of(self, keys: DataFrame, n: int, rows: DataFrame, weight) -> tuple[DataFrame, dict]:
+        """The rows whose sig is one of ``n`` keys; at most ``MOST_SENT`` keys of 8 bytes are broadcast."""
+        keys = keys.distinct()
+        return sized(rows.join(F.broadcast(keys) if n <= MOST_SENT else keys, "sig", "left_semi"), weight)
+
+    def measured(self, near: tuple[DataFrame, dict]) -> DataFrame:
         """(a, b, common, both) of pairs, from their whole sets; common and both are the sizes of
         intersection and union."""
         n = self.n
-        reps = self._of(near, self.classes, "sig").select("sig", F.col("rep").alias("doc_id"))
+        near, pairs = near
+        keys = near.select(F.explode(F.array("a", "b")).alias("sig"))
+        reps, seen = sized(self.classes.select("sig", F.col("rep").alias("doc_id")).join(F.broadcast(keys.distinct()) if pairs["n"] <= MOST_SENT else keys.distinct(), "sig", "left_semi"), unnamed=F.count_if(F.col("doc_id").isNull()))
         known = "sig bigint, members binary"
 
         def sets(batches):
@@ -324,14 +334,14 @@ class _Space:
                 # other texts may have the representative's doc_id
                 yield pa.RecordBatch.from_arrays([sig, pa.array(out, pa.binary())], ["sig", "members"]).filter(pc.equal(pc.coalesce(b.column(0), sig), sig))
 
-        texts = self.docs.join(F.broadcast(reps) if self._few(near) else reps, "doc_id").select("sig", "text")
+        texts = self.docs.join(F.broadcast(reps) if seen["n"] <= MOST_SENT else reps, "doc_id").select("sig", "text")
         members = texts.mapInArrow(sets, known)
         # classes of null doc_ids only are found by their sets
-        unnamed = reps.where("doc_id IS NULL").select("sig")
-        if not unnamed.isEmpty():
+        if seen["unnamed"]:
             rows = self.docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("sig"), "text")
-            members = members.unionByName(rows.mapInArrow(sets, known).join(unnamed, "sig", "left_semi"))
-        members = cut(members.dropDuplicates(["sig"]))
+            members = members.unionByName(rows.mapInArrow(sets, known).join(reps.where("doc_id IS NULL").select("sig"), "sig", "left_semi"))
+        members, some = sized(members, F.length("members"))
+        members, one = members.dropDuplicates(["sig"]), pairs["one"] and some["one"]
 
         def overlap(batches):
             for b in batches:
@@ -343,17 +353,8 @@ class _Space:
                     both.append(len(xs) + len(ys) - k)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(both, pa.int64())], ["a", "b", "common", "both"])
 
-        y = near.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return cut(y.mapInArrow(overlap, "a bigint, b bigint, common bigint, both bigint"))
-
-    def _few(self, pairs: DataFrame) -> bool:
-        """Whether the classes of ``pairs`` may be broadcast: at most ``MOST_SENT`` rows of 16 bytes."""
-        return 2 * pairs.count() <= MOST_SENT
-
-    def _of(self, pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-        """The rows whose key occurs in ``pairs``; without a shuffle of ``rows`` where those are few."""
-        keys = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-        return rows.join(F.broadcast(keys) if self._few(pairs) else keys, key, "left_semi")
+        y = joined(joined(near, members.toDF("a", "x"), "a", one), members.toDF("b", "y"), "b", one).select("a", "b", "x", "y")
+        return sized(y.mapInArrow(overlap, "a bigint, b bigint, common bigint, both bigint"))[0]
 
     def linked(self):
         return F.col("common") * 100 >= F.col("both") * self.percent
@@ -363,41 +364,53 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _large(space: _Space, large: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
-    """Large regions by pivots, windows and recursion: links found with pivots, and the rows (token,
-    round, sig, size, side) that are left to compare in blocks."""
-    links, left, open_rows = [], large, []
-    reach = min(99, 2 * (100 - percent))
-    for k in range(ROUNDS):
-        pivots = left.groupBy("token").agg(F.min(F.struct("rare", "sig", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
-        at = left.join(pivots.select("token", F.col("p.sig").alias("pivot")), "token")
-        d = space.measured(space.near(at.where("sig != pivot").select(*_pair("sig", "pivot")), reach))
+def _large(space: _Space, large: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame, dict]:
+    """Large regions by pivots, windows and recursion: links found with pivots, and the rows (pivot,
+    round, sig, size, side) that are left to compare in blocks, as ``sized``.
+
+    In each round every region elects its pivot, and the regions of one pivot become one cell, so that
+    a class stands once in a cell however many regions it shares with the pivot. The recursion ends
+    when no region is large any more or a round keeps over ``SHRINK`` of the rows."""
+    links, left, cells, k, one = [], large, [], 0, False
+    reach, rows = min(99, 2 * (100 - percent)), None
+    while True:
+        pivots = left.groupBy("token").agg(F.min(F.struct("rare", "sig")).alias("p"), F.count("*").alias("n")).where("n > 1")
+        at, seen = sized(joined(left, pivots.select("token", F.col("p.sig").alias("pivot"), "n"), "token", one), most=F.max("n"))
+        now, most, one = seen["n"], seen["most"], seen["one"]
+        cell = at.groupBy("pivot", "sig").agg(F.first("size").alias("size"))
+        if not now or most <= SMALL or (rows is not None and now > SHRINK * rows):
+            cells.append(cell.select("pivot", F.lit(k).alias("round"), "sig", "size", F.lit(2).alias("side")))
+            break
+        rows = now
+        d = space.measured(space.near(cell.where("sig != pivot").select(*_pair("sig", "pivot")), reach))
         links.append(d.where(space.linked()).select("a", "b"))
-        far = d.select("a", "b", F.when(space.linked(), 1).otherwise(2).alias("zone"))
-        placed = at.join(far, (F.least("sig", "pivot") == far["a"]) & (F.greatest("sig", "pivot") == far["b"]), "left")
-        placed = cut(placed.select("token", "sig", "size", "rare", "pivot", F.when(F.col("sig") == F.col("pivot"), 1).otherwise(F.coalesce("zone", F.lit(3))).alias("zone")))
+        both = d.select(F.explode(F.array(F.struct(F.col("a").alias("pivot"), F.col("b").alias("sig")), F.struct(F.col("b").alias("pivot"), F.col("a").alias("sig")))).alias("x"), F.when(space.linked(), 1).otherwise(2).alias("zone"))
+        zones = both.select("x.pivot", "x.sig", "zone")
         # the window: classes between r and 2r of the pivot, against those that leave with it
-        edge = placed.where("zone = 2")
-        inner = placed.where("zone = 1").join(edge.select("token").distinct(), "token", "left_semi")
-        for side, rows in ((1, edge), (0, inner)):
-            open_rows.append(rows.select("token", F.lit(k).alias("round"), "sig", "size", F.lit(side).alias("side")))
-        left = placed.where("zone > 1").select("token", "sig", "size", "rare")
-    rest = left.join(left.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token", "left_semi")
-    rows = rest.select("token", F.lit(ROUNDS).alias("round"), "sig", "size", F.lit(2).alias("side"))
-    for more in open_rows:
-        rows = rows.unionByName(more)
-    return links, cut(rows)
-
-
-def _blocks(space: _Space, rows: DataFrame, few: int = 0) -> DataFrame:
+        placed = cell.join(zones, ["pivot", "sig"], "left").select("pivot", "sig", "size", F.when(F.col("sig") == F.col("pivot"), 1).otherwise(F.coalesce("zone", F.lit(3))).alias("zone"))
+        placed = sized(placed)[0]
+        inner = placed.where("zone = 1").join(placed.where("zone = 2").select("pivot").distinct(), "pivot", "left_semi")
+        for side, those in ((1, placed.where("zone = 2")), (0, inner)):
+            cells.append(those.select("pivot", F.lit(k).alias("round"), "sig", "size", F.lit(side).alias("side")))
+        left = at.select("token", "sig", "size", "rare", "pivot").join(placed.where("zone = 1").select("pivot", "sig"), ["pivot", "sig"], "left_anti").drop("pivot")
+        k += 1
+    out = cells[0]
+    for more in cells[1:]:
+        out = out.unionByName(more)
+    return links, *sized(out)
+
+
+def _blocks(space: _Space, rows: DataFrame, seen: dict, few: int = 0) -> DataFrame:
     """Pairs within regions that size and sketch allow, compared block by block; of sides 0 and 1
     only pairs across, of side 2 all. With ``few``, only each class's nearest by sketch; without,
-    all pairs whose ``comp`` differs."""
-    percent = space.percent
-    where = ["token", "round"]
+    all pairs whose ``comp`` differs. ``seen`` is what ``sized`` says of the rows."""
+    percent, n, one = space.percent, seen["n"], seen["one"]
+    where = ["pivot", "round"]
     sizes = rows.groupBy(*where).agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, where).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.hash("sig"), F.col("blocks"))).join(space.classes.select("sig", "parity"), "sig")
+    rows = joined(rows, sizes, where, one).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.hash("sig"), F.col("blocks")))
+    parity, some = space.of(rows.select("sig"), n, space.classes.select("sig", "parity"), F.length("parity"))
+    rows = joined(rows, parity, "sig", one and some["one"])
     # each block meets every other: replicated along one row and one column of the block grid
     grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     rows = rows.withColumn("g", F.explode(grid)).select(*where, F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "side", "sig", "size", "parity", "comp")
@@ -431,7 +444,7 @@ def _blocks(space: _Space, rows: DataFrame, few: int = 0) -> DataFrame:
         cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
         return pa.table([cat(a), cat(b)], ["a", "b"])
 
-    return rows.groupBy(*where, "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return rows.repartition(*where, "i", "j").groupBy(*where, "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,34 +460,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, doc: str = "
     # a frequent token's classes are dealt by class too; its region is a large one in any case
     salt = F.when(F.col("about") < 0, F.pmod("sig", F.lit(SALTS))).otherwise(F.lit(0))
     index = texts.mapInArrow(_prefixes(n, percent, hot), "token bigint, sig bigint, about bigint").repartition(parts, "token", salt).sortWithinPartitions("token", "sig")
-    found = cut(index.mapInArrow(_regions(percent), "a bigint, b bigint, need bigint, token bigint, sig bigint, size bigint, rare bigint"))
+    listed, members = "a bigint, b bigint, need bigint", "token bigint, sig bigint, size bigint, rare bigint"
+    found, seen = sized(index.mapInArrow(_regions(percent), f"{listed}, {members}"), large=F.count("token"))
     pairs = found.where("a IS NOT NULL").select(*_pair("a", "b"), "need").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need")
-    large = found.where("token IS NOT NULL").select("token", "sig", "size", "rare")
     pairs = pairs.select("a", "b")
     more, held = [], None
-    if not large.isEmpty():
-        more, held = _large(space, large, percent)
-        pairs = pairs.unionByName(_blocks(space, held.withColumn("comp", F.col("sig")), FEW))
+    if seen["large"]:
+        more, held, rows = _large(space, found.where("token IS NOT NULL").select("token", "sig", "size", "rare"), percent)
+        pairs = pairs.unionByName(_blocks(space, held.withColumn("comp", F.col("sig")), rows, FEW))
     # first one pair for each class, then of the others those that these links leave apart
-    near = space.near(pairs, 100 - percent)
-    first = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = space.measured(first).where(space.linked()).select("a", "b")
+    near = space.near(pairs, 100 - percent)[0]
+    first, seen = sized(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = space.measured((first, seen)).where(space.linked()).select("a", "b")
     for m in more:
         links = links.unionByName(m)
-    sofar = components(links)
+    sofar = sized(components(links))[0]
     rest = near
     if held is not None:
         apart = held.join(sofar.toDF("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        # a region whose classes are all joined by now has no pair left
-        many = apart.groupBy("token", "round").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token", "round")
-        rest = rest.unionByName(space.near(_blocks(space, apart.join(many, ["token", "round"], "left_semi")), 100 - percent)).distinct()
+        # a cell whose classes are all joined by now has no pair left
+        many = apart.groupBy("pivot", "round").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("pivot", "round")
+        apart, seen = sized(apart.join(many, ["pivot", "round"], "left_semi"))
+        rest = rest.unionByName(space.near(_blocks(space, apart, seen), 100 - percent)[0]).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     for side in "ab":
         rest = rest.join(sofar.toDF(side, f"c{side}"), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    rest = cut(rest.where("ca != cb"))
+    rest, seen = sized(rest.where("ca != cb"))
     classes = space.classes.select("sig", "rep").join(sofar.toDF("sig", "comp"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "rep")
-    if not rest.isEmpty():
-        late = space.measured(rest.select("a", "b")).where(space.linked()).select("a", "b")
+    if seen["n"]:
+        late = space.measured((rest.select("a", "b"), seen)).where(space.linked()).select("a", "b")
         top = components(rest.join(late, ["a", "b"]), "ca", "cb")  # links between whole components
         classes = classes.join(top.toDF("comp", "upper"), "comp", "left").select("sig", F.coalesce("upper", "comp").alias("comp"), "rep")
     smallest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -44,7 +44,7 @@ def test_toxicity_stage_removes_what_op5_predicts(spark):
 
 def test_toxicity_stage_by_the_score(spark, docs_of, monkeypatch):
     def score(docs, model, threshold=toxicity.score.__defaults__[0]):
-        return docs.withColumn("predicted", (F.col("doc_id") / 100 >= threshold).cast("int"))
+        return docs.withColumn("predicted", (F.col("row.doc_id") / 100 >= threshold).cast("int"))
 
     monkeypatch.setattr(toxicity, "fit", lambda *_: None)
     monkeypatch.setattr(toxicity, "score", score)
