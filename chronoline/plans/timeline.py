@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import fold, interval, sequence, stats
+from chronoline.operators import fold, interval, sequence, stats, sync
 from chronoline.operators.asof import asof
 from chronoline.plans.base import EVENTS, events, query
 
@@ -127,7 +127,24 @@ def range_earliest_onset(spark, sf_dir):
     return interval.earliest_in_range(words(spark, sf_dir).select("user_id", "event_id", "start"), o, U, "start", "onset_t", 6 * HOUR, HOUR)
 
 
-@query("word_timing_fold")
+#: words moved to onsets one after another; each word's end grows over the notes in order of their start
+REFINED = f"""
+ns AS (SELECT user_id, list({{'s': n_start, 'e': n_end}} ORDER BY n_start, n_end) AS ns FROM n WHERE n_start <= n_end GROUP BY user_id),
+ws AS (SELECT w.user_id, w.event_id, w.start, w."end", row_number() OVER (PARTITION BY w.user_id ORDER BY w.start, w.event_id) AS i,
+              (SELECT list(onset_t ORDER BY onset_t) FROM o WHERE o.user_id = w.user_id AND onset_t BETWEEN w.start - {6 * HOUR} AND w.start + {HOUR}) AS os, ns
+       FROM w LEFT JOIN ns ON w.user_id = ns.user_id),
+step AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS word_id, NULL::BIGINT AS start_before, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::BIGINT AS sung FROM ws
+  UNION ALL
+  SELECT user_id, i, word_id, start_before, a, z, greatest(coalesce(sung, z), z) FROM (
+    SELECT *, CAST(coalesce(list_reduce(ns, lambda x, y: CASE WHEN y.s < x.e AND y.e > a THEN {{'s': x.s, 'e': greatest(x.e, y.e)}} ELSE x END, {{'s': a, 'e': z0}}).e, z0) AS BIGINT) AS z FROM (
+      SELECT *, CASE WHEN start_before - ok[1] >= {10 * MIN} THEN ok[1] ELSE start_before END AS a FROM (
+        SELECT ws.user_id, ws.i, ws.event_id AS word_id, ws.start AS start_before, ws."end" AS z0, ws.ns, step.sung, list_filter(coalesce(ws.os, []), lambda x: step.sung IS NULL OR x >= step.sung - {15 * MIN}) AS ok
+        FROM step JOIN ws ON ws.user_id = step.user_id AND ws.i = step.i + 1)))),
+refined AS (SELECT user_id, word_id, start_before, start, "end" FROM step WHERE i > 0)"""
+
+
+@query("word_timing_fold", f"WITH RECURSIVE {VIEWS}, {REFINED} SELECT * FROM refined")
 def word_timing_fold(spark, sf_dir):
     w = words(spark, sf_dir).withColumnRenamed("event_id", "word_id").drop("k")
     o = events(spark, sf_dir, "signup").select("user_id", "t")
@@ -242,6 +259,61 @@ def pitch_cascade(spark, sf_dir):
     return x.select("user_id", "event_id", F.greatest(F.lit(48), F.least(F.lit(84), pick)).cast("long").alias("pitch"))
 
 
+#: pitch frames: bursts of 24 frames a quarter of an hour apart, from errors
+FRAMES = f"""
+f AS (SELECT user_id, t + j * {15 * MIN} AS tick, CAST(45 + k % 40 + 0.25 * ((k * j) % 5) AS DOUBLE) AS midi, (j + k) % 7 <> 0 AS voiced, ((CAST(round(value * 100) AS BIGINT) * 31 + j * 17) % 100) / 100.0 AS prob
+      FROM e, (SELECT unnest(range(24)) AS j) WHERE kind = 'error')"""
+
+TRUSTED = f"""
+win AS (SELECT *, least("end", coalesce(lead(start) OVER p, "end")) AS z FROM refined WINDOW p AS (PARTITION BY user_id ORDER BY start, word_id)),
+inside AS (SELECT win.word_id, midi FROM win JOIN f ON f.user_id = win.user_id AND tick >= start AND tick < CASE WHEN z - start < {5 * MIN} THEN start + {15 * MIN} ELSE z END WHERE voiced AND prob > 0.5),
+modes AS (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY c DESC, m) AS i FROM (SELECT word_id, CAST(round_even(midi, 0) AS BIGINT) AS m, count(*) AS c FROM inside GROUP BY ALL)),
+heard AS (SELECT x.word_id, x.n, x.median, m.m AS mode, x.n >= 2 AND abs(x.median - m.m) <= 1 AS trusted FROM (SELECT word_id, count(*) AS n, median(midi) AS median FROM inside GROUP BY ALL) x JOIN modes m ON m.word_id = x.word_id AND m.i = 1)"""
+
+
+def frames(spark, sf_dir):
+    e = events(spark, sf_dir, "error").select("user_id", "t", "k", "value", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("j"))
+    prob = F.pmod(F.round(F.col("value") * 100).cast("long") * 31 + F.col("j") * 17, F.lit(100)) / 100.0
+    return e.select("user_id", (F.col("t") + F.col("j") * F.lit(15 * MIN).cast("long")).alias("at"), (45 + F.col("k") % 40 + 0.25 * ((F.col("k") * F.col("j")) % 5)).alias("midi"), ((F.col("j") + F.col("k")) % 7 != 0).alias("voiced"), prob.alias("prob"))
+
+
+@query("trusted_pitch", f"""WITH RECURSIVE {VIEWS}, {REFINED}, {FRAMES}, {TRUSTED} SELECT r.user_id, r.word_id, coalesce(h.n, 0) AS n, round(h.median, 6) AS median, h.mode, coalesce(h.trusted, false) AS trusted FROM refined r LEFT JOIN heard h ON h.word_id = r.word_id""")
+def trusted_pitch(spark, sf_dir):
+    """Pitch heard in each moved word: median and mode of the voiced, probable frames until the next word."""
+    heard = sync.trusted_pitch(word_timing_fold(spark, sf_dir), frames(spark, sf_dir), U, "word_id", 0.5, 2, 1.0, 5 * MIN, 15 * MIN, HOUR)
+    return heard.select("user_id", "word_id", "n", F.round("median", 6).alias("median"), "mode", "trusted")
+
+
+@query(
+    "word_sync",
+    f"""
+WITH RECURSIVE {VIEWS}, {REFINED}, {FRAMES}, {TRUSTED},
+c AS (SELECT r.*, CASE WHEN h.trusted THEN h.median END AS med, count(*) FILTER (h.trusted) OVER (PARTITION BY user_id) AS sure FROM refined r LEFT JOIN heard h ON h.word_id = r.word_id),
+d AS (SELECT *, last_value(CASE WHEN med IS NOT NULL THEN start END IGNORE NULLS) OVER b AS bt, last_value(med IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN med IS NOT NULL THEN start END IGNORE NULLS) OVER a AS ft, first_value(med IGNORE NULLS) OVER a AS fv
+      FROM c WINDOW b AS (PARTITION BY user_id ORDER BY start, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY start, word_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, CASE WHEN sure < 2 THEN 60.0 WHEN med IS NOT NULL THEN med WHEN bt IS NULL THEN fv WHEN ft IS NULL OR ft = bt THEN bv ELSE bv + (fv - bv) * (start - bt) / (ft - bt) END AS contour FROM d),
+v AS (SELECT g.word_id, n.pitch, row_number() OVER (PARTITION BY g.word_id ORDER BY least(g."end", n_end) - greatest(g.start, n_start) DESC, n_start, note_id) AS i FROM g JOIN n ON n.user_id = g.user_id AND least(g."end", n_end) - greatest(g.start, n_start) > 20000),
+s AS (SELECT g.word_id, v.pitch + 12 * k AS p, row_number() OVER (PARTITION BY g.word_id ORDER BY abs(v.pitch + 12 * k - contour), k) AS i FROM g JOIN v ON v.word_id = g.word_id AND v.i = 1, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) WHERE v.pitch + 12 * k BETWEEN 48 AND 84),
+t AS (SELECT g.word_id, b.beat_id, b.beat_t, row_number() OVER (PARTITION BY g.word_id ORDER BY abs(b.beat_t - g.start), b.beat_t, b.beat_id) AS i FROM g JOIN b ON b.user_id = g.user_id)
+SELECT g.user_id, g.word_id, g.start, g."end", t.beat_id, t.beat_t, g.med IS NOT NULL AS trusted,
+       CAST(greatest(48, least(84, CASE WHEN med IS NOT NULL THEN round_even(med, 0) WHEN abs(s.p - contour) <= 3 THEN s.p ELSE round_even(greatest(48, least(84, contour)), 0) END)) AS BIGINT) AS pitch
+FROM g LEFT JOIN t ON t.word_id = g.word_id AND t.i = 1 LEFT JOIN s ON s.word_id = g.word_id AND s.i = 1""",
+)
+def word_sync(spark, sf_dir):
+    """Words moved to onsets, on their nearest beat, with a pitch: the one heard where it is trusted, else
+    the overlapping note in the octave next to the contour of the trusted ones, else that contour."""
+    w = word_timing_fold(spark, sf_dir).select("user_id", "word_id", "start", "end")
+    heard = sync.trusted_pitch(w, frames(spark, sf_dir), U, "word_id", 0.5, 2, 1.0, 5 * MIN, 15 * MIN, HOUR)
+    w = heard.select("user_id", "word_id", "start", "end", F.when(F.col("trusted"), F.col("median")).alias("med"))
+    w = sequence.interpolate(w, U, ["start", "word_id"], "start", "med", "contour")
+    w = w.withColumn("contour", F.when(F.count("med").over(Window.partitionBy("user_id")) < 2, 60.0).otherwise(F.col("contour")))
+    n = notes(spark, sf_dir).select("user_id", "note_id", F.col("n_start").alias("r_start"), F.col("n_end").alias("r_end"), "pitch").withColumn("order", F.struct("r_start", "note_id"))
+    w = interval.best_overlap(w.select("user_id", "word_id", "start", "end", "med", "contour"), n, U, "word_id", "order", 6 * HOUR, 20_000)
+    w = w.select("user_id", "word_id", "start", "end", "med", sync.cascade(F.col("med"), F.col("pitch"), F.col("contour")).alias("pitch"))
+    w = asof(w, beats(spark, sf_dir), U, "start", "beat_t", "nearest", tie="beat_id", prefix="")
+    return w.select("user_id", "word_id", "start", "end", "beat_id", "beat_t", F.col("med").isNotNull().alias("trusted"), "pitch")
+
+
 @query("phrase_windows", f"""WITH {VIEWS} SELECT user_id, CAST(start // {DAY} AS BIGINT) AS phrase, min(start) AS phrase_start, max("end") AS phrase_end, count(*) AS n FROM w GROUP BY ALL""")
 def phrase_windows(spark, sf_dir):
     return sequence.phrases(words(spark, sf_dir), U, DAY).withColumn("phrase", F.col("phrase").cast("long"))
