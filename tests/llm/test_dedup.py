@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -141,6 +142,42 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_of_depth_ten_finds_links(spark):
+    """Recall against all pairs where no leaf holds a label, and copies per vector stay few."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:3000] + r.standard_normal((3000, 64)) * 0.2 / 8 * r.uniform(0.5, 1.05, (3000, 1))  # cosines about 0.98 and over
+    both = np.concatenate([x, y / np.linalg.norm(y, axis=1, keepdims=True)])
+    cos = both @ both.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.98).sum(1)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {g["vec_id"]: g["n_links"] for g in embedding_dedup.near_duplicates(df, leaf=10).collect()}  # depth 11
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.97 * want.sum() > 2000
+    splits, middle = embedding_dedup.fit_splits(x, 4, 11), np.median(x @ embedding_dedup._pool(64), axis=0)
+    assert len(embedding_dedup.leaves(x, splits, middle, 11, 0.08 / 8)[0]) <= 12 * len(x)
+
+
+def test_links_of_a_large_near_group_are_counted_not_listed(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    base = r.standard_normal(32)
+    v = base + r.standard_normal((150, 32)) * 0.1
+    v = np.concatenate([v, v[:20]])  # and exact copies
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, 0)
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {g["vec_id"]: g["n_links"] for g in embedding_dedup.near_duplicates(df, leaf=20).collect()}
+    want = (cos >= 0.98).sum(1)
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.97 * want.sum()
+    classes = df.limit(150).selectExpr("vec_id AS cid", "label", "embedding AS vector", "1L AS m")
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 512)
+    assert embedding_dedup.link_classes(classes, leaf=40).count() < 150 * 40  # pairs: nearly 11,175
+
+
 def test_digest_is_of_kept_bytes(docs_of):
     text = "é" * 60
     kept = suffix_dedup.remove_repeats(docs_of([(1, text)])).first()
