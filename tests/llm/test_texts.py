@@ -294,11 +294,32 @@ def test_language_model(docs_of, prose, lower, head):
     assert lm_score.scores(docs_of(pairs).limit(0)).count() == 0
 
 
-def test_language_model_sums_to_one():
-    """Class probabilities of every past add to one, with weights at their start."""
-    table = np.full((4, lm_score.CLASSES), -np.log(lm_score.CLASSES))
-    assert np.allclose(np.exp(table).sum(1), 1)
-    assert lm_score._feature_rows().max() < lm_score.ROWS
+def test_language_model_factors_sum_to_one(spark):
+    """Fitted probabilities of every context add up to one, names that a class lacks have none, and what followed a context often is likely there."""
+    valid = np.zeros((32, 32), bool)
+    valid[:, lm_score.REST] = valid[3, :5] = True
+    at = 3 * (lm_score.INSIDE // lm_score.CLASSES) + 700
+    for inside in (False, True):
+        seen = spark.createDataFrame([(at % lm_score.PAST if not inside else at, 4, 90), (5, 31, 10)], "context int, y int, n long")
+        p = np.exp(lm_score.fit(seen, inside, valid).astype(float))
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
+        assert p[at if inside else at % lm_score.PAST, 4] > 0.5
+        assert not inside or p[at][~valid[3]].max() == 0
+
+
+def test_language_model_beats_counts_where_the_past_tells(docs_of):
+    r = random.Random(14)
+    follow = {a: b for a, b in zip("one two three four five six seven eight".split(), "two three four five six seven eight one".split(), strict=True)}
+
+    def text():
+        w = [r.choice(list(follow))]
+        while len(w) < 30:
+            w.append(follow[w[-1]] if r.random() < 0.9 else r.choice(list(follow)))
+        return " ".join(w)
+
+    out = [x for x in lm_score.scores(docs_of([(k, text()) for k in range(200)])).collect() if x["held_out"]]
+    tokens = sum(x["n_tokens"] for x in out)
+    assert len(out) > 10 and sum(x["score"] for x in out) / tokens > sum(x["base_score"] for x in out) / tokens + 0.3
 
 
 def test_chat_round_trip(spark):
