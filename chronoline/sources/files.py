@@ -42,6 +42,27 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return w.select("path", "word_idx", "w.word", start.alias("t_start"), F.coalesce("w.end", start + 0.3).alias("t_end"), F.coalesce("w.score", F.lit(1.0)).alias("score"))
 
 
+def read_synced(spark: SparkSession, path: str) -> DataFrame:
+    """(path, idx, word, pitch, t_start, t_end) from JSON caches of synced words: an object with ``synced_lyrics`` or
+    ``synced_words``, or a bare array. Words fall back to lyric, then "la"; pitches to 60; starts to time,
+    then 0; ends to start + 0.3. A path that doesn't exist, or isn't JSON, gives no rows."""
+    item = "array<struct<word:string,lyric:string,pitch:int,start:double,time:double,`end`:double>>"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], "path string, idx int, word string, pitch int, t_start double, t_end double")
+    j = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    named = F.from_json("value", f"synced_lyrics {item}, synced_words {item}")
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", item))
+    w = j.select("path", F.posexplode(F.coalesce(named["synced_lyrics"], named["synced_words"], bare)).alias("idx", "w"))
+    start = F.coalesce("w.start", "w.time", F.lit(0.0))
+    return w.select("path", "idx", F.coalesce("w.word", "w.lyric", F.lit("la")).alias("word"), F.coalesce("w.pitch", F.lit(60)).alias("pitch"), start.alias("t_start"), F.coalesce("w.end", start + 0.3).alias("t_end"))
+
+
+def read_project(spark: SparkSession, path: str) -> DataFrame:
+    """(path, targ_path, orig_path) of the ``file`` elements of project XML."""
+    return spark.read.format("xml").option("rowTag", "file").schema("_targ_path string, _orig_path string").load(path).select(F.input_file_name().alias("path"), F.col("_targ_path").alias("targ_path"), F.col("_orig_path").alias("orig_path"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, offset, granule, size) of the pages of Ogg files, wherever a page mark stands."""
 
