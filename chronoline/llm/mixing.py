@@ -11,9 +11,10 @@ bin sums give the bin where the cut lies, and only that bin is ordered. Sources
 any share of the rows.
 
 Defined results: null text has size 0 and is never copied beyond the certain copies; null
-source is a source of its own, ordered last; equal ranks (repeated doc_ids) order by size,
-then share one decision; an empty table gives an empty result; columns other than the named
-ones are ignored. Without words at all every document takes 0.
+source is a source of its own, ordered last; equal ranks (repeated doc_ids) order by size; rows
+equal in both too are taken one by one by the running sum, so one may be taken and its repetition
+not; texts of any length are counted whole; an empty table gives an empty result; columns other
+than the named ones are ignored. Without words at all every document takes 0.
 """
 
 from __future__ import annotations

@@ -437,3 +437,18 @@ def query(spark, sf_dir):
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by all strings of 50 bytes, as hex.
+SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+r AS (SELECT g.doc_id, g.i, lag(g.i) OVER (PARTITION BY g.doc_id ORDER BY g.i) AS before FROM g JOIN f ON f.s = g.s WHERE f.first < g.doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, z FROM span UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT c.doc_id, c.a, substr(d.h, CAST(2 * coalesce(lag(c.z) OVER p, 0) + 1 AS BIGINT), CAST(2 * (c.a - coalesce(lag(c.z) OVER p, 0)) AS BIGINT)) AS piece FROM cuts c JOIN d ON d.doc_id = c.doc_id WINDOW p AS (PARTITION BY c.doc_id ORDER BY c.a, c.z))
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans, sha256(unhex(p.bytes)) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS n FROM span GROUP BY doc_id) s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS bytes FROM kept GROUP BY doc_id) p ON p.doc_id = d.doc_id
+"""
