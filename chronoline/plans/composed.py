@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoline.operators import fold, stats, tree
 from chronoline.plans.base import EVENTS, events, query, read
-from chronoline.plans.tables import FRAMES, frames
+from chronoline.plans.tables import FRAMES, _profiles, frames
 from chronoline.plans.timeline import DAY, HOUR, MIN, U, VIEWS, beats, notes, words
 
 #: Least notes a second of each level from 6 down to 2, and the rank in the middle of levels 1 to 6.
@@ -49,6 +49,27 @@ def instrument_ranks(spark, sf_dir):
     return levels.select("user_id", *(rank(name, F.col(name)) for name in PLAYS), F.lit(0).alias("keys"), rank("band", F.greatest(*PLAYS)))
 
 
+PITCHES = "p AS (SELECT user_id, value, try_cast(CASE WHEN k % 10 = 4 THEN '-' ELSE '' END || k || CASE WHEN k % 10 = 3 THEN 'x' ELSE '' END AS INTEGER) AS k FROM e WHERE k < 5)"
+
+
+@query(
+    "key_fallback",
+    f"""
+WITH {EVENTS}, {PITCHES}, w(tonic, tonality, pc, w) AS (VALUES {_profiles()}),
+h AS (SELECT user_id, k % 12 AS pc, sum(CASE WHEN value <= 0 THEN 1.0::DOUBLE ELSE value END) AS h FROM p WHERE k >= 0 GROUP BY ALL),
+s AS (SELECT user_id, tonic, tonality, sum(h * w) / sqrt((SELECT sum(x.h * x.h) FROM h x WHERE x.user_id = h.user_id) * (SELECT sum(q.w * q.w) FROM w q WHERE q.tonic = w.tonic AND q.tonality = w.tonality)) AS score FROM h JOIN w ON w.pc = h.pc GROUP BY user_id, tonic, tonality),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, tonic, tonality) AS i FROM s)
+SELECT u.user_id, coalesce(tonic, 4) AS tonic, coalesce(tonality, 0) AS tonality FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN r ON r.user_id = u.user_id AND i = 1""",
+)
+def key_fallback(spark, sf_dir):
+    """Keys from pitches given as text: malformed and negative ones are dropped, and users without any get (4, 0)."""
+    e = events(spark, sf_dir)
+    p = F.concat(F.when(F.col("k") % 10 == 4, "-").otherwise(""), F.col("k").cast("string"), F.when(F.col("k") % 10 == 3, "x").otherwise(""))
+    p = e.where("k < 5").select("user_id", "value", p.try_cast("int").alias("k")).where("k >= 0")
+    found = stats.detect_keys(p, ["user_id"], "k", "value")
+    return e.select("user_id").distinct().join(found, "user_id", "left").select("user_id", F.coalesce("tonic", F.lit(4)).alias("tonic"), F.coalesce("tonality", F.lit(0)).alias("tonality"))
+
+
 @query(
     "count_in",
     f"""
