@@ -215,20 +215,21 @@ def frame_times(spark, sf_dir):
     return f.select("vec_id", "frame", F.round(F.col("frame") * 256 / F.lit(22050.0) - 0.0018 * F.expr("frame div 172"), 9).alias("t"))
 
 
-@query("block_chain", "WITH RECURSIVE c AS (SELECT p_partkey AS head, p_partkey AS block, 0 AS step FROM part WHERE p_partkey % 2 = 1 AND p_partkey < 100 UNION ALL SELECT c.head, p.p_partkey, c.step + 1 FROM c JOIN part p ON p.p_partkey = c.block * 2 WHERE c.step < 20) SELECT head, block, CAST(step AS BIGINT) AS step FROM c")
-def block_chain(spark, sf_dir):
-    """A sample of the chains of ``block_chains``, odd heads under 100 and 20 steps, as a recursive query."""
-    read(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("chain_blocks")
-    return spark.sql(
-        """
-        WITH RECURSIVE c(head, block, step) AS (
-          SELECT p_partkey, p_partkey, 0L FROM chain_blocks WHERE p_partkey % 2 = 1 AND p_partkey < 100
-          UNION ALL SELECT c.head, p.p_partkey, c.step + 1 FROM c JOIN chain_blocks p ON p.p_partkey = c.block * 2 WHERE c.step < 20)
-        SELECT head, block, step FROM c"""
-    )
-
-
-@query("block_chains")
+CHAINS = """
+WITH RECURSIVE c AS (
+  SELECT p_partkey AS head, p_partkey AS block, 0 AS step FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey * 2 = p.p_partkey AND q.p_partkey <> p.p_partkey)
+  UNION ALL SELECT c.head, p.p_partkey, c.step + 1 FROM c JOIN part p ON p.p_partkey = c.block * 2 AND p.p_partkey <> c.block)
+SELECT head, block, CAST(step AS BIGINT) AS step FROM c"""
+
+
+@query("block_chains", CHAINS)
 def block_chains(spark, sf_dir):
     """Chains of blocks by their next pointers from every head, without any limit."""
     return tree.chains(read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 2).alias("next")), "p_partkey", "next")
+
+
+@query("block_chain", CHAINS.replace("SELECT head, block, CAST(step AS BIGINT) AS step FROM c", "SELECT head, CAST(max(step) AS BIGINT) AS steps, arg_max(block, step) AS last FROM c GROUP BY head"))
+def block_chain(spark, sf_dir):
+    """The length and the last block of every chain."""
+    c = block_chains(spark, sf_dir)
+    return c.groupBy("head").agg(F.max("step").alias("steps"), F.max_by("block", "step").alias("last"))
