@@ -21,7 +21,9 @@ least ``SHARE`` = 3 regions in common (fewer for tiny sets).
 Candidates are checked first by a parity sketch of two bits or more a shingle, whose differing
 bits never exceed the symmetric difference, then by their whole sets; pairs that other links
 have joined already need no second check. Links join into components.
-Shingles are compared by 48 bits of hash, sets by 64. No partner, candidate or row is ever
+Shingles are compared by 48 bits of hash, sets by 64: two sets of 10**4 shingles seem to share one
+that they don't with odds of 4 in 10**7, and of 10**9 different sets two count as equal with odds of about
+3 % (of 10**10, about 2.7 pairs are expected to). Up to that the result is exact. No partner, candidate or row is ever
 capped: the frequent-shingle table (at most ``MOST_HOT``) only decides the order, and that
 the regions of those shingles count as large.
 

@@ -17,8 +17,9 @@ window's anchor depends on its own bytes alone, so equal windows always have equ
 Rows that agree are combined within parts of ``PART`` bytes before a shuffle, so an anchor or
 a window that a third of all documents hold sends one row per part; anchors with over
 ``MANY`` different segments in a part go to pass 3 directly. Buckets hold about
-``PER_BUCKET`` bytes of text whatever the size of the input. Identity is by 64 + 48 bits of
-hash for segments and 96 bits for windows.
+``PER_BUCKET`` bytes of text whatever the size of the input, and besides, of an anchor that all
+parts hold, up to ``MANY`` rows a part. Identity is by 64 + 48 bits of hash for segments and 96 bits for
+windows: of 10**13 windows (10 TB) two different ones count as equal with odds of under one in 10**3.
 
 Defined results: null text counts as empty and, like any text under 50 bytes, loses nothing;
 a null doc_id never removes or loses anything; equal doc_ids count as one document; an empty

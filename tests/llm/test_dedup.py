@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chronoline.llm import embedding_dedup, jaccard_join, suffix_dedup
+from chronoline.llm import common, embedding_dedup, jaccard_join, suffix_dedup
 
 
 def removed(pairs, width=50):
@@ -182,3 +182,26 @@ def test_digest_is_of_kept_bytes(docs_of):
     text = "é" * 60
     kept = suffix_dedup.remove_repeats(docs_of([(1, text)])).first()
     assert hashlib.sha256(bytes(kept["kept"])).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("rows", [1, 4 << 20])
+def test_components_of_chains_hubs_and_random_links(spark, monkeypatch, rows):
+    """Against union-find, with tables of one partition and of many."""
+    monkeypatch.setattr(common, "PER_TASK", rows)
+    r = random.Random(2)
+    links = [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(501, 560)] + [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(60)] + [(7, 7), (None, 3), (9, 8), (8, 9)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    got = {x["node"]: x["component"] for x in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
