@@ -47,6 +47,21 @@ def snake(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "(?<=[a-z0-9])([A-Z])", "_$1"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def camel_to_snake(text: Column) -> Column:
+    """Capitals in lower case, each but the first after an underscore."""
+    head = F.regexp_extract(text, r"^([^A-Z]*[A-Z]?)", 1)
+    rest = F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), "([A-Z])", "_$1")
+    return F.translate(F.concat(head, rest), UPPER, LOWER)
+
+
+def snake_to_camel(text: Column) -> Column:
+    """The first letter and each after an underscore as capitals, without the underscores."""
+    return F.array_join(F.transform(F.split(text, "_"), lambda x: F.concat(F.translate(F.substring(x, 1, 1), LOWER, UPPER), F.substring(x, F.lit(2), F.length(x)))), "")
+
+
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, r'[<>:"/\\|?*]', "_")
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronoline.functions import scalar
 from chronoline.operators import fold, stats, tree
 from chronoline.plans.base import EVENTS, events, query, read
 from chronoline.plans.tables import FRAMES, _profiles, frames
@@ -348,3 +349,128 @@ def venue_keyframes(spark, sf_dir):
     """Constant keyframes beside each user's own."""
     rows = F.array(*(F.struct(F.lit(t).alias("track"), F.lit(k).cast("long").alias("tick"), F.lit(v).alias("value")) for t, k, v in VENUE))
     return events(spark, sf_dir).select("user_id").distinct().select("user_id", F.explode(rows).alias("v")).select("user_id", "v.*")
+
+
+NAMES = "n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'songId' WHEN 1 THEN 'VocalTonicNote' WHEN 2 THEN 'game_origin' ELSE 'a:b?' END || p_size || CASE WHEN p_size % 3 = 0 THEN 'HopoThreshold' ELSE '_x/y' END AS name FROM part)"
+
+
+@query(
+    "name_rules",
+    f"""
+WITH {NAMES}
+SELECT p_partkey, name, lower(regexp_extract(name, '^([^A-Z]*[A-Z]?)', 1) || regexp_replace(substr(name, length(regexp_extract(name, '^([^A-Z]*[A-Z]?)', 1)) + 1), '([A-Z])', '_\\1', 'g')) AS snake,
+       array_to_string(list_transform(string_split(name, '_'), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), '') AS camel,
+       regexp_replace(name, '[<>:"/\\\\|?*]', '_', 'g') AS safe, rpad(substr(upper(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')), 1, 12), 12, 'X') || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS id FROM n""",
+)
+def name_rules(spark, sf_dir):
+    """Camel to snake case and back, safe file names and ids of fixed width."""
+    head = F.when(F.col("p_partkey") % 4 == 0, "songId").when(F.col("p_partkey") % 4 == 1, "VocalTonicNote").when(F.col("p_partkey") % 4 == 2, "game_origin").otherwise("a:b?")
+    name = F.concat(head, F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "HopoThreshold").otherwise("_x/y"))
+    n = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    number = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
+    return n.select("p_partkey", "name", scalar.camel_to_snake(F.col("name")).alias("snake"), scalar.snake_to_camel(F.col("name")).alias("camel"), scalar.safe_name(F.col("name")).alias("safe"), F.concat(scalar.short_id(F.col("name")), number).alias("id"))
+
+
+MARKS = ("", "#", "^", "%", "$", "+", "-", "$+")
+
+
+@query(
+    "lyric_flags",
+    f"""
+WITH {VIEWS}, l AS (SELECT user_id, event_id, CASE WHEN k % 8 IN (5, 7) THEN '' ELSE 'la' || k END || {list(MARKS)}[k % 8 + 1] AS lyric FROM w),
+c AS (SELECT *, translate(lyric, '$#^', '') AS clean FROM l)
+SELECT user_id, event_id, CASE WHEN clean = '+' THEN '' ELSE clean END AS text, clean = '+' AS slide, contains(lyric, '#') OR contains(lyric, '^') AS unpitched, contains(lyric, '^') AS generous, contains(lyric, '%') AS divider, NOT contains(lyric, '$') AS shown FROM c""",
+)
+def lyric_flags(spark, sf_dir):
+    """Flags that the marks in a lyric stand for, and the lyric without them."""
+    lyric = F.concat(F.when((F.col("k") % 8).isin(5, 7), "").otherwise(F.concat(F.lit("la"), F.col("k").cast("string"))), F.element_at(F.array(*map(F.lit, MARKS)), (F.col("k") % 8 + 1).cast("int")))
+    l = words(spark, sf_dir).select("user_id", "event_id", lyric.alias("lyric")).withColumn("clean", F.translate("lyric", "$#^", ""))
+    has = lambda c: F.contains(F.col("lyric"), F.lit(c))
+    slide = F.col("clean") == "+"
+    return l.select("user_id", "event_id", F.when(slide, "").otherwise(F.col("clean")).alias("text"), slide.alias("slide"), (has("#") | has("^")).alias("unpitched"), has("^").alias("generous"), has("%").alias("divider"), (~has("$")).alias("shown"))
+
+
+#: Lighting cues and what they become, in the order in which they are tried.
+CUES = (("[lighting (verse)]", "[verse]"), ("[lighting (chorus)]", "[chorus]"), ("[lighting (intro)]", "[lighting ()]"), ("[lighting (blackout_spot)]", "[lighting (silhouettes_spot)]"))
+
+
+@query(
+    "cue_rewrite",
+    f"""
+WITH {EVENTS}, c AS (SELECT user_id, event_id, t, {[c for c, _ in CUES] + ["[lighting (manual_cool)]", "[next]"]}[k % 6 + 1] AS cue FROM e WHERE kind = 'error')
+SELECT user_id, event_id, t, CASE {" ".join(f"WHEN contains(cue, '{a}') THEN '{b}'" for a, b in CUES)} ELSE cue END AS cue FROM c""",
+)
+def cue_rewrite(spark, sf_dir):
+    """Text events rewritten by the first rule whose text they contain."""
+    cue = F.element_at(F.array(*(F.lit(c) for c, _ in CUES), F.lit("[lighting (manual_cool)]"), F.lit("[next]")), (F.col("k") % 6 + 1).cast("int"))
+    c = events(spark, sf_dir, "error").select("user_id", "event_id", "t", cue.alias("cue"))
+    rule = None
+    for a, b in CUES:
+        rule = (F if rule is None else rule).when(F.contains(F.col("cue"), F.lit(a)), b)
+    return c.select("user_id", "event_id", "t", rule.otherwise(F.col("cue")).alias("cue"))
+
+
+@query("pinned_order", "SELECT p_brand, p_partkey, CAST(r AS BIGINT) AS place FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size = 1 THEN 0 ELSE 1 END, p_name, p_size DESC, p_partkey) AS r FROM part) WHERE r > 2 AND r <= 12")
+def pinned_order(spark, sf_dir):
+    """Rows in the order of several keys, pinned ones first; two skipped, ten taken."""
+    w = Window.partitionBy("p_brand").orderBy(F.when(F.col("p_size") == 1, 0).otherwise(1), "p_name", F.desc("p_size"), "p_partkey")
+    return read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(w).cast("long").alias("place")).where("place > 2 AND place <= 12")
+
+
+@query("track_totals", f"WITH {EVENTS}, k AS (SELECT user_id, kind, max(t) AS last, count(*) AS n FROM e GROUP BY ALL) SELECT user_id, max(last) AS longest, arg_max(last, kind) AS of_last_track, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY user_id")
+def track_totals(spark, sf_dir):
+    """The end of the longest track, and that of the last track by name."""
+    k = events(spark, sf_dir).groupBy("user_id", "kind").agg(F.max("t").alias("last"), F.count("*").alias("n"))
+    return k.groupBy("user_id").agg(F.max("last").alias("longest"), F.max_by("last", "kind").alias("of_last_track"), F.sum("n").alias("n"))
+
+
+@query("folder_sizes", "SELECT p_brand, shelf, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM (SELECT *, p_partkey % 5 AS shelf FROM part) GROUP BY ROLLUP (p_brand, shelf)")
+def folder_sizes(spark, sf_dir):
+    """The size of a folder is that of its entries, at every level."""
+    return read(spark, sf_dir, "part").withColumn("shelf", F.col("p_partkey") % 5).rollup("p_brand", "shelf").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("size"))
+
+
+@query("array_extremes", f"WITH {FRAMES} SELECT label, bin, round(max(v), 9) AS high, round(min(v), 9) AS low FROM f JOIN embeddings e ON e.vec_id = f.vec_id GROUP BY ALL")
+def array_extremes(spark, sf_dir):
+    """Element-wise largest and smallest values over a label's arrays."""
+    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("bin", "v"))
+    return e.groupBy("label", F.col("bin").cast("long").alias("bin")).agg(F.round(F.max(F.col("v").cast("double")), 9).alias("high"), F.round(F.min(F.col("v").cast("double")), 9).alias("low"))
+
+
+@query("mean_tempo", f"WITH {VIEWS}, x AS (SELECT user_id, avg(60.0::DOUBLE / k) AS bpm FROM b WHERE k > 50 GROUP BY user_id) SELECT u.user_id, round(coalesce(bpm, 120.0), 9) AS bpm FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN x ON x.user_id = u.user_id")
+def mean_tempo(spark, sf_dir):
+    """The average tempo, 120 without any."""
+    e = events(spark, sf_dir)
+    bpm = F.avg(F.when((F.col("kind") == "purchase") & (F.col("k") > 50), F.lit(60.0) / F.col("k")))
+    return e.groupBy("user_id").agg(F.round(F.coalesce(bpm, F.lit(120.0)), 9).alias("bpm"))
+
+
+@query("metadata_text", "SELECT o_orderkey, '(' || chr(13) || chr(10) || '   (id ' || o_orderkey || ')' || chr(13) || chr(10) || '   (artist \"' || replace(c_name, '\"', '\\q') || '\")' || chr(13) || chr(10) || '   (rank ' || CASE WHEN o_totalprice > 100000 THEN 2 ELSE 1 END || ')' || chr(13) || chr(10) || ')' AS text FROM orders JOIN customer ON c_custkey = o_custkey")
+def metadata_text(spark, sf_dir):
+    """Metadata as text, a field a line."""
+    j = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    artist = F.replace(F.col("c_name"), F.lit('"'), F.lit("\\q"))
+    lines = F.concat_ws("\r\n", F.lit("("), F.format_string("   (id %d)", "o_orderkey"), F.format_string('   (artist "%s")', artist), F.format_string("   (rank %d)", F.when(F.col("o_totalprice") > 100000, 2).otherwise(1)), F.lit(")"))
+    return j.select("o_orderkey", lines.alias("text"))
+
+
+#: channels of an instrument by how many it has; what is left over is filled with tracks of their own
+GROUPS = {("drum", 2): [0, 1], ("drum", 3): [0, 1, 1], ("drum", 4): [0, 1, 2, 2], ("drum", 5): [0, 1, 2, 3, 3], ("drum", 6): [0, 1, 2, 3, 4, 4], ("bass", 1): [0], ("bass", 2): [0, 0], ("vocals", 1): [0], ("vocals", 2): [0, 0]}
+
+
+@query(
+    "channel_groups",
+    f"""
+WITH {EVENTS}, c AS (SELECT user_id, CASE k % 3 WHEN 0 THEN 'drum' WHEN 1 THEN 'bass' ELSE 'vocals' END AS instrument, least(6, 1 + count(*) // 4) AS n FROM e GROUP BY ALL),
+g(instrument, n, groups) AS (VALUES {", ".join(f"('{i}', {n}, {g})" for (i, n), g in GROUPS.items())})
+SELECT c.user_id, c.instrument, CAST(c.n AS INTEGER) AS n, CAST(p.channel AS INTEGER) AS channel, CAST(CASE WHEN g.groups IS NULL THEN p.channel ELSE g.groups[p.channel + 1] END AS INTEGER) AS track, g.groups IS NULL AS filler
+FROM c LEFT JOIN g ON g.instrument = c.instrument AND g.n = c.n, LATERAL (SELECT unnest(range(0, c.n)) AS channel) p""",
+)
+def channel_groups(spark, sf_dir):
+    """Channels of each instrument to tracks, by a table of instrument and count; counts that it lacks give a track a channel."""
+    kinds = F.when(F.col("k") % 3 == 0, "drum").when(F.col("k") % 3 == 1, "bass").otherwise("vocals")
+    c = events(spark, sf_dir).groupBy("user_id", kinds.alias("instrument")).agg(F.least(F.lit(6), F.expr("1 + count(*) div 4")).cast("int").alias("n"))
+    g = spark.createDataFrame([(i, n, g) for (i, n), g in GROUPS.items()], "instrument string, n int, groups array<int>")
+    j = c.join(F.broadcast(g), ["instrument", "n"], "left")  # nine rows
+    j = j.select("user_id", "instrument", "n", "groups", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("channel"))
+    return j.select("user_id", "instrument", "n", "channel", F.coalesce(F.get("groups", F.col("channel")), "channel").alias("track"), F.col("groups").isNull().alias("filler"))
