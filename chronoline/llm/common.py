@@ -88,8 +88,17 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(row, text): all columns of ``docs`` in a struct, so that none clashes with an operator's own."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    """(row, text): all columns of ``docs`` but its string column text in a struct, so that none clashes with
+    an operator's own; ``unpacked`` puts them back."""
+    whole = dict(docs.dtypes)["text"] == "string"  # else the column itself is kept too
+    return docs.select(F.struct(F.lit(True).alias("__packed"), *(F.col(f"`{c}`") for c in docs.columns if not (whole and c == "text"))).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` from packed rows, with another text where one is given."""
+    whole = dict(docs.dtypes)["text"] == "string"
+    of = lambda c: (F.col("text") if text is None else text) if c == "text" and (whole or text is not None) else F.col("row")[c]
+    return rows.select(*(of(c).alias(c) for c in docs.columns))
 
 
 def shared_dir(spark: SparkSession) -> str:
