@@ -18,33 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoline.llm import decontaminate, jaccard_join, mixing, pii, toxicity
-from chronoline.llm.common import columns, packed, shared_dir, small_batches, table, without
+from chronoline.llm.common import columns, packed, shared_dir, small_batches, table, unpacked, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op5_toxicity doesn't reject, by its own threshold."""
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     model = toxicity.fit(columns(docs, doc_id=("doc_id", "bigint"), text=("text", "string")), table(spark, sf_dir, "labels"))
-    return toxicity.score(packed(docs), model).where("predicted = 0").select("row.*")
+    return unpacked(toxicity.score(packed(docs), model).where("predicted = 0"), docs)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates."""
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     groups = jaccard_join.near_duplicates(docs)
     return without(docs, groups.where("component_id != doc_id"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where(F.size("hits") > 0))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     out = pii.redact(docs, pii.fit(columns(docs, text=("text", "string"))))
     kind = dict(docs.dtypes).get("n_chars")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)) if kind else out
