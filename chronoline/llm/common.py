@@ -120,3 +120,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))
+
+
+#: DuckDB has no crc32: a table of bytes' remainders by the rule of the polynomial, and a fold over the bytes of a string
+CRC_TABLE = "crct AS (SELECT list(c ORDER BY k) AS tbl FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS k)))"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned crc32 of a string that isn't null, in a query that also reads ``crct``."""
+    data = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1,', 'g'), ',')[:-2], lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, x: xor(c >> 8, tbl[xor(c & 255, x) + 1])))"

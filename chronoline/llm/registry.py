@@ -1,4 +1,4 @@
-"""The corpus queries and their SQL, by query name."""
+"""The corpus queries by name; ``__spark_entry__.py`` imports the modules."""
 
 from __future__ import annotations
 
@@ -16,12 +16,14 @@ MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op6_mix_sources": "mixing",
     "op10_chat_format": "chat_format",
+    "op11_spelling_variants": "spelling",
+    "op12_shard": "sharding",
+    "op13_whiten": "whitening",
 }
 
 
 def queries() -> dict:
-    found = {name: importlib.import_module(f"chronoline.llm.{m}").query for name, m in MODULES.items()}
-    return found
+    return {name: importlib.import_module(f"chronoline.llm.{m}").query for name, m in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
