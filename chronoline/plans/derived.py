@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import activations
-from chronoline.plans.base import query, read
+from chronoline.operators import activations, vocals
+from chronoline.plans.base import EVENTS, events, query, read
 
 ONSET, LOUD, SHORTEST, TOLERANCE = 0.2, 0.15, 2, 3
 BELL = [f"exp(-0.5 * pow(({k} - 25) / 5.0::DOUBLE, 2))" for k in range(51)]
@@ -52,3 +52,91 @@ def activation_notes(spark, sf_dir):
     n = activations.bent(n, f, "label", "frame", "v", per_semitone=1)
     second = lambda c: F.round(activations.frame_seconds(F.col(c)), 6)
     return n.select("label", "note", "start_frame", "end_frame", "pitch", F.round("amplitude", 6).alias("amplitude"), second("start_frame").alias("start"), second("end_frame").alias("end"), F.array_join(F.col("bends").cast("array<string>"), ",").alias("bends"), activations.alone(n, "label").alias("alone"))
+
+
+# Charts: a user's events as a song's tracks; a tick is a minute of January 2024, in steps of 60.
+TEXTS = ["la", "+", "#ha", "oo^", "ne$", "so%", " ti ", "[idle]", "mi-"]
+TICK = "CAST(t // 60000000 - 28401120 AS BIGINT) // 60 * 60"
+VOX = f"""{EVENTS},
+x AS (SELECT user_id AS song, CAST(1 + event_id % 3 AS INTEGER) AS track, kind, event_id, {TICK} AS tick, CAST(floor(value) AS BIGINT) AS size, k, {TEXTS}[k % 9 + 1] AS text FROM e),
+items AS (
+  SELECT song, track, event_id * 2 AS seq, tick, CAST(0 AS BIGINT) AS length, NULL AS key, text FROM x WHERE kind IN ('view', 'click')
+  UNION ALL SELECT song, track, event_id * 2 + 1, tick, size + 1, 36 + k % 49, NULL FROM x WHERE kind IN ('view', 'signup')
+  UNION ALL SELECT song, track, event_id * 2, tick, size * 8 + 60, CASE WHEN k % 3 = 0 THEN 106 ELSE 105 END, NULL FROM x WHERE kind = 'purchase'
+  UNION ALL SELECT song, track, event_id * 2, tick, size, [116, 96, 97][k % 3 + 1], NULL FROM x WHERE kind = 'error'),
+o AS (SELECT *, coalesce(key IN (105, 106), false) AS is_mark, row_number() OVER (PARTITION BY song, track ORDER BY tick, CASE WHEN key IS NULL THEN 0 ELSE 128 - key END, seq) AS i FROM items),
+o1 AS (SELECT *, is_mark AND tick IS DISTINCT FROM max(CASE WHEN is_mark THEN tick END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS begins,
+              last_value(CASE WHEN key IS NULL AND length(text) > 0 AND text[1] <> '[' THEN trim(text, ' ') END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS lyric FROM o WINDOW w AS (PARTITION BY song, track ORDER BY i)),
+o2 AS (SELECT *, CAST(sum(CAST(begins AS INTEGER)) OVER (PARTITION BY song, track ORDER BY i) AS INTEGER) AS mark FROM o1),
+mk AS (SELECT song, mark AS phrase, min(tick) AS begin_at, arg_min(length, i) AS length, sum(CASE WHEN key = 105 THEN 1 ELSE 2 END) AS flags FROM o2 WHERE is_mark AND track = 1 GROUP BY ALL),
+sp AS (SELECT song, phrase, CASE WHEN phrase = 1 THEN (begin_at - 640 + 4294967296) % 4294967296 ELSE lag(begin_at + length) OVER (PARTITION BY song ORDER BY phrase) END AS start, begin_at + length AS "end", flags FROM mk
+       UNION ALL SELECT song, 0, 0, coalesce((min(CASE WHEN is_mark THEN tick END) - 640 + 4294967296) % 4294967296, 0), 0 FROM o2 WHERE track = 1 GROUP BY song),
+ph AS (SELECT song, phrase, start, ("end" - start + 4294967296) % 4294967296 AS length, flags, max(start + ("end" - start + 4294967296) % 4294967296) OVER (PARTITION BY song ORDER BY phrase) AS reach FROM sp),
+n0 AS (SELECT o2.*, CASE WHEN track = 1 THEN mark ELSE (SELECT min(phrase) FROM ph WHERE ph.song = o2.song AND ph.reach > o2.tick) END AS phrase FROM o2 WHERE key BETWEEN 36 AND 84),
+n1 AS (SELECT n0.*, ph.flags, translate(lyric, '$#^', '') AS plain FROM n0 LEFT JOIN ph ON ph.song = n0.song AND ph.phrase = n0.phrase),
+n2 AS (SELECT *, coalesce(plain = '+', false) AS slide, lag(key) OVER w AS pkey, lag(tick + length) OVER w AS pend, lag(phrase) OVER w AS pphrase, lag(flags) OVER w AS pflags, lag(lyric) OVER w AS plyric FROM n1 WINDOW w AS (PARTITION BY song, track ORDER BY i)),
+er AS (SELECT song, track, arg_min(error, i) AS error FROM (SELECT *, CASE WHEN lyric IS NULL THEN 'note without lyric' WHEN phrase IS NULL THEN 'note without phrase' WHEN slide AND pkey IS NULL THEN 'starts with +' END AS error FROM n2) WHERE error IS NOT NULL GROUP BY ALL
+       UNION ALL SELECT song, track, 'no notes' FROM items GROUP BY ALL HAVING count(*) FILTER (key BETWEEN 36 AND 84) = 0),
+n3 AS (SELECT * FROM n2 WHERE (song, track) NOT IN (SELECT (song, track) FROM er)),
+nn AS (SELECT song, track, i, 1 AS part, tick, length % 65536 AS length, key, key AS key2, CASE WHEN slide THEN '' ELSE plain END AS lyric, phrase, flags, lead(phrase) OVER (PARTITION BY song, track ORDER BY i) IS DISTINCT FROM phrase AS last_in_phrase, slide AS portamento,
+              contains(lyric, '#') OR contains(lyric, '^') AS unpitched, contains(lyric, '^') AS generous, contains(lyric, '%') AS divider, NOT contains(lyric, '$') AS shown FROM n3
+       UNION ALL SELECT song, track, i, 0, pend, (tick - pend + 4294967296) % 65536, pkey, key, '', pphrase, pflags, false, true, false, false, false, NOT contains(plyric, '$') FROM n3 WHERE slide),
+notes AS (SELECT *, row_number() OVER (PARTITION BY song, track ORDER BY i, part) - 1 AS note FROM nn)"""
+
+
+def _vocals(spark, sf_dir):
+    e = events(spark, sf_dir)
+    tick = F.floor((F.floor(F.col("t") / 60_000_000) - 28_401_120) / 60) * 60
+    x = e.select(F.col("user_id").alias("song"), (1 + F.col("event_id") % 3).cast("int").alias("track"), "kind", "event_id", tick.alias("tick"), F.floor("value").alias("size"), "k")
+    none = F.lit(None)
+    text = F.struct((F.col("event_id") * 2).alias("seq"), F.lit(0).cast("bigint").alias("length"), none.cast("int").alias("key"), F.get(F.array(*map(F.lit, TEXTS)), F.col("k") % 9).alias("text"))
+    note = F.struct((F.col("event_id") * 2 + 1).alias("seq"), (F.col("size") + 1).alias("length"), (36 + F.col("k") % 49).alias("key"), none.cast("string").alias("text"))
+    other = F.when(F.col("kind") == "error", F.get(F.array(F.lit(116), F.lit(96), F.lit(97)), F.col("k") % 3)).when(F.col("k") % 3 == 0, 106).otherwise(105)
+    mark = F.struct((F.col("event_id") * 2).alias("seq"), F.when(F.col("kind") == "error", F.col("size")).otherwise(F.col("size") * 8 + 60).alias("length"), other.alias("key"), none.cast("string").alias("text"))
+    rows = F.when(F.col("kind") == "view", F.array(text, note)).when(F.col("kind") == "click", F.array(text)).when(F.col("kind") == "signup", F.array(note)).when(F.col("kind").isin("purchase", "error"), F.array(mark))
+    items = x.select("song", "track", "tick", F.explode(rows).alias("i")).select("song", "track", "tick", "i.*")
+    return vocals.derive(items, x.groupBy("song").agg((F.max("tick") + 1920).alias("end")))
+
+
+@query(
+    "vocal_notes",
+    f"""
+WITH {VOX}
+SELECT song AS user_id, track, note, tick, length, key, key2, lyric, phrase, CAST(flags AS BIGINT) AS flags, last_in_phrase, portamento, unpitched, generous, divider, shown, NULL AS error FROM notes
+UNION ALL SELECT song, track, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM er""",
+)
+def vocal_notes(spark, sf_dir):
+    """The notes of lead and harmonies with lyrics, slides and the phrases they lie in; a row for each track that fails."""
+    return _vocals(spark, sf_dir).notes.withColumnRenamed("song", "user_id")
+
+
+@query(
+    "vocal_phrases",
+    f"""
+WITH {VOX},
+b AS (SELECT DISTINCT song, track FROM items WHERE (song, track) NOT IN (SELECT (song, track) FROM er)),
+g AS (SELECT song, track, phrase, max(note) + 1 AS end_note, bool_or(NOT unpitched) AS pitched, bool_or(unpitched) AS unpitched FROM notes WHERE part = 1 GROUP BY ALL),
+c AS (SELECT DISTINCT song, track, CASE WHEN track = 1 THEN mark ELSE coalesce((SELECT arg_max(m.phrase, m.i) FROM notes m WHERE m.song = o2.song AND m.track = o2.track AND m.part = 1 AND m.i < o2.i), 0) END AS phrase FROM o2 WHERE key IN (96, 97)),
+r AS (SELECT song, track, CASE WHEN any_pitched THEN min(low) OVER w END AS low, CASE WHEN any_pitched THEN max(high) OVER w END AS high FROM (SELECT song, track, min(key) AS low, max(key) AS high, bool_or(NOT unpitched) AS any_pitched FROM notes WHERE part = 1 GROUP BY ALL) WINDOW w AS (PARTITION BY song ORDER BY track)),
+j AS (SELECT b.song, b.track, ph.*, g.end_note, g.pitched, g.unpitched, r.low, r.high, c.phrase IS NOT NULL AS percussion, coalesce(max(g.end_note) OVER (PARTITION BY b.song, b.track ORDER BY ph.phrase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM b JOIN ph ON ph.song = b.song LEFT JOIN g ON g.song = b.song AND g.track = b.track AND g.phrase = ph.phrase LEFT JOIN c ON c.song = b.song AND c.track = b.track AND c.phrase = ph.phrase LEFT JOIN r ON r.song = b.song AND r.track = b.track)
+SELECT song AS user_id, track, phrase, start, length, CASE WHEN phrase = 0 THEN -1 WHEN track > 1 AND end_note IS NULL THEN 0 ELSE before END AS start_note,
+       coalesce(end_note, CASE WHEN phrase = 0 THEN -1 WHEN track > 1 THEN 0 ELSE before END) AS end_note, coalesce(pitched, false) AS pitched, coalesce(unpitched, false) AS unpitched, low, high, percussion, CAST(flags AS BIGINT) AS flags FROM j""",
+)
+def vocal_phrases(spark, sf_dir):
+    """The phrases of every track: the lead's own, the harmonies' taken over."""
+    return _vocals(spark, sf_dir).phrases.withColumnRenamed("song", "user_id")
+
+
+@query(
+    "vocal_rests",
+    f"""
+WITH {VOX},
+m AS (SELECT *, tick + length AS stop, coalesce(lag(tick + length) OVER (PARTITION BY song, track ORDER BY i), 0) AS since FROM notes WHERE part = 1),
+f AS (SELECT song, track, since + CASE WHEN tick - since > 800 THEN 100 ELSE 50 END AS start, tick - CASE WHEN tick - since > 800 THEN 100 ELSE 50 END AS "end" FROM m WHERE NOT portamento AND tick - since > 600
+      UNION ALL SELECT m.song, track, arg_max(stop, i) + 100, s."end" FROM m JOIN (SELECT song, max(tick) + 1920 AS "end" FROM x GROUP BY song) s ON s.song = m.song GROUP BY m.song, track, s."end")
+SELECT song AS user_id, track, start, "end" FROM f WHERE track <> 3 UNION ALL SELECT song, 3, start, "end" FROM f WHERE track = 2 AND song IN (SELECT song FROM notes WHERE track = 3)""",
+)
+def vocal_rests(spark, sf_dir):
+    """Stretches without notes; the third track takes the second's."""
+    return _vocals(spark, sf_dir).rests.withColumnRenamed("song", "user_id")
