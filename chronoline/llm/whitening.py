@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import cut, table
+from chronoline.llm.common import sized, table
 
 SCHEMA = "vec_id {}, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
 #: a residual counts as rounding if it is at most so many units in the last place of the largest eigenvalue
@@ -77,10 +77,11 @@ def summed(rows: DataFrame, product: Callable[[np.ndarray], np.ndarray], shape:
     own blocks; Spark adds up the tasks' entries."""
 
     def part(batches):
-        total = np.zeros(shape)
+        total = None
         for x in blocks(batches):
-            total += product(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+            total = product(x) if total is None else total + product(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
 
     out = np.zeros(shape[0] * shape[1])
     for at, v in rows.mapInArrow(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
@@ -158,7 +159,8 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256, key: str =
     vector and component, components numbered from 1 by falling eigenvalue."""
     rows, width = whole(vectors, scale, key, vector)
     schema = SCHEMA.format(dict(vectors.dtypes)[key])
-    distinct = cut(rows.select("x").distinct())
+    # in as many tasks as its size asks for: each sends a matrix
+    distinct, _ = sized(rows.select("x").distinct(), F.lit(8 * width))
     found = fit(distinct, width, components, **how) if width else None
     if found is None:
         return vectors.sparkSession.createDataFrame([], schema)
