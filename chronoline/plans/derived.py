@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import activations, vocals
+from chronoline.operators import activations, venue, vocals
 from chronoline.plans.base import EVENTS, events, query, read
 
 ONSET, LOUD, SHORTEST, TOLERANCE = 0.2, 0.15, 2, 3
@@ -140,3 +140,55 @@ SELECT song AS user_id, track, start, "end" FROM f WHERE track <> 3 UNION ALL SE
 def vocal_rests(spark, sf_dir):
     """Stretches without notes; the third track takes the second's."""
     return _vocals(spark, sf_dir).rests.withColumnRenamed("song", "user_id")
+
+
+VENUE = ["[coop_all_near]", "[next]", "[lighting (manual_cool)]", "[coop_v_far]", "[ProFilm_a.pp]", "[bloom.pp]", "x [directed_vocals_cam_pt] ", "[lighting (verse)]", "[lighting (dischord)]", "[coop_b_behind]", "[posterize.pp]", "[next]", "[coop_bk_closeup]", "[unknown.pp]", "[directed_keys]", "plain", "[lighting (intro)]", "[coop_front_far]", "[idle]"]
+MINUTE = "CAST(t // 60000000 - 28401120 AS BIGINT)"
+
+
+def _any(parts):
+    return "(" + " OR ".join(f"contains(cue, '{p}')" for p in parts) + ")"
+
+
+def _case(table):
+    rules = " ".join(f"WHEN {_any(parts)}{f" AND NOT contains(cue, '{but}')" if but else ''} THEN {list(notes)}" for parts, but, notes in table)
+    return f"CASE {rules} ELSE []::INTEGER[] END"
+
+
+def _directed():
+    out = "cue"
+    for a, b in venue.DIRECTED:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@query(
+    "venue_rewrite",
+    f"""
+WITH RECURSIVE {EVENTS},
+m AS (SELECT user_id AS song, event_id AS seq, {MINUTE} AS tick, CASE WHEN kind = 'signup' THEN 37 + 4 * (k % 2) END AS key, CASE WHEN kind = 'signup' THEN 96 END AS velocity, CASE WHEN kind <> 'signup' THEN {VENUE}[k % {len(VENUE)} + 1] END AS text FROM e),
+c AS (SELECT *, trim(substr(text, strpos(text, '['))) AS cue FROM m WHERE contains(text, '[')),
+w AS (SELECT *, CASE WHEN contains(cue, '[directed') THEN 1 WHEN contains(cue, '[lighting') AND tick = 0 THEN 1 WHEN {_any(["[lighting (manual", "[lighting (dischord)]"])} THEN 2 WHEN {_any([a for a, _ in venue.CUES])} THEN 1 WHEN contains(cue, '[next]') THEN 3 WHEN contains(cue, '.pp]') THEN 4 WHEN contains(cue, '[coop') THEN 5 ELSE 0 END AS what FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY tick, seq) AS i FROM w WHERE what IN (2, 3, 5)),
+f AS (SELECT song, CAST(0 AS BIGINT) AS i, CAST(-9 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, CAST(-1 AS BIGINT) AS cut, false AS ok FROM (SELECT DISTINCT song FROM b)
+      UNION ALL SELECT song, i, seq, CASE WHEN ok AND what = 2 THEN tick + 120 ELSE a END, CASE WHEN ok AND what = 3 THEN tick + 120 ELSE z END, CASE WHEN ok AND what = 5 THEN tick + 120 ELSE cut END, ok
+      FROM (SELECT b.*, f.a, f.z, f.cut, b.tick > CASE b.what WHEN 2 THEN f.z WHEN 3 THEN f.a ELSE f.cut END AS ok FROM f JOIN b ON b.song = f.song AND b.i = f.i + 1)),
+p AS (SELECT song, seq, note > 0 AND note <> lag(note, 1, 0) OVER q AND tick >= coalesce(lag(tick) OVER q + 1920, 0) AS ok, note FROM (SELECT *, CASE {" ".join(f"WHEN cue IN ({', '.join(map(repr, names))}) THEN {note}" for note, names in venue.EFFECTS.items())} ELSE 0 END AS note FROM w WHERE what = 4) WINDOW q AS (PARTITION BY song ORDER BY tick, seq)),
+j AS (SELECT m.*, w.cue, coalesce(w.what, 0) AS what, coalesce(f.ok, p.ok) AS ok, p.note FROM m LEFT JOIN w ON w.song = m.song AND w.seq = m.seq LEFT JOIN f ON f.song = m.song AND f.seq = m.seq LEFT JOIN p ON p.song = m.song AND p.seq = m.seq),
+a AS (SELECT song, seq, tick, unnest(CASE WHEN what = 2 THEN [50] WHEN what = 3 THEN [48] WHEN what = 4 THEN [note] ELSE [60] || {_case(venue.PLAYERS)} || {_case(venue.PLACES)} END) AS key, unnest(range(12)) AS n FROM j WHERE ok),
+r AS (
+  SELECT song, seq, 0 AS g, 0 AS n, CASE WHEN (what = 0 AND key IS DISTINCT FROM 41) OR (what = 2 AND ok) THEN 'kept' ELSE 'removed' END AS action, tick, key, velocity, text FROM j
+  UNION ALL SELECT song, seq, 1, 0, 'added', tick, NULL, NULL, CASE WHEN contains(cue, '[directed') THEN {_directed()} WHEN contains(cue, '[lighting') AND tick = 0 THEN '[lighting ()]' {" ".join(f"WHEN contains(cue, '{x}') THEN '{y}'" for x, y in venue.CUES)} END FROM j WHERE what = 1
+  UNION ALL SELECT song, seq, 1, 2 * n, 'added', tick, key, 96, NULL FROM a WHERE key IS NOT NULL
+  UNION ALL SELECT song, seq, 1, 2 * n + 1, 'added', tick + 120, key, 0, NULL FROM a WHERE key IS NOT NULL
+  UNION ALL SELECT song, -1, 1, 0, 'added', 0, NULL, NULL, '[verse]' FROM (SELECT DISTINCT song FROM m)
+  UNION ALL SELECT song, 9223372036854775807, 2, 0, 'added', max(tick) + 240, NULL, NULL, 'end of track' FROM m GROUP BY song)
+SELECT song AS user_id, action, CASE WHEN action <> 'removed' THEN row_number() OVER (PARTITION BY song, action = 'removed' ORDER BY tick, g, seq, n) - 1 END AS place, tick, key, velocity, text FROM r
+WHERE song IN (SELECT song FROM m WHERE {" OR ".join(f"contains(text, '{x}')" for x in venue.NEWER)})""",
+)
+def venue_rewrite(spark, sf_dir):
+    """Each user's events as a venue track, rewritten: what stays, what goes and what comes in, in the new order."""
+    tick = F.floor(F.col("t") / 60_000_000) - 28_401_120
+    note = F.col("kind") == "signup"
+    m = events(spark, sf_dir).select(F.col("user_id").alias("song"), F.col("event_id").alias("seq"), tick.alias("tick"), F.when(note, 37 + 4 * (F.col("k") % 2)).cast("int").alias("key"), F.when(note, 96).alias("velocity"), F.when(~note, F.get(F.array(*map(F.lit, VENUE)), F.col("k") % len(VENUE))).alias("text"))
+    return venue.rewrite(m).withColumnRenamed("song", "user_id")
