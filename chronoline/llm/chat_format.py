@@ -94,9 +94,10 @@ def masked(chats: DataFrame) -> Column:
     """All text under the loss mask, unescaped and end to end: ``formatted`` cut by ``loss_spans``. Four
     bytes a code point, so that a cut needs no scan from the text's beginning; the byte order mark
     put before each piece keeps one that the text itself begins with."""
-    wide = F.encode("formatted", "UTF-32")
-    cut = lambda s: F.substring(wide, (s["start"] * 4 + 1).cast("int"), (s["length"] * 4).cast("int"))
-    return F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(F.concat(F.lit(bytes([0, 0, 0xFE, 0xFF])), cut(s)), "UTF-32"))), "")
+    cut = lambda wide, s: F.substring(wide, (s["start"] * 4 + 1).cast("int"), (s["length"] * 4).cast("int"))
+    piece = lambda wide, s: unescape(F.decode(F.concat(F.lit(bytes([0, 0, 0xFE, 0xFF])), cut(wide, s)), "UTF-32"))
+    # a lambda's own variable: the text is encoded once, not once for each span
+    return F.get(F.transform(F.array(F.encode("formatted", "UTF-32")), lambda wide: F.array_join(F.transform("loss_spans", lambda s: piece(wide, s)), "")), 0)
 
 
 def digests(chats: DataFrame) -> DataFrame:

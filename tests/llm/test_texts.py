@@ -382,3 +382,15 @@ def test_mixing(docs_of, spark):
         assert by[n][1] == pytest.approx(target[n])
         assert abs(by[n][0] - target[n]) <= 60
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_long_conversations_take_linear_time(spark):
+    """50,000 turns of one conversation: seconds, not hours."""
+    import time
+
+    rows = spark.range(50_000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat('x<|y', 25) AS text")
+    began = time.perf_counter()
+    got = chat_format.digests(chat_format.format_chats(rows)).first()
+    assert time.perf_counter() - began < 60
+    assert (got["n_turns"], got["loss_chars"], got["n_loss_spans"]) == (50_000, 25_000 * 100, 25_000)
+    assert got["loss_sha256"] == hashlib.sha256(("x<|y" * 25 * 25_000).encode()).hexdigest()
