@@ -23,8 +23,8 @@ indexed. The depth follows the largest label, for leaves of about ``leaf`` class
 the sample doesn't reach split at the whole sample's median.
 
 Defined results: a null label, a null or empty or zero vector, and one with null or non-finite
-components link with nothing; labels are integers, others count as null; a repeated vec_id keeps a
-row each; a null vec_id links but is never a component's name; an empty table gives an empty
+components link with nothing; labels of any type are equal as Spark compares them (1.0 and 1.5 differ, -0.0 is
+0.0, NaN is NaN); entries of any magnitude are scaled before they are multiplied; a repeated vec_id keeps a row each; a null vec_id links but is never a component's name; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -35,10 +35,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns, components, cut, sized
+from chronoline.llm.common import components, cut, sized
 from chronoline.llm.textcols import GOLD, mix
 
 BLOCK, POOL = 512, 256
@@ -170,7 +170,7 @@ def link_classes(classes: DataFrame, threshold: float = 0.98, trees: int = 4, le
                     at = pa.array(mine)
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), own], ["cid", "label", "vector", "m", "own"])
 
-    placed = cut(classes.select("cid", "label", "vector", "m").mapInArrow(assign, "cid bigint, label int, vector array<double>, m bigint, own array<struct<tree:int,leaf:bigint>>"))
+    placed = cut(classes.select("cid", "label", "vector", "m").mapInArrow(assign, "cid bigint, label string, vector array<double>, m bigint, own array<struct<tree:int,leaf:bigint>>"))
     where = ["label", "dim", "tree", "leaf"]
     rows = placed.select("cid", "label", F.size("vector").alias("dim"), F.explode("own").alias("o")).select("cid", "label", "dim", "o.*")
     counts = rows.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -183,6 +183,8 @@ def link_classes(classes: DataFrame, threshold: float = 0.98, trees: int = 4, le
         cid, block, m = (t.column(c).to_numpy() for c in ("cid", "block", "m"))
         i, j, tree, leaf = (t.column(c)[0].as_py() for c in ("i", "j", "tree", "leaf"))
         x = pc.list_flatten(t.column("vector")).to_numpy().reshape(len(cid), -1)
+        # by a power of two, which is exact, so that no product passes the range of a double
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
         size = np.linalg.norm(x, axis=1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         near = (x[left] @ x[right].T) / (size[left][:, None] * size[right][None, :]) >= threshold
@@ -207,9 +209,17 @@ def link_classes(classes: DataFrame, threshold: float = 0.98, trees: int = 4, le
     return rows.groupBy(*where, "i", "j").applyInArrow(compare, "a bigint, b bigint, others bigint")
 
 
+def _name(vectors: DataFrame, label: str) -> Column:
+    """A string for each different label."""
+    kind, c = dict(vectors.dtypes)[label], F.col(f"`{label}`")
+    if kind in ("float", "double"):
+        c = c + F.lit(0.0).cast(kind)
+    return F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) if kind.startswith(("array", "struct", "map")) else c.cast("string")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 4, leaf: int = 128, spill: float = 0.08, fit: int = 16_384, vec: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector."""
-    rows = columns(vectors, vec_id=(vec, "bigint"), embedding=(embedding, "array<double>"), label=(label, "int"))
+    rows = vectors.select(F.col(f"`{vec}`").cast("bigint").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"), _name(vectors, label).alias("label"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("cid", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", F.transform("embedding", lambda x: x + F.lit(0.0)))))
     classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.first("label").alias("label"), F.first("embedding").alias("vector"), F.count("*").alias("m"), F.min("vec_id").alias("rep"))

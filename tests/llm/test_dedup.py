@@ -205,3 +205,14 @@ def test_components_of_chains_hubs_and_random_links(spark, monkeypatch, rows):
     got = {x["node"]: x["component"] for x in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_embedding_labels_as_they_are_and_any_magnitude(spark):
+    links = lambda rows, kind: {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    v, w = [1.0, 2.0], [1.0, 2.01]
+    assert links([(1, v, 1.0), (2, w, 1.5), (3, w, 1.0), (4, v, -0.0), (5, w, 0.0), (6, v, float("nan")), (7, w, float("nan"))], "double") == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert links([(1, v, "a"), (2, w, "A"), (3, w, "a"), (4, v, None), (5, v, None), (6, v, "")], "string") == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
+    assert links([(1, v, 1 << 40), (2, w, (1 << 40) + 1), (3, w, 1 << 40)], "long") == {1: 1, 2: 0, 3: 1}
+    assert links([(1, v, ["a, b"]), (2, w, ["a", "b"]), (3, w, ["a, b"])], "array<string>") == {1: 1, 2: 0, 3: 1}
+    far = [(1, [1e200, 0.0], 1), (2, [1e200, 1e190], 1), (3, [1e-200, 0.0], 2), (4, [1e-200, 1e-210], 2), (5, [5e-324, 0.0], 2), (6, [1e308, 1e308], 1)]
+    assert links(far, "int") == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2, 6: 0}
