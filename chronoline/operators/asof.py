@@ -27,9 +27,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     tie_key = F.col(f"_r.{tie}") if tie else F.lit(0)
     side = F.col("_l").isNotNull().cast("int")
     back_w = Window.partitionBy(*keys).orderBy(F.col("_t"), side, tie_key.desc()).rowsBetween(Window.unboundedPreceding, 0)
-    fore_w = Window.partitionBy(*keys).orderBy(F.col("_t"), (-side), tie_key.asc()).rowsBetween(0, Window.unboundedFollowing)
+    # from the end backwards: a frame that ends with the partition would be scanned anew for every row
+    fore_w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), side, tie_key.desc()).rowsBetween(Window.unboundedPreceding, 0)
     valid = F.when(F.col("_t").isNotNull(), F.col("_r"))
-    back, fore = F.last(valid, True).over(back_w), F.first(valid, True).over(fore_w)
+    back, fore = F.last(valid, True).over(back_w), F.last(valid, True).over(fore_w)
     if direction == "backward":
         both = both.withColumn("_m", back)
     elif direction == "forward":

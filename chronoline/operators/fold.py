@@ -74,6 +74,16 @@ def throttle(rows: DataFrame, keys: list[str], order: list[str], at: str, spacin
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND _g IS NOT NULL").drop("_g", "_n")
 
 
+def note_runs(notes: DataFrame, keys: list[str]) -> DataFrame:
+    """Notes (start, end) as (keys, at, b, reach, run_end): runs of notes each of which begins before the latest end so
+    far, which is ``reach``; reversed notes are left out."""
+    w = Window.partitionBy(*keys).orderBy("at", "b")
+    n = notes.where(F.col("start") <= F.col("end")).select(*keys, F.col("start").cast("long").alias("at"), F.col("end").cast("long").alias("b"))
+    n = n.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = n.withColumn("run", F.sum(F.coalesce((F.col("at") >= F.lag("reach").over(w)).cast("long"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return n.withColumn("run_end", F.max("b").over(Window.partitionBy(*keys, "run")))
+
+
 def refine_timing(words: DataFrame, onsets: DataFrame, notes: DataFrame, keys: list[str], before: int, after: int, slack: int, late: int) -> DataFrame:
     """Words (word_id, start, end) moved to sung onsets: the earliest onset in [start - before,
     start + after] that is no earlier than the end sung so far less ``slack``, if the word is at
@@ -89,11 +99,7 @@ def refine_timing(words: DataFrame, onsets: DataFrame, notes: DataFrame, keys: l
     near = words.select(*keys, "word_id", (F.col("start") - before).alias("start"), (F.col("start") + after + 1).alias("end"))
     o = onsets.select(*keys, F.col("t").alias("r_start"), (F.col("t") + 1).alias("r_end"))
     o = overlap_join(near, o, keys, width).groupBy(*keys, "word_id").agg(F.sort_array(F.collect_set("r_start")).alias("onsets"))
-    w = Window.partitionBy(*keys).orderBy("at", "b")
-    n = notes.where(F.col("start") <= F.col("end")).select(*keys, F.col("start").cast("long").alias("at"), F.col("end").cast("long").alias("b"))
-    n = n.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = n.withColumn("run", F.sum(F.coalesce((F.col("at") >= F.lag("reach").over(w)).cast("long"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = n.withColumn("run_end", F.max("b").over(Window.partitionBy(*keys, "run")))
+    n = note_runs(notes, keys)
     # the last note that begins before a word's end, its run's reach until there and its run's end
     n = n.select(*keys, "at", F.lit(1).alias("side"), F.lit(None).cast(words.schema["word_id"].dataType).alias("word_id"), F.struct("reach", "run_end").alias("note"))
     both = n.unionByName(words.select(*keys, F.col("end").cast("long").alias("at"), F.lit(0).alias("side"), "word_id"), allowMissingColumns=True)
@@ -113,3 +119,51 @@ def refine_timing(words: DataFrame, onsets: DataFrame, notes: DataFrame, keys: l
 
     out = fold_rows(rows, keys, ["start", "word_id"], ["start", "end", "onsets", "reach", "run_end"], step, "moved", "struct<start:bigint,end:bigint>")
     return out.select(*keys, "word_id", F.col("start").alias("start_before"), "moved.start", "moved.end")
+
+
+def refine_by_notes(words: DataFrame, notes: DataFrame, keys: list[str], order: list[str], before: int, after: int, slack: int, most: int) -> DataFrame:
+    """Words (word_id, start, end) moved to notes (start, end) where there are no onsets: the note list is read in its
+    own ``order``, whatever the times, up to the first note that begins after start + after. Of the notes that
+    begin in [start - before, start + after] and no earlier than the end sung so far less ``slack``, each that is
+    nearer than the ones before, and nearer than ``most``, takes the word and grows its end. Then the end grows
+    over every note, again in list order, that begins before it and ends past the start.
+
+    Where a word stops reading is a running minimum and an as-of, a word's own notes a bucketed range join; how far an end
+    can grow is bounded by the run of notes it lies in, so the fold sees a word's own notes only."""
+    from chronoline.operators.asof import asof
+    from chronoline.operators.interval import overlap_join
+
+    listed = notes.where(F.col("start") <= F.col("end")).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    late = listed.select(*keys, F.col("start").alias("at"), F.min("_i").over(Window.partitionBy(*keys).orderBy(F.col("start").desc())).alias("stop"))
+    own = words.select(*keys, "word_id", "start", "end", (F.col("start") + after + 1).alias("past"))
+    own = asof(own, late, keys, "past", "at", "forward", tie="stop", prefix="").drop("past", "at")
+    spans = listed.select(*keys, "_i", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    width = 4 * max(before, after, 1)
+    points = spans.select(*keys, "_i", "r_start", (F.col("r_start") + 1).alias("r_stop"), "r_end")
+    near = own.select(*keys, "word_id", "stop", (F.col("start") - before).alias("start"), (F.col("start") + after + 1).alias("end"))
+    near = overlap_join(near, points, keys, width, r_end="r_stop").where(F.col("stop").isNull() | (F.col("_i") < F.col("stop")))
+    as_list = lambda name: F.array_sort(F.collect_list(F.struct("_i", F.col("r_start").alias("s"), F.col("r_end").alias("e")))).alias(name)
+    near = near.groupBy(*keys, "word_id").agg(as_list("near"))
+    own = own.join(near, [*keys, "word_id"], "left").withColumn("reach", F.greatest("end", F.array_max(F.transform("near", lambda x: x["e"]))))
+    runs = note_runs(notes, keys).select(*keys, "at", "run_end").groupBy(*keys, "at").agg(F.max("run_end").alias("run_end"))
+    own = asof(own.withColumn("last", F.col("reach") - 1), runs, keys, "last", "at", "backward", prefix="").withColumn("reach", F.greatest("reach", "run_end"))
+    grow = own.select(*keys, "word_id", (F.col("start") - before).alias("start"), F.col("reach").alias("end"))
+    grow = overlap_join(grow, spans, keys, width).groupBy(*keys, "word_id").agg(as_list("grow"))
+    rows = own.select(*keys, "word_id", "start", "end", "near").join(grow, [*keys, "word_id"], "left")
+
+    def step(sung, start, end, near, grow):
+        floor = None if sung is None else sung - slack
+        at, least = start, most
+        for x in near if near is not None else ():
+            gap = abs(x["s"] - start)
+            if gap < least and (floor is None or x["s"] >= floor):
+                at, least = x["s"], gap
+                if x["e"] > x["s"]:
+                    end = max(end, x["e"])
+        for x in grow if grow is not None else ():
+            if x["s"] < end and x["e"] > at:
+                end = max(end, x["e"])
+        return {"start": int(at), "end": int(end)}, int(end) if sung is None else max(sung, int(end))
+
+    out = fold_rows(rows, keys, ["start", "word_id"], ["start", "end", "near", "grow"], step, "moved", "struct<start:bigint,end:bigint>")
+    return out.select(*keys, "word_id", F.col("start").alias("start_before"), "moved.start", "moved.end")

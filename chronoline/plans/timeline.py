@@ -152,6 +152,33 @@ def word_timing_fold(spark, sf_dir):
     return fold.refine_timing(w, o, n, U, 6 * HOUR, HOUR, 15 * MIN, 10 * MIN)
 
 
+#: the same without onsets: notes are read in a list order of their own, here by pitch
+BY_NOTES = f"""
+ns AS (SELECT user_id, list({{'s': n_start, 'e': n_end, 'best': 0::BIGINT, 'stop': false}} ORDER BY pitch, note_id) AS ns FROM n WHERE n_start <= n_end GROUP BY user_id),
+ws AS (SELECT w.user_id, w.event_id, w.start, w."end", row_number() OVER (PARTITION BY w.user_id ORDER BY w.start, w.event_id) AS i, coalesce(ns, []) AS ns FROM w LEFT JOIN ns ON w.user_id = ns.user_id),
+step AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS word_id, NULL::BIGINT AS start_before, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::BIGINT AS sung FROM ws
+  UNION ALL
+  SELECT user_id, i, word_id, t, a, z, greatest(coalesce(sung, z), z) FROM (
+    SELECT *, p.s AS a, list_reduce(ns, lambda x, y: CASE WHEN y.s < x.e AND y.e > p.s THEN {{'s': x.s, 'e': greatest(x.e, y.e), 'best': x.best, 'stop': false}} ELSE x END, p).e AS z FROM (
+      SELECT ws.user_id, ws.i, ws.event_id AS word_id, ws.start AS t, step.sung, ws.ns, list_reduce(ws.ns, lambda x, y: CASE
+          WHEN x.stop OR y.s < ws.start - {6 * HOUR} THEN x
+          WHEN y.s > ws.start + {HOUR} THEN {{'s': x.s, 'e': x.e, 'best': x.best, 'stop': true}}
+          WHEN y.s < coalesce(step.sung, -9000000000000000000) - {15 * MIN} THEN x
+          WHEN abs(y.s - ws.start) < x.best THEN {{'s': y.s, 'e': CASE WHEN y.e > y.s THEN greatest(x.e, y.e) ELSE x.e END, 'best': abs(y.s - ws.start), 'stop': false}}
+          ELSE x END, {{'s': ws.start, 'e': ws."end", 'best': {5 * HOUR}::BIGINT, 'stop': false}}) AS p
+      FROM step JOIN ws ON ws.user_id = step.user_id AND ws.i = step.i + 1)))
+SELECT user_id, word_id, start_before, start, "end" FROM step WHERE i > 0"""
+
+
+@query("word_timing_by_notes", f"WITH RECURSIVE {VIEWS}, {BY_NOTES}")
+def word_timing_by_notes(spark, sf_dir):
+    """The fallback of ``word_timing_fold``: words snap to the nearest note of an unsorted list."""
+    w = words(spark, sf_dir).withColumnRenamed("event_id", "word_id").drop("k")
+    n = notes(spark, sf_dir).select("user_id", "note_id", "pitch", F.col("n_start").alias("start"), F.col("n_end").alias("end"))
+    return fold.refine_by_notes(w, n, U, ["pitch", "note_id"], 6 * HOUR, HOUR, 15 * MIN, 5 * HOUR)
+
+
 @query(
     "interval_contains_lanes",
     f"""
