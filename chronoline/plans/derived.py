@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.operators import activations, venue, vocals
+from chronoline.operators import activations, gems, venue, vocals
 from chronoline.plans.base import EVENTS, events, query, read
 
 ONSET, LOUD, SHORTEST, TOLERANCE = 0.2, 0.15, 2, 3
@@ -192,3 +192,114 @@ def venue_rewrite(spark, sf_dir):
     note = F.col("kind") == "signup"
     m = events(spark, sf_dir).select(F.col("user_id").alias("song"), F.col("event_id").alias("seq"), tick.alias("tick"), F.when(note, 37 + 4 * (F.col("k") % 2)).cast("int").alias("key"), F.when(note, 96).alias("velocity"), F.when(~note, F.get(F.array(*map(F.lit, VENUE)), F.col("k") % len(VENUE))).alias("text"))
     return venue.rewrite(m).withColumnRenamed("song", "user_id")
+
+
+GEMS = f"""{EVENTS},
+x AS (SELECT user_id AS song, event_id AS seq, {TICK} + k % 7 AS tick, CAST(floor(value) AS BIGINT) AS size, k, kind FROM e)"""
+GEM_KEY = "[60, 72, 84, 96][k // 25 + 1] + k % 5"
+GUITAR = f"""{GEMS},
+items AS (SELECT song, seq, tick, CASE WHEN kind IN ('purchase', 'error') THEN size * 16 ELSE size * 3 END AS length,
+       CASE kind WHEN 'purchase' THEN [101, 102, 89, 90][k % 4 + 1] WHEN 'error' THEN [126, 127, 116, 103, 120, 40 + k % 20][k % 6 + 1] ELSE {GEM_KEY} END AS key FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY tick, 127 - key, seq) AS i FROM items),
+g AS (SELECT *, CASE WHEN key BETWEEN 60 AND 64 THEN 0 WHEN key BETWEEN 72 AND 76 THEN 1 WHEN key BETWEEN 84 AND 88 THEN 2 WHEN key BETWEEN 96 AND 100 THEN 3 END AS level,
+             CASE WHEN key BETWEEN 60 AND 64 THEN key - 60 WHEN key BETWEEN 72 AND 76 THEN key - 72 WHEN key BETWEEN 84 AND 88 THEN key - 84 WHEN key BETWEEN 96 AND 100 THEN key - 96 END AS lane FROM o)"""
+
+
+def _gem_items(spark, sf_dir, markers):
+    e = events(spark, sf_dir)
+    tick = F.floor((F.floor(F.col("t") / 60_000_000) - 28_401_120) / 60) * 60 + F.col("k") % 7
+    gem = F.get(F.array(*map(F.lit, (60, 72, 84, 96))), F.expr("k div 25").cast("int")) + F.col("k") % 5
+    key, length = gem, F.floor("value") * 3
+    for kind, keys in markers.items():
+        pick = F.get(F.array(*(k if hasattr(k, "alias") else F.lit(k) for k in keys)), F.col("k") % len(keys))
+        key, length = F.when(F.col("kind") == kind, pick).otherwise(key), F.when(F.col("kind") == kind, F.floor("value") * 16).otherwise(length)
+    return e.select(F.col("user_id").alias("song"), F.col("event_id").alias("seq"), tick.alias("tick"), length.alias("length"), key.cast("int").alias("key"))
+
+
+def _guitar(spark, sf_dir):
+    return gems.guitar(_gem_items(spark, sf_dir, {"purchase": (101, 102, 89, 90), "error": (126, 127, 116, 103, 120, 40 + F.col("k") % 20)}), threshold=1000)
+
+
+@query(
+    "guitar_chords",
+    f"""
+WITH RECURSIVE {GUITAR},
+f AS (SELECT *, CASE WHEN key IN (101, 102) THEN 3 WHEN key IN (89, 90) THEN 2 END AS flevel FROM g),
+s AS (SELECT g.*, f.key IN (101, 89) AS force_on, f.tick + f.length > g.tick AS force_open FROM g LEFT JOIN f ON f.song = g.song AND f.i = (SELECT max(i) FROM f q WHERE q.song = g.song AND q.i < g.i AND q.flevel = g.level) WHERE g.lane IS NOT NULL),
+n AS (SELECT *, coalesce(force_open AND force_on, false) AS fon, coalesce(force_open AND NOT force_on, false) AS foff, row_number() OVER (PARTITION BY song, level ORDER BY i) AS j FROM s),
+c AS (SELECT song, level, j, tick AS chord FROM n WHERE j = 1 UNION ALL SELECT n.song, n.level, n.j, CASE WHEN n.tick - c.chord >= 5 THEN n.tick ELSE c.chord END FROM c JOIN n ON n.song = c.song AND n.level = c.level AND n.j = c.j + 1),
+h AS (SELECT song, level, chord, arg_min(length, j) AS length, arg_min(lane, j) AS lane, arg_min(fon, j) AS fon, arg_min(foff, j) AS foff, bit_or(1 << lane) AS lanes, count(*) AS n, bool_and(fon OR j = first_j) AS kept
+      FROM (SELECT n.*, c.chord, min(n.j) OVER (PARTITION BY n.song, n.level, c.chord) AS first_j FROM n JOIN c ON c.song = n.song AND c.level = n.level AND c.j = n.j) GROUP BY ALL),
+r AS (SELECT *, fon OR (coalesce(chord - lag(chord) OVER w <= 1000 AND (1 << lane) & lag(lanes) OVER w = 0, false) AND NOT foff) AS hammer FROM h WINDOW w AS (PARTITION BY song, level ORDER BY chord))
+SELECT song AS user_id, level, chord AS tick, length, CAST(lanes AS INTEGER) AS lanes, hammer AND kept AND level > 1 AS hammer, length <= 120 OR ((hammer OR level <= 2) AND length <= 160) AS no_tail, CASE WHEN n = 1 THEN lane > 1 ELSE lanes & 3 = 0 END AS cymbal FROM r""",
+)
+def guitar_chords(spark, sf_dir):
+    """Chords of each difficulty, hammer-ons by distance and by force markers."""
+    return _guitar(spark, sf_dir)[0].withColumnRenamed("song", "user_id")
+
+
+@query(
+    "guitar_marks",
+    f"""
+WITH {GUITAR},
+m AS (SELECT *, tick + length AS "end" FROM g WHERE lane IS NULL),
+a AS (SELECT m.song, m.i, g.lane, row_number() OVER (PARTITION BY m.song, m.i ORDER BY g.i) AS n FROM g JOIN m ON m.song = g.song AND m.key IN (126, 127) AND m."end" > g.tick AND m.i = (SELECT max(q.i) FROM m q WHERE q.song = g.song AND q.key = m.key AND q.i < g.i) WHERE g.level = 3),
+b AS (SELECT song, i, bit_or(1 << lane) AS lanes, max(CASE WHEN n = 1 THEN lane END) AS first, max(CASE WHEN n = 2 THEN lane END) AS second FROM a GROUP BY ALL),
+t AS (SELECT m.song, m.tick, m."end", b.first, b.second, lead(m.i) OVER (PARTITION BY m.song ORDER BY m.i) IS NOT NULL AS follows FROM m LEFT JOIN b ON b.song = m.song AND b.i = m.i WHERE m.key = 127)
+SELECT m.song AS user_id, 'tremolo' AS kind, tick, "end", CAST(coalesce(lanes, 0) AS INTEGER) AS lanes, NULL AS first, NULL AS second, NULL AS position FROM m LEFT JOIN b ON b.song = m.song AND b.i = m.i WHERE key = 126
+UNION ALL SELECT song, 'trill', tick, "end", NULL, coalesce(first, -1), coalesce(second, CASE WHEN follows THEN first END, -1), NULL FROM t WHERE NOT follows OR first IS NOT NULL
+UNION ALL SELECT song, CASE key WHEN 116 THEN 'overdrive' WHEN 103 THEN 'solo' WHEN 120 THEN 'fill' ELSE 'hand' END, tick, "end", NULL, NULL, NULL, CASE WHEN key BETWEEN 40 AND 59 THEN key - 40 END FROM m WHERE key IN (116, 103, 120) OR key BETWEEN 40 AND 59""",
+)
+def guitar_marks(spark, sf_dir):
+    """Tremolos with their lanes, trills with their frets, hand positions and sections."""
+    return _guitar(spark, sf_dir)[1].withColumnRenamed("song", "user_id")
+
+
+DRUMS = f"""{GEMS},
+items AS (SELECT song, seq, tick, CASE WHEN kind IN ('purchase', 'error') THEN size * 16 ELSE size * 3 END AS length,
+       CASE kind WHEN 'purchase' THEN [110, 111, 112][k % 3 + 1] WHEN 'error' THEN [126, 127, 116, 103, 120][k % 5 + 1] ELSE {GEM_KEY} END AS key FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY tick, CASE WHEN key <= 100 THEN 127 ELSE key END, length, seq) AS i FROM items),
+g AS (SELECT *, CASE WHEN key < 101 THEN [60, 72, 84, 96] END AS f, CASE WHEN key BETWEEN 60 AND 64 THEN 0 WHEN key BETWEEN 72 AND 76 THEN 1 WHEN key BETWEEN 84 AND 88 THEN 2 WHEN key BETWEEN 96 AND 100 THEN 3 END AS level FROM o),
+d AS (SELECT * EXCLUDE (f), key - f[level + 1] AS lane, CASE WHEN key BETWEEN 110 AND 112 THEN key - 108 END AS tom FROM g)"""
+
+
+def _drums(spark, sf_dir):
+    return gems.drums(_gem_items(spark, sf_dir, {"purchase": (110, 111, 112), "error": (126, 127, 116, 103, 120)}))
+
+
+@query(
+    "drum_gems",
+    f"""
+WITH {DRUMS},
+l AS (SELECT DISTINCT t.song, (SELECT max(q.i) FROM d q WHERE q.song = t.song AND q.level = v.level AND q.i < t.i) AS i, t.tick, t.tom FROM d t, (VALUES (2), (3)) v(level) WHERE t.tom IS NOT NULL)
+SELECT d.song AS user_id, d.level, d.tick, d.length, d.lane,
+       d.lane > 1 AND coalesce((SELECT arg_max(t.tick + t.length, t.i) FROM d t WHERE t.song = d.song AND t.tom = d.lane AND t.i < d.i) <= d.tick, true) AND NOT EXISTS (SELECT 1 FROM l WHERE l.song = d.song AND l.i = d.i AND l.tom = d.lane AND l.tick - d.tick < 5) AS cymbal
+FROM d WHERE d.lane IS NOT NULL""",
+)
+def drum_gems(spark, sf_dir):
+    """Drum gems, and which of them are cymbals by their lane's tom markers."""
+    return _drums(spark, sf_dir)[0].withColumnRenamed("song", "user_id")
+
+
+@query(
+    "drum_marks",
+    f"""
+WITH {DRUMS},
+m AS (SELECT *, tick + length AS "end" FROM d WHERE lane IS NULL AND tom IS NULL),
+b AS (SELECT m.song, m.i, bit_or(1 << d.lane) AS lanes FROM d JOIN m ON m.song = d.song AND m.key IN (126, 127) AND m."end" > d.tick AND m.i = (SELECT max(q.i) FROM m q WHERE q.song = d.song AND q.key IN (126, 127) AND q.i < d.i) WHERE d.level = 3 GROUP BY ALL)
+SELECT m.song AS user_id, CASE key WHEN 116 THEN 'overdrive' WHEN 103 THEN 'solo' WHEN 120 THEN 'fill' ELSE 'roll' END AS kind, tick, "end", CASE WHEN key IN (126, 127) THEN CAST(coalesce(lanes, 0) AS INTEGER) END AS lanes FROM m LEFT JOIN b ON b.song = m.song AND b.i = m.i""",
+)
+def drum_marks(spark, sf_dir):
+    """Rolls with their lanes, fills and sections."""
+    return _drums(spark, sf_dir)[1].withColumnRenamed("song", "user_id")
+
+
+@query(
+    "drum_toms",
+    f"""
+WITH {DRUMS}, p AS (SELECT song, tick, tick + length AS "end", tom FROM d WHERE tom IS NOT NULL AND length > 0), k AS (SELECT song, tick FROM p UNION SELECT song, "end" FROM p)
+SELECT k.song AS user_id, k.tick, CAST(coalesce((SELECT bit_or(1 << p.tom) FROM p WHERE p.song = k.song AND p.tick <= k.tick AND p."end" > k.tick), 0) AS BIGINT) AS flags FROM k""",
+)
+def drum_toms(spark, sf_dir):
+    """The toms that hold from each tick on."""
+    return _drums(spark, sf_dir)[2].withColumnRenamed("song", "user_id")
