@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoline.session import cut
+
 
 def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     """(node, path, depth) of every node that leads to a root (a node whose parent is null or absent).
@@ -14,13 +16,13 @@ def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     null nodes are no nodes."""
     up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s")).distinct()
     known = up.select(F.col("n").alias("k")).distinct()
-    first = _settled(up.join(known, up["p"] == known["k"], "left").select("n", F.col("k").alias("up"), "s"))
+    first = cut(up.join(known, up["p"] == known["k"], "left").select("n", F.col("k").alias("up"), "s"))
     ids = first.select("n", "up").where("up IS NOT NULL")
     rounds = first.count().bit_length() + 1  # no walk without a cycle is longer than there are nodes
     left = 1
     for _ in range(rounds):
         far = ids.select(F.col("n").alias("_n"), F.col("up").alias("_up"))
-        ids = _settled(ids.join(far, ids["up"] == far["_n"]).select("n", F.col("_up").alias("up")))
+        ids = cut(ids.join(far, ids["up"] == far["_n"]).select("n", F.col("_up").alias("up")))
         left = ids.count()
         if not left:
             break
@@ -30,7 +32,7 @@ def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     while not step.where("up IS NOT NULL").isEmpty():
         far = step.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("tail").alias("_tail"))
         step = step.join(far, step["up"] == far["_n"], "left").select("n", F.when(F.col("_n").isNull(), None).otherwise(F.col("_up")).alias("up"), F.when(F.col("_n").isNull(), F.col("tail")).otherwise(F.concat("_tail", "tail")).alias("tail"))
-        step = _settled(step)
+        step = cut(step)
     return step.select(F.col("n").alias(node), F.concat(F.lit("/"), F.array_join("tail", "/")).alias("path"), F.size("tail").cast("long").alias("depth"))
 
 
@@ -41,27 +43,19 @@ def chains(blocks: DataFrame, block: str, following: str) -> DataFrame:
     blocks; a cycle that no head leads into lies in no chain."""
     known = blocks.select(F.col(block).alias("k")).where("k IS NOT NULL").distinct()
     jump = blocks.select(F.col(block).alias("n"), F.col(following).alias("k")).where("n IS NOT NULL").join(known, "k").select("n", F.col("k").alias("to")).distinct()
-    jump = _settled(jump)
+    jump = cut(jump)
     walked = known.join(jump.where("n != to"), known["k"] == jump["to"], "left_anti").select(F.col("k").alias("head"), F.col("k").alias("block"), F.lit(0).cast("long").alias("step"))
-    walked, n, far = _settled(walked), -1, 1
+    walked, n, far = cut(walked), -1, 1
     while (size := walked.count()) > n:
         n = size
         further = walked.join(jump, walked["block"] == jump["n"]).select("head", F.col("to").alias("block"), (F.col("step") + far).alias("step"))
-        walked = _settled(walked.union(further).groupBy("head", "block").agg(F.min("step").alias("step")))
+        walked = cut(walked.union(further).groupBy("head", "block").agg(F.min("step").alias("step")))
         onward = jump.select(F.col("n").alias("_n"), F.col("to").alias("_to"))
-        jump = _settled(jump.join(onward, jump["to"] == onward["_n"]).select("n", F.col("_to").alias("to")))
+        jump = cut(jump.join(onward, jump["to"] == onward["_n"]).select("n", F.col("_to").alias("to")))
         far *= 2
     return walked
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration in the shared checkpoint folder, where there is one."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return df.checkpoint()
-    return df
-
-
 def extents(files: DataFrame, order: list[str], size: str, block: int, per_range: int = 1_000_000) -> DataFrame:
     """Files with blocks and start_block when laid out one after another in order: a running sum over the
     whole table. It is taken in two levels, within ranges of the first order column (numbers or times),

@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from chronoline.plans.base import ALL, Query  # noqa: F401
-from chronoline.plans import chart, composed, derived, tables, timeline  # noqa: F401
+from chronoline.plans import chart, composed, derived, structures, tables, timeline  # noqa: F401
