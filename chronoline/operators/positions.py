@@ -52,12 +52,13 @@ def tour(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFram
 
     A root is a node whose parent is null or absent; nodes that lead into a cycle reach no root and are left out; of
     repeated nodes the first by ``order`` counts; null nodes are no nodes."""
-    first = Window.partitionBy("n").orderBy(*order, "up")
-    up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), *order)
+    named = [f"_o{i}" for i in range(len(order))]
+    up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), *(F.col(c).alias(o) for c, o in zip(order, named, strict=True)))
+    first = Window.partitionBy("n").orderBy(*named, "up")
     up = up.withColumn("_i", F.row_number().over(first)).where("_i = 1").drop("_i")
     known = up.select(F.col("n").alias("k"))
-    up = cut(up.join(known, up["up"] == known["k"], "left").select("n", F.col("k").alias("up"), *order))
-    siblings = Window.partitionBy("up").orderBy(*order, "n")
+    up = cut(up.join(known, up["up"] == known["k"], "left").select("n", F.col("k").alias("up"), *named))
+    siblings = Window.partitionBy("up").orderBy(*named, "n")
     up = up.withColumns({"older": F.lag("n").over(siblings), "younger": F.lead("n").over(siblings)})
     child = up.where("older IS NULL AND up IS NOT NULL").select(F.col("up").alias("n"), F.col("n").alias("child"))
     # steps: 2 * n enters and 2 * n + 1 leaves, as (node, side); roots are siblings
