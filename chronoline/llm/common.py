@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from chronoline.session import checkpoint_dir, cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; sets a local one only where that is unset and Spark is local."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and drops its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: bytes, as ``sized`` reckons them, for each partition of an intermediate table
 PER_TASK = 4 << 20
 

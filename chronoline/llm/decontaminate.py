@@ -13,7 +13,9 @@ Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. If
 has at most ``most_seeds`` seeds, they are broadcast for the join, and a Bloom filter of them
 keeps seeds that can't join from leaving the task that reads the text; beyond that both sides
 are joined by shuffle, without a filter. Only documents with a seed left carry their text on.
-Copies of items share their seeds; each is reported.
+Copies of items share their seeds; each is reported. A seed is one row of a document or item with all its
+places there, so a repeated word or phrase joins once, and its diagonals are found by subtraction or, where
+that would be long, by a correlation; documents then stream past with one item at a time beside them.
 
 Defined results: null or empty texts and items match nothing; items with a null id are no items;
 items shorter than the masks are matched as a whole by their own words; texts of any length are
@@ -109,7 +111,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float =
     that contaminate it, with the span in words and how many of its words are equal."""
     items = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("item_text")).where("item IS NOT NULL")
     docs = columns(docs, doc_id=(doc, "bigint"), text=(text, "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    seeds = cut(items.mapInArrow(_item_rows(masks), "item bigint, seed bigint, item_at bigint, short int"))
+    seeds = items.mapInArrow(_item_rows(masks), "item bigint, seed bigint, item_at bigint, short int")
+    seeds = cut(seeds.groupBy("item", "seed").agg(F.array_sort(F.collect_set("item_at")).alias("item_at"), F.max("short").alias("short")))
     few = seeds.count() <= most_seeds
     table = seeds.select("seed").distinct().toArrow()["seed"].to_numpy() if few else None  # at most most_seeds values of 8 bytes
     sent = docs.sparkSession.sparkContext.broadcast(Sieve(table.view(np.uint64))) if few else None
@@ -123,10 +126,14 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float =
                 n_words.append(np.diff(w.first))
                 g, p = _all_seeds(w, masks, short)
                 pick = sent.value.pick(g) if few else np.arange(len(g))
-                pick = pick[np.argsort(w.doc[p[pick]], kind="stable")]
-                d = w.doc[p[pick]]
-                parts.append(pa.StructArray.from_arrays([pa.array(signed(g[pick])), pa.array(p[pick] - w.first[d])], ["seed", "doc_at"]))
-                n = np.bincount(d, minlength=len(at) - 1)
+                pick = pick[np.lexsort((p[pick], g[pick], w.doc[p[pick]]))]
+                d, g, p = w.doc[p[pick]], g[pick], p[pick]
+                new = np.ones(len(pick), bool)
+                new[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+                first = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pick)), pa.int32()), pa.array(p - w.first[d]))
+                parts.append(pa.StructArray.from_arrays([pa.array(signed(g[first])), places], ["seed", "doc_at"]))
+                n = np.bincount(d[first], minlength=len(at) - 1)
                 some.append(n > 0)
                 offsets.append(offsets[-1][-1] + np.cumsum(n))
             if n_words:
@@ -134,37 +141,65 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, agreement: float =
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.concat_arrays(parts))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n_words), pa.int64()), texts, lists], ["row", "doc_id", "n_words", "text", "seeds"])
 
-    kept = cut(docs.mapInArrow(sift, "row bigint, doc_id bigint, n_words bigint, text string, seeds array<struct<seed:bigint,doc_at:bigint>>"))
+    kept = cut(docs.mapInArrow(sift, "row bigint, doc_id bigint, n_words bigint, text string, seeds array<struct<seed:bigint,doc_at:array<bigint>>>"))
     hits = kept.select("row", F.explode("seeds").alias("s")).select("row", "s.*").join(F.broadcast(seeds) if few else seeds, "seed")
-    hits = hits.select("row", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-    # a document's items with their texts and diagonals beside its own text, once
-    mine = hits.groupBy("row", "item").agg(F.collect_set("diagonal").alias("diagonals")).join(F.broadcast(items) if few else items, "item")
-    mine = mine.groupBy("row").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("items"))
+    mine = hits.groupBy("row", "item").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("places")).join(F.broadcast(items) if few else items, "item")
+    # a document's text, and after it a row for each of its items
+    none = lambda kind: F.lit(None).cast(kind)
+    both = kept.where("text IS NOT NULL").select("row", "text", none("bigint").alias("item"), none("string").alias("item_text"), none(PLACES).alias("places"))
+    both = both.unionByName(mine.select("row", none("string").alias("text"), "item", "item_text", "places"))
+    both = both.repartition("row").sortWithinPartitions("row", F.col("item").asc_nulls_first())
 
     def verify(batches):
+        w = None
         for b in batches:
-            rows, found = [], []
-            for row, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                w, best = Words(raw, np.array([0, len(raw)]), "alnum"), {}
-                for x in own.as_py():
-                    raw = np.frombuffer((x["item_text"] or "").encode(), np.uint8)
-                    h = Words(raw, np.array([0, len(raw)]), "alnum").h
-                    hits = [v for k in sorted(x["diagonals"]) for v in _verify(w, h, k, agreement, min_words, share)]
-                    if hits:
-                        _, start, end, n = max(hits, key=lambda v: (v[3], -v[1]))
-                        best[x["item"]] = max(best.get(x["item"], (-1,)), (n, -start, end))
+            out = [[], [], [], [], []]
+            for k, (row, item) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if item is None:
+                    raw = np.frombuffer(b.column(1)[k].as_buffer(), np.uint8)
+                    w = Words(raw, np.array([0, len(raw)]), "alnum")
+                    continue
+                raw = np.frombuffer((b.column(3)[k].as_py() or "").encode(), np.uint8)
+                h, best = Words(raw, np.array([0, len(raw)]), "alnum").h, None
+                for x in diagonals(b.column(4)[k]):
+                    for _, start, end, n in _verify(w, h, int(x), agreement, min_words, share):
+                        if best is None or (n, -start) > (best[2], -best[0]):
+                            best = start, end, n
+                    if best and best[2] == len(h):
+                        break  # the whole item, at its first place
                 if best:
-                    rows.append(row)
-                    found.append([{"item": k, "start": -v[1], "end": v[2], "words": v[0]} for k, v in sorted(best.items())])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, HITS)], ["row", "hits"])
-
+                    for part, v in zip(out, (row, item, *best), strict=True):
+                        part.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["row", "item", "start", "end", "words"])
+
+    found = both.mapInArrow(verify, "row bigint, item bigint, start bigint, end bigint, words bigint")
+    # of an item's repeated rows the best place
+    found = found.groupBy("row", "item").agg(F.max(F.struct("words", (-F.col("start")).alias("less"), "end")).alias("x"))
+    hit = F.struct("item", (-F.col("x.less")).alias("start"), F.col("x.end").alias("end"), F.col("x.words").alias("words"))
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     kind = "array<struct<item:bigint,start:bigint,end:bigint,words:bigint>>"
-    found = kept.select("row", "text").join(mine, "row").select("row", "text", "items").mapInArrow(verify, f"row bigint, hits {kind}")
     return kept.select("row", "doc_id", "n_words").join(found, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(kind)).alias("hits"))
 
 
-HITS = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+PLACES = "array<struct<doc_at:array<bigint>,item_at:array<bigint>>>"
+#: places of a seed in a document times those in an item up to which they are simply subtracted
+SUBTRACTED = 1 << 22
+
+
+def diagonals(places) -> np.ndarray:
+    """Where an item would begin in a document for each pair of places of a common seed, each once, from the first."""
+    parts = []
+    for x in places:
+        a, b = (x[c].values.to_numpy() for c in ("doc_at", "item_at"))
+        if len(a) * len(b) <= SUBTRACTED:
+            parts.append(np.unique(np.subtract.outer(a, b)))
+            continue
+        left, right = np.zeros(int(a.max() - a.min()) + 1), np.zeros(int(b.max() - b.min()) + 1)
+        left[a - a.min()], right[b.max() - b] = 1, 1
+        n = len(left) + len(right) - 1
+        both = np.fft.irfft(np.fft.rfft(left, n) * np.fft.rfft(right, n), n)
+        parts.append(np.flatnonzero(both > 0.5) + a.min() - b.max())
+    return np.unique(np.concatenate(parts))
 
 
 def _verify(w: Words, item: np.ndarray, diagonal: int, agreement: float, min_words: int, share: float):

@@ -394,3 +394,32 @@ def test_long_conversations_take_linear_time(spark):
     assert time.perf_counter() - began < 60
     assert (got["n_turns"], got["loss_chars"], got["n_loss_spans"]) == (50_000, 25_000 * 100, 25_000)
     assert got["loss_sha256"] == hashlib.sha256(("x<|y" * 25 * 25_000).encode()).hexdigest()
+
+
+def test_repeated_words_join_once(docs_of, spark, monkeypatch):
+    """Texts of one word or phrase again and again, also where diagonals come from the correlation."""
+    import time
+
+    items = spark.createDataFrame([(1, "x " * 300), (2, "a b " * 150), (3, "a b " * 70 + "c d e f g h i j k l m n o p"), (4, "x " * 40 + "end")], "item_id long, text string")
+    pairs = [(1, "x " * 100_000), (2, "y z " + "a b " * 50_000), (3, "q " * 5 + "a b " * 3 + "c d e f g h i j k l m n o p"), (4, "x " * 50 + "end")]
+    began = time.perf_counter()
+    results = []
+    for most in (1 << 22, 1):
+        monkeypatch.setattr(decontaminate, "SUBTRACTED", most)
+        results.append({x["doc_id"]: {h["item"]: (h["start"], h["end"], h["words"]) for h in x["hits"]} for x in decontaminate.overlaps(docs_of(pairs), items).collect()})
+    assert time.perf_counter() - began < 240
+    assert results[0][1] == {1: (0, 300, 300), 4: (0, 40, 40)} and results[0][2][2] == (2, 302, 300)
+    assert results[0][4][4] == (10, 51, 41) and results[0][3][3][2] >= 14
+
+
+def test_diagonals():
+    r = np.random.default_rng(3)
+    import pyarrow as pa
+
+    a, b = np.unique(r.integers(0, 900, 200)), np.unique(r.integers(0, 300, 90))
+    kind = pa.list_(pa.struct([("doc_at", pa.list_(pa.int64())), ("item_at", pa.list_(pa.int64()))]))
+    for most in (0, 1 << 30):
+        decontaminate.SUBTRACTED, before = most, decontaminate.SUBTRACTED
+        got = decontaminate.diagonals(pa.array([[{"doc_at": a, "item_at": b}, {"doc_at": [5], "item_at": [9]}]], kind)[0])
+        decontaminate.SUBTRACTED = before
+        assert got.tolist() == sorted({int(x - y) for x in a for y in b} | {-4})
