@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoline.operators import activations, gems, venue, vocals
 from chronoline.plans.base import EVENTS, events, query, read
+from chronoline.sources import midi
 
 ONSET, LOUD, SHORTEST, TOLERANCE = 0.2, 0.15, 2, 3
 BELL = [f"exp(-0.5 * pow(({k} - 25) / 5.0::DOUBLE, 2))" for k in range(51)]
@@ -303,3 +304,27 @@ SELECT k.song AS user_id, k.tick, CAST(coalesce((SELECT bit_or(1 << p.tom) FROM
 def drum_toms(spark, sf_dir):
     """The toms that hold from each tick on."""
     return _drums(spark, sf_dir)[2].withColumnRenamed("song", "user_id")
+
+
+@query(
+    "bend_tracks",
+    f"""
+WITH RECURSIVE {EVENTS},
+n AS (SELECT user_id, event_id AS note, CAST({MINUTE} AS DOUBLE) AS start, {MINUTE} + floor(value) * 20 AS "end", 21 + k % 88 AS pitch, k / 100.0::DOUBLE AS amplitude, list_transform(range(k % 4), lambda i: (k + i * 3) % 17 - 8) AS bends,
+             row_number() OVER (PARTITION BY user_id ORDER BY t // 60000000, floor(value), event_id) AS i FROM e WHERE kind = 'view'),
+v AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS note, CAST(0 AS BIGINT) AS voice, []::DOUBLE[] AS ends FROM (SELECT DISTINCT user_id FROM n)
+      UNION ALL SELECT user_id, i, note, at_voice, list_concat(list_concat(ends[:at_voice], [greatest(start, "end")]), ends[at_voice + 2:])
+      FROM (SELECT n.*, v.ends, coalesce(list_position(list_transform(v.ends, lambda x: x <= n.start), true) - 1, len(v.ends)) AS at_voice FROM v JOIN n ON n.user_id = v.user_id AND n.i = v.i + 1)),
+x AS (SELECT n.*, v.voice FROM n JOIN v ON v.user_id = n.user_id AND v.note = n.note),
+b AS (SELECT user_id, voice, note, start, "end", len(bends) AS size, unnest(bends) AS bend, unnest(range(len(bends))) AS j FROM x),
+e2 AS (SELECT user_id, voice, note, round_even(start * 440, 0) AS tick, 2 AS rank, 'on' AS kind, pitch AS key, round_even(127 * amplitude, 0) AS velocity FROM x
+       UNION ALL SELECT user_id, voice, note, round_even("end" * 440, 0), 0, 'off', pitch, 0 FROM x
+       UNION ALL SELECT user_id, voice, note, round_even((start + CASE WHEN size > 1 THEN ("end" - start) * j / (size - 1) ELSE 0 END) * 440, 0), 1, 'bend', greatest(-8192, least(8191, round_even(bend * 4096 / 3.0::DOUBLE, 0))), NULL FROM b)
+SELECT user_id, CAST(voice AS INTEGER) AS track, row_number() OVER (PARTITION BY user_id, voice ORDER BY tick, rank, note, key) - 1 AS seq, CAST(tick AS BIGINT) AS tick, kind, CAST(key AS INTEGER) AS key, CAST(velocity AS INTEGER) AS velocity FROM e2""",
+)
+def bend_tracks(spark, sf_dir):
+    """Notes with bends as the events of a file: overlapping notes on tracks of their own, bends between them in order."""
+    tick = (F.floor(F.col("t") / 60_000_000) - 28_401_120).cast("double")
+    bends = F.when(F.col("k") % 4 > 0, F.transform(F.sequence(F.lit(0), (F.col("k") % 4 - 1)), lambda i: (F.col("k") + i * 3) % 17 - 8))
+    n = events(spark, sf_dir, "view").select("user_id", F.col("event_id").alias("note"), tick.alias("start"), (tick + F.floor("value") * 20).alias("end"), (21 + F.col("k") % 88).alias("pitch"), (F.col("k") / 100).alias("amplitude"), bends.alias("bends"))
+    return midi.note_rows(n, "user_id").select(F.col("path").cast(n.schema["user_id"].dataType).alias("user_id"), "track", F.col("seq").cast("bigint").alias("seq"), "tick", "kind", "key", "velocity")

@@ -12,9 +12,11 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoline.operators.fold import fold_rows
+
 EVENTS = "path string, division int, track int, seq int, tick bigint, kind string, channel int, key int, velocity int, text string"
 SIZES = {0x8: 2, 0x9: 2, 0xA: 2, 0xB: 2, 0xC: 1, 0xD: 1, 0xE: 2}
 NAMES = {0x8: "off", 0x9: "on", 0xA: "pressure", 0xB: "control", 0xC: "program", 0xD: "aftertouch", 0xE: "bend"}
@@ -108,6 +110,44 @@ def encode_number(value: int) -> bytes:
     return out
 
 
+#: fixed values: half the range of a bend, and its units a semitone
+BEND, PER_SEMITONE = 8192, 4096
+
+
+def voices(notes: DataFrame, clip: str) -> DataFrame:
+    """``notes`` (clip, note, start, end) with ``voice``: notes that overlap have different voices, and each takes the lowest that is free
+    where it begins, so a clip has as many as notes sound at once. A fold with one end a voice as its state."""
+
+    def step(ends, start, end):
+        ends = ends or []
+        at = next((k for k, e in enumerate(ends) if e <= start), len(ends))
+        return at, [*ends[:at], max(start, end), *ends[at + 1 :]]
+
+    return fold_rows(notes, [clip], ["start", "end", "note"], ["start", "end"], step, "voice", "int")
+
+
+def note_rows(notes: DataFrame, clip: str, per_semitone: int = 3, bpm: float = 120.0, division: int = 220) -> DataFrame:
+    """Events (path, track, name, seq, tick, kind, channel, key, velocity, text) for ``write_files`` from notes (clip, note, start,
+    end, pitch, amplitude, bends), times in seconds. Each voice is a track. A note's bends stand evenly from its start to its end, in
+    steps of 1 / ``per_semitone`` semitone, and are cut to two semitones. At one tick offs come before bends, and bends before ons.
+
+    Null times, pitches or bends make no events; a null amplitude is silent, but sounds."""
+    n = voices(notes.where(F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("pitch").isNotNull()), clip)
+    tick = lambda t: F.bround(t * (bpm * division / 60)).cast("bigint")
+    velocity = F.least(F.lit(127), F.greatest(F.lit(0), F.bround(127 * F.coalesce("amplitude", F.lit(0.0))).cast("int")))
+    event = lambda t, rank, kind, key, v: F.struct(tick(t).alias("tick"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), key.cast("int").alias("key"), v.cast("int").alias("velocity"))
+    none = F.lit(None)
+    size = F.size("bends")
+    at = lambda i: F.col("start") + F.when(size > 1, (F.col("end") - F.col("start")) * i / (size - 1)).otherwise(F.lit(0.0))
+    value = lambda b: F.greatest(F.lit(-BEND), F.least(F.lit(BEND - 1), F.bround(b * PER_SEMITONE / F.lit(float(per_semitone))).cast("int")))
+    bends = F.filter(F.transform("bends", lambda b, i: F.when(b.isNotNull(), event(at(i), 1, "bend", value(b), none))), lambda x: x.isNotNull())
+    both = F.array(event(F.col("start"), 2, "on", F.col("pitch"), velocity), event(F.col("end"), 0, "off", F.col("pitch"), F.lit(0)))
+    kind = "array<struct<tick:bigint,rank:int,kind:string,key:int,velocity:int>>"
+    rows = n.select(F.col(clip).alias("path"), F.col("voice").alias("track"), "note", F.explode(F.concat(both.cast(kind), F.coalesce(bends.cast(kind), F.array().cast(kind)))).alias("x")).select("path", "track", "note", "x.*")
+    seq = F.row_number().over(Window.partitionBy("path", "track").orderBy("tick", "rank", "note", "key")) - 1
+    return rows.select(F.col("path").cast("string").alias("path"), "track", F.concat(F.lit("voice "), F.col("track").cast("string")).alias("name"), seq.alias("seq"), "tick", "kind", F.lit(0).alias("channel"), "key", "velocity", none.cast("string").alias("text"))
+
+
 def _track(name: str, rows) -> bytes:
     body = b"\x00\xff\x03" + encode_number(len(name.encode("latin-1", "replace"))) + name.encode("latin-1", "replace")
     before = 0
@@ -119,6 +159,9 @@ def _track(name: str, rows) -> bytes:
         elif kind == "text":
             raw = str(text).encode("latin-1", "replace")
             body += b"\xff" + bytes([int(key) or 1]) + encode_number(len(raw)) + raw
+        elif kind == "bend":
+            value = max(-BEND, min(BEND - 1, int(key))) + BEND
+            body += bytes([0xE0 | int(channel or 0), value & 127, value >> 7])
         else:
             body += bytes([(0x90 if kind == "on" else 0x80) | int(channel or 0), int(key), int(velocity or 0)])
     return b"MTrk" + (len(body) + 4).to_bytes(4, "big") + body + b"\x00\xff\x2f\x00"
