@@ -131,7 +131,7 @@ def note_rows(notes: DataFrame, clip: str, per_semitone: int = 3, bpm: float = 1
     end, pitch, amplitude, bends), times in seconds. Each voice is a track. A note's bends stand evenly from its start to its end, in
     steps of 1 / ``per_semitone`` semitone, and are cut to two semitones. At one tick offs come before bends, and bends before ons.
 
-    Null times, pitches or bends make no events; a null amplitude is silent, but sounds."""
+    Null times, pitches or bends make no events. A null amplitude is 0, and an on of velocity 0 reads back as an off, as the format has it."""
     n = voices(notes.where(F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("pitch").isNotNull()), clip)
     tick = lambda t: F.bround(t * (bpm * division / 60)).cast("bigint")
     velocity = F.least(F.lit(127), F.greatest(F.lit(0), F.bround(127 * F.coalesce("amplitude", F.lit(0.0))).cast("int")))
