@@ -423,3 +423,62 @@ def test_diagonals():
         got = decontaminate.diagonals(pa.array([[{"doc_at": a, "item_at": b}, {"doc_at": [5], "item_at": [9]}]], kind)[0])
         decontaminate.SUBTRACTED = before
         assert got.tolist() == sorted({int(x - y) for x in a for y in b} | {-4})
+
+
+def test_disguised_spans_are_found(docs_of, prose):
+    """Spans that the patterns miss, planted in other texts than those trained on."""
+    r = random.Random(21)
+
+    def card():
+        digits = "".join(str(r.randrange(10)) for _ in range(15))
+        return next(digits + str(k) for k in range(10) if pii.luhn(digits + str(k)))
+
+    def real(kind):
+        number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+        return [f"{r.choice(['ann', 'bo', 'cy.d'])}.{number(2)}@mail{number(1)}.example.com", ".".join(str(r.randrange(1, 255)) for _ in range(4)), card(), f"+1 ({number(3)}) {number(3)}-{number(4)}"][kind]
+
+    around = lambda span: f"{prose(r, r.randrange(3, 30))} {span} {prose(r, r.randrange(3, 30))}"
+    decoys = [around(str(r.randrange(10**15, 10**16))) for _ in range(60)]
+    train = [around(real(k % 4)) for k in range(360)] + decoys
+    model = pii.fit(docs_of(list(enumerate(train))).select("text"))
+    g = np.random.default_rng(8)
+    planted = []
+    for k in range(160):
+        span, before = pii.disguises(k % 4, real(k % 4), g), prose(r, r.randrange(1, 20)) + " "
+        text = before + span + " " + prose(r, r.randrange(1, 20))
+        if not pii.base_spans(text):
+            planted.append((text, len(before), len(before) + len(span)))
+    clean = [(1000 + k, prose(r, 40) + f" version {k}.{k}") for k in range(40)]
+    got = {x["doc_id"]: x["spans"] for x in pii.find(docs_of([(k, p[0]) for k, p in enumerate(planted)] + clean), model).select("doc_id", "spans").collect()}
+    hit = sum(any(s["start"] <= a + 1 and s["end"] >= z - 1 for s in got[k]) for k, (_, a, z) in enumerate(planted))
+    assert len(planted) > 120 and hit >= 0.85 * len(planted), (hit, len(planted))
+    assert sum(len(got[d]) for d, _ in clean) <= 2
+
+
+def test_windows_are_reconciled_by_the_most_central():
+    r = np.random.default_rng(2)
+    for n in (1, 40, 64, 65, 97, 300):
+        starts = np.arange(0, max(1, n - pii.WINDOW + pii.STRIDE), pii.STRIDE)
+        sizes = np.minimum(n - starts, pii.WINDOW)
+        tags = r.integers(0, 3, (len(starts), pii.WINDOW)).astype(np.int8)
+        whole = []
+        for c in range(n):
+            holding = [(abs(2 * (c - s) - (pii.WINDOW - 1)), k) for k, (s, z) in enumerate(zip(starts, sizes)) if s <= c < s + z]
+            whole.append(int(tags[min(holding)[1]][c - starts[min(holding)[1]]]))
+        want, at = [], 0
+        while at < n:
+            end = at
+            while end < n and whole[end] == whole[at]:
+                end += 1
+            if whole[at]:
+                want.append((at, whole[at] - 1, end))
+            at = end
+        assert pii._spans_of(tags, starts, sizes, n) == want
+
+
+def test_what_a_found_span_must_hold():
+    assert pii.holds(0, "ann (at) mail dot com") and pii.holds(0, "a@b.c") and not pii.holds(0, "look at this")
+    assert pii.holds(1, "10 . 0 . 0 . 1") and not pii.holds(1, "10.0.0.256") and not pii.holds(1, "1.2.3") and not pii.holds(1, "1.2.3." + "9" * 5000)
+    assert pii.holds(2, "4111.1111.1111.1111") and not pii.holds(2, "4111.1111.1111.1112")
+    assert pii.holds(3, "555-123-4567") and not pii.holds(3, "555-1234")
+    assert pii.trimmed("x, 555 .", 1, 3, 8) == (3, 3, 6)
