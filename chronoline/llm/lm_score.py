@@ -7,16 +7,17 @@ endings of the training words; the rest share a class and the end has its own. O
 
 Both factors are softmaxes over hashed features. P(class | past): the word before (by itself for the
 32 most frequent words, else by its class), the classes two and three before, their n-grams and
-skips. P(name | class, past), where one name stands for the rest: the class, the class before
-and the named word before, each within the class. A word of the rest then has add-one counts with one unknown word per class, so all probabilities of a step
+skips. P(name | class, past), where one name stands for the rest: the class, the class before,
+the named word before, and the class two before (the seven most frequent endings, or another), their n-grams and skips, each
+within the class. A word of the rest then has add-one counts with one unknown word per class, so all probabilities of a step
 sum to 1. What is left out of the method: words beyond the named ones are no features and answer to the
 past by their class only, since contexts of two named words would move several times the text.
 
 Counts of words, endings and of (context, outcome) cover all training documents; each is combined
 within a batch, then by a shuffle over all reducers. The weights are fitted by gradient steps that
 run over the partitions of the context counts; a step sends one gradient per partition (at most
-``PARTS``, of 1 MB each). Both fitted tables, 4 MB each at any size of the corpus, go to the tasks. Texts are
-scored in numpy batches. The most frequent words, at most ``head`` of
+``PARTS``, of 2 MB each). The weights, 2 MB for each factor at any size of the corpus, go to the tasks, which work out
+the probabilities of the contexts that they meet. Texts are scored in numpy batches. The most frequent words, at most ``head`` of
 them, go to the tasks as a table; all other words' counts are joined by shuffle, a row per
 document and word, so a vocabulary of any size is scored exactly.
 
@@ -30,8 +31,6 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,10 +41,11 @@ from chronoline.llm.textcols import GOLD, Words, mix, slabs
 
 CLASSES, OTHER, END = 32, 30, 31
 NAMES, REST, TOP = 32, 31, 32
-ROWS, PARTS = 1 << 13, 8
-#: contexts of the two factors: (word or class before, class two before, one of 16 classes three before);
-#: (class, class and name before)
-PAST, INSIDE = (TOP + CLASSES) * CLASSES * 16, CLASSES * CLASSES * NAMES
+ROWS, PARTS, CHUNK = 1 << 14, 8, 1 << 14
+#: contexts of the two factors: (word or class before, classes two and three before);
+#: (class, class and name before, one of ``TWO`` classes two before)
+TWO = 8
+PAST, INSIDE = (TOP + CLASSES) * CLASSES * CLASSES, CLASSES * CLASSES * NAMES * TWO
 
 
 def _ending(w: Words) -> np.ndarray:
@@ -57,15 +57,14 @@ def _hashed(parts: list[np.ndarray]) -> np.ndarray:
     return np.stack([(mix(p.astype(np.uint64) + np.uint64((k + 1) * int(GOLD) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(ROWS)).astype(np.int64) for k, p in enumerate(parts)], 1)
 
 
-@lru_cache
-def _features(inside: bool) -> np.ndarray:
-    """The weight rows of every context of a factor."""
+def _features(at: np.ndarray, inside: bool) -> np.ndarray:
+    """The weight rows of contexts of a factor."""
     if inside:
-        at = np.arange(INSIDE)
-        return _hashed([at // (CLASSES * NAMES), at // NAMES, at])
-    past = np.arange(PAST)
-    s1, c2, c3 = past // (CLASSES * 16), past // 16 % CLASSES, past % 16
-    return _hashed([s1, s1 * CLASSES + c2, past, c2, c3, s1 * 16 + c3])
+        c, c1, s1, c2 = at // (INSIDE // CLASSES), at // (NAMES * TWO) % CLASSES, at // TWO % NAMES, at % TWO
+        word = (c * CLASSES + c1) * NAMES + s1
+        return _hashed([c, c * CLASSES + c1, word, at, c * TWO + c2])
+    s1, c2, c3 = at // (CLASSES * CLASSES), at // CLASSES % CLASSES, at % CLASSES
+    return _hashed([s1, s1 * CLASSES + c2, at, c2, c3, s1 * CLASSES + c3])
 
 
 class Names:
@@ -106,8 +105,8 @@ class Names:
             return out
 
         c2 = before(c, 2, END)
-        past = (before(y, 1, END + TOP) * CLASSES + c2) * 16 + np.minimum(before(c, 3, END), 15)
-        inside = (c * CLASSES + before(c, 1, END)) * NAMES + before(s, 1, REST)
+        past = (before(y, 1, END + TOP) * CLASSES + c2) * CLASSES + before(c, 3, END)
+        inside = ((c * CLASSES + before(c, 1, END)) * NAMES + before(s, 1, REST)) * TWO + np.minimum(c2, TWO - 1)
         return c, s, past, inside, doc, is_word
 
 
@@ -145,49 +144,62 @@ def context_counts(texts: DataFrame, names) -> DataFrame:
     return texts.mapInArrow(run, "inside boolean, context int, y int, n bigint").groupBy("inside", "context", "y").agg(F.sum("n").alias("n"))
 
 
-def _logits(weights: np.ndarray, contexts: np.ndarray, inside: bool, closed: np.ndarray) -> np.ndarray:
-    z = weights[_features(inside)[contexts]].sum(1).astype(float)
+def _log_odds(weights: np.ndarray, contexts: np.ndarray, inside: bool, valid: np.ndarray) -> np.ndarray:
+    """log P(y | context) for each context, (contexts, 32). ``valid`` says which names a class has; others have no probability."""
+    z = np.zeros((len(contexts), 32))
+    for rows in _features(contexts, inside).T:
+        z += weights[rows]
     if inside:
-        z += closed[contexts // (INSIDE // CLASSES)]
-    return z - z.max(1, keepdims=True)
+        z += np.where(valid, 0.0, -np.inf)[contexts // (INSIDE // CLASSES)]
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def log_odds(weights: np.ndarray, contexts: np.ndarray, y: np.ndarray, inside: bool, valid: np.ndarray) -> np.ndarray:
+    """log10 P(y | context) of tokens; a context is worked out once, ``CHUNK`` of them at a time."""
+    out = np.empty(len(contexts))
+    order = np.argsort(contexts, kind="stable")
+    known, first = np.unique(contexts[order], return_index=True)
+    first = np.append(first, len(order))
+    for i in range(0, len(known), CHUNK):
+        mine = order[first[i] : first[min(i + CHUNK, len(known))]]
+        p = _log_odds(weights, known[i : i + CHUNK], inside, valid)
+        out[mine] = p[np.searchsorted(known[i : i + CHUNK], contexts[mine]), y[mine]]
+    return out / np.log(10)
 
 
 def fit(seen: DataFrame, inside: bool, valid: np.ndarray, steps: int = 15, rate: float = 0.7) -> np.ndarray:
-    """log P(y | context) for every context of a factor, (contexts, 32), from counts (context, y, n). ``valid``
-    says which names a class has; others have no probability."""
+    """The weights of a factor, (ROWS, 32), from counts (context, y, n)."""
     weights, squares = np.zeros((ROWS, 32)), np.full((ROWS, 32), 1e-8)
     total = seen.agg(F.sum("n")).first()[0] or 0
-    closed = np.where(valid, 0.0, -np.inf)
     for _ in range(steps if total else 0):
         sent = seen.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
         def gradient(batches, sent=sent):
             cols = [np.concatenate(c) for c in zip(*[[b.column(k).to_numpy() for k in range(3)] for b in batches], strict=True)]
             if cols:
-                context, at = np.unique(cols[0], return_inverse=True)
-                y = np.bincount(at * 32 + cols[1], cols[2], len(context) * 32).reshape(-1, 32)
-                p = np.exp(_logits(sent.value, context, inside, closed))
-                p /= p.sum(1, keepdims=True)
-                d = p * y.sum(1, keepdims=True) - y
-                g = np.zeros((ROWS, 32), np.float32)
-                for f in _features(inside)[context].T:
-                    for k in range(32):
-                        g[:, k] += np.bincount(f, d[:, k], ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+                order = np.argsort(cols[0], kind="stable")
+                context, y, n = (c[order] for c in cols)
+                known, first = np.unique(context, return_index=True)
+                first = np.append(first, len(context))
+                g = np.zeros(ROWS * 32)
+                for i in range(0, len(known), CHUNK):
+                    some = known[i : i + CHUNK].astype(np.int64)
+                    a, z = first[i], first[min(i + CHUNK, len(known))]
+                    d = -np.bincount(np.searchsorted(some, context[a:z]) * 32 + y[a:z], n[a:z], len(some) * 32).reshape(-1, 32)
+                    d -= np.exp(_log_odds(sent.value, some, inside, valid)) * d.sum(1, keepdims=True)
+                    for f in _features(some, inside).T:
+                        g += np.bincount((f[:, None] * 32 + np.arange(32)).ravel(), d.ravel(), ROWS * 32)
+                yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["g"])
 
         g = np.zeros((ROWS, 32))
-        for r in seen.mapInArrow(gradient, "g binary").collect():  # PARTS rows of fixed size
+        for r in seen.mapInArrow(gradient, "g binary").toLocalIterator():  # PARTS rows of fixed size, one at a time
             g += np.frombuffer(r["g"], np.float32).reshape(ROWS, 32)
         g = g / total * 1000 + 1e-3 * weights
         squares += g * g
         weights -= rate * g / np.sqrt(squares)
         sent.destroy()
-    n = INSIDE if inside else PAST
-    out = np.empty((n, 32), np.float32)
-    for i in range(0, n, 4096):
-        z = _logits(weights, np.arange(i, min(i + 4096, n)), inside, closed)
-        out[i : i + 4096] = z - np.log(np.exp(z).sum(1, keepdims=True))
-    return out
+    return weights.astype(np.float32)
 
 
 def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,15 +244,14 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     names = docs.sparkSession.sparkContext.broadcast(Names(classes, h[named], place[place < REST], rank[named]))
     del top, h, n, c, order, place
     seen = cut(context_counts(learnt, names)).coalesce(PARTS)  # at most (PAST + INSIDE) * 32 rows; parts of a context add up
-    table = fit(seen.where("NOT inside").drop("inside"), False, valid)
+    outer = fit(seen.where("NOT inside").drop("inside"), False, valid)
     within = fit(seen.where("inside").drop("inside"), True, valid)
     out_of = np.log10(size + words + 1.0)  # P(word | rest of the class) has c + 1 over this
-    log10 = lambda x: (x / np.log(10)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((known, log10(table), log10(within), out_of))
+    sent = docs.sparkSession.sparkContext.broadcast((known, outer, within, out_of))
     base_of, end_base = np.log10(total + vocabulary + 1.0), np.log10(n_docs + 1.0)
 
     def run(batches):
-        (hs, logs), logp, within, out_of = sent.value
+        (hs, logs), outer, within, out_of = sent.value
         for b in batches:
             got = [[] for _ in range(6)]
             for _, raw, at in slabs(b.column(2)):
@@ -251,8 +262,8 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
                 found = hs[at_head] == w.h if len(hs) else np.zeros(len(w), bool)
                 value = np.where(found, logs[at_head] if len(hs) else 0.0, 0.0)
                 sum_logs = np.bincount(w.doc, value, n)
-                cls = logp[past, c].astype(float)
-                cls[is_word] += within[inside[is_word], s[is_word]]
+                cls = log_odds(outer, past, c, False, valid)
+                cls[is_word] += log_odds(within, inside[is_word], s[is_word], True, valid)
                 rest = is_word & (s == REST)
                 cls[rest] -= out_of[c[rest]]
                 # a named word's own count is part of logs; it isn't in its probability

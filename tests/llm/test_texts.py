@@ -301,10 +301,17 @@ def test_language_model_factors_sum_to_one(spark):
     at = 3 * (lm_score.INSIDE // lm_score.CLASSES) + 700
     for inside in (False, True):
         seen = spark.createDataFrame([(at % lm_score.PAST if not inside else at, 4, 90), (5, 31, 10)], "context int, y int, n long")
-        p = np.exp(lm_score.fit(seen, inside, valid).astype(float))
+        weights = lm_score.fit(seen, inside, valid)
+        mine = at if inside else at % lm_score.PAST
+        some = np.unique(np.append(np.random.default_rng(1).integers(0, lm_score.INSIDE if inside else lm_score.PAST, 3000), [mine, 5]))
+        p = np.exp(lm_score._log_odds(weights, some, inside, valid))
         assert np.allclose(p.sum(1), 1, atol=1e-4)
-        assert p[at if inside else at % lm_score.PAST, 4] > 0.5
-        assert not inside or p[at][~valid[3]].max() == 0
+        own = p[np.searchsorted(some, mine)]
+        assert own[4] > 0.5
+        assert not inside or own[~valid[3]].max() == 0
+        contexts, y = np.repeat(some, 2), np.tile([31, 4], len(some))
+        with np.errstate(divide="ignore"):
+            assert np.allclose(lm_score.log_odds(weights, contexts[::-1], y[::-1], inside, valid)[::-1], np.log10(p[np.searchsorted(some, contexts), y]))
 
 
 def test_language_model_beats_counts_where_the_past_tells(docs_of):
