@@ -1,26 +1,41 @@
 """Interval joins and interval windows.
 
 Range conditions become equi-joins on time buckets: each interval is replicated to the buckets
-that it touches, so a plan has a hash or merge join on (keys, bucket), never a nested loop.
+that it touches, so a plan has a hash or merge join on (keys, bucket), never a nested loop. Intervals
+longer than a bucket belong to coarser levels, of buckets of twice the width each, where they touch two at most; one with
+an absurd end is so a few rows, not one a bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _buckets(start, end, width: int):
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+def _level(start: str, end: str, width: int) -> Column:
+    """The level whose buckets are as wide as the interval is long, or wider."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(end) - F.col(start), F.lit(1)) / F.lit(float(width))))).cast("int")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, l_start: str = "start", l_end: str = "end", r_start: str = "r_start", r_end: str = "r_end") -> DataFrame:
     """Pairs of left and right intervals of equal keys that share more than a point; each pair
-    once, in the first bucket that both touch. Intervals with a null or reversed bound match nothing."""
-    l = left.where(F.col(l_start) <= F.col(l_end)).withColumn("_b", _buckets(F.col(l_start), F.col(l_end), width))
-    r = right.where(F.col(r_start) <= F.col(r_end)).withColumn("_b", _buckets(F.col(r_start), F.col(r_end), width))
-    first = F.floor(F.greatest(l_start, r_start) / width)
-    return l.join(r, [*keys, "_b"]).where((F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end)) & (F.col("_b") == first)).drop("_b")
+    once, in the first bucket that both touch of the coarser one's level. Intervals with a null or reversed bound match nothing.
+    One small job asks which levels there are; where all are level 0, buckets have no levels."""
+    l, r = left.where(F.col(l_start) <= F.col(l_end)), right.where(F.col(r_start) <= F.col(r_end))
+    l, r = l.withColumn("_l_level", _level(l_start, l_end, width)), r.withColumn("_r_level", _level(r_start, r_end, width))
+    levels = sorted(x[0] for x in l.select("_l_level").union(r.select("_r_level")).distinct().collect())
+    span = F.lit(width)
+    if levels and levels[-1]:
+        at = lambda own: F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(own)))
+        l, r = l.withColumn("_level", at("_l_level")), r.withColumn("_level", at("_r_level"))
+        span = F.lit(width) * F.pow(F.lit(2.0), "_level")
+        keys = [*keys, "_level"]
+    buckets = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / span).cast("bigint"), F.floor(F.col(end) / span).cast("bigint")))
+    l, r = l.withColumn("_b", buckets(l_start, l_end)), r.withColumn("_b", buckets(r_start, r_end))
+    pairs = l.join(r, [*keys, "_b"]).where((F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end)) & (F.col("_b") == F.floor(F.greatest(l_start, r_start) / span)))
+    if levels and levels[-1]:
+        pairs = pairs.where(F.col("_level") == F.greatest("_l_level", "_r_level")).drop("_level")
+    return pairs.drop("_b", "_l_level", "_r_level")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_order: str, width: int, least: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoline.functions import hashes
-from chronoline.operators import activations, fold, gems, positions, tempo, tree, venue, vocals
+from chronoline.operators import activations, fold, gems, interval, positions, tempo, tree, venue, vocals
 from chronoline.operators.asof import asof
 from chronoline.sources import tables
 
@@ -405,3 +405,19 @@ def test_key_values(spark, tmp_path):
     assert good == {("a.sfo", "TITLE", "text", "Größe", 16), ("a.sfo", "LEVEL", "integer", "-7", 4), ("a.sfo", "ID", "special", "AB", 2), ("a.sfo", "EMPTY", "text", "", 1), ("b.sfo", "TITLE", "text", "Größe", 16)}
     assert {x["path"][-5:] for x in rows if x["error"]} == {"c.sfo", "d.sfo", "e.sfo"}
     assert spark.read.format("key_values").load(str(tmp_path / "a.sfo")).select("value").where("key = 'LEVEL'").first()[0] == "-7"
+
+
+# --- intervals of all lengths ---------------------------------------------------------------
+
+
+def test_overlaps_of_intervals_of_any_length(spark):
+    r = random.Random(6)
+    side = lambda n: [(r.choice("ab"), k, a := r.randrange(-500, 5000), a + r.choice([0, 3, 40, 700, 9000])) for k in range(n)]
+    left, right = [*side(60), ("a", 90, 0, 1 << 50), ("a", 91, 5, 4), ("a", 92, None, 9), ("b", 93, -(1 << 40), 1 << 40)], [*side(60), ("a", 90, 100, 1 << 55)]
+    l = spark.createDataFrame(left, "k string, i int, start long, end long")
+    rr = spark.createDataFrame(right, "k string, j int, r_start long, r_end long")
+    want = sorted((i, j) for k, i, a, z in left for q, j, b, y in right if a is not None and a <= z and k == q and a < y and b < z)
+    for width in (7, 1000):
+        out = interval.overlap_join(l, rr, ["k"], width)
+        assert sorted((x["i"], x["j"]) for x in out.collect()) == want
+        assert out.columns == ["k", "i", "start", "end", "j", "r_start", "r_end"]
