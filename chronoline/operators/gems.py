@@ -129,3 +129,23 @@ def drums(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     toms = by_lane.where("tom IS NOT NULL").select("song", F.col("tick").alias("start"), (F.col("tick") + F.col("length")).alias("end"), (F.col("tom") - 2).alias("tom"))
     flags = interval.active_flags(toms, SONG, "tom", len(TOMS)).select("song", "tick", (F.col("flags") * 4).alias("flags"))
     return out, marks, flags
+
+
+#: markup: keys of chords, solo notes of two ranges, and solo notes that carry their place as velocity
+CHORDS, SOLO_LOW, SOLO_HIGH, SOLO_AT = (36, 64), (0, 11), (12, 23), 127
+OPEN_END = 2_147_483_647
+
+
+def markup(items: DataFrame, measures: DataFrame) -> DataFrame:
+    """(song, kind, tick, end, offset, pitches) from items (song, seq, tick, length, key, velocity, text): chords of the pitch
+    classes that begin at one tick, each up to the next one; solo notes; and loops, texts [sololoop n], up to the n-th of ``measures``
+    (song, i, tick). A loop past the last measure has no end; the last chord ends with the format's largest tick."""
+    key = F.col("key")
+    chords = items.where(key.between(*CHORDS)).groupBy("song", "tick").agg(F.array_sort(F.collect_set(F.pmod("key", F.lit(12)).cast("int"))).alias("pitches"))
+    end = F.coalesce(F.lead("tick").over(Window.partitionBy("song").orderBy("tick")), F.lit(OPEN_END))
+    out = chords.select("song", F.lit("chord").alias("kind"), "tick", end.alias("end"), F.lit(None).cast("int").alias("offset"), F.array_join(F.col("pitches").cast("array<string>"), " ").alias("pitches"))
+    for kind, inside, offset in (("solo low", key.between(*SOLO_LOW), key - SOLO_LOW[0]), ("solo high", key.between(*SOLO_HIGH), key - SOLO_HIGH[0]), ("solo", key == SOLO_AT, F.col("velocity"))):
+        out = out.unionByName(items.where(inside).select("song", F.lit(kind).alias("kind"), "tick", (F.col("tick") + F.col("length")).alias("end"), offset.cast("int").alias("offset")), allowMissingColumns=True)
+    n = F.regexp_extract("text", r"\[sololoop ([0-9]+)\]", 1).try_cast("int")
+    loops = items.withColumn("n", n).where("n IS NOT NULL").join(measures.select("song", (F.col("i") + 1).alias("n"), F.col("tick").alias("end")), ["song", "n"], "left")
+    return out.unionByName(loops.select("song", F.lit("loop").alias("kind"), "tick", "end"), allowMissingColumns=True)

@@ -26,6 +26,10 @@ def _from_start(changes: DataFrame, songs: DataFrame, **values: int) -> DataFram
     return changes.unionByName(lacking.select("song", F.lit(0).cast("bigint").alias("tick"), *(F.lit(v).alias(k) for k, v in values.items())))
 
 
+def with_default_signature(signatures: DataFrame, songs: DataFrame) -> DataFrame:
+    return _from_start(signatures, songs, num=DEFAULT_SIGNATURE[0], den=DEFAULT_SIGNATURE[1])
+
+
 def with_millis(tempos: DataFrame) -> DataFrame:
     """Tempos (song, tick, us) with the milliseconds at which each begins."""
     w = Window.partitionBy("song").orderBy("tick")
@@ -65,7 +69,7 @@ def tables(tempos: DataFrame, signatures: DataFrame, beats: DataFrame, finals: D
     """(song, kind, i, tick, ms, us, num, den, measure, down) of all four tables. ``finals``: (song, final tick)."""
     songs = finals.select("song")
     timed = with_millis(_from_start(tempos, songs, us=DEFAULT_US))
-    signed, bars = measures(_from_start(signatures, songs, num=DEFAULT_SIGNATURE[0], den=DEFAULT_SIGNATURE[1]), finals)
+    signed, bars = measures(with_default_signature(signatures, songs), finals)
     numbered = lambda df, *order: df.withColumn("i", (F.row_number().over(Window.partitionBy("song").orderBy(*order)) - 1).cast("bigint"))
     rows = numbered(signed, "tick").withColumn("kind", F.lit("signature"))
     rows = rows.unionByName(bars.withColumn("kind", F.lit("measure")), allowMissingColumns=True)

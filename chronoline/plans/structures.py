@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoline.functions import hashes
-from chronoline.operators import positions, tempo, tree
+from chronoline.operators import gems, metadata, positions, tempo, tree
 from chronoline.plans.base import EVENTS, events, query, read
 
 
@@ -131,3 +131,62 @@ SELECT doc_id, CAST(CASE WHEN xor(h, h >> 16) >= 2147483648 THEN xor(h, h >> 16)
 def text_murmur(spark, sf_dir):
     """The fixed-seed murmur3 of every text."""
     return read(spark, sf_dir, "documents").select("doc_id", hashes.murmur3(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+@query(
+    "markup_tables",
+    f"""
+WITH {MAP},
+n AS (SELECT song, event_id AS seq, tick // 60 * 60 AS tick, 1 + k AS length, k % 70 AS key, k AS velocity FROM x WHERE kind IN ('view', 'click')
+      UNION ALL SELECT song, event_id, tick // 60 * 60, 1 + k, 127, k FROM x WHERE kind = 'error'),
+c AS (SELECT song, tick, list_sort(list(DISTINCT key % 12)) AS p FROM n WHERE key BETWEEN 36 AND 64 GROUP BY ALL),
+l AS (SELECT song, tick, 1 + k AS m FROM x WHERE kind = 'purchase' AND k % 2 = 0)
+SELECT song AS user_id, 'chord' AS kind, tick, coalesce(lead(tick) OVER (PARTITION BY song ORDER BY tick), 2147483647) AS "end", NULL AS "offset", array_to_string(p, ' ') AS pitches FROM c
+UNION ALL SELECT song, CASE WHEN key < 12 THEN 'solo low' ELSE 'solo high' END, tick, tick + length, key % 12, NULL FROM n WHERE key < 24
+UNION ALL SELECT song, 'solo', tick, tick + length, velocity, NULL FROM n WHERE key = 127
+UNION ALL SELECT l.song, 'loop', l.tick, ms.tick, NULL, NULL FROM l LEFT JOIN ms ON ms.song = l.song AND ms.i = l.m - 1""",
+)
+def markup_tables(spark, sf_dir):
+    """Chords, solo notes and loops of each user's song; loops end with a measure of its signatures."""
+    e = events(spark, sf_dir)
+    x = e.select(F.col("user_id").alias("song"), F.col("event_id").alias("seq"), "kind", (F.floor(F.col("t") / 60_000_000) - 28_401_120).alias("at"), "k")
+    key = F.when(F.col("kind") == "error", 127).when(F.col("kind").isin("view", "click"), F.col("k") % 70)
+    loop = (F.col("kind") == "purchase") & (F.col("k") % 2 == 0)
+    text = F.when(loop, F.concat(F.lit("[sololoop "), (1 + F.col("k")).cast("string"), F.lit("]")))
+    items = x.select("song", "seq", F.when(loop, F.col("at")).otherwise(F.floor(F.col("at") / 60) * 60).alias("tick"), (1 + F.col("k")).cast("bigint").alias("length"), key.cast("int").alias("key"), F.col("k").alias("velocity"), text.alias("text"))
+    signs = x.where("kind = 'signup'").groupBy("song", F.col("at").alias("tick")).agg(F.max_by("k", "seq").alias("k")).select("song", "tick", (2 + F.col("k") % 5).alias("num"), F.when(F.col("k") % 2 == 0, 4).otherwise(8).alias("den"))
+    finals = x.groupBy("song").agg(F.max("at").alias("final"))
+    bars = tempo.measures(tempo.with_default_signature(signs, finals.select("song")), finals)[1]
+    return gems.markup(items, bars).withColumnRenamed("song", "user_id")
+
+
+ENTRIES = """
+x AS (SELECT c_custkey AS song, c_name, c_mktsegment, c_nationkey, CAST(trunc(c_acctbal) AS INTEGER) AS bal, c_custkey % 11 AS m FROM customer)"""
+
+
+@query(
+    "song_records",
+    f"""
+WITH {ENTRIES},
+y AS (SELECT *, 1960 + song % 60 AS year FROM x)
+SELECT song AS c_custkey, CASE WHEN m % 2 = 0 THEN '' ELSE c_mktsegment END AS album_name, CAST(song % 20 AS SMALLINT) AS album_track_number, year AS album_year, c_name AS artist,
+       song % 7 AS band_rank, song % 6 AS bass_rank, song % 5 AS drum_rank, CASE WHEN m = 5 THEN NULL ELSE song % 4 END AS guitar_rank, song % 3 AS keys_rank, song % 2 AS real_keys_rank, 1 AS vocals_rank,
+       CASE WHEN m = 1 THEN 'rb3' ELSE 'ugc_plus' END AS game_origin, lower(c_mktsegment) AS genre, c_name AS name, year AS original_year, CASE WHEN m = 2 THEN 3 ELSE 1 END AS vocal_parts, 1000 * c_nationkey AS song_length,
+       bal AS preview_start, bal + 30000 AS preview_end, m IN (1, 2) AS album_art, m = 4 AS has_freestyle_vocals, CASE WHEN m = 6 THEN 2 ELSE 1 END AS vocal_gender,
+       CASE WHEN m <> 3 THEN lower('CU_' || c_name) END AS short_name, CASE WHEN m <> 3 THEN CAST('0x' || substr(md5('CU_' || c_name), 1, 6) AS BIGINT) + 90000000 END AS song_id,
+       false AS cover, false AS fake, 0 AS flags, '' AS medium, false AS tutorial, 11 AS type, -1 AS version, CASE WHEN m = 3 THEN 'short_name' WHEN m = 5 THEN 'guitar_rank' ELSE '' END AS missing
+FROM y""",
+)
+def song_records(spark, sf_dir):
+    """Customers as metadata trees, and the records that come of them."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("song"), "c_name", "c_mktsegment", "c_nationkey", F.col("c_acctbal").cast("int").alias("bal"), (F.col("c_custkey") % 11).alias("m"))
+    s, m = F.col("song"), F.col("m")
+    values = {
+        ("album_name", 1): F.when(m % 2 != 0, F.col("c_mktsegment")), ("album_track_number", 1): s % 20, ("year_released", 1): 1960 + s % 60, ("artist", 1): F.col("c_name"), ("rank.band", 1): s % 7, ("rank.bass", 1): s % 6, ("rank.drum", 1): s % 5,
+        ("rank.guitar", 1): F.when(m != 5, s % 4), ("rank.keys", 1): s % 3, ("rank.real_keys", 1): s % 2, ("rank.vocals", 1): F.lit(1), ("game_origin", 1): F.when(m == 1, "rb3"), ("genre", 1): F.lower("c_mktsegment"), ("name", 1): F.col("c_name"),
+        ("song.vocal_parts", 1): F.when(m == 2, 3), ("song_length", 1): 1000 * F.col("c_nationkey"), ("preview", 1): F.col("bal"), ("preview", 2): F.col("bal") + 30000, ("album_art", 1): F.when(m == 1, "1").when(m == 2, "TRUE").when(m == 7, "true"),
+        ("song.name", 1): F.when(m != 3, F.concat(F.lit("songs/"), F.lower("c_mktsegment"), F.lit("/"), F.col("c_name"))), ("freestyle_vocals", 1): F.when(m == 4, 1).when(m == 5, 2), ("vocal_gender", 1): F.when(m == 6, "female").when(m == 7, "male"),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(i).alias("i"), v.cast("string").alias("value")) for (k, i), v in values.items()))
+    entries = c.select("song", F.explode(rows).alias("e")).select("song", "e.*").where("value IS NOT NULL")
+    return metadata.record(entries).withColumnRenamed("song", "c_custkey")
