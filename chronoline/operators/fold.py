@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,11 +60,71 @@ def anchor_groups(rows: DataFrame, keys: list[str], order: list[str], at: str, w
     fresh = F.coalesce((F.col(at) - F.lag(at).over(w) >= width).cast("long"), F.lit(1))
     parts = rows.withColumn("_f", fresh).withColumn("_part", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
-    def step(start, t):
-        start = t if t is not None and (start is None or t - start >= width) else start
-        return None if t is None else start, start
+    return fold_runs(parts, [*keys, "_part"], order, at, lambda begins, t, start: _anchors(begins, t, start, width), name).drop("_part")
+
+
+def _anchors(begins: np.ndarray, t: np.ndarray, start: int | None, width: int) -> tuple[np.ndarray, int | None]:
+    """The start of the group of each of the sorted times, in runs that begin at ``begins``; ``start`` is the group that the first
+    run is in already. All runs go from group to group at once, by binary search."""
+    n = len(t)
+    run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+    since = t - t[begins][run]
+    span = int(since.max(initial=0)) + width + 1
+    if span * len(begins) < 1 << 62:  # one sorted line of all runs
+        line = run * span + since
+        follows = np.searchsorted(line, line + width)
+    else:
+        follows = np.concatenate([a + np.searchsorted(t[a:z], t[a:z] + width) for a, z in zip(begins, np.append(begins[1:], n), strict=True)])
+    first = begins.copy()
+    if start is not None:
+        first[0] = np.searchsorted(t[: begins[1] if len(begins) > 1 else n], start + width)
+    marked, ends = np.full(n, -1), np.append(begins[1:], n)
+    at, of = first, np.arange(len(begins))
+    while len(at := at[inside := at < ends[of]]):
+        of = of[inside]
+        marked[at] = at
+        at = follows[at]
+    group = np.maximum.accumulate(marked)
+    out = np.where(group >= 0, t[group], 0 if start is None else start)
+    return out, int(out[-1]) if n else start
+
+
+def fold_runs(rows: DataFrame, keys: list[str], order: list[str], at: str, step: Callable, result: str) -> DataFrame:
+    """``rows`` with ``result``, a long, null where ``at`` is: as ``fold_rows``, but a batch at a time. ``step(begins, values, state)`` gets
+    where runs of a key begin among a batch's values and the first run's state, which is None for a new key, and returns
+    a result for each value and the last run's state."""
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = rows.columns
+    at_keys, at_value = [names.index(k) for k in keys], names.index(at)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` bigint").fields])
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for i in at_keys:
+                code = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            first, last = (tuple(b.column(i)[k].as_py() for i in at_keys) for k in (0, b.num_rows - 1))
+            known = np.flatnonzero(b.column(at_value).is_valid().to_numpy(zero_copy_only=False))
+            out = np.zeros(b.num_rows, np.int64)
+            if len(known):
+                of = np.cumsum(new)[known]
+                begins = np.flatnonzero(np.diff(of, prepend=-1))
+                carried = state if first == key and of[0] == 0 else None
+                out[known], state = step(begins, b.column(at_value).cast(pa.int64()).fill_null(0).to_numpy()[known], carried)
+                if of[-1] != new.sum():
+                    state = None  # the last key has no value yet
+            elif first != key or new.any():
+                state = None
+            key = last
+            mask = np.ones(b.num_rows, bool)
+            mask[known] = False
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64(), mask=mask)], [*names, result])
 
-    return fold_rows(parts, [*keys, "_part"], order, [at], step, name, "bigint").drop("_part")
+    return dealt.mapInArrow(run, schema)
 
 
 def throttle(rows: DataFrame, keys: list[str], order: list[str], at: str, spacing: int) -> DataFrame:

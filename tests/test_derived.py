@@ -421,3 +421,36 @@ def test_overlaps_of_intervals_of_any_length(spark):
         out = interval.overlap_join(l, rr, ["k"], width)
         assert sorted((x["i"], x["j"]) for x in out.collect()) == want
         assert out.columns == ["k", "i", "start", "end", "j", "r_start", "r_end"]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_anchor_groups_batch_by_batch(spark, rows):
+    r = random.Random(rows)
+    data = [(r.choice(["a", "b", None]), k, r.randrange(0, 60) if k % 9 else None) for k in range(150)] + [("c", 900, 5), ("d", 901, None), ("e", 902, -(1 << 61)), ("e", 903, 1 << 60)]
+    df = spark.createDataFrame(data, "k string, i int, t long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    got = {x["i"]: x["g"] for x in fold.anchor_groups(df, ["k"], ["t", "i"], "t", 4, "g").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for k in {x[0] for x in data}:
+        start = None
+        for t, i in sorted((t, i) for q, i, t in data if q == k and t is not None):
+            start = t if start is None or t - start >= 4 else start
+            want[i] = start
+    assert got == {i: want.get(i) for _, i, _ in data}
+
+
+def test_anchors_of_many_groups_and_wide_spans():
+    t = np.sort(np.random.default_rng(1).integers(0, 5000, 3000))
+    for begins, shift in (([0], 0), ([0, 1000, 1001], 0), ([0, 2999], 1 << 60)):
+        parts = np.split(t + np.array([0] * 2999 + [shift]), begins[1:])
+        flat = np.concatenate([np.sort(p) for p in parts])
+        want = []
+        for n, p in enumerate(np.split(flat, begins[1:])):
+            start = -3 if n == 0 else None
+            for x in p:
+                start = x if start is None or x - start >= 7 else start
+                want.append(start)
+        got, state = fold._anchors(np.array(begins), flat, -3, 7)
+        assert got.tolist() == want and state == want[-1]
