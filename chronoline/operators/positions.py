@@ -29,6 +29,18 @@ def with_position(rows: DataFrame, order: list[str], keys: list[str] = (), name:
     return out.select(*rows.columns, name)
 
 
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before, in ``order``, nulls first: within ranges of the rows, as many as Spark
+    has shuffle partitions if ``ranges`` doesn't say, and over the ranges' totals. Null values add nothing."""
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    dealt = cut(dealt.sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_p", F.shiftright("_m", 33))
+    totals = dealt.groupBy("_p").agg(F.sum(value).alias("_t"))  # a row a partition, broadcast below
+    totals = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(totals), "_p").withColumn(name, F.col("_before") + inner).select(*rows.columns, name)
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], keys: list[str] = (), how: str = "inner") -> DataFrame:
     """Rows of both sides with equal positions, within ``keys``, as (keys, position, the others' columns). Of unequal lengths
     ``inner`` ends with the shorter, and ``full`` goes on with nulls. Columns of both sides other than keys must differ in name;

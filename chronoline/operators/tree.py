@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.operators.positions import running_sum
 from chronoline.session import cut
 
 
@@ -56,22 +57,12 @@ def chains(blocks: DataFrame, block: str, following: str) -> DataFrame:
     return walked
 
 
-def extents(files: DataFrame, order: list[str], size: str, block: int, per_range: int = 1_000_000) -> DataFrame:
+def extents(files: DataFrame, order: list[str], size: str, block: int, per_range: int | None = None) -> DataFrame:
     """Files with blocks and start_block when laid out one after another in order: a running sum over the
-    whole table. It is taken in two levels, within ranges of the first order column (numbers or times),
-    as many as ``per_range`` rows each ask for, at most 256, cut at its quantiles; then over the
-    ranges' totals. Nulls in the order come first; a null size takes no blocks."""
+    whole table, by ranges of about ``per_range`` rows if that is given. Nulls in the order come first; a null
+    size takes no blocks."""
     n = F.coalesce(F.expr(f"({size} + {block - 1}) div {block}"), F.lit(0).cast("long"))
-    ranges = min(256, 1 + files.count() // per_range)
-    cuts = files.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)]).alias("q")).first()["q"] if ranges > 1 else []
-    _r = F.when(F.col(order[0]).isNull(), -1)
-    for k, q in enumerate(sorted(set(cuts or []))):
-        _r = _r.when(F.col(order[0]) < q, k)
-    f = files.withColumn("blocks", n).withColumn("_r", _r.otherwise(256))
-    totals = f.groupBy("_r").agg(F.sum("blocks").alias("_t"))  # at most 257 rows
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    inner = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return f.join(F.broadcast(totals), "_r").withColumn("start_block", (F.col("_before") + F.coalesce(F.sum("blocks").over(inner), F.lit(0))).cast("long")).drop("_r", "_before")
+    return running_sum(files.withColumn("blocks", n), order, "blocks", "start_block", 1 + files.count() // per_range if per_range else None).withColumn("start_block", F.col("start_block").cast("long"))
 
 
 def physical_block(logical, group: int = 170):
