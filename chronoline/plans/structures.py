@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoline.functions import hashes
+from chronoline.functions import hashes, scalar
 from chronoline.operators import gems, metadata, positions, tempo, tree
 from chronoline.plans.base import EVENTS, events, query, read
 
@@ -190,3 +190,15 @@ def song_records(spark, sf_dir):
     rows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(i).alias("i"), v.cast("string").alias("value")) for (k, i), v in values.items()))
     entries = c.select("song", F.explode(rows).alias("e")).select("song", "e.*").where("value IS NOT NULL")
     return metadata.record(entries).withColumnRenamed("song", "c_custkey")
+
+
+@query(
+    "contour_positions",
+    f"""
+WITH {EVENTS}
+SELECT event_id, 21 + k % 88 AS pitch, round(440 * pow(2.0::DOUBLE, (21 + k % 88 - 69) / 12.0::DOUBLE), 6) AS hz, CAST(round_even(36 * log2(440 * pow(2.0::DOUBLE, (21 + k % 88 - 69) / 12.0::DOUBLE) / 27.5), 0) AS BIGINT) AS bin FROM e WHERE kind = 'view'""",
+)
+def contour_positions(spark, sf_dir):
+    """Each note's frequency and the bin of a contour, three a semitone, that it lies on."""
+    n = events(spark, sf_dir, "view").select("event_id", (21 + F.col("k") % 88).alias("pitch"))
+    return n.select("event_id", "pitch", F.round(scalar.midi_to_hz(F.col("pitch")), 6).alias("hz"), scalar.half_even(scalar.contour_bin(F.col("pitch"))).alias("bin"))
