@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoline.session import cut
+from chronoline.session import counted, cut
 
 
 def with_position(rows: DataFrame, order: list[str], keys: list[str] = (), name: str = "position") -> DataFrame:
@@ -78,12 +78,12 @@ def tour(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFram
     enters = up.join(child, "n", "left").select(F.struct("n", F.lit(0).alias("side")).alias("at"), F.coalesce(step(F.col("child"), 0), step(F.col("n"), 1)).alias("next"), F.lit(1).alias("deep"))
     leaves = up.select(F.struct("n", F.lit(1).alias("side")).alias("at"), F.coalesce(step(F.col("younger"), 0), step(F.col("up"), 1)).alias("next"), F.lit(-1).alias("deep"))
     # left: steps from here to the end, this one included; deep: how much the walk descends over them
-    walk = cut(enters.unionByName(leaves).select("at", "next", F.lit(1).cast("bigint").alias("left"), F.col("deep").cast("bigint").alias("deep")))
-    n, rounds = walk.count(), 0
-    while (1 << rounds) <= n and not walk.where("next IS NOT NULL").isEmpty():
+    walk, n = counted(enters.unionByName(leaves).select("at", "next", F.lit(1).cast("bigint").alias("left"), F.col("deep").cast("bigint").alias("deep")))
+    rounds, open_ = 0, n
+    while (1 << rounds) <= n and open_:
         far = walk.select(F.col("at").alias("_at"), F.col("next").alias("_next"), F.col("left").alias("_left"), F.col("deep").alias("_deep"))
         j = walk.join(far, walk["next"] == far["_at"], "left")
-        walk = cut(j.select("at", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"), (F.col("deep") + F.coalesce("_deep", F.lit(0))).alias("deep")))
+        walk, open_ = counted(j.select("at", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"), (F.col("deep") + F.coalesce("_deep", F.lit(0))).alias("deep")), F.col("next").isNotNull())
         rounds += 1
     walk = walk.where("next IS NULL")  # what still points on is on a cycle
     total = walk.agg(F.max("left")).first()[0] or 0
@@ -94,10 +94,11 @@ def tour(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFram
 
 def above(nodes: DataFrame, node: str, parent: str, weight: str) -> DataFrame:
     """(node, total): the sum of ``weight`` over a node and all its ancestors, in log2(depth) rounds. Nodes must be a forest."""
-    step = cut(nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(weight).cast("bigint").alias("total")))
-    while not step.where("up IS NOT NULL").isEmpty():
+    step, open_ = counted(nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(weight).cast("bigint").alias("total")), F.col("up").isNotNull())
+    while open_:
         far = step.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_total"))
-        step = cut(step.join(far, step["up"] == far["_n"], "left").select("n", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total")))
+        step = step.join(far, step["up"] == far["_n"], "left").select("n", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"))
+        step, open_ = counted(step, F.col("up").isNotNull())
     return step.select(F.col("n").alias(node), "total")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.operators.positions import running_sum
-from chronoline.session import cut
+from chronoline.session import counted, cut
 
 
 def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
@@ -17,23 +17,23 @@ def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     null nodes are no nodes."""
     up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s")).distinct()
     known = up.select(F.col("n").alias("k")).distinct()
-    first = cut(up.join(known, up["p"] == known["k"], "left").select("n", F.col("k").alias("up"), "s"))
+    first, n = counted(up.join(known, up["p"] == known["k"], "left").select("n", F.col("k").alias("up"), "s"))
     ids = first.select("n", "up").where("up IS NOT NULL")
-    rounds = first.count().bit_length() + 1  # no walk without a cycle is longer than there are nodes
+    rounds = n.bit_length() + 1  # no walk without a cycle is longer than there are nodes
     left = 1
     for _ in range(rounds):
         far = ids.select(F.col("n").alias("_n"), F.col("up").alias("_up"))
-        ids = cut(ids.join(far, ids["up"] == far["_n"]).select("n", F.col("_up").alias("up")))
-        left = ids.count()
+        ids, left = counted(ids.join(far, ids["up"] == far["_n"]).select("n", F.col("_up").alias("up")))
         if not left:
             break
     if left:  # who still has an ancestor after so many steps leads into a cycle
         first = first.join(ids.select("n").distinct(), "n", "left_anti")
     step = first.select("n", "up", F.array("s").alias("tail"))
-    while not step.where("up IS NOT NULL").isEmpty():
+    open_ = n
+    while open_:
         far = step.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("tail").alias("_tail"))
         step = step.join(far, step["up"] == far["_n"], "left").select("n", F.when(F.col("_n").isNull(), None).otherwise(F.col("_up")).alias("up"), F.when(F.col("_n").isNull(), F.col("tail")).otherwise(F.concat("_tail", "tail")).alias("tail"))
-        step = cut(step)
+        step, open_ = counted(step, F.col("up").isNotNull())
     return step.select(F.col("n").alias(node), F.concat(F.lit("/"), F.array_join("tail", "/")).alias("path"), F.size("tail").cast("long").alias("depth"))
 
 
@@ -46,11 +46,11 @@ def chains(blocks: DataFrame, block: str, following: str) -> DataFrame:
     jump = blocks.select(F.col(block).alias("n"), F.col(following).alias("k")).where("n IS NOT NULL").join(known, "k").select("n", F.col("k").alias("to")).distinct()
     jump = cut(jump)
     walked = known.join(jump.where("n != to"), known["k"] == jump["to"], "left_anti").select(F.col("k").alias("head"), F.col("k").alias("block"), F.lit(0).cast("long").alias("step"))
-    walked, n, far = cut(walked), -1, 1
-    while (size := walked.count()) > n:
+    (walked, size), n, far = counted(walked), -1, 1
+    while size > n:
         n = size
         further = walked.join(jump, walked["block"] == jump["n"]).select("head", F.col("to").alias("block"), (F.col("step") + far).alias("step"))
-        walked = cut(walked.union(further).groupBy("head", "block").agg(F.min("step").alias("step")))
+        walked, size = counted(walked.union(further).groupBy("head", "block").agg(F.min("step").alias("step")))
         onward = jump.select(F.col("n").alias("_n"), F.col("to").alias("_to"))
         jump = cut(jump.join(onward, jump["to"] == onward["_n"]).select("n", F.col("_to").alias("to")))
         far *= 2
