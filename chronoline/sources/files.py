@@ -88,11 +88,26 @@ def durations(pages: DataFrame, rate: int) -> DataFrame:
     return last.select("path", F.expr(f"g * 1000 div {rate}").alias("ms"))
 
 
-def read_file_table(spark: SparkSession, path: str, offset: int = 0xC000, entries: int = 64) -> DataFrame:
+#: fixed values of packages: where a table may stand, in the order tried, and what its first entry names
+TABLE_OFFSETS, FIRST_NAME = (0xC000, 0xA000, *range(0x8000, 0x20000, 0x1000)), "songs"
+
+
+def probed_offset(content, first: str = FIRST_NAME, offsets=TABLE_OFFSETS):
+    """The first of ``offsets`` whose entry of 64 bytes holds the name, or else the first offset; a column of bytes in, a column out."""
+    out = None
+    for k in offsets:
+        holds = F.contains(F.substring(content, k + 1, 64), F.lit(first.encode()))
+        out = (F if out is None else out).when(holds, k)
+    return out.otherwise(offsets[0])
+
+
+def read_file_table(spark: SparkSession, path: str, offset: int | None = 0xC000, entries: int = 64) -> DataFrame:
     """(path, idx, name, is_dir, blocks, start_block, parent, size) from packages whose table of
-    64-byte entries stands at ``offset``; empty entries are left out."""
-    entry = F.substring(F.col("content"), F.col("idx") * 64 + offset + 1, F.lit(64))
-    b = spark.read.format("binaryFile").load(path).select("path", "content", F.explode(F.sequence(F.lit(0), F.lit(entries - 1))).alias("idx"))
+    64-byte entries stands at ``offset``, or, if that is None, where it is found; empty entries are left out."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.withColumn("offset", F.lit(offset) if offset is not None else probed_offset(F.col("content")))
+    entry = F.substring(F.col("content"), F.col("idx") * 64 + F.col("offset") + 1, F.lit(64))
+    b = files.select("path", "content", "offset", F.explode(F.sequence(F.lit(0), F.lit(entries - 1))).alias("idx"))
     b = b.select("path", "idx", entry.alias("e")).where(F.length("e") == 64)
     number = lambda start, n, little=False: F.conv(F.hex(F.reverse(F.substring("e", start, n)) if little else F.substring("e", start, n)), 16, 10).cast("long")
     flags = number(41, 1)

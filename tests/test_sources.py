@@ -68,6 +68,18 @@ def test_file_table(spark, tmp_path):
     assert got == [(0, "songs", True, 0, 0, 65535, 0), (2, "a.mid", False, 2, 7, 0, 5000)]
 
 
+def test_file_tables_are_found(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    entry = lambda name: name.encode().ljust(40, b"\0") + bytes([0x80 | len(name)]) + bytes(23)
+    for at, name in ((0xC000, "c"), (0xA000, "a"), (0x9000, "n"), (0x1F000, "f")):
+        (tmp_path / "p" / f"{name}.con").write_bytes(bytes(at) + entry("songs") + entry(name) + bytes(100))
+    (tmp_path / "p" / "none.con").write_bytes(bytes(0xC000) + entry("other") + bytes(64))
+    (tmp_path / "p" / "short.con").write_bytes(b"CON ")
+    (tmp_path / "p" / "both.con").write_bytes(bytes(0xA000) + entry("songs") + entry("second") + bytes(0x2000 - 128) + entry("songs") + entry("first"))
+    got = {(r["path"].rpartition("/")[2], r["name"]) for r in files.read_file_table(spark, str(tmp_path / "p"), offset=None).collect()}
+    assert got == {(f"{x}.con", y) for x in "canf" for y in ("songs", x)} | {("none.con", "other"), ("both.con", "songs"), ("both.con", "first")}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     src = str(tmp_path / "in")
     df = spark.sql("SELECT id % 3 AS k, timestamp_seconds(1700000000 + id * 7) AS at, id div 3 % 2 AS on FROM range(200)")
