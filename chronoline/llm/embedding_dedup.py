@@ -170,7 +170,7 @@ def link_classes(classes: DataFrame, threshold: float = 0.98, trees: int = 4, le
                     at = pa.array(mine)
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), own], ["cid", "label", "vector", "m", "own"])
 
-    placed = cut(classes.select("cid", "label", "vector", "m").mapInArrow(assign, "cid bigint, label string, vector array<double>, m bigint, own array<struct<tree:int,leaf:bigint>>"))
+    placed = cut(classes.select("cid", "label", "vector", "m").mapInArrow(assign, f"cid bigint, label {dict(classes.dtypes)['label']}, vector array<double>, m bigint, own array<struct<tree:int,leaf:bigint>>"))
     where = ["label", "dim", "tree", "leaf"]
     rows = placed.select("cid", "label", F.size("vector").alias("dim"), F.explode("own").alias("o")).select("cid", "label", "dim", "o.*")
     counts = rows.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
