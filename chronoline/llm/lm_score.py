@@ -15,8 +15,8 @@ past by their class only, since contexts of two named words would move several t
 
 Counts of words, endings and of (context, outcome) cover all training documents; each is combined
 within a batch, then by a shuffle over all reducers. The weights are fitted by gradient steps that
-run over the partitions of the context counts; a step sends one gradient per partition (at most
-``PARTS``, of 2 MB each). The weights, 2 MB for each factor at any size of the corpus, go to the tasks, which work out
+run over the partitions of the context counts; a step sends one gradient per partition (one for
+``PER_PART`` rows, at most ``PARTS``, of 2 MB each). The weights, 2 MB for each factor at any size of the corpus, go to the tasks, which work out
 the probabilities of the contexts that they meet. Texts are scored in numpy batches. The most frequent words, at most ``head`` of
 them, go to the tasks as a table; all other words' counts are joined by shuffle, a row per
 document and word, so a vocabulary of any size is scored exactly.
@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import columns, cut
+from chronoline.llm.common import columns, cut, sized
 from chronoline.llm.textcols import GOLD, Words, mix, slabs
 
 CLASSES, OTHER, END = 32, 30, 31
 NAMES, REST, TOP = 32, 31, 32
-ROWS, PARTS, CHUNK = 1 << 14, 8, 1 << 14
+ROWS, PARTS, PER_PART, CHUNK = 1 << 14, 8, 400_000, 1 << 14
 #: contexts of the two factors: (word or class before, classes two and three before);
 #: (class, class and name before, one of ``TWO`` classes two before)
 TWO = 8
@@ -243,7 +243,8 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     valid[c[named], place[place < REST]] = True
     names = docs.sparkSession.sparkContext.broadcast(Names(classes, h[named], place[place < REST], rank[named]))
     del top, h, n, c, order, place
-    seen = cut(context_counts(learnt, names)).coalesce(PARTS)  # at most (PAST + INSIDE) * 32 rows; parts of a context add up
+    seen, got = sized(context_counts(learnt, names))  # at most (PAST + INSIDE) * 32 rows; parts of a context add up
+    seen = seen.coalesce(max(1, min(PARTS, got["n"] // PER_PART)))
     outer = fit(seen.where("NOT inside").drop("inside"), False, valid)
     within = fit(seen.where("inside").drop("inside"), True, valid)
     out_of = np.log10(size + words + 1.0)  # P(word | rest of the class) has c + 1 over this
