@@ -12,8 +12,8 @@
    (``calibration`` documents) of the training rows.
 
 At most about ``most_labels`` labelled rows, chosen by hash, are used for learning; they are the
-only data that is broadcast. Of the features that label tokens at most ``most_cues``, those of the
-most toxic documents, are kept. Labels, lang, source and doc_id are not inputs of a score.
+only data that is broadcast. A feature labels tokens if it is in 4 toxic documents and in 0.5 % of them at least, and
+if ``purity`` of its labelled documents are toxic; of these at most ``most_cues``, those of the most toxic documents, are kept. Labels, lang, source and doc_id are not inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of that; null labels
 and labels without a document are ignored, of several labels of a document the largest
