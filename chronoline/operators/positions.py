@@ -56,63 +56,65 @@ def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order
     return j.select(*(of(k) for k in keys), F.coalesce(l["position"], named["_r_position"]).alias("position"), *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys))
 
 
-def tour(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
-    """(node, enter, leave, depth) of every node that leads to a root: a walk around the tree, siblings by ``order``, numbered
-    by distributed list ranking. A node's subtree is what enters between its enter and leave, so it is found by a range, and
-    lookups need no recursion. Every step of the walk points at the next; each round adds what its target has summed
-    up and doubles the jump, so a chain of n nodes takes log2(n) rounds, not n.
-
-    A root is a node whose parent is null or absent; nodes that lead into a cycle reach no root and are left out; of
-    repeated nodes the first by ``order`` counts; null nodes are no nodes."""
-    named = [f"_o{i}" for i in range(len(order))]
-    up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), *(F.col(c).alias(o) for c, o in zip(order, named, strict=True)))
+def _jumped(step: DataFrame, value: str) -> DataFrame:
+    """One round of pointer doubling: rows (n, far, ...) with ``value`` of their ``far`` added to their own, and ``far``'s own far.
+    Only rows that still point somewhere are joined."""
+    to = step.select(F.col("n").alias("_n"), F.col("far").alias("_far"), F.col(value).alias("_value"))
+    open_ = step.where("far IS NOT NULL").join(to, F.col("far") == F.col("_n")).withColumns({"far": F.col("_far"), value: F.col(value) + F.col("_value")})
+    return step.where("far IS NULL").unionByName(open_.select(*step.columns))
+
+
+def _measured(nodes: DataFrame, node: str, parent: str, named: dict[str, str]) -> DataFrame:
+    """(n, up, the columns of ``named`` under their new names, size, depth) of every node that leads to a root; ``size`` is the number of
+    nodes of its subtree. After k rounds a node knows its descendants less than 2**k below it and its ancestor 2**k above, so what its
+    descendants exactly 2**k below know is what the next round adds: log2(depth) rounds in all."""
+    up = nodes.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("up"), *(F.col(c).alias(o) for o, c in named.items()))
     first = Window.partitionBy("n").orderBy(*named, "up")
     up = up.withColumn("_i", F.row_number().over(first)).where("_i = 1").drop("_i")
     known = up.select(F.col("n").alias("k"))
-    up = cut(up.join(known, up["up"] == known["k"], "left").select("n", F.col("k").alias("up"), *named))
-    siblings = Window.partitionBy("up").orderBy(*named, "n")
-    up = up.withColumns({"older": F.lag("n").over(siblings), "younger": F.lead("n").over(siblings)})
-    child = up.where("older IS NULL AND up IS NOT NULL").select(F.col("up").alias("n"), F.col("n").alias("child"))
-    # steps: 2 * n enters and 2 * n + 1 leaves, as (node, side); roots are siblings
-    step = lambda n, side: F.when(n.isNotNull(), F.struct(n.alias("n"), F.lit(side).alias("side")))
-    enters = up.join(child, "n", "left").select(F.struct("n", F.lit(0).alias("side")).alias("at"), F.coalesce(step(F.col("child"), 0), step(F.col("n"), 1)).alias("next"), F.lit(1).alias("deep"))
-    leaves = up.select(F.struct("n", F.lit(1).alias("side")).alias("at"), F.coalesce(step(F.col("younger"), 0), step(F.col("up"), 1)).alias("next"), F.lit(-1).alias("deep"))
-    # left: steps from here to the end, this one included; deep: how much the walk descends over them
-    walk, n = counted(enters.unionByName(leaves).select("at", "next", F.lit(1).cast("bigint").alias("left"), F.col("deep").cast("bigint").alias("deep")))
-    rounds, open_ = 0, n
-    while (1 << rounds) <= n and open_:
-        far = walk.select(F.col("at").alias("_at"), F.col("next").alias("_next"), F.col("left").alias("_left"), F.col("deep").alias("_deep"))
-        j = walk.join(far, walk["next"] == far["_at"], "left")
-        walk, open_ = counted(j.select("at", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"), (F.col("deep") + F.coalesce("_deep", F.lit(0))).alias("deep")), F.col("next").isNotNull())
-        rounds += 1
-    walk = walk.where("next IS NULL")  # what still points on is on a cycle
-    total = walk.agg(F.max("left")).first()[0] or 0
-    place = F.lit(total) - F.col("left")
-    both = walk.groupBy("at.n").agg(F.min(F.when(F.col("at.side") == 0, place)).alias("enter"), F.max(F.when(F.col("at.side") == 1, place)).alias("leave"), F.min(F.when(F.col("at.side") == 0, 1 - F.col("deep"))).alias("depth"))
-    return both.select(F.col("n").alias(node), "enter", "leave", "depth")
-
-
-def above(nodes: DataFrame, node: str, parent: str, weight: str) -> DataFrame:
-    """(node, total): the sum of ``weight`` over a node and all its ancestors, in log2(depth) rounds. Nodes must be a forest."""
-    step, open_ = counted(nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.col(weight).cast("bigint").alias("total")), F.col("up").isNotNull())
+    one = F.lit(1).cast("bigint")
+    step = up.join(known, up["up"] == known["k"], "left").select("n", F.col("k").alias("up"), *named, F.col("k").alias("far"), one.alias("size"), one.alias("depth"))
+    (step, left), before = counted(step, F.col("far").isNotNull()), None
+    while left and left != before:  # a round that ends no walk: all that are left lead into cycles
+        before = left
+        gains = step.where("far IS NOT NULL").groupBy(F.col("far").alias("_g")).agg(F.sum("size").alias("_gain"))
+        grown = _jumped(step, "depth").join(gains, F.col("n") == F.col("_g"), "left")
+        step, left = counted(grown.withColumn("size", F.col("size") + F.coalesce("_gain", F.lit(0))).select(*step.columns), F.col("far").isNotNull())
+    return step.where("far IS NULL").drop("far")
+
+
+def tour(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
+    """(node, enter, leave, depth) of every node that leads to a root: a walk around the tree, siblings by ``order``. A node's
+    subtree is what enters between its enter and leave, so it is found by a range, and lookups need no recursion. A node
+    is entered a step after its parent and after the walks around its older siblings, twice their subtrees' sizes, so its place is
+    a sum along the way up: a tree takes log2(depth) rounds for sizes and as many for places, not a round a step.
+
+    A root is a node whose parent is null or absent; nodes that lead into a cycle reach no root and are left out; of
+    repeated nodes the first by ``order`` counts; null nodes are no nodes; roots are siblings."""
+    named = {f"_o{i}": c for i, c in enumerate(order)}
+    older = Window.partitionBy("up").orderBy(*named, "n").rowsBetween(Window.unboundedPreceding, -1)
+    known = _measured(nodes, node, parent, named)
+    known = known.select("n", "up", "size", "depth", (F.coalesce(2 * F.sum("size").over(older), F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("w"))
+    enter = F.col("total")
+    return above(known, "n", "up", "w", ["size", "depth"]).select(F.col("n").alias(node), enter.alias("enter"), (enter + 2 * F.col("size") - 1).alias("leave"), "depth")
+
+
+def above(nodes: DataFrame, node: str, parent: str, weight: str, keep: list[str] = ()) -> DataFrame:
+    """(node, the columns of ``keep``, total): the sum of ``weight`` over a node and all its ancestors, in log2(depth) rounds. Nodes must be a forest."""
+    step, open_ = counted(nodes.select(F.col(node).alias("n"), F.col(parent).alias("far"), *keep, F.col(weight).cast("bigint").alias("total")), F.col("far").isNotNull())
     while open_:
-        far = step.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_total"))
-        step = step.join(far, step["up"] == far["_n"], "left").select("n", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"))
-        step, open_ = counted(step, F.col("up").isNotNull())
-    return step.select(F.col("n").alias(node), "total")
+        step, open_ = counted(_jumped(step, "total"), F.col("far").isNotNull())
+    return step.select(F.col("n").alias(node), *keep, "total")
 
 
 def listing(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
     """(node, place, depth): the recursive listing in which the nodes of a directory come before what is in them, and then
     each one's own listing follows. A node's place is its number among its siblings, plus what its ancestors' listings
     put before: their directories' sizes and their older siblings' descendants, summed along the way up."""
-    walked = tour(nodes, node, parent, order)
-    known = walked.select(F.col(node).alias("n"), "depth", ((F.col("leave") - F.col("enter") - 1) / 2).cast("bigint").alias("below"), "enter")
-    links = nodes.select(F.col(node).alias("n"), F.col(parent).alias("up")).where("n IS NOT NULL").dropDuplicates(["n"])
-    known = known.join(links, "n").withColumn("up", F.when(F.col("depth") > 1, F.col("up")))
-    siblings = Window.partitionBy("up").orderBy("enter")
-    known = known.withColumns({"nth": F.row_number().over(siblings) - 1, "older": F.coalesce(F.sum("below").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "alike": F.count(F.lit(1)).over(Window.partitionBy("up"))})
-    known = cut(known)
-    moved = above(known.withColumn("w", F.col("alike") + F.col("older")), "n", "up", "w")
-    place = F.col("nth") + F.coalesce("total", F.lit(0))
-    return known.join(moved.select(F.col("n").alias("up"), "total"), "up", "left").select(F.col("n").alias(node), place.cast("bigint").alias("place"), "depth")
+    named = {f"_o{i}": c for i, c in enumerate(order)}
+    siblings = Window.partitionBy("up").orderBy(*named, "n")
+    known = _measured(nodes, node, parent, named)
+    older = F.coalesce(F.sum(F.col("size") - 1).over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = known.select("n", "up", "depth", (F.row_number().over(siblings) - 1).alias("nth"), (F.count(F.lit(1)).over(Window.partitionBy("up")) + older).alias("w"))
+    place = F.col("nth") + F.col("total") - F.col("w")
+    return above(known, "n", "up", "w", ["depth", "nth", "w"]).select(F.col("n").alias(node), place.cast("bigint").alias("place"), "depth")

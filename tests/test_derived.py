@@ -297,6 +297,21 @@ def test_tours(spark, shape):
         assert {x["n"]: x["place"] for x in positions.listing(df.where("n IS NOT NULL"), "n", "p", ["n"]).collect()} == listed(reach)
 
 
+@pytest.mark.parametrize("listing", [False, True])
+def test_rounds_of_a_tour_follow_the_depth(spark, monkeypatch, listing):
+    parents = {n: n // 40 if n else None for n in range(800)} | {900: 901, 901: 900, 902: 901}  # depth 3, and a cycle
+    seen, counted = [], positions.counted
+    monkeypatch.setattr(positions, "counted", lambda *a: seen.append(1) or counted(*a))
+    df = spark.createDataFrame([*parents.items()], "n long, p long")
+    got = (positions.listing if listing else positions.tour)(df, "n", "p", ["n"]).collect()
+    reach = {n: p for n, p in parents.items() if n < 900}
+    if listing:
+        assert {x["n"]: (x["place"], x["depth"]) for x in got} == {n: (place, walked(reach, lambda n: n)[n][2]) for n, place in listed(reach).items()}
+    else:
+        assert {x["n"]: (x["enter"], x["leave"], x["depth"]) for x in got} == walked(reach, lambda n: n)
+    assert len(seen) <= 8  # list ranking took a round for each doubling of the walk's length
+
+
 def test_trees_without_a_checkpoint_folder_given(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "n long, p long, s string")
     assert {x["path"] for x in tree.paths(df, "n", "p", "s").collect()} == {"/a", "/a/b", "/a/b/c"}
