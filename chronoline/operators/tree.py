@@ -90,3 +90,38 @@ def digest_tree(blocks: DataFrame, keys: list[str], index: str, digest: str, fan
     """(keys, node, digest): one level of a hash tree, the hash of up to ``fan`` digests in order."""
     g = blocks.groupBy(*keys, F.expr(f"{index} div {fan}").alias("node")).agg(F.sort_array(F.collect_list(F.struct(index, digest))).alias("d"))
     return g.select(*keys, "node", F.sha1(F.array_join(F.transform("d", lambda x: x[digest]), "").cast("binary")).alias("digest"))
+
+
+def digest_nodes(texts: DataFrame, key: str, text: str, block: int = 4, fan: int = 170, levels: int = 2) -> DataFrame:
+    """(key, node, digest): a level, 1 or 2, of the hash tree over blocks of ``block`` characters of each key's text. A node of
+    the second level is ``block * fan * fan`` characters of one text, one of the first ``block * fan``, so it is worked out where the text is read and only digests leave
+    the row. Keys that several rows share, by a count of the keys alone, have their blocks' digests merged by ``digest_tree``, of equal
+    places in the order of the digests. A null text has one null digest."""
+    rows = texts.select(key, F.col(text).alias("text"))
+    shared = rows.groupBy(key).count().where("count > 1").select(F.col(key).alias("_k"))
+    shared, several = counted(shared)
+    whole = rows.join(shared, F.col(key).eqNullSafe(F.col("_k")), "left_anti") if several else rows
+
+    def cut_up(c, size: int):  # the pieces of a text, at least one
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(c) / size).cast("int")) - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+
+    def digests(c):
+        return F.sha1(F.array_join(c, "").cast("binary"))
+
+    node = block * fan**levels
+    parts = whole.select(key, "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / node).cast("int")) - 1)).alias("i"))
+    parts = parts.select(key, F.col("i").cast("long").alias("node"), F.substring(F.col("text"), F.col("i") * node + 1, F.lit(node)).alias("part"))
+    one = lambda c: digests(F.transform(cut_up(c, block), lambda b: F.sha1(b.cast("binary"))))
+    top = one(F.col("part")) if levels == 1 else digests(F.transform(cut_up(F.col("part"), block * fan), one))
+    out = parts.select(key, "node", F.when(F.col("part").isNotNull(), top).alias("digest"))
+    if not several:
+        return out
+    d = rows.join(shared, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    d = d.select(key, "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / block).cast("int")) - 1)).alias("i"))
+    d = d.select(key, F.col("i").cast("long").alias("i"), F.sha1(F.substring(F.col("text"), F.col("i") * block + 1, F.lit(block)).cast("binary")).alias("h")).where("h IS NOT NULL OR i = 0")
+    empty = d.groupBy(key).agg(F.count("h").alias("_n")).where("_n = 0").select(F.col(key).alias("_k"))
+    level = d.join(empty, F.col(key).eqNullSafe(F.col("_k")), "left_anti").select(key, F.col("i").alias("node"), F.col("h").alias("digest"))
+    for _ in range(levels):
+        level = digest_tree(level.withColumnsRenamed({"node": "i", "digest": "h"}), [key], "i", "h", fan)
+    nulls = empty.select(F.col("_k").alias(key), F.lit(0).cast("long").alias("node"), F.lit(None).cast("string").alias("digest"))
+    return out.unionByName(level).unionByName(nulls)

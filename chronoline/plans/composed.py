@@ -320,10 +320,7 @@ SELECT doc_id, CAST(node // 170 AS BIGINT) AS node, sha1(string_agg(digest, '' O
 )
 def digest_levels(spark, sf_dir):
     """Two levels of a hash tree over small blocks, 170 digests a node."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.expr("cast((length(text) + 3) div 4 as int)")) - 1)).alias("i"))
-    d = d.select("doc_id", F.col("i").cast("long").alias("i"), F.sha1(F.substring(F.col("text"), F.col("i") * 4 + 1, F.lit(4)).cast("binary")).alias("h"))
-    one = tree.digest_tree(d, ["doc_id"], "i", "h").withColumnsRenamed({"node": "i", "digest": "h"})
-    return tree.digest_tree(one, ["doc_id"], "i", "h")
+    return tree.digest_nodes(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("tolerant_diff", "SELECT o_orderkey, round(o_totalprice - s, 2) AS gap FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE NOT abs(o_totalprice - s) < 0.01 * abs(o_totalprice)")

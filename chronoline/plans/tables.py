@@ -237,9 +237,7 @@ d AS (SELECT doc_id, i, sha1(substr(text, CAST(i * 64 + 1 AS BIGINT), 64)) AS h
 SELECT doc_id, CAST(i // 170 AS BIGINT) AS node, sha1(string_agg(h, '' ORDER BY i)) AS digest FROM d GROUP BY ALL""",
 )
 def digest_tree(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.expr("cast((length(text) + 63) div 64 as int)")) - 1)).alias("i"))
-    d = d.select("doc_id", F.col("i").cast("long").alias("i"), F.sha1(F.substring(F.col("text"), F.col("i") * 64 + 1, F.lit(64)).cast("binary")).alias("h"))
-    return tree.digest_tree(d, ["doc_id"], "i", "h")
+    return tree.digest_nodes(read(spark, sf_dir, "documents"), "doc_id", "text", 64, levels=1)
 
 
 @query(

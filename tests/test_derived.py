@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoline.functions import hashes
-from chronoline.operators import activations, fold, gems, interval, positions, tempo, tree, venue, vocals
+from chronoline.operators import activations, fold, gems, interval, metadata, positions, tempo, tree, venue, vocals
 from chronoline.operators.asof import asof
 from chronoline.sources import tables
 
@@ -312,6 +312,43 @@ def test_rounds_of_a_tour_follow_the_depth(spark, monkeypatch, listing):
     assert len(seen) <= 8  # list ranking took a round for each doubling of the walk's length
 
 
+def test_digests_of_texts_move_no_blocks(spark):
+    import hashlib
+
+    r = random.Random(6)
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    texts = {k: "".join(r.choice("abé ") for _ in range(n)) for k, n in enumerate((0, 1, 4, 5, 23, 24, 25, 36, 37, 200))}
+
+    def want(several):  # blocks of 4, three digests a node
+        blocks = sorted((i, sha(t[4 * i : 4 * i + 4])) for t in several for i in range(max(1, -(-len(t) // 4))))
+        for _ in range(2):
+            nodes = {}
+            for i, h in blocks:
+                nodes.setdefault(i // 3, []).append(h)
+            blocks = [(n, sha("".join(hs))) for n, hs in sorted(nodes.items())]
+        return blocks
+
+    alone = spark.createDataFrame([*texts.items(), (77, None)], "k int, text string").localCheckpoint()
+    out = tree.digest_nodes(alone, "k", "text", 4, 3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted([(k, *x) for k, t in texts.items() for x in want([t])] + [(77, 0, None)])
+    shared = spark.createDataFrame([*texts.items(), (9, "other text"), (3, None), (88, None), (88, None), (None, "abcd"), (None, "xyz")], "k int, text string")
+    both = {k: [t] for k, t in texts.items()} | {9: [texts[9], "other text"], None: ["abcd", "xyz"]}
+    got = {tuple(x) for x in tree.digest_nodes(shared, "k", "text", 4, 3).collect()}
+    assert got == {(k, *x) for k, ts in both.items() for x in want(ts)} | {(88, 0, None)}
+
+
+def test_records_of_rows_and_of_trees(spark):
+    r = random.Random(8)
+    keys = sorted(metadata.WANTED)
+    rows = [(song, *r.choice(keys), r.choice([None, "1", "x/y", "TRUE", "female", "7"])) for song in range(30) for _ in range(25)]
+    entries = spark.createDataFrame(rows, "song int, key string, i int, value string")
+    trees = entries.groupBy("song").agg(F.collect_list(F.struct("key", "i", "value")).alias("entries")).localCheckpoint()
+    one = metadata.records(trees)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, one.collect())) == sorted(map(str, metadata.record(entries).collect()))
+
+
 def test_trees_without_a_checkpoint_folder_given(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "n long, p long, s string")
     assert {x["path"] for x in tree.paths(df, "n", "p", "s").collect()} == {"/a", "/a/b", "/a/b/c"}
