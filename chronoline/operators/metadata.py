@@ -1,7 +1,8 @@
 """A song's record from the entries of its metadata tree.
 
-Entries are rows (song, key, i, value): the i-th value, from 1, under a key; keys of inner nodes are joined by a dot. All
-fields come from one aggregation over a song's entries, combined before its shuffle; no tree is built.
+Entries are (key, i, value): the i-th value, from 1, under a key; keys of inner nodes are joined by a dot. Where a song's tree is in
+one row, as an array of its entries, its record comes of that row alone (``records``); entries that lie apart, a row each with their song, are
+first dealt by song and then aggregated, a part of the songs at a time (``record``).
 
 Defined results: of repeated entries the smallest value counts; numbers that can't be read are null; a field that must be there
 and isn't is null and named in ``missing``; without entries there is no song.
@@ -38,11 +39,24 @@ CONSTANTS = {"cover": False, "fake": False, "flags": 0, "medium": "", "tutorial"
 TRUE, MALE, PREFIX, FIRST_ID, ID_BITS = ("1", "TRUE"), "male", "CU_", 90_000_000, 24
 
 
+WANTED = {(key, i) for key, i, _, _ in FIELDS.values()} | {("album_art", 1), ("song.name", 1), ("freestyle_vocals", 1), ("vocal_gender", 1)}
+COLUMNS = {w: f"_{n}" for n, w in enumerate(sorted(WANTED))}
+
+
 def record(entries: DataFrame) -> DataFrame:
-    """(song, the fields, missing)."""
-    wanted = {(key, i) for key, i, _, _ in FIELDS.values()} | {("album_art", 1), ("song.name", 1), ("freestyle_vocals", 1), ("vocal_gender", 1)}
-    of = {w: f"_{n}" for n, w in enumerate(sorted(wanted))}
-    g = entries.groupBy("song").agg(*(F.min(F.when((F.col("key") == key) & (F.col("i") == i), F.col("value"))).alias(c) for (key, i), c in of.items()))
+    """(song, the fields, missing) from rows (song, key, i, value)."""
+    dealt = entries.repartition("song")  # sorted a part at a time, not a whole input split of entries
+    return _fields(dealt.groupBy("song").agg(*(F.min(F.when((F.col("key") == key) & (F.col("i") == i), F.col("value"))).alias(c) for (key, i), c in COLUMNS.items())))
+
+
+def records(trees: DataFrame) -> DataFrame:
+    """(song, the fields, missing) from rows (song, entries), a song each: ``entries`` is an array of (key, i, value)."""
+    at = lambda key, i: F.array_min(F.transform(F.filter("entries", lambda e: (e["key"] == key) & (e["i"] == i)), lambda e: e["value"]))
+    return _fields(trees.select("song", *(at(*w).alias(c) for w, c in COLUMNS.items())))
+
+
+def _fields(g: DataFrame) -> DataFrame:
+    of = COLUMNS
 
     def field(key: str, i: int, kind: str, default) -> Column:
         c = F.col(of[key, i])
