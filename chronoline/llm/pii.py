@@ -6,13 +6,15 @@ which a bidirectional LSTM over characters with a linear-chain CRF on top is tra
 span is also trained in disguises that the patterns miss: other separators, a missing plus, spelled or
 bracketed marks, spaces. Texts are cut into overlapping windows; each
 window is decoded by Viterbi, every character takes the tag of the window in whose middle it
-is nearest, and runs of a tag over the whole text are the method's spans. Base spans stay;
+is nearest (so each window decides its middle), and runs of a tag over the whole text are the method's spans. Base spans stay;
 the method's spans are added where they touch no base span, are trimmed of surrounding space and punctuation, and
 hold what their kind asks for: a card 14 to 19 digits that pass Luhn, a phone 10 to 15 digits, an ip four numbers up to
 255, an email letters on both sides of a mark (an ``@`` or "at") and a dot or "dot".
 
-Every kind has a digit or an ``@``, so windows without either are outside all spans and are not
-sent through the network; all other windows of the whole text are. Positions are code points.
+What a kind asks for always holds a *mark*: a digit, an ``@`` or the word "at". A run of tags without a mark can't become a span, so
+decoding starts with the windows that decide a mark, and goes on with the next window wherever a run reaches the edge of what
+is decoded: every run with a mark is decoded in whole, whatever its length, and the spans are those of all windows of
+the whole text decoded. Positions are code points.
 
 Defined results: null text counts as empty and has no spans; a null doc_id is handled like any
 other; equal rows give equal rows; texts of any length are cut into windows whole; without any
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chronoline.llm.common import columns, packed, unpacked
-from chronoline.llm.textcols import buffers
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -126,11 +127,32 @@ def _ids(text: str) -> np.ndarray:
     return np.where((code >= 32) & (code < 127), code - 31, CHARS - 1).astype(np.int32)
 
 
-def _windows(ids: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an @."""
+AT = re.compile(r"\bat\b", re.I)
+
+
+def _marks(text: str, ids: np.ndarray) -> np.ndarray:
+    """Which characters are a digit, an @ or in the word "at": a span that ``holds`` has one of them."""
     mark = ((ids >= 17) & (ids <= 26)) | (ids == 33)
+    for m in AT.finditer(text):
+        mark[m.start() : m.end()] = True
+    return mark
+
+
+def _starts(n: int) -> np.ndarray:
+    """Starts of all windows of a text of n characters."""
+    return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
+
+
+def _deciding(at: np.ndarray, n: int) -> np.ndarray:
+    """The windows, by number, in whose middle the characters are nearest."""
+    return np.clip((at - (WINDOW - STRIDE) // 2) // STRIDE, 0, len(_starts(n)) - 1)
+
+
+def _windows(ids: np.ndarray, text: str | None = None) -> np.ndarray:
+    """Starts of the windows that hold a mark (in ``ids`` alone: a digit or an @)."""
+    mark = _marks(text or "", ids)
     n = len(ids)
-    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
+    starts = _starts(n)
     total = np.concatenate([[0], np.cumsum(mark)])
     return starts[total[np.minimum(starts + WINDOW, n)] > total[starts]]
 
@@ -279,12 +301,50 @@ def _spans_of(tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -
     return [(int(i), int(whole[i]) - 1, int(j)) for i, j in zip(step, step[1:], strict=False) if whole[i]]
 
 
-def _with_marks(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or an @."""
-    raw, at = buffers(column)
-    mark = ((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40)
-    total = np.concatenate([[0], np.cumsum(mark)])
-    return np.flatnonzero(total[at[1:]] > total[at[:-1]])
+def _runs(tags: np.ndarray) -> np.ndarray:
+    """(start, tag, end) of the runs of equal tags other than 0."""
+    step = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
+    runs = np.stack([step[:-1], tags[step[:-1]], step[1:]], 1) if len(step) else np.zeros((0, 3), np.int64)
+    return runs[runs[:, 1] > 0]
+
+
+def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of the runs of a tag that hold a mark, as if all windows of the texts were decoded. A window that isn't decoded
+    yet tags its middle -1; where a run with a mark meets one, windows from there on are decoded next, each time twice as many."""
+    ids = [_ids(t) for t in texts]
+    marks = [_marks(t, i) for t, i in zip(texts, ids, strict=True)]
+    tags = [np.full(len(i), -1, np.int8) for i in ids]
+    need = [np.unique(_deciding(np.flatnonzero(m), len(m))) if len(m) else np.zeros(0, np.int64) for m in marks]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    going = [k for k, w in enumerate(need) if len(w)]
+    grow = 1
+    while going:
+        pieces = [_cut(ids[k], need[k] * STRIDE) for k in going]
+        x, size = (np.concatenate(p) for p in zip(*pieces, strict=True))
+        got = np.concatenate([tagger.decode(x[i : i + 4096], size[i : i + 4096]) for i in range(0, len(x), 4096)])
+        at, further = 0, []
+        for k in going:
+            n, last = len(ids[k]), len(_starts(len(ids[k]))) - 1
+            for w in need[k]:
+                s = w * STRIDE
+                a, z = (s + (WINDOW - STRIDE) // 2 if w else 0), (s + (WINDOW + STRIDE) // 2 if w < last else n)
+                tags[k][a:z] = got[at, a - s : z - s]
+                at += 1
+            total = np.concatenate([[0], np.cumsum(marks[k])])
+            runs = _runs(tags[k])
+            runs = runs[total[runs[:, 2]] > total[runs[:, 0]]]
+            left, right = (e[(e >= 0) & (e < n)] for e in (runs[:, 0] - 1, runs[:, 2]))
+            left, right = (_deciding(e[tags[k][e] < 0], n)[:, None] for e in (left, right))
+            more = np.unique(np.concatenate([(left - np.arange(grow)).ravel(), (right + np.arange(grow)).ravel()]))
+            more = more[(more >= 0) & (more <= last)]
+            middle = np.minimum(more * STRIDE + WINDOW // 2, n - 1)
+            need[k] = more[tags[k][np.where(more, middle, 0)] < 0]
+            if len(need[k]):
+                further.append(k)
+            else:
+                out[k] = [(int(i), int(t) - 1, int(j)) for i, t, j in runs]
+        going, grow = further, 2 * grow
+    return out
 
 
 def hash_bound(sample: int, n: int) -> int:
@@ -294,8 +354,8 @@ def hash_bound(sample: int, n: int) -> int:
 
 def fit(docs: DataFrame, sample: int = 3000, most_windows: int = 8000) -> Tagger | None:
     """A tagger trained on the base spans of at most about ``sample`` different texts, chosen by hash: on
-    all windows of their whole texts and of disguised spans, or by hash ``most_windows`` of these where there are more."""
-    marked = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    all windows with a mark of their whole texts and of disguised spans, or by hash ``most_windows`` of these where there are more."""
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select("text")  # no other text has a base span
     chosen = marked.where(F.pmod(F.xxhash64("text"), F.lit(WIDE)) < hash_bound(sample, marked.count())).distinct()  # copies have one hash: all or none
 
     def label(batches):
@@ -306,15 +366,16 @@ def fit(docs: DataFrame, sample: int = 3000, most_windows: int = 8000) -> Tagger
                 tag = np.zeros(len(ids), np.int8)
                 for start, kind, end in reversed(base_spans(text)):
                     tag[start:end] = kind + 1
-                pieces = [(ids, tag)]
+                pieces = [(text, ids, tag)]
                 r = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
                 for start, kind, end in base_spans(text):
                     for _ in range(DISGUISES):
                         new = disguises(kind, text[start:end], r)
                         a, z = max(0, start - int(r.integers(20, WINDOW))), end + int(r.integers(20, WINDOW))
-                        pieces.append((_ids(text[a:start] + new + text[end:z]), np.concatenate([tag[a:start], np.full(len(new), kind + 1, np.int8), tag[end:z]])))
-                for ids, tag in pieces:
-                    starts = _windows(ids)
+                        piece = text[a:start] + new + text[end:z]
+                        pieces.append((piece, _ids(piece), np.concatenate([tag[a:start], np.full(len(new), kind + 1, np.int8), tag[end:z]])))
+                for piece, ids, tag in pieces:
+                    starts = _windows(ids, piece)
                     x, size = _cut(ids, starts)
                     y, _ = _cut(tag, starts)
                     for part, v in zip(out, (x, y.astype(np.int8), size), strict=True):
@@ -344,23 +405,11 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
             tagger.p = sent.value
         for b in batches:
             base, every = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-            rows = _with_marks(b.column(at_text))
-            for i in range(0, len(rows), 256):
-                mine = rows[i : i + 256]
-                texts = b.column(at_text).take(pa.array(mine)).to_pylist()
-                parts = []
-                for r, text in zip(mine, texts, strict=True):
+            for i in range(0, b.num_rows, 256):
+                texts = [t or "" for t in b.column(at_text).slice(i, 256).to_pylist()]
+                runs = tagged(tagger, texts) if tagger else [[] for _ in texts]
+                for r, text, found in zip(range(i, i + len(texts)), texts, runs, strict=True):
                     base[r] = base_spans(text)
-                    ids = _ids(text)
-                    parts.append((r, text, _windows(ids), *_cut(ids, _windows(ids))))
-                tags = None
-                if tagger:
-                    x, size = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-                    tags = np.concatenate([tagger.decode(x[k : k + 4096], size[k : k + 4096]) for k in range(0, len(x), 4096)])
-                at = 0
-                for r, text, starts, _, sizes in parts:
-                    found = _spans_of(tags[at : at + len(starts)], starts, sizes, len(text)) if tagger else []
-                    at += len(starts)
                     taken = np.zeros(len(text) + 1, np.int64)
                     for s, _, e in base[r]:
                         taken[s:e] = 1
