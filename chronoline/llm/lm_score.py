@@ -9,15 +9,23 @@ Both factors are softmaxes over hashed features. P(class | past): the word befor
 32 most frequent words, else by its class), the classes two and three before, their n-grams and
 skips. P(name | class, past), where one name stands for the rest: the class, the class before,
 the named word before, and the class two before (the seven most frequent endings, or another), their n-grams and skips, each
-within the class. A word of the rest then has add-one counts with one unknown word per class, so all probabilities of a step
-sum to 1. What is left out of the method: words beyond the named ones are no features and answer to the
-past by their class only, since contexts of two named words would move several times the text.
+within the class.
+
+Words without a name are told apart by a tree: within its class, a word is found by three digits of 32, which are its third byte from the
+end, its first byte and five bits of its hash. P(digit | class, digits before, past) is a softmax again, so every word of any
+vocabulary is an outcome that answers to the past. A leaf of the tree is nearly always one word of the training texts; where
+it holds several, they have add-one counts, with one unknown word per leaf, so all probabilities of a step sum to 1.
+
+Every word, named or not, is a feature by its own hash: of the class, of the name within the class, and of each digit at its node,
+the last two beside the class before. These weights, ``SPREAD`` rows in all, start from the two factors above, and in the tree from
+the leaves' counts, and are learnt in one pass over all training texts, token by token, since contexts of two words would move several times the
+text: a partition takes gradient steps by itself, and a weight is the partitions' mean, each counted by how often it met the row.
 
 Counts of words, endings and of (context, outcome) cover all training documents; each is combined
 within a batch, then by a shuffle over all reducers. The weights are fitted by gradient steps that
 run over the partitions of the context counts; a step sends one gradient per partition (one for
 ``PER_PART`` rows, at most ``PARTS``, of 2 MB each). The weights, 2 MB for each factor at any size of the corpus, go to the tasks, which work out
-the probabilities of the contexts that they meet. Texts are scored in numpy batches. The most frequent words, at most ``head`` of
+the probabilities of the contexts that they meet; so do the weights of words, 8 MB, and the tree's counts, 4 MB. Texts are scored in numpy batches. The most frequent words, at most ``head`` of
 them, go to the tasks as a table; all other words' counts are joined by shuffle, a row per
 document and word, so a vocabulary of any size is scored exactly.
 
@@ -25,7 +33,7 @@ Also returned: base_score, the add-one unigram log10 probability over the same c
 
 Defined results: null text counts as empty and scores its end; a null doc_id is its own empty
 text in the fold rule; equal rows score equally; texts of any length are scored whole, a slab at
-a time; without training documents the classes are uniform; an empty table gives an empty result;
+a time; without training documents the classes and digits are uniform; an empty table gives an empty result;
 columns other than the named ones are ignored.
 """
 
@@ -45,6 +53,8 @@ ROWS, PARTS, PER_PART, CHUNK = 1 << 14, 8, 400_000, 1 << 14
 #: contexts of the two factors: (word or class before, classes two and three before);
 #: (class, class and name before, one of ``TWO`` classes two before)
 TWO = 8
+#: weight rows of all words, leaves of a class, tokens worked on at once and in a gradient step, tokens of a learner
+SPREAD, LEAVES, PIECE, STEP, PER_LEARNER = 1 << 16, 1 << 15, 1 << 17, 1 << 11, 4_000_000
 PAST, INSIDE = (TOP + CLASSES) * CLASSES * CLASSES, CLASSES * CLASSES * NAMES * TWO
 
 
@@ -52,6 +62,11 @@ def _ending(w: Words) -> np.ndarray:
     return w.low[w.end - 1].astype(np.int64) + 256 * w.low[np.maximum(w.end - 2, w.start)].astype(np.int64)
 
 
+def _leaf(w: Words) -> np.ndarray:
+    """The three digits by which words are found within their class."""
+    return (w.low[np.maximum(w.end - 3, w.start)] & 31).astype(np.int64) << 10 | (w.low[w.start] & 31).astype(np.int64) << 5 | (w.h >> np.uint64(59)).astype(np.int64)
+
+
 def _hashed(parts: list[np.ndarray]) -> np.ndarray:
     """(contexts, features): the weight row of each feature, by hash."""
     return np.stack([(mix(p.astype(np.uint64) + np.uint64((k + 1) * int(GOLD) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(ROWS)).astype(np.int64) for k, p in enumerate(parts)], 1)
@@ -87,7 +102,8 @@ class Names:
         return c, name, np.where(rank < TOP, rank, c + TOP)
 
     def contexts(self, w: Words):
-        """Of the words and one end per document, in order: class, name, past and inside; documents; where the words are."""
+        """Of the words and one end per document, in order: class, name, past and inside; documents; where the words are; the
+        word before (by hash) and its class; the digits (0 for ends)."""
         n = len(w.first) - 1
         size = np.diff(w.first) + 1
         total = len(w) + n
@@ -107,11 +123,13 @@ class Names:
         c2 = before(c, 2, END)
         past = (before(y, 1, END + TOP) * CLASSES + c2) * CLASSES + before(c, 3, END)
         inside = ((c * CLASSES + before(c, 1, END)) * NAMES + before(s, 1, REST)) * TWO + np.minimum(c2, TWO - 1)
-        return c, s, past, inside, doc, is_word
+        h, leaf = np.full(total, GOLD), np.zeros(total, np.int64)
+        h[is_word], leaf[is_word] = w.h, _leaf(w)
+        return c, s, past, inside, doc, is_word, before(h, 1, GOLD), before(c, 1, END), leaf
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, ending, n) over all whole texts."""
+    """(h, ending, n) over all whole texts; ending holds the digits too, above its 16 bits."""
 
     def run(batches):
         for b in batches:
@@ -119,7 +137,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for _, raw, at in slabs(b.column(0)):
                 w = Words(raw, at, "space")
                 hs.append(w.h)
-                es.append(_ending(w))
+                es.append(_ending(w) | _leaf(w) << 16)
             if hs:
                 h, first, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(es)[first], pa.int32()), pa.array(n, pa.int64())], ["h", "ending", "n"])
@@ -134,7 +152,7 @@ def context_counts(texts: DataFrame, names) -> DataFrame:
         for b in batches:
             keys = [[], []]
             for _, raw, at in slabs(b.column(0)):
-                c, s, past, inside, _, is_word = names.value.contexts(Words(raw, at, "space"))
+                c, s, past, inside, _, is_word, *_ = names.value.contexts(Words(raw, at, "space"))
                 keys[0].append(past * CLASSES + c)
                 keys[1].append((inside * NAMES + s)[is_word])
             for k, parts in enumerate(keys):
@@ -146,11 +164,11 @@ def context_counts(texts: DataFrame, names) -> DataFrame:
 
 def _log_odds(weights: np.ndarray, contexts: np.ndarray, inside: bool, valid: np.ndarray) -> np.ndarray:
     """log P(y | context) for each context, (contexts, 32). ``valid`` says which names a class has; others have no probability."""
-    z = np.zeros((len(contexts), 32))
+    z = np.zeros((len(contexts), 32), weights.dtype)
     for rows in _features(contexts, inside).T:
         z += weights[rows]
     if inside:
-        z += np.where(valid, 0.0, -np.inf)[contexts // (INSIDE // CLASSES)]
+        z += np.where(valid, 0.0, -np.inf).astype(z.dtype)[contexts // (INSIDE // CLASSES)]
     z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
@@ -202,6 +220,108 @@ def fit(seen: DataFrame, inside: bool, valid: np.ndarray, steps: int = 15, rate:
     return weights.astype(np.float32)
 
 
+def leaf_counts(counts: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(leaf, n, v): tokens and words of each class and digits."""
+
+    def run(batches):
+        for b in batches:
+            code, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            leaf, at, v = np.unique(classes[code & 0xFFFF].astype(np.int64) * LEAVES + (code >> 16), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(np.bincount(at, n, len(leaf)).astype(np.int64)), pa.array(v, pa.int64())], ["leaf", "n", "v"])
+
+    return counts.select("ending", "n").mapInArrow(run, "leaf int, n bigint, v bigint").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+
+class Tree:
+    """The logarithms of what the leaves of all classes weigh, and of each digit's share at each node."""
+
+    def __init__(self, weight: np.ndarray):
+        self.leaves = np.log10(weight).astype(np.float32)
+        under = [weight.reshape(CLASSES * 32**k, 32, -1).sum(2) for k in range(3)]
+        self.levels = [np.log(u / u.sum(1, keepdims=True)).astype(np.float32) for u in under]
+
+
+def _spread(*parts: np.ndarray) -> np.ndarray:
+    """The row among ``SPREAD`` of each feature, by hash."""
+    h = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        h = mix(h * np.uint64(3) + GOLD + p.astype(np.uint64))
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def factors(tokens: tuple, outer: np.ndarray, within: np.ndarray, tree: Tree, valid: np.ndarray):
+    """Of tokens in order, ``PIECE`` of them at a time: (tokens, log-odds without the words' weights, a function of a slice; the
+    words' rows; outcomes) of each factor: class, name, and the three digits of words without a name."""
+    c, s, past, inside, _, is_word, word, c1, leaf = tokens
+    for i in range(0, len(c), PIECE):
+        every = np.arange(i, min(i + PIECE, len(c)))
+        named = every[is_word[every]]
+        rest = named[s[named] == REST]
+        for at, weights, context, y in ((every, outer, past, c), (named, within, inside, s)):
+            known, of = np.unique(context[at], return_inverse=True)
+            parts = [_log_odds(weights, known[k : k + CHUNK], weights is within, valid) for k in range(0, len(known), CHUNK)]
+            table = np.concatenate(parts) if parts else np.zeros((0, 32), np.float32)
+            rows = [word[at]] if weights is outer else [word[at], c[at] + 1]
+            yield at, (lambda x, table=table, of=of: table[of[x]]), _spread(*rows)[:, None], y[at]
+        for k, counts in enumerate(tree.levels):
+            node = (c[rest] * LEAVES + leaf[rest]) >> (15 - 5 * k)
+            tag = node * 8 + (k + 2)
+            rows = np.stack([_spread(word[rest], tag), _spread(c1[rest], tag + (1 << 40))], 1)
+            yield rest, (lambda x, counts=counts, node=node: counts[node[x]]), rows, leaf[rest] >> (10 - 5 * k) & 31
+
+
+def _with_words(z: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log-odds with the words' weights. They start as logarithms of shares, and a weight stops growing where its outcome is
+    certain, so their exponentials stay in range."""
+    for f in rows.T:
+        z = z + words[f]
+    return z
+
+
+def word_weights(learnt: DataFrame, names, model, learners: int, rate: float = 1.0) -> np.ndarray:
+    """The weights of words, (SPREAD, 32); ``model``, a broadcast, holds what ``factors`` takes after the tokens."""
+
+    def run(batches):
+        words, squares, met = np.zeros((SPREAD, 32), np.float32), np.ones(SPREAD), np.zeros(SPREAD, np.int64)
+        flat, ones = words.reshape(-1), np.ones(32, np.float32)
+        for b in batches:
+            for _, raw, at in slabs(b.column(0)):
+                for _, odds, rows, y in factors(names.value.contexts(Words(raw, at, "space")), *model.value):
+                    for i in range(0, len(y), STEP):
+                        d = np.exp(_with_words(odds(slice(i, i + STEP)), words, rows[i : i + STEP]))
+                        d /= (d @ ones)[:, None]
+                        d[np.arange(len(d)), y[i : i + STEP]] -= 1
+                        length = np.einsum("ij,ij->i", d, d)
+                        for f in rows[i : i + STEP].T:
+                            n = np.bincount(f, minlength=SPREAD)
+                            met += n
+                            np.add.at(squares, f, length * n[f])  # no less than the square of the row's summed gradient
+                            d_row = d * (-rate / np.sqrt(squares[f])).astype(np.float32)[:, None]
+                            np.add.at(flat, (f[:, None] * 32 + np.arange(32)).ravel(), d_row.ravel())
+        words *= met[:, None].astype(np.float32)
+        for k in range(0, SPREAD, 1024):
+            some = slice(k, k + 1024)
+            if met[some].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([words[some].tobytes()], pa.binary()), pa.array([met[some].astype(np.float32).tobytes()], pa.binary())], ["k", "words", "met"])
+
+    def mean(batches):
+        sums = {}
+        for b in batches:
+            for k, words, met in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = sums.setdefault(k, [np.zeros((1024, 32)), np.zeros(1024)])
+                got[0] += np.frombuffer(words, np.float32).reshape(-1, 32)
+                got[1] += np.frombuffer(met, np.float32)
+        for k, (words, met) in sums.items():
+            out = (words / np.maximum(met, 1)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "words"])
+
+    out = np.zeros((SPREAD, 32), np.float32)
+    sums = learnt.coalesce(learners).mapInArrow(run, "k int, words binary, met binary").repartition("k").mapInArrow(mean, "k int, words binary")
+    for r in sums.toLocalIterator():  # 64 rows of fixed size
+        out[r["k"] : r["k"] + 1024] = np.frombuffer(r["words"], np.float32).reshape(-1, 32)
+    return out
+
+
 def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document,
     learnt from those whose crc32(doc_id as text) modulo ``fold`` is not ``held``."""
@@ -210,7 +330,7 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     learnt = docs.where(~held_out).select("text")
     n_docs = docs.where(~held_out).select("doc_id").count()
     counts = cut(word_counts(learnt))
-    ends = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # 65,536 endings at most
+    ends = counts.groupBy(F.col("ending").bitwiseAND(0xFFFF).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # 65,536 endings at most
     ends.sort(key=lambda r: (-r["n"], r["ending"]))
     classes = np.full(1 << 16, OTHER, np.int16)
     for k, r in enumerate(ends[:OTHER]):
@@ -224,7 +344,8 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
             break
         least, sofar = r["n"], sofar + r["v"]
     top = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).select("h", "ending", "n").toArrow()
-    h, n, c = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy(), classes[top["ending"].to_numpy()].astype(np.int64)
+    h, n, code = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["ending"].to_numpy()
+    c = classes[code & 0xFFFF].astype(np.int64)
     order = np.argsort(h)
     known = (h[order], np.log10(n[order] + 1.0))
     # names: the most frequent words of each class
@@ -233,40 +354,43 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     named = order[place < REST]
     rank = np.full(len(h), TOP)
     rank[np.lexsort((h, -n))[:TOP]] = np.arange(min(TOP, len(h)))
-    size, words, valid = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros((CLASSES, NAMES), bool)
-    for r in ends:
-        size[classes[r["ending"]]] += r["n"]
-        words[classes[r["ending"]]] += r["v"]
-    np.subtract.at(size, c[named], n[named])
-    np.subtract.at(words, c[named], 1)
+    leaves, valid = np.ones(CLASSES * LEAVES), np.zeros((CLASSES, NAMES), bool)  # a leaf weighs its words' counts, each with one, and one unknown
+    got = leaf_counts(counts, classes).toArrow()  # CLASSES * LEAVES rows at most
+    leaves[got["leaf"].to_numpy()] += got["n"].to_numpy() + got["v"].to_numpy()
+    np.subtract.at(leaves, c[named] * LEAVES + (code[named] >> 16), n[named] + 1)
     valid[:, REST] = True
     valid[c[named], place[place < REST]] = True
     names = docs.sparkSession.sparkContext.broadcast(Names(classes, h[named], place[place < REST], rank[named]))
-    del top, h, n, c, order, place
+    del top, h, n, c, code, order, place, got
     seen, got = sized(context_counts(learnt, names))  # at most (PAST + INSIDE) * 32 rows; parts of a context add up
     seen = seen.coalesce(max(1, min(PARTS, got["n"] // PER_PART)))
     outer = fit(seen.where("NOT inside").drop("inside"), False, valid)
     within = fit(seen.where("inside").drop("inside"), True, valid)
-    out_of = np.log10(size + words + 1.0)  # P(word | rest of the class) has c + 1 over this
-    sent = docs.sparkSession.sparkContext.broadcast((known, outer, within, out_of))
+    tree = Tree(leaves)  # P(word | leaf) has c + 1 over the leaf's weight
+    model = docs.sparkSession.sparkContext.broadcast((outer, within, tree, valid))
+    sent = docs.sparkSession.sparkContext.broadcast((known, word_weights(learnt, names, model, max(1, -(-total // PER_LEARNER)))))
     base_of, end_base = np.log10(total + vocabulary + 1.0), np.log10(n_docs + 1.0)
 
     def run(batches):
-        (hs, logs), outer, within, out_of = sent.value
+        (hs, logs), words = sent.value
         for b in batches:
             got = [[] for _ in range(6)]
             for _, raw, at in slabs(b.column(2)):
                 w = Words(raw, at, "space")
-                c, s, past, inside, doc, is_word = names.value.contexts(w)
+                tokens = names.value.contexts(w)
+                _, s, _, _, doc, is_word, *_ = tokens
                 n = len(at) - 1
                 at_head = np.minimum(np.searchsorted(hs, w.h), max(len(hs) - 1, 0))
                 found = hs[at_head] == w.h if len(hs) else np.zeros(len(w), bool)
                 value = np.where(found, logs[at_head] if len(hs) else 0.0, 0.0)
                 sum_logs = np.bincount(w.doc, value, n)
-                cls = log_odds(outer, past, c, False, valid)
-                cls[is_word] += log_odds(within, inside[is_word], s[is_word], True, valid)
+                cls = np.zeros(len(s))
+                for mine, odds, rows, y in factors(tokens, *model.value):
+                    for i in range(0, len(y), 8 * STEP):
+                        z = _with_words(odds(slice(i, i + 8 * STEP)), words, rows[i : i + 8 * STEP])
+                        cls[mine[i : i + 8 * STEP]] += (z[np.arange(len(z)), y[i : i + 8 * STEP]] - np.log(np.exp(z).sum(1))) / np.log(10)
                 rest = is_word & (s == REST)
-                cls[rest] -= out_of[c[rest]]
+                cls[rest] -= model.value[2].leaves[tokens[0][rest] * LEAVES + tokens[-1][rest]]
                 # a named word's own count is part of logs; it isn't in its probability
                 cls[is_word & ~rest] -= value[(s != REST)[is_word]]
                 tail = np.flatnonzero(~found)

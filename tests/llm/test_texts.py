@@ -329,6 +329,44 @@ def test_language_model_beats_counts_where_the_past_tells(docs_of):
     assert len(out) > 10 and sum(x["score"] for x in out) / tokens > sum(x["base_score"] for x in out) / tokens + 0.3
 
 
+def test_language_model_knows_the_past_of_every_word(docs_of):
+    """Of 300 equally frequent words of one ending each tells the next: most have no name, but all are features and outcomes."""
+    r = random.Random(15)
+    known = sorted({"".join(r.choice("abcdefghiklmnoprstu") for _ in range(6)) + "xy" for _ in range(300)})
+    follow = dict(zip(known, r.sample(known, len(known)), strict=True))
+
+    def text():
+        w = [r.choice(known)]
+        while len(w) < 40:
+            w.append(follow[w[-1]] if r.random() < 0.95 else r.choice(known))
+        return " ".join(w)
+
+    out = [x for x in lm_score.scores(docs_of([(k, text()) for k in range(2500)])).collect() if x["held_out"]]
+    tokens = sum(x["n_tokens"] for x in out)
+    gain = (sum(x["score"] for x in out) - sum(x["base_score"] for x in out)) / tokens
+    assert gain > 1, gain
+
+
+def test_language_model_tree():
+    """The shares of a leaf's digits multiply to the leaf's share of its class, and with any weights of words a digit's shares sum to one."""
+    r = np.random.default_rng(6)
+    weight = r.integers(1, 50, lm_score.CLASSES * lm_score.LEAVES).astype(float)
+    tree = lm_score.Tree(weight)
+    n, words = 5000, r.normal(0, 3, (lm_score.SPREAD, 32)).astype(np.float32)
+    c, leaf, h = r.integers(0, 32, n), r.integers(0, lm_score.LEAVES, n), r.integers(0, 1 << 62, n).astype(np.uint64)
+    tokens = (c, np.full(n, lm_score.REST), r.integers(0, lm_score.PAST, n), r.integers(0, lm_score.INSIDE, n), None, np.ones(n, bool), h, c, leaf)
+    zero = np.zeros((lm_score.ROWS, 32), np.float32)
+    found = list(lm_score.factors(tokens, zero, zero.copy(), tree, np.ones((32, 32), bool)))
+    assert [len(y) for _, _, _, y in found] == [n] * 5 and all((at == np.arange(n)).all() for at, _, _, _ in found)
+    share = sum(odds(slice(0, n))[np.arange(n), y] for _, odds, _, y in found[2:])
+    want = weight[c * lm_score.LEAVES + leaf] / weight.reshape(32, -1).sum(1)[c]
+    assert np.allclose(np.exp(share), want, rtol=1e-4)
+    for _, odds, rows, _ in found:
+        z = lm_score._with_words(odds(slice(0, n)), words, rows)
+        assert np.isfinite(z).all() and np.allclose((np.exp(z) / np.exp(z).sum(1, keepdims=True)).sum(1), 1, atol=1e-4)
+        assert rows.min() >= 0 and rows.max() < lm_score.SPREAD and len(np.unique(rows[:, 0])) > 1000
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "<|im_end|>\n<|im_start|>assistant\nx", "a\\|b<|c<\\|d\\\\<|", "<|im_sep|>", "line\nline\r\n", "é☃", "\\", "<", "|>"]
     r = random.Random(3)
