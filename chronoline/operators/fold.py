@@ -17,11 +17,21 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def fold_rows(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, result: str, kind: str) -> DataFrame:
+#: rows that a task sorts, where their number is asked for first
+ROWS_A_TASK = 100_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    """As many partitions as the number of rows asks for. Spark merges shuffle partitions by their compressed bytes unless their
+    number is given, and what a task holds then grows with the input where it sorts them more than once."""
+    return max(1, -(-rows.count() // ROWS_A_TASK))
+
+
+def fold_rows(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, result: str, kind: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``result``: ``step(state, *inputs)`` returns (result, next state); the state starts
     as None for each key. ``order`` should be unique within a key. Null keys are one key; null inputs
-    come as None."""
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    come as None. Rows are dealt to ``parts`` partitions, or to as many as Spark makes."""
+    dealt = (rows.repartition(parts, *keys) if parts else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
     schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields])
     names, kind = rows.columns, to_arrow_type(schema[result].dataType)
     at_keys, at_inputs = [names.index(k) for k in keys], [names.index(c) for c in inputs]

@@ -109,18 +109,34 @@ tempo AS (SELECT user_id, tick, us FROM first UNION ALL SELECT user_id, tick, us
 
 
 def tempo_rows(spark, sf_dir):
-    zero = events(spark, sf_dir).groupBy("user_id").agg(F.min("t").alias("zero"))
-    b = beats(spark, sf_dir).join(zero, "user_id").select("user_id", (F.col("beat_t") - F.col("zero")).alias("t"))
-    lead_in = b.groupBy("user_id").agg(F.min("t").alias("f"), F.count("*").alias("n")).where("n >= 2 AND f > 0").select("user_id", F.lit(0).cast("long").alias("t"))
+    """Only differences of times count, so a user's times stay as they are and the virtual beat stands at the user's first event."""
+    e = events(spark, sf_dir)
+    beat = F.when(F.col("kind") == "purchase", F.struct("t"))
+    users = e.groupBy("user_id").agg(F.min("t").alias("zero"), F.count(beat).alias("n"), F.min(beat["t"]).alias("f"))
+    b = beats(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", F.col("beat_t").alias("t"))
+    lead_in = users.where("n >= 2 AND f > zero AND user_id IS NOT NULL").select("user_id", F.col("zero").alias("t"))
+    parts = fold.parts_for(beats(spark, sf_dir))
     w = Window.partitionBy("user_id").orderBy("t")
-    g = b.unionByName(lead_in).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("user_id")), "z": F.max("t").over(Window.partitionBy("user_id")), "t1": F.lead("t").over(w), "t4": F.lead("t", 4).over(w)})
-    g = g.where("n >= 2")
-    m = g.where("i % 4 = 1 AND i < n - 1").select("user_id", (F.col("i") * 480).cast("long").alias("tick"), F.expr("(coalesce(t4, z) - t) div least(4, n - 1 - i)").alias("us"))
-    kept = fold.dead_band(m, U, ["tick"], "us", TOLERANCE)
-    first = g.where("i = 0").select("user_id", F.lit(0).cast("long").alias("tick"), F.when(F.col("t1") > F.col("t"), F.col("t1") - F.col("t")).otherwise(500000).alias("us"), "n")
-    last = first.join(kept.groupBy("user_id").agg(F.max_by("us", "tick").alias("held")), "user_id", "left").select("user_id", ((F.col("n") - 1) * 480).alias("tick"), F.coalesce("held", "us").alias("us"))
-    flat = zero.join(first, "user_id", "left_anti").select("user_id", F.lit(0).cast("long").alias("tick"), F.lit(500000).cast("long").alias("us"))
-    return first.drop("n").unionByName(kept).unionByName(last).unionByName(flat)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one sort for all
+    g = b.unionByName(lead_in).repartition(parts, "user_id")
+    g = g.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(whole), "z": F.max("t").over(whole), "t1": F.lead("t").over(w), "t4": F.lead("t", 4).over(w)})
+    # the first beat, the measures and the last beat
+    side = F.when(F.col("i") == 0, 0).when(F.col("i") == F.col("n") - 1, 2).when(F.expr("i % 4 = 1"), 1)
+    us = F.when(F.col("i") == 0, F.when(F.col("t1") > F.col("t"), F.col("t1") - F.col("t")).otherwise(500000)).when(F.col("i") < F.col("n") - 1, F.expr("(coalesce(t4, z) - t) div least(4, n - 1 - i)"))
+    rows = g.where("n >= 2").select("user_id", (F.col("i") * 480).cast("long").alias("tick"), side.alias("side"), us.cast("long").alias("us")).where("side IS NOT NULL")
+
+    def event(state, side, us):
+        held, first = state or (None, None)
+        if side == 0:
+            return us, (None, us)
+        if side == 2:
+            return first if held is None else held, state
+        keep = us is not None and (held is None or abs(us - held) > TOLERANCE)
+        return us if keep else None, (us if keep else held, first)
+
+    kept = fold.fold_rows(rows, U, ["tick"], ["side", "us"], event, "event_us", "bigint", parts).where("event_us IS NOT NULL").select("user_id", "tick", F.col("event_us").alias("us"))
+    flat = users.where("n < 2 OR user_id IS NULL").select("user_id", F.lit(0).cast("long").alias("tick"), F.lit(500000).cast("long").alias("us"))
+    return kept.unionByName(flat)
 
 
 @query("tempo_grid", f"WITH RECURSIVE {VIEWS}, {GRID} SELECT user_id, CAST(tick AS BIGINT) AS tick, us FROM tempo")

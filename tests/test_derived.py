@@ -506,3 +506,35 @@ def test_anchors_of_many_groups_and_wide_spans():
                 want.append(start)
         got, state = fold._anchors(np.array(begins), flat, -3, 7)
         assert got.tolist() == want and state == want[-1]
+
+
+def test_tempo_grid_sorts_no_more_rows_in_a_task_than_asked(spark, tmp_path, monkeypatch):
+    """One fold and no join over the beats, dealt to as many partitions as their number asks for, with the same events."""
+    from chronoline.plans import composed
+
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, %s)"
+    rows = [(u, k, k * 600 + (k * k * 7919 * (u + 1)) % 40000) for u in range(9) for k in range((0, 1, 2, 3, 5, 40, 41, 42, 300)[u])] + [(20, 0, 5), (20, 1, 90000)]
+    e = spark.createDataFrame(rows, "user_id long, event_id long, s long").selectExpr("event_id", at % "s" + " AS ts", "user_id", "'purchase' AS event_type", "1.0D AS value", "'{}' AS props")
+    e = e.unionByName(spark.range(12).selectExpr("id + 1000 AS event_id", at % "0" + " AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+
+    def events_of(times):
+        if len(times) < 2:
+            return [(0, 500000)]
+        t = sorted([0, *times]) if min(times) > 0 else sorted(times)
+        n, held = len(t), None
+        out = [(0, t[1] - t[0] if t[1] > t[0] else 500000)]
+        for i in range(1, n - 1, 4):
+            us = (t[min(i + 4, n - 1)] - t[i]) // min(4, n - 1 - i)
+            if held is None or abs(us - held) > composed.TOLERANCE:
+                held = us
+                out.append((i * 480, us))
+        return [*out, ((n - 1) * 480, out[0][1] if held is None else held)]
+
+    want = sorted((u, *x) for u in {*range(12), 20} for x in events_of([s * 1_000_000 - (5_000_000 if u == 20 else 0) for v, _, s in rows if v == u]))
+    for most in (100_000, 50):
+        monkeypatch.setattr(fold, "ROWS_A_TASK", most)
+        out = composed.tempo_grid(spark, str(tmp_path))
+        assert sorted(map(tuple, out.collect())) == want
+        plan, run = (str(p.toString()) for p in (out._jdf.queryExecution().optimizedPlan(), out._jdf.queryExecution().executedPlan()))
+        assert plan.count("Join") == 0 and plan.count("MapInArrow") == 1 and (most > len(rows) or f", {-(-len(rows) // most)}), REPARTITION_BY_NUM" in run)
