@@ -1,13 +1,15 @@
 """The stages against their operators' own decisions, and the queries with SQL."""
 
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoline.llm import registry, toxicity
+from chronoline.llm import pii, registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +81,31 @@ def test_sql(spark, name):
     cur = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert got == sorted(tuple(show(r[names.index(c)]) for c in cols) for r in cur.fetchall())
+
+
+def test_redaction_is_that_of_all_windows(docs_of, prose):
+    """What the personal data stage redacts is what every window of every text decoded gives, marks or none."""
+    r = random.Random(5)
+    docs = docs_of([(k, f"{prose(r, r.randrange(60))} 555-123-4{k:03} {prose(r, r.randrange(60))}") for k in range(100, 140)] + [(1, prose(r, 90)), (2, None)])
+    model = pii.Tagger(seed=3)
+    model.p["T"] = np.eye(pii.TAGS, dtype=np.float32) * 3
+    model.p["O"] = model.p["O"] * 3
+    model.p["O"][-1, 4] += 1  # phones, in runs of many windows
+    changed = 0
+    got = {x["doc_id"]: x["text"] for x in pii.redact(docs, model).collect()}
+    for row in docs.collect():
+        text = row["text"] or ""
+        ids = pii._ids(text)
+        starts = pii._starts(len(ids))
+        x, size = pii._cut(ids, starts)
+        runs = pii._spans_of(model.decode(x, size), starts, size, len(ids)) if len(ids) else []
+        spans = pii.base_spans(text)
+        taken = {p for s, _, e in spans for p in range(s, e)}
+        more = [f for f in (pii.trimmed(text, *r) for r in runs) if not taken & set(range(f[0], f[2])) and pii.holds(f[1], text[f[0] : f[2]])]
+        at, out = 0, []
+        for s, k, e in sorted(spans + more):
+            out += [text[at:s], f"<{pii.KINDS[k]}>"] if s >= at else [f"<{pii.KINDS[k]}>"]
+            at = e
+        changed += bool(more)
+        assert got[row["doc_id"]] == (None if row["text"] is None else "".join(out) + text[at:]), row["doc_id"]
+    assert changed >= 5, changed
