@@ -39,6 +39,8 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,7 +148,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def context_counts(texts: DataFrame, names) -> DataFrame:
-    """(inside, context, y, n): how often an outcome followed a context, in either factor; ``names`` is a broadcast."""
+    """(inside, context, y, n): how often an outcome followed a context, in either factor; ``names`` is a broadcast. All outcomes of a
+    context are in one partition, so that a gradient works out its probabilities once."""
 
     def run(batches):
         for b in batches:
@@ -159,7 +162,7 @@ def context_counts(texts: DataFrame, names) -> DataFrame:
                 key, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k == 1)), pa.array((key // 32).astype(np.int32)), pa.array((key % 32).astype(np.int32)), pa.array(n, pa.int64())], ["inside", "context", "y", "n"])
 
-    return texts.mapInArrow(run, "inside boolean, context int, y int, n bigint").groupBy("inside", "context", "y").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "inside boolean, context int, y int, n bigint").repartition("inside", "context").groupBy("inside", "context", "y").agg(F.sum("n").alias("n"))
 
 
 def _log_odds(weights: np.ndarray, contexts: np.ndarray, inside: bool, valid: np.ndarray) -> np.ndarray:
@@ -240,41 +243,76 @@ class Tree:
         under = [weight.reshape(CLASSES * 32**k, 32, -1).sum(2) for k in range(3)]
         self.levels = [np.log(u / u.sum(1, keepdims=True)).astype(np.float32) for u in under]
 
+    def shares(self) -> Tree:
+        """The tree with shares for their logarithms."""
+        out = copy(self)
+        out.levels = [np.exp(x) for x in self.levels]
+        return out
+
+
+def _spread(part: np.ndarray, h: np.ndarray | int = 0) -> np.ndarray:
+    """The hash of a feature with one part more."""
+    return mix(np.uint64(3) * np.asarray(h, np.uint64) + GOLD + part.astype(np.uint64))
+
 
-def _spread(*parts: np.ndarray) -> np.ndarray:
-    """The row among ``SPREAD`` of each feature, by hash."""
-    h = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        h = mix(h * np.uint64(3) + GOLD + p.astype(np.uint64))
+def _row(h: np.ndarray) -> np.ndarray:
+    """The row among ``SPREAD`` of each feature."""
     return (h >> np.uint64(48)).astype(np.int64)
 
 
-def factors(tokens: tuple, outer: np.ndarray, within: np.ndarray, tree: Tree, valid: np.ndarray):
+class Odds:
+    """The log-odds of a factor's contexts, or their exponentials (``shares``), each worked out when a task first meets it: PAST or INSIDE
+    rows of 128 bytes at most."""
+
+    def __init__(self, weights: np.ndarray, inside: bool, valid: np.ndarray, shares: bool = False):
+        self.weights, self.inside, self.valid, self.shares = weights, inside, valid, shares
+        self.table = np.empty((INSIDE if inside else PAST, 32), np.float32)
+        self.met = np.zeros(len(self.table), bool)
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        """A table with rows for these contexts."""
+        new = np.unique(contexts[~self.met[contexts]])
+        for i in range(0, len(new), CHUNK):
+            z = _log_odds(self.weights, new[i : i + CHUNK], self.inside, self.valid)
+            self.table[new[i : i + CHUNK]] = np.exp(z) if self.shares else z
+        self.met[new] = True
+        return self.table
+
+
+def both(outer: np.ndarray, within: np.ndarray, valid: np.ndarray, shares: bool = False) -> tuple[Odds, Odds]:
+    return Odds(outer, False, valid, shares), Odds(within, True, valid, shares)
+
+
+def factors(tokens: tuple, outer: np.ndarray, within: np.ndarray, tree: Tree, valid: np.ndarray, odds: tuple[Odds, Odds] | None = None):
     """Of tokens in order, ``PIECE`` of them at a time: (tokens, log-odds without the words' weights, a function of a slice; the
-    words' rows; outcomes) of each factor: class, name, and the three digits of words without a name."""
+    words' rows; outcomes) of each factor: class, name, and the three digits of words without a name. ``odds``, from ``both``,
+    keeps what it worked out for the next tokens."""
     c, s, past, inside, _, is_word, word, c1, leaf = tokens
+    first, second = odds or both(outer, within, valid)
+    of_c1 = _spread(np.arange(CLASSES))
     for i in range(0, len(c), PIECE):
         every = np.arange(i, min(i + PIECE, len(c)))
         named = every[is_word[every]]
         rest = named[s[named] == REST]
-        for at, weights, context, y in ((every, outer, past, c), (named, within, inside, s)):
-            known, of = np.unique(context[at], return_inverse=True)
-            parts = [_log_odds(weights, known[k : k + CHUNK], weights is within, valid) for k in range(0, len(known), CHUNK)]
-            table = np.concatenate(parts) if parts else np.zeros((0, 32), np.float32)
-            rows = [word[at]] if weights is outer else [word[at], c[at] + 1]
-            yield at, (lambda x, table=table, of=of: table[of[x]]), _spread(*rows)[:, None], y[at]
+        hashed = _spread(word[i : i + PIECE])
+        for at, known, context, y in ((every, first, past, c), (named, second, inside, s)):
+            of = context[at]
+            table = known.of(of)
+            rows = hashed if known is first else _spread(c[at] + 1, hashed[at - i])
+            yield at, (lambda x, table=table, of=of: np.take(table, of[x], axis=0)), _row(rows)[:, None], y[at]
+        path, own, beside = c[rest] * LEAVES + leaf[rest], hashed[rest - i], of_c1[c1[rest]]
         for k, counts in enumerate(tree.levels):
-            node = (c[rest] * LEAVES + leaf[rest]) >> (15 - 5 * k)
+            node = path >> (15 - 5 * k)
             tag = node * 8 + (k + 2)
-            rows = np.stack([_spread(word[rest], tag), _spread(c1[rest], tag + (1 << 40))], 1)
-            yield rest, (lambda x, counts=counts, node=node: counts[node[x]]), rows, leaf[rest] >> (10 - 5 * k) & 31
+            rows = np.stack([_row(_spread(tag, own)), _row(_spread(tag + (1 << 40), beside))]).T
+            yield rest, (lambda x, counts=counts, node=node: np.take(counts, node[x], axis=0)), rows, path >> (10 - 5 * k) & 31
 
 
-def _with_words(z: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-odds with the words' weights. They start as logarithms of shares, and a weight stops growing where its outcome is
+def _with_words(z: np.ndarray, words: np.ndarray, rows: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds, to which the words' weights are added in place. They start as logarithms of shares, and a weight stops growing where its outcome is
     certain, so their exponentials stay in range."""
     for f in rows.T:
-        z = z + words[f]
+        z += np.take(words, f, axis=0, out=more, mode="clip")
     return z
 
 
@@ -283,21 +321,28 @@ def word_weights(learnt: DataFrame, names, model, learners: int, rate: float = 1
 
     def run(batches):
         words, squares, met = np.zeros((SPREAD, 32), np.float32), np.ones(SPREAD), np.zeros(SPREAD, np.int64)
-        flat, ones = words.reshape(-1), np.ones(32, np.float32)
+        pairs, of_row, ones = words.view(np.complex64).reshape(-1), np.arange(16), np.ones(32, np.float32)  # two weights are added at once
+        more, places, begin, times = np.empty((STEP, 32), np.float32), np.empty((STEP, 16), np.intp), np.arange(STEP) * 32, np.zeros(SPREAD)
+        outer, within, _, valid = model.value
+        tables = both(outer, within, valid)
         for b in batches:
-            for _, raw, at in slabs(b.column(0)):
-                for _, odds, rows, y in factors(names.value.contexts(Words(raw, at, "space")), *model.value):
+            for _, raw, at in slabs(b.column(0), 1 << 18):  # what a step reads stays in the processor's cache
+                for _, odds, rows, y in factors(names.value.contexts(Words(raw, at, "space")), *model.value, tables):
+                    met += np.bincount(rows.ravel(), minlength=SPREAD)
                     for i in range(0, len(y), STEP):
-                        d = np.exp(_with_words(odds(slice(i, i + STEP)), words, rows[i : i + STEP]))
+                        d = odds(slice(i, i + STEP))
+                        n = len(d)
+                        np.exp(_with_words(d, words, rows[i : i + STEP], more[:n]), out=d)
                         d /= (d @ ones)[:, None]
-                        d[np.arange(len(d)), y[i : i + STEP]] -= 1
-                        length = np.einsum("ij,ij->i", d, d)
+                        d.reshape(-1)[begin[:n] + y[i : i + STEP]] -= 1
+                        length = np.multiply(d, d, out=more[:n]) @ ones
                         for f in rows[i : i + STEP].T:
-                            n = np.bincount(f, minlength=SPREAD)
-                            met += n
-                            np.add.at(squares, f, length * n[f])  # no less than the square of the row's summed gradient
-                            d_row = d * (-rate / np.sqrt(squares[f])).astype(np.float32)[:, None]
-                            np.add.at(flat, (f[:, None] * 32 + np.arange(32)).ravel(), d_row.ravel())
+                            np.add.at(times, f, 1.0)
+                            np.add.at(squares, f, length * times[f])  # no less than the square of the row's summed gradient
+                            times[f] = 0
+                            np.multiply(d, (-rate / np.sqrt(squares[f])).astype(np.float32)[:, None], out=more[:n])
+                            np.add((f * 16)[:, None], of_row, out=places[:n])
+                            np.add.at(pairs, places[:n].reshape(-1), more[:n].view(np.complex64).reshape(-1))
         words *= met[:, None].astype(np.float32)
         for k in range(0, SPREAD, 1024):
             some = slice(k, k + 1024)
@@ -368,11 +413,14 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     within = fit(seen.where("inside").drop("inside"), True, valid)
     tree = Tree(leaves)  # P(word | leaf) has c + 1 over the leaf's weight
     model = docs.sparkSession.sparkContext.broadcast((outer, within, tree, valid))
-    sent = docs.sparkSession.sparkContext.broadcast((known, word_weights(learnt, names, model, max(1, -(-total // PER_LEARNER)))))
+    sent = docs.sparkSession.sparkContext.broadcast((known, np.exp(word_weights(learnt, names, model, max(1, -(-total // PER_LEARNER))))))
     base_of, end_base = np.log10(total + vocabulary + 1.0), np.log10(n_docs + 1.0)
 
     def run(batches):
         (hs, logs), words = sent.value
+        outer, within, tree, valid = model.value
+        of_model = outer, within, tree.shares(), valid, both(outer, within, valid, True)
+        more, begin, ones = np.empty((STEP, 32), np.float32), np.arange(STEP) * 32, np.ones(32, np.float32)
         for b in batches:
             got = [[] for _ in range(6)]
             for _, raw, at in slabs(b.column(2)):
@@ -385,12 +433,15 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
                 value = np.where(found, logs[at_head] if len(hs) else 0.0, 0.0)
                 sum_logs = np.bincount(w.doc, value, n)
                 cls = np.zeros(len(s))
-                for mine, odds, rows, y in factors(tokens, *model.value):
-                    for i in range(0, len(y), 8 * STEP):
-                        z = _with_words(odds(slice(i, i + 8 * STEP)), words, rows[i : i + 8 * STEP])
-                        cls[mine[i : i + 8 * STEP]] += (z[np.arange(len(z)), y[i : i + 8 * STEP]] - np.log(np.exp(z).sum(1))) / np.log(10)
+                for mine, shares, rows, y in factors(tokens, *of_model):
+                    for i in range(0, len(y), STEP):
+                        p = shares(slice(i, i + STEP))  # and the words' exponentials: none is worked out for a token
+                        for f in rows[i : i + STEP].T:
+                            p *= np.take(words, f, axis=0, out=more[: len(p)], mode="clip")
+                        chosen = p.reshape(-1)[begin[: len(p)] + y[i : i + STEP]]
+                        cls[mine[i : i + STEP]] += np.log10(np.maximum(chosen, 1e-37) / (p @ ones))
                 rest = is_word & (s == REST)
-                cls[rest] -= model.value[2].leaves[tokens[0][rest] * LEAVES + tokens[-1][rest]]
+                cls[rest] -= tree.leaves[tokens[0][rest] * LEAVES + tokens[-1][rest]]
                 # a named word's own count is part of logs; it isn't in its probability
                 cls[is_word & ~rest] -= value[(s != REST)[is_word]]
                 tail = np.flatnonzero(~found)

@@ -347,6 +347,39 @@ def test_language_model_knows_the_past_of_every_word(docs_of):
     assert gain > 1, gain
 
 
+def test_language_model_keeps_what_it_worked_out(spark, docs_of, monkeypatch):
+    """The log-odds of a context are worked out once for all tokens of a task, and are those of tokens taken by themselves; the outcomes of a
+    context are in one partition."""
+    r = np.random.default_rng(8)
+    n, worked_out, plain = 3000, [], lm_score._log_odds
+    monkeypatch.setattr(lm_score, "_log_odds", lambda w, contexts, inside, valid: worked_out.append(len(contexts)) or plain(w, contexts, inside, valid))
+    outer, within = (r.normal(0, 0.5, (lm_score.ROWS, 32)).astype(np.float32) for _ in range(2))
+    valid, tree = np.ones((32, 32), bool), lm_score.Tree(r.integers(1, 50, lm_score.CLASSES * lm_score.LEAVES).astype(float))
+    kept, shares = lm_score.both(outer, within, valid), lm_score.both(outer, within, valid, True)
+    met = [set(), set()]
+    for _ in range(3):
+        past, inside = r.integers(0, 500, n), r.integers(0, 500, n)
+        met[0] |= set(past.tolist())
+        met[1] |= set(inside.tolist())
+        c, leaf = r.integers(0, 32, n), r.integers(0, lm_score.LEAVES, n)
+        tokens = (c, r.integers(0, 32, n), past, inside, None, np.ones(n, bool), r.integers(0, 1 << 62, n).astype(np.uint64), c, leaf)
+        before = sum(worked_out)
+        got = list(lm_score.factors(tokens, outer, within, tree, valid, kept))
+        some = sum(worked_out) - before
+        alone = list(lm_score.factors(tokens, outer, within, tree, valid))
+        p = list(lm_score.factors(tokens, outer, within, tree.shares(), valid, shares))
+        del worked_out[:]
+        worked_out.append(before + some)
+        for (_, a, rows, _), (_, b, same, _), (at, s, _, _) in zip(got, alone, p, strict=True):
+            every = slice(0, len(at))
+            assert (rows == same).all() and (a(every) == b(every)).all() and np.allclose(np.exp(b(every)), s(every), rtol=1e-4)
+    assert sum(worked_out) == sum(map(len, met))
+    names = spark.sparkContext.broadcast(lm_score.Names(np.full(1 << 16, lm_score.OTHER, np.int16), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)))
+    texts = docs_of([(k, " ".join(f"w{j * k % 11}" for j in range(9))) for k in range(60)]).select("text").repartition(5)
+    seen = lm_score.context_counts(texts, names).withColumn("part", F.spark_partition_id())
+    assert seen.groupBy("inside", "context").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+
+
 def test_language_model_tree():
     """The shares of a leaf's digits multiply to the leaf's share of its class, and with any weights of words a digit's shares sum to one."""
     r = np.random.default_rng(6)
