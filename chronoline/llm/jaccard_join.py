@@ -45,6 +45,8 @@ from chronoline.llm.common import columns, components, cut, joined, sized
 from chronoline.llm.textcols import GOLD, Words, grams, mix, ragged, signed, slabs
 
 SHARE, SMALL, SHRINK, BLOCK, BITS, MOST_HOT, HOT, MOST_SENT, FEW = 3, 48, 0.8, 1024, 1024, 1 << 18, 40, 400_000, 2
+#: bytes of texts whose shingles are held at once
+PIECE = 1 << 19
 SHORT, SALTS = 64, 64
 
 
@@ -111,7 +113,7 @@ def _profile(n: int):
     def run(batches):
         for b in batches:
             sizes, sigs, parities = [], [], []
-            for _, raw, at in slabs(b.column(1)):
+            for _, raw, at in slabs(b.column(1), PIECE):
                 rows = len(at) - 1
                 doc, value = shingle_sets(raw, at, n)
                 _, size, sig = _signatures(doc, value, rows)
@@ -128,7 +130,7 @@ def _distinct_sets(batches, n: int):
     """Sets of a batch, one for each distinct set: yields (doc, value, first, size, sig, pick)."""
     for b in batches:
         seen = np.zeros(0, np.uint64)
-        for _, raw, at in slabs(b.column(0)):
+        for _, raw, at in slabs(b.column(0), PIECE):
             doc, value = shingle_sets(raw, at, n)
             first, size, sig = _signatures(doc, value, len(at) - 1)
             _, one = np.unique(sig, return_index=True)
@@ -326,7 +328,7 @@ class _Space:
         def sets(batches):
             for b in batches:
                 out, sigs = [], [np.zeros(0, np.int64)]
-                for _, raw, at in slabs(b.column(1)):
+                for _, raw, at in slabs(b.column(1), PIECE):
                     doc, value = shingle_sets(raw, at, n)
                     first, _, sig = _signatures(doc, value, len(at) - 1)
                     six = np.ascontiguousarray(value.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]

@@ -37,7 +37,7 @@ from chronoline.llm.textcols import GOLD, Words, mix, slabs
 BUCKETS = 1 << 16
 SLOTS = 7
 LENGTH = 48
-BIG = 2 << 20
+BIG = 1 << 20
 
 
 def features(w: Words) -> np.ndarray:

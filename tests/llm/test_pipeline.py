@@ -2,14 +2,17 @@
 
 import os
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoline.llm import pii, registry, toxicity
+from chronoline.llm import jaccard_join, pii, registry, textcols, toxicity
+from chronoline.llm.textcols import slabs
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +112,23 @@ def test_redaction_is_that_of_all_windows(docs_of, prose):
         changed += bool(more)
         assert got[row["doc_id"]] == (None if row["text"] is None else "".join(out) + text[at:]), row["doc_id"]
     assert changed >= 5, changed
+
+
+def test_text_passes_hold_little():
+    """What a worker holds beside its texts, in the passes of toxicity and near duplicates, stays small: two work in each executor."""
+    r = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in r.integers(0, 100_000, 500)) for _ in range(1000)])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    model = np.zeros(toxicity.BUCKETS, np.float32), np.zeros((2, 2))
+
+    def marks():
+        for _, raw, at in slabs(texts, toxicity.BIG):
+            toxicity._marked(raw, at, model)
+
+    for most, work in ((60e6, marks), (50e6, lambda: list(jaccard_join._profile(5)([docs]))), (50e6, lambda: list(jaccard_join._distinct_sets([docs.select(["text"])], 5)))):
+        textcols._powers.clear()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, peak
