@@ -449,15 +449,15 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
                 d, t = w.doc[tail][order], w.h[tail][order]
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-                begin = np.flatnonzero(new)
-                tf = np.diff(np.append(begin, len(d)))
-                cuts = np.searchsorted(d[begin], np.arange(n + 1))
+                runs = np.flatnonzero(new)
+                tf = np.diff(np.append(runs, len(d)))
+                cuts = np.searchsorted(d[runs], np.arange(n + 1))
                 got[0].append(np.diff(w.first) + 1)
                 got[1].append(np.bincount(w.doc, found, n).astype(np.int64))
                 got[2].append(sum_logs)
                 got[3].append(np.bincount(doc, cls, n))
                 kind = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
-                rows = pa.StructArray.from_arrays([pa.array(t[begin].view(np.int64)), pa.array(tf, pa.int64())], fields=list(kind))
+                rows = pa.StructArray.from_arrays([pa.array(t[runs].view(np.int64)), pa.array(tf, pa.int64())], fields=list(kind))
                 got[4].append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows))
             if got[0]:
                 n_tokens, n_known, logs_head, cls = (np.concatenate(g) for g in got[:4])

@@ -380,6 +380,17 @@ def test_language_model_keeps_what_it_worked_out(spark, docs_of, monkeypatch):
     assert seen.groupBy("inside", "context").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
 
 
+def test_language_model_scores_every_slab_alike(docs_of, prose):
+    """Equal texts score equally wherever they stand in a task: in its first slab or after texts that fill slabs, with words of the head only or others too."""
+    r = random.Random(21)
+    text, long = prose(r, 300), prose(r, 1000)
+    long = " ".join([long] * ((1 << 20) // len(long) + 1))
+    for head in (1 << 18, 3):
+        docs = docs_of([(1, text), (2, long), (3, text), (4, long), (5, text)]).coalesce(1)
+        got = {x["doc_id"]: x["score"] for x in lm_score.scores(docs, head=head).collect()}
+        assert abs(got[1] - got[3]) < 1e-6 and abs(got[1] - got[5]) < 1e-6 and abs(got[2] - got[4]) < 1e-3
+
+
 def test_language_model_tree():
     """The shares of a leaf's digits multiply to the leaf's share of its class, and with any weights of words a digit's shares sum to one."""
     r = np.random.default_rng(6)
