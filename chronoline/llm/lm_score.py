@@ -22,8 +22,8 @@ the leaves' counts, and are learnt in one pass over all training texts, token by
 text: a partition takes gradient steps by itself, and a weight is the partitions' mean, each counted by how often it met the row.
 
 Counts of words, endings and of (context, outcome) cover all training documents; each is combined
-within a batch, then by a shuffle over all reducers. The weights are fitted by gradient steps that
-run over the partitions of the context counts; a step sends one gradient per partition (one for
+within a task (words beyond ``KEPT`` by every ``WAIT`` of their tokens), then by a shuffle over all reducers. The weights are fitted by
+gradient steps that run over the partitions of the context counts, each packed into one row of arrays; a step sends one gradient per partition (one for
 ``PER_PART`` rows, at most ``PARTS``, of 2 MB each). The weights, 2 MB for each factor at any size of the corpus, go to the tasks, which work out
 the probabilities of the contexts that they meet; so do the weights of words, 8 MB, and the tree's counts, 4 MB. Texts are scored in numpy batches. The most frequent words, at most ``head`` of
 them, go to the tasks as a table; all other words' counts are joined by shuffle, a row per
@@ -39,6 +39,7 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from copy import copy
 
 import numpy as np
@@ -57,6 +58,8 @@ ROWS, PARTS, PER_PART, CHUNK = 1 << 14, 8, 400_000, 1 << 14
 TWO = 8
 #: weight rows of all words, leaves of a class, tokens worked on at once and in a gradient step, tokens of a learner
 SPREAD, LEAVES, PIECE, STEP, PER_LEARNER = 1 << 16, 1 << 15, 1 << 17, 1 << 11, 4_000_000
+#: words that a task counts in place, and tokens of other words that wait
+KEPT, WAIT = 1 << 20, 1 << 19
 PAST, INSIDE = (TOP + CLASSES) * CLASSES * CLASSES, CLASSES * CLASSES * NAMES * TWO
 
 
@@ -84,24 +87,44 @@ def _features(at: np.ndarray, inside: bool) -> np.ndarray:
     return _hashed([s1, s1 * CLASSES + c2, at, c2, c3, s1 * CLASSES + c3])
 
 
+class Places:
+    """Where 64-bit hashes are among sorted ones, found by their first bits."""
+
+    def __init__(self, h: np.ndarray):
+        self.h, self.shift = h, np.uint64(64 - max(1, len(h) * 4 - 1).bit_length())
+        self.first = np.append(np.searchsorted(h, np.arange(1 << 64 - int(self.shift), dtype=np.uint64) << self.shift), len(h)).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash; -1: none."""
+        b = (h >> self.shift).astype(np.intp)
+        at, end, out = np.take(self.first, b), np.take(self.first, b + 1), np.full(len(h), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.h[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 class Names:
     """Class and name of words: the named words' hashes (sorted), their names and their overall rank (``TOP``
     and over: none), and the class of every ending."""
 
     def __init__(self, classes: np.ndarray, h: np.ndarray, name: np.ndarray, rank: np.ndarray):
         order = np.argsort(h)
-        self.classes, self.h, self.name, self.rank = classes, h[order], name[order], rank[order]
+        self.classes, self.h, self.name, self.rank = classes, h[order], np.append(name[order], REST), np.append(rank[order], TOP)  # -1: none
+        self.places = Places(self.h)
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, name, symbol) of each word; a symbol is a word of the ``TOP`` or a class."""
         c = self.classes[_ending(w)].astype(np.int64)
         if not len(self.h):
             return c, np.full(len(w), REST), c + TOP
-        at = np.minimum(np.searchsorted(self.h, w.h), len(self.h) - 1)
-        known = self.h[at] == w.h
-        name = np.where(known, self.name[at], REST)
-        rank = np.where(known, self.rank[at], TOP)
-        return c, name, np.where(rank < TOP, rank, c + TOP)
+        at = self.places.of(w.h)
+        rank = self.rank[at]
+        return c, self.name[at], np.where(rank < TOP, rank, c + TOP)
 
     def contexts(self, w: Words):
         """Of the words and one end per document, in order: class, name, past and inside; documents; where the words are; the
@@ -130,19 +153,62 @@ class Names:
         return c, s, past, inside, doc, is_word, before(h, 1, GOLD), before(c, 1, END), leaf
 
 
+class Counts:
+    """How often hashes occurred, and a code of each. Up to ``KEPT`` hashes are found by their place and counted there; the tokens of others wait,
+    ``WAIT`` at most, to be sorted and then kept too or, where no more can be, given out."""
+
+    def __init__(self):
+        self.h, self.code, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.places, self.waiting, self.size = Places(self.h), [], 0
+
+    def add(self, h: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(h), WAIT):
+            at = self.places.of(h[i : i + WAIT])
+            np.add.at(self.n, at, 1)  # -1, the last: another
+            other = i + np.flatnonzero(at < 0)
+            self.waiting.append((h[other], code[other]))
+            self.size += len(other)
+            if self.size > WAIT:
+                yield from self.sort()
+
+    def sort(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        h, code = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]) if len(h) else h)
+        h, code, n = h[first], code[order[first]], np.diff(np.append(first, len(h)))
+        self.waiting, self.size = [], 0
+        if len(self.h) + len(h) > KEPT:
+            yield h, code, n
+        else:
+            h, code, n = np.append(self.h, h), np.append(self.code, code), np.append(self.n[:-1], n)
+            order = np.argsort(h)
+            self.h, self.code, self.n = h[order], code[order], np.append(n[order], 0)
+            self.places = Places(self.h)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.waiting:
+            yield from self.sort()
+        yield self.h, self.code, self.n[:-1]
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, ending, n) over all whole texts; ending holds the digits too, above its 16 bits."""
 
     def run(batches):
-        for b in batches:
-            hs, es = [], []
-            for _, raw, at in slabs(b.column(0)):
-                w = Words(raw, at, "space")
-                hs.append(w.h)
-                es.append(_ending(w) | _leaf(w) << 16)
-            if hs:
-                h, first, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(es)[first], pa.int32()), pa.array(n, pa.int64())], ["h", "ending", "n"])
+        counts = Counts()
+
+        def found():
+            for b in batches:
+                for _, raw, at in slabs(b.column(0)):
+                    w = Words(raw, at, "space")
+                    yield from counts.add(w.h, (_ending(w) | _leaf(w) << 16).astype(np.int32))
+            yield from counts.rest()
+
+        for h, code, n in found():
+            for i in range(0, len(h), PIECE):
+                k = slice(i, i + PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(code[k]), pa.array(n[k])], ["h", "ending", "n"])
 
     return texts.mapInArrow(run, "h bigint, ending int, n bigint").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
@@ -152,23 +218,25 @@ def context_counts(texts: DataFrame, names) -> DataFrame:
     context are in one partition, so that a gradient works out its probabilities once."""
 
     def run(batches):
+        counts = np.zeros(PAST * CLASSES, np.int64), np.zeros(INSIDE * NAMES, np.int64)  # a row of a task for each key, however many texts it reads
         for b in batches:
-            keys = [[], []]
             for _, raw, at in slabs(b.column(0)):
                 c, s, past, inside, _, is_word, *_ = names.value.contexts(Words(raw, at, "space"))
-                keys[0].append(past * CLASSES + c)
-                keys[1].append((inside * NAMES + s)[is_word])
-            for k, parts in enumerate(keys):
-                key, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k == 1)), pa.array((key // 32).astype(np.int32)), pa.array((key % 32).astype(np.int32)), pa.array(n, pa.int64())], ["inside", "context", "y", "n"])
+                np.add.at(counts[0], past * CLASSES + c, 1)
+                np.add.at(counts[1], (inside * NAMES + s)[is_word], 1)
+        for k, n in enumerate(counts):
+            keys = np.flatnonzero(n)
+            for i in range(0, len(keys), PIECE):
+                key = keys[i : i + PIECE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k == 1)), pa.array((key // 32).astype(np.int32)), pa.array((key % 32).astype(np.int32)), pa.array(n[key])], ["inside", "context", "y", "n"])
 
     return texts.mapInArrow(run, "inside boolean, context int, y int, n bigint").repartition("inside", "context").groupBy("inside", "context", "y").agg(F.sum("n").alias("n"))
 
 
-def _log_odds(weights: np.ndarray, contexts: np.ndarray, inside: bool, valid: np.ndarray) -> np.ndarray:
+def _log_odds(weights: np.ndarray, contexts: np.ndarray, inside: bool, valid: np.ndarray, features: np.ndarray | None = None) -> np.ndarray:
     """log P(y | context) for each context, (contexts, 32). ``valid`` says which names a class has; others have no probability."""
     z = np.zeros((len(contexts), 32), weights.dtype)
-    for rows in _features(contexts, inside).T:
+    for rows in (_features(contexts, inside) if features is None else features).T:
         z += weights[rows]
     if inside:
         z += np.where(valid, 0.0, -np.inf).astype(z.dtype)[contexts // (INSIDE // CLASSES)]
@@ -193,28 +261,36 @@ def fit(seen: DataFrame, inside: bool, valid: np.ndarray, steps: int = 15, rate:
     """The weights of a factor, (ROWS, 32), from counts (context, y, n)."""
     weights, squares = np.zeros((ROWS, 32)), np.full((ROWS, 32), 1e-8)
     total = seen.agg(F.sum("n")).first()[0] or 0
+
+    def pack(batches):
+        cols = [np.concatenate(c) for c in zip(*[[b.column(k).to_numpy() for k in range(3)] for b in batches], strict=True)]
+        if cols:
+            order = np.argsort(cols[0], kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([c[order].astype(kind).tobytes()], pa.binary()) for c, kind in zip(cols, (np.int32, np.int8, np.int64), strict=True)], ["context", "y", "n"])
+
+    # a row of arrays for each partition, sorted once; the steps read no rows of counts
+    packed = cut(seen.select("context", "y", "n").mapInArrow(pack, "context binary, y binary, n binary")) if total else None
     for _ in range(steps if total else 0):
         sent = seen.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
         def gradient(batches, sent=sent):
-            cols = [np.concatenate(c) for c in zip(*[[b.column(k).to_numpy() for k in range(3)] for b in batches], strict=True)]
-            if cols:
-                order = np.argsort(cols[0], kind="stable")
-                context, y, n = (c[order] for c in cols)
-                known, first = np.unique(context, return_index=True)
-                first = np.append(first, len(context))
+            for context, y, n in (r for b in batches for r in zip(*b.columns, strict=True)):
+                context, y, n = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip((context, y, n), (np.int32, np.int8, np.int64), strict=True))
+                first = np.flatnonzero(np.diff(context, prepend=-1))
+                known, first = context[first], np.append(first, len(context))
                 g = np.zeros(ROWS * 32)
                 for i in range(0, len(known), CHUNK):
                     some = known[i : i + CHUNK].astype(np.int64)
                     a, z = first[i], first[min(i + CHUNK, len(known))]
                     d = -np.bincount(np.searchsorted(some, context[a:z]) * 32 + y[a:z], n[a:z], len(some) * 32).reshape(-1, 32)
-                    d -= np.exp(_log_odds(sent.value, some, inside, valid)) * d.sum(1, keepdims=True)
-                    for f in _features(some, inside).T:
+                    features = _features(some, inside)
+                    d -= np.exp(_log_odds(sent.value, some, inside, valid, features)) * d.sum(1, keepdims=True)
+                    for f in features.T:
                         g += np.bincount((f[:, None] * 32 + np.arange(32)).ravel(), d.ravel(), ROWS * 32)
                 yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["g"])
 
         g = np.zeros((ROWS, 32))
-        for r in seen.mapInArrow(gradient, "g binary").toLocalIterator():  # PARTS rows of fixed size, one at a time
+        for r in packed.mapInArrow(gradient, "g binary").toLocalIterator():  # PARTS rows of fixed size, one at a time
             g += np.frombuffer(r["g"], np.float32).reshape(ROWS, 32)
         g = g / total * 1000 + 1e-3 * weights
         squares += g * g
@@ -321,7 +397,7 @@ def word_weights(learnt: DataFrame, names, model, learners: int, rate: float = 1
 
     def run(batches):
         words, squares, met = np.zeros((SPREAD, 32), np.float32), np.ones(SPREAD), np.zeros(SPREAD, np.int64)
-        pairs, of_row, ones = words.view(np.complex64).reshape(-1), np.arange(16), np.ones(32, np.float32)  # two weights are added at once
+        pairs, flat, of_row, ones = words.view(np.complex64).reshape(-1), words.reshape(-1), np.arange(16), np.ones(32, np.float32)  # two weights are added at once
         more, places, begin, times = np.empty((STEP, 32), np.float32), np.empty((STEP, 16), np.intp), np.arange(STEP) * 32, np.zeros(SPREAD)
         outer, within, _, valid = model.value
         tables = both(outer, within, valid)
@@ -333,14 +409,19 @@ def word_weights(learnt: DataFrame, names, model, learners: int, rate: float = 1
                         d = odds(slice(i, i + STEP))
                         n = len(d)
                         np.exp(_with_words(d, words, rows[i : i + STEP], more[:n]), out=d)
-                        d /= (d @ ones)[:, None]
-                        d.reshape(-1)[begin[:n] + y[i : i + STEP]] -= 1
-                        length = np.multiply(d, d, out=more[:n]) @ ones
+                        own, sums = y[i : i + STEP], d @ ones
+                        if sums.max() > 1e15:  # their squares would leave the range
+                            d /= sums[:, None]
+                            sums = d @ ones
+                        # shares are d / sums; a token's gradient is its shares less one for its outcome
+                        length = np.maximum(np.multiply(d, d, out=more[:n]) @ ones / sums**2 - 2 * d.reshape(-1)[begin[:n] + own] / sums + 1, 0)
                         for f in rows[i : i + STEP].T:
                             np.add.at(times, f, 1.0)
                             np.add.at(squares, f, length * times[f])  # no less than the square of the row's summed gradient
                             times[f] = 0
-                            np.multiply(d, (-rate / np.sqrt(squares[f])).astype(np.float32)[:, None], out=more[:n])
+                            pace = rate / np.sqrt(squares[f])
+                            np.add.at(flat, f * 32 + own, pace.astype(np.float32))
+                            np.multiply(d, (-pace / sums).astype(np.float32)[:, None], out=more[:n])
                             np.add((f * 16)[:, None], of_row, out=places[:n])
                             np.add.at(pairs, places[:n].reshape(-1), more[:n].view(np.complex64).reshape(-1))
         words *= met[:, None].astype(np.float32)
@@ -367,6 +448,57 @@ def word_weights(learnt: DataFrame, names, model, learners: int, rate: float = 1
     return out
 
 
+def scored(batches, known: tuple[Places, np.ndarray], words: np.ndarray, names: Names, model: tuple):
+    """Of (row, doc_id, text, held_out): tokens, those in the head, the sum of their logarithms, the rest of the score, and the words outside the head;
+    ``known`` has the head's words and logarithms, with 0 at the end for others, ``words`` the exponentials of the words' weights."""
+    places, logs = known
+    outer, within, tree, valid = model
+    of_model = outer, within, tree.shares(), valid, both(outer, within, valid, True)
+    more, begin, ones = np.empty((STEP, 32), np.float32), np.arange(STEP) * 32, np.ones(32, np.float32)
+    for b in batches:
+        got = [[] for _ in range(6)]
+        for _, raw, at in slabs(b.column(2)):
+            w = Words(raw, at, "space")
+            tokens = names.contexts(w)
+            _, s, _, _, doc, is_word, *_ = tokens
+            n = len(at) - 1
+            at_head = places.of(w.h)
+            found, value = at_head >= 0, logs[at_head]
+            sum_logs = np.bincount(w.doc, value, n)
+            cls = np.zeros(len(s))
+            for mine, shares, rows, y in factors(tokens, *of_model):
+                chosen, every = np.empty(len(y), np.float32), np.empty(len(y), np.float32)
+                for i in range(0, len(y), STEP):
+                    p = shares(slice(i, i + STEP))  # and the words' exponentials: none is worked out for a token
+                    for f in rows[i : i + STEP].T:
+                        p *= np.take(words, f, axis=0, out=more[: len(p)], mode="clip")
+                    chosen[i : i + STEP] = p.reshape(-1)[begin[: len(p)] + y[i : i + STEP]]
+                    np.matmul(p, ones, out=every[i : i + STEP])
+                cls[mine] += np.log10(np.maximum(chosen, 1e-37) / every)
+            rest = is_word & (s == REST)
+            cls[rest] -= tree.leaves[tokens[0][rest] * LEAVES + tokens[-1][rest]]
+            # a named word's own count is part of logs; it isn't in its probability
+            cls[is_word & ~rest] -= value[(s != REST)[is_word]]
+            tail = np.flatnonzero(~found)
+            order = np.lexsort((w.h[tail], w.doc[tail]))
+            d, t = w.doc[tail][order], w.h[tail][order]
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+            runs = np.flatnonzero(new)
+            tf = np.diff(np.append(runs, len(d)))
+            cuts = np.searchsorted(d[runs], np.arange(n + 1))
+            got[0].append(np.diff(w.first) + 1)
+            got[1].append(np.bincount(w.doc, found, n).astype(np.int64))
+            got[2].append(sum_logs)
+            got[3].append(np.bincount(doc, cls, n))
+            kind = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
+            rows = pa.StructArray.from_arrays([pa.array(t[runs].view(np.int64)), pa.array(tf, pa.int64())], fields=list(kind))
+            got[4].append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows))
+        if got[0]:
+            n_tokens, n_known, logs_head, cls = (np.concatenate(g) for g in got[:4])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(logs_head), pa.array(cls), pa.concat_arrays(got[4])], ["row", "doc_id", "held_out", "n_tokens", "n_head", "logs", "cls", "tail"])
+
+
 def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document,
     learnt from those whose crc32(doc_id as text) modulo ``fold`` is not ``held``."""
@@ -392,7 +524,7 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     h, n, code = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["ending"].to_numpy()
     c = classes[code & 0xFFFF].astype(np.int64)
     order = np.argsort(h)
-    known = (h[order], np.log10(n[order] + 1.0))
+    known = Places(h[order]), np.append(np.log10(n[order] + 1.0), 0.0)
     # names: the most frequent words of each class
     order = np.lexsort((h, -n, c))
     place = np.arange(len(order)) - np.searchsorted(c[order], c[order])
@@ -417,51 +549,8 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2, head: int = 1 << 18, d
     base_of, end_base = np.log10(total + vocabulary + 1.0), np.log10(n_docs + 1.0)
 
     def run(batches):
-        (hs, logs), words = sent.value
-        outer, within, tree, valid = model.value
-        of_model = outer, within, tree.shares(), valid, both(outer, within, valid, True)
-        more, begin, ones = np.empty((STEP, 32), np.float32), np.arange(STEP) * 32, np.ones(32, np.float32)
-        for b in batches:
-            got = [[] for _ in range(6)]
-            for _, raw, at in slabs(b.column(2)):
-                w = Words(raw, at, "space")
-                tokens = names.value.contexts(w)
-                _, s, _, _, doc, is_word, *_ = tokens
-                n = len(at) - 1
-                at_head = np.minimum(np.searchsorted(hs, w.h), max(len(hs) - 1, 0))
-                found = hs[at_head] == w.h if len(hs) else np.zeros(len(w), bool)
-                value = np.where(found, logs[at_head] if len(hs) else 0.0, 0.0)
-                sum_logs = np.bincount(w.doc, value, n)
-                cls = np.zeros(len(s))
-                for mine, shares, rows, y in factors(tokens, *of_model):
-                    for i in range(0, len(y), STEP):
-                        p = shares(slice(i, i + STEP))  # and the words' exponentials: none is worked out for a token
-                        for f in rows[i : i + STEP].T:
-                            p *= np.take(words, f, axis=0, out=more[: len(p)], mode="clip")
-                        chosen = p.reshape(-1)[begin[: len(p)] + y[i : i + STEP]]
-                        cls[mine[i : i + STEP]] += np.log10(np.maximum(chosen, 1e-37) / (p @ ones))
-                rest = is_word & (s == REST)
-                cls[rest] -= tree.leaves[tokens[0][rest] * LEAVES + tokens[-1][rest]]
-                # a named word's own count is part of logs; it isn't in its probability
-                cls[is_word & ~rest] -= value[(s != REST)[is_word]]
-                tail = np.flatnonzero(~found)
-                order = np.lexsort((w.h[tail], w.doc[tail]))
-                d, t = w.doc[tail][order], w.h[tail][order]
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-                runs = np.flatnonzero(new)
-                tf = np.diff(np.append(runs, len(d)))
-                cuts = np.searchsorted(d[runs], np.arange(n + 1))
-                got[0].append(np.diff(w.first) + 1)
-                got[1].append(np.bincount(w.doc, found, n).astype(np.int64))
-                got[2].append(sum_logs)
-                got[3].append(np.bincount(doc, cls, n))
-                kind = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
-                rows = pa.StructArray.from_arrays([pa.array(t[runs].view(np.int64)), pa.array(tf, pa.int64())], fields=list(kind))
-                got[4].append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows))
-            if got[0]:
-                n_tokens, n_known, logs_head, cls = (np.concatenate(g) for g in got[:4])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(logs_head), pa.array(cls), pa.concat_arrays(got[4])], ["row", "doc_id", "held_out", "n_tokens", "n_head", "logs", "cls", "tail"])
+        known, words = sent.value
+        return scored(batches, known, words, names.value, model.value)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out.alias("held_out"))
     part = numbered.mapInArrow(run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, logs double, cls double, tail array<struct<h:bigint,tf:bigint>>")

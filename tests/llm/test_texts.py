@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,6 +393,61 @@ def test_language_model_scores_every_slab_alike(docs_of, prose):
         assert abs(got[1] - got[3]) < 1e-6 and abs(got[1] - got[5]) < 1e-6 and abs(got[2] - got[4]) < 1e-3
 
 
+def test_language_model_counts_in_place(spark, monkeypatch):
+    """A task gives each word and each outcome of a context once, however many batches it reads; words beyond those kept in place are counted too."""
+    r = np.random.default_rng(3)
+    h = np.sort(r.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+    h[:3] = h[3] + np.arange(3, dtype=np.uint64) - np.uint64(3)  # neighbours share their first bits
+    asked = np.concatenate([h, h + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    for some in (h, h[:1], h[:0]):
+        known = {int(x): k for k, x in enumerate(some)}
+        assert lm_score.Places(some).of(asked).tolist() == [known.get(int(x), -1) for x in asked]
+    tokens = h[np.minimum(r.zipf(1.3, 5000) - 1, 299)]
+    for kept, wait in ((1 << 20, 1 << 19), (100, 150), (0, 7)):
+        monkeypatch.setattr(lm_score, "KEPT", kept)
+        monkeypatch.setattr(lm_score, "WAIT", wait)
+        counts, got = lm_score.Counts(), Counter()
+        parts = [p for i in range(0, 5000, 900) for p in counts.add(tokens[i : i + 900], (tokens[i : i + 900] % np.uint64(1000)).astype(np.int32))] + list(counts.rest())
+        for k, code, n in parts:
+            assert (code == k % np.uint64(1000)).all() and len(np.unique(k)) == len(k)
+            got.update(dict(zip(k.tolist(), n.tolist(), strict=True)))
+        assert got == Counter(tokens.tolist()) and (kept < 300 or len(parts) == 1)
+    assert list(lm_score.Counts().rest())[0][0].size == 0
+
+    class Taken:
+        """Keeps the function that the tasks would run."""
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        groupBy = agg = repartition  # noqa: N815
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(["one two three"] * 5)], ["text"]) for _ in range(8)]
+    names = SimpleNamespace(value=lm_score.Names(np.full(1 << 16, lm_score.OTHER, np.int16), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)))
+    monkeypatch.setattr(lm_score, "KEPT", 100)
+    words, contexts = (pa.Table.from_batches(list(made(Taken()).run(iter(batches)))).to_pylist() for made in (lm_score.word_counts, lambda t: lm_score.context_counts(t, names)))
+    assert [x["n"] for x in words] == [40, 40, 40]
+    assert len(contexts) == len({(x["inside"], x["context"], x["y"]) for x in contexts}) and sum(x["n"] for x in contexts) == 40 * 4 + 40 * 3
+
+
+def test_language_model_steps_read_packed_counts(spark, monkeypatch):
+    """The steps of a fit read a row of arrays for each partition, not a row for each count, and fit what the counts say."""
+    seen = spark.createDataFrame([(c, y, c + y + 1) for c in range(50) for y in range(8)], "context int, y int, n long").repartition(3, "context")
+    read, plain = [], lm_score.cut
+    monkeypatch.setattr(lm_score, "cut", lambda df: read.append(plain(df)) or read[-1])
+    weights = lm_score.fit(seen, False, np.ones((32, 32), bool))
+    (packed,) = read
+    assert packed.count() <= 3
+    got = sum(np.frombuffer(x["n"], np.int64).sum() for x in packed.collect())
+    assert got == sum(c + y + 1 for c in range(50) for y in range(8))
+    p = np.exp(lm_score._log_odds(weights, np.arange(50), False, np.ones((32, 32), bool)))
+    assert p[:, :8].sum(1).min() > 0.9 and (p[:, 7] > p[:, 0]).mean() > 0.9
+
+
 def test_language_model_tree():
     """The shares of a leaf's digits multiply to the leaf's share of its class, and with any weights of words a digit's shares sum to one."""
     r = np.random.default_rng(6)
